@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
-from . import simhash
+from . import decontam, simhash
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return found.drop("text_hash")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(importable(spark), sf_dir, "documents"), size=3, radius=3)
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op8_simhash": op8_simhash,
+}
 ORACLE_SQL: dict[str, str] = {}
