@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
-from . import decontam, simhash
+from . import decontam, simhash, token_count
+
+
+#: Vocabulary file of the token operators, a name that ``public_tokenizers.path`` resolves.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Path of a public tokenizer file; the library is looked up only when a token operator runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,12 +25,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_hash")
 
 
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(importable(spark), sf_dir, "documents"), vocabulary(), limit=2048)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(importable(spark), sf_dir, "documents"), size=3, radius=3)
 
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op4_token_count": op4_token_count,
     "op8_simhash": op8_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
