@@ -7,8 +7,9 @@ import tempfile
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch; long texts make batches of some tens of megabytes at the default of 10,000.
+#: Most rows and bytes of one Arrow batch.
 BATCH_ROWS = 2000
+BATCH_BYTES = "16m"
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -18,6 +19,7 @@ def session(df: DataFrame) -> SparkSession:
 def tune(spark: SparkSession) -> None:
     """Small Arrow batches, so that a Python worker holds a few megabytes of text at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def durable(df: DataFrame) -> DataFrame:

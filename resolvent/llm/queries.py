@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
-from . import decontam, simhash, token_count
+from . import decontam, matroska, simhash, token_count, url_filter
 
 
 #: Vocabulary file of the token operators, a name that ``public_tokenizers.path`` resolves.
@@ -29,13 +29,27 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(importable(spark), sf_dir, "documents"), vocabulary(), limit=2048)
 
 
+#: The URL rules of the query.
+RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(importable(spark), sf_dir, "pages"), RULES)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(importable(spark), sf_dir, "documents"), size=3, radius=3)
 
 
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(table(importable(spark), sf_dir, "documents"), frame=576)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_token_count": op4_token_count,
+    "op5_url_filter": op5_url_filter,
     "op8_simhash": op8_simhash,
+    "op10_matroska": op10_matroska,
 }
 ORACLE_SQL: dict[str, str] = {}
