@@ -22,16 +22,23 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that driver and executors share.
 
-    The folder is the session's; only where none is set (tests, local runs) a temporary one is used.
-    The files outlive any executor and are removed by Spark's cleaner with the data frame.
+    It is the session's; only where none is set (tests, local runs) a temporary one is used.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="resolvent-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through files in the shared folder.
+
+    They outlive any executor and are removed by Spark's cleaner with the data frame.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

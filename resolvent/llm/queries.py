@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
-from . import decontam, matroska, packing, simhash, token_count, url_filter
+from . import decontam, matroska, packing, simhash, token_count, token_files, url_filter
 
 
 #: Vocabulary file of the token operators, a name that ``public_tokenizers.path`` resolves.
@@ -37,6 +37,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(importable(spark), sf_dir, "pages"), RULES)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(importable(spark), sf_dir, "documents"), vocabulary(), end_id=2)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(importable(spark), sf_dir, "documents"), vocabulary(), window=2048, end_id=1)
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_token_count": op4_token_count,
     "op5_url_filter": op5_url_filter,
+    "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op10_matroska": op10_matroska,
