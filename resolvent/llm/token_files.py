@@ -1,7 +1,7 @@
 """Token-id files: documents in doc_id order as checksummed, independently coded blocks.
 
 The file format is a Parquet table of segments.  A segment holds whole documents in ascending doc_id order:
-its place (``part``, ``segment``), their doc_ids and numbers of ids, and one binary value with the blocks of
+its place (``part``, ``segment``, ids of the part ``before`` it), their doc_ids and numbers of ids, and one binary value with the blocks of
 ``range_coder``.  Segments hold about ``SEGMENT`` ids, or one longer document; Spark commits the files, so a
 lost executor's tasks are simply written again.
 """
@@ -23,7 +23,7 @@ from ._spark import shared_folder, tune
 
 #: Ids after which a segment ends.
 SEGMENT = range_coder.BLOCK * range_coder.GROUP
-_SCHEMA = "part int, segment int, n_ids long, doc_ids array<long>, sizes array<long>, blocks binary"
+_SCHEMA = "part int, segment int, before long, n_ids long, doc_ids array<long>, sizes array<long>, blocks binary"
 
 
 def encode_segments(docs: DataFrame, path: str, end_id: int = 2, segment: int = SEGMENT) -> DataFrame:
@@ -37,13 +37,14 @@ def encode_segments(docs: DataFrame, path: str, end_id: int = 2, segment: int =
         names: list[pa.Array] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        held = 0
+        held = before = 0
 
         def row():
             flat = np.concatenate(ids)
-            values = [[part], [number], [len(flat)], [pa.concat_arrays(names)], [np.concatenate(sizes)], [range_coder.encode(flat)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v if k < 3 or k == 5 else [v[0].tolist() if isinstance(v[0], np.ndarray) else v[0].to_pylist()], t) for k, (v, t) in enumerate(zip(values, kinds))], ["part", "segment", "n_ids", "doc_ids", "sizes", "blocks"])
+            own, n = pa.concat_arrays(names), pa.array(np.concatenate(sizes))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own, n)]
+            cols = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(flat)], pa.int64()), *lists, pa.array([range_coder.encode(flat)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["part", "segment", "before", "n_ids", "doc_ids", "sizes", "blocks"])
 
         for b in batches:
             buf, off = utf8(b.column(1))
@@ -55,7 +56,7 @@ def encode_segments(docs: DataFrame, path: str, end_id: int = 2, segment: int =
                 held += len(ids[-1])
                 if held >= segment:
                     yield row()
-                    number, held = number + 1, 0
+                    number, before, held = number + 1, before + held, 0
                     names.clear(), sizes.clear(), ids.clear()
         if names:
             yield row()
@@ -80,9 +81,6 @@ def read_tokens(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFr
     files = spark.read.schema(_SCHEMA).parquet(out)
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each file
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_ids")
-    places = files.select("part", "segment", "n_ids").withColumn("inner", inner).join(parts, "part").select("part", "segment", (F.col("base") + F.col("inner")).alias("start"))
-
     def run(batches):
         for b in batches:
             for start, n, doc_ids, sizes, data in zip(*(b.column(k).to_pylist() for k in range(5))):
@@ -99,7 +97,7 @@ def read_tokens(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"] + (["ids"] if keep_ids else []))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return files.join(places, ["part", "segment"]).select("start", "n_ids", "doc_ids", "sizes", "blocks").mapInArrow(run, schema)
+    return files.join(parts, "part").select((F.col("base") + F.col("before")).alias("start"), "n_ids", "doc_ids", "sizes", "blocks").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
