@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
-from . import decontam, matroska, packing, simhash, token_count, token_files, url_filter
+from . import decontam, line_dedup, matroska, packing, simhash, token_count, token_files, url_filter
 
 
 #: Vocabulary file of the token operators, a name that ``public_tokenizers.path`` resolves.
@@ -49,6 +49,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(importable(spark), sf_dir, "documents"), size=3, radius=3)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(importable(spark), sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(importable(spark), sf_dir, "documents"), frame=576)
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
     "op10_matroska": op10_matroska,
 }
 ORACLE_SQL: dict[str, str] = {}
