@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
-from . import decontam, line_dedup, matroska, packing, quality, simhash, token_count, token_files, url_filter
+from . import decontam, line_dedup, matroska, packing, quality, simhash, token_count, token_files, toxicity, url_filter
 
 
 #: Vocabulary file of the token operators, a name that ``public_tokenizers.path`` resolves.
@@ -30,6 +30,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=3, held=1, threshold=0.5)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, held=2, threshold=0.3).drop("text_hash")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(importable(spark), sf_dir, "documents"), vocabulary(), limit=2048)
 
@@ -65,6 +70,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_token_count": op4_token_count,
     "op5_url_filter": op5_url_filter,
     "op6_token_files": op6_token_files,
