@@ -32,7 +32,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
-    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, held=2, threshold=0.3).drop("text_hash")
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, held=2, threshold=0.3)
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

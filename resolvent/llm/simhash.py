@@ -65,16 +65,17 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp long)``; a text without words has fingerprint 0."""
+    """``docs(doc_id, text)`` -> ``(doc_id, text_hash, fp long)``; a text without words has fingerprint 0."""
     tune(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            buf, off = utf8(b.column(1))
+            buf, off = utf8(b.column(2))
             fps = [majority(*shingle_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)) for i, j in pieces(off)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([*fps, np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([*fps, np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -160,24 +161,33 @@ def _with_end(batches):
     yield None
 
 
+def classes(docs: DataFrame, size: int = 3, radius: int = 3, split: int = SPLIT) -> DataFrame:
+    """``(doc_id, text_hash, fp, root, component_id)`` per row; ``root`` is a fingerprint that names the component."""
+    base = durable(fingerprints(docs, size))
+    nodes = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("fp"), radius, split))
+    placed = durable(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return base.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, split: int = SPLIT) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, fingerprint, component_id)``, one row per input row.
 
     Null and empty texts, and texts of separators only, have fingerprint zero and link like any other.
-    Rows that repeat a doc_id stay rows of their own; a null doc_id stays null and never names a component
-    unless the component has no other.  Other columns are ignored; an empty table gives no rows.
+    Rows that repeat a doc_id stay rows of their own; a null doc_id stays null and names a component only if the
+    component has no other (its component_id is null then).  Other columns are ignored; an empty table gives no rows.
     """
-    base = durable(fingerprints(docs, size))
-    nodes = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius, split))
-    placed = durable(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return base.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes(docs, size, radius, split).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each component does: the one with the smallest
-    doc_id (of rows that repeat it, the first by text); rows without a doc_id stay only if no other does."""
-    found = near_duplicates(docs, size, radius).groupBy("component_id").count().select(F.col("component_id").alias("_keep"))
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["_keep"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns kept, that stay when one document of each component does: the one with the
+    smallest doc_id (nulls last), of rows that repeat it the one with the smallest text hash, and one of equal rows."""
+    placed = durable(classes(docs, size, radius).select("doc_id", "text_hash", "root"))
+    keep = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    own, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    kept = docs.join(keep, own.eqNullSafe(keep["_id"]) & (text_hash == keep["_hash"]), "left_semi")
+    if placed.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])

@@ -233,7 +233,7 @@ def entry_hashes(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[
 # -- lexicon and scores --------------------------------------------------------------------------
 
 
-def lexicon(train: DataFrame, held, weight: dict[int, float], totals: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def lexicon(train: DataFrame, held, totals: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """``train(text, y)`` -> hashes and weights of the entries whose log-odds are surely positive."""
 
     def run(batches):
@@ -295,67 +295,80 @@ def evidence(buf: np.ndarray, off: np.ndarray, restorer: Restorer, table: Table,
     return out
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, column: str = "toxic", threshold: float = 0.3, most: int = MOST_LABELS) -> DataFrame:
-    """``docs(doc_id, text, ...)`` and ``labels(doc_id, toxic)`` -> ``(doc_id, held_out, score, predicted, text_hash)``, one
-    row per row of ``docs``.
+_SCORE = "__toxicity_score"
+
 
-    Only labels whose fold is not ``held`` are learnt, at most ``most`` of each class.  Null and empty texts have no
-    words and score like a text without entries.  With no labels, or of one class only, every score is the share of
-    label 1 (0 without labels).  Repeated rows are scored each; other columns are ignored.
+def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, column: str = "toxic", most: int = MOST_LABELS) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` with their score in a column named ``__toxicity_score``.
+
+    Only labels whose fold is not ``held`` are learnt, at most ``most`` of each class.
     """
     spark = docs.sparkSession
     tune(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = rows.withColumn("held_out", fold(F.col("doc_id"), modulus) == held)
     chosen, weight = training_labels(labels, column, modulus, held, most)
     if len(weight) < 2:
-        score = F.lit(float(next(iter(weight))) if weight else 0.0)
-        return out.select("doc_id", "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.xxhash64("text").alias("text_hash"))
+        return docs.withColumn(_SCORE, F.lit(float(next(iter(weight))) if weight else 0.0))
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, costs(trigram_counts(rows))))
     picked = durable(chosen)  # at most 2 x most rows of two numbers
     apart = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) == 0  # a fifth fits the logistic part
     train = durable(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", apart.alias("apart")))
     totals = {r["y"]: r["count"] for r in train.where("not apart").groupBy("y").count().collect()}
-    entries, strengths = lexicon(train.where("not apart"), model, weight, {0: totals.get(0, 0), 1: totals.get(1, 0)})
+    entries, strengths = lexicon(train.where("not apart"), model, {0: totals.get(0, 0), 1: totals.get(1, 0)})
     lex = spark.sparkContext.broadcast((entries, strengths))
 
     def reader():
         table = Table(12)
         if len(lex.value[0]):
             table.add(lex.value[0], np.arange(len(lex.value[0])))
-        return _restorer(model), table, lex.value[1]
+        restorer, weights = _restorer(model), lex.value[1]
+
+        def read(column: pa.Array) -> np.ndarray:
+            buf, off = utf8(column)
+            x = [evidence(buf[off[i] : off[j]], off[i : j + 1] - off[i], restorer, table, weights) for i, j in pieces(off)]
+            return np.concatenate([*x, np.zeros((0, EVIDENCE))])
+
+        return read
 
     def measure(batches):
-        restorer, table, weights = reader()
+        read = reader()
         for b in batches:
-            buf, off = utf8(b.column(0))
-            x = [evidence(buf[off[i] : off[j]], off[i : j + 1] - off[i], restorer, table, weights) for i, j in pieces(off)]
-            x = np.concatenate([*x, np.zeros((0, EVIDENCE))])
+            x = read(b.column(0))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * EVIDENCE), pa.array(x.reshape(-1)))], ["y", "x"])
 
     fit_rows = train.where("apart")
     if fit_rows.select("y").distinct().count() < 2:
         fit_rows = train
     seen = fit_rows.select("text", "y").mapInArrow(measure, "y int, x array<double>").groupBy("y", "x").count().collect()  # at most 2 x most rows
+    if not seen:  # no labelled document is in the table
+        return docs.withColumn(_SCORE, F.lit(0.0))
     x = np.array([r["x"] for r in seen])
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     beta = logistic(x / scale, np.array([float(r["y"]) for r in seen]), np.array([r["count"] * weight[r["y"]] for r in seen]), ridge=0.1)
 
     def score(batches):
-        restorer, table, weights = reader()
+        read = reader()
         for b in batches:
-            buf, off = utf8(b.column(1))
-            x = [evidence(buf[off[i] : off[j]], off[i : j + 1] - off[i], restorer, table, weights) for i, j in pieces(off)]
-            x = np.concatenate([*x, np.zeros((0, EVIDENCE))])
-            s = 1 / (1 + np.exp(-np.clip((x / scale) @ beta[:-1] + beta[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.round(s, 6)), b.column(3)], ["doc_id", "held_out", "score", "text_hash"])
+            s = 1 / (1 + np.exp(-np.clip((read(b.column(b.num_columns - 1)) / scale) @ beta[:-1] + beta[-1], -30, 30)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.round(s, 6))], [*b.schema.names[:-1], _SCORE])
+
+    schema = docs.withColumn(_SCORE, F.lit(0.0)).schema
+    return docs.withColumn(_SCORE, F.col("text").cast("string")).mapInArrow(score, schema)
 
-    scored = out.select("doc_id", "text", "held_out", F.xxhash64("text").alias("text_hash")).mapInArrow(score, "doc_id long, held_out boolean, score double, text_hash long")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, column: str = "toxic", threshold: float = 0.3, most: int = MOST_LABELS) -> DataFrame:
+    """``docs(doc_id, text, ...)`` and ``labels(doc_id, toxic)`` -> ``(doc_id, held_out, score, predicted)``, one row per
+    row of ``docs``.
+
+    Null and empty texts have no words and score like a text without entries.  With no labels, or of one class only,
+    every score is the share of label 1 (0 without labels, or if no labelled document is in ``docs``).  Repeated rows
+    are scored each; other columns are ignored.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    score = F.col(_SCORE)
+    return annotated(rows, labels, modulus, held, column, most).select("doc_id", (fold(F.col("doc_id"), modulus) == held).alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns kept, that are not predicted toxic."""
-    bad = toxicity_scores(docs, labels, threshold=threshold).where("predicted = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["_hash"])
-    return docs.join(bad, same, "left_anti")
+    """The rows of ``docs``, all columns kept, whose score is below ``threshold``."""
+    return annotated(docs, labels).where(F.col(_SCORE) < threshold).drop(_SCORE)
