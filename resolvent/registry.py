@@ -6,5 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import decision_queries, graph_queries, resolution
+from .session import importable
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _ready(f: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(importable(spark), sf_dir)
+
+    return run
+
+
+_MODULES = (resolution, graph_queries, decision_queries)
+QUERIES: dict[str, Query] = {name: _ready(f) for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
