@@ -1,7 +1,6 @@
 """Line deduplication by winnowing over line hashes.
 
-A text's lines are its parts between line feeds, cut again behind sentence ends, so that a passage is found
-whether it stands alone or inside a paragraph.  Windows are content-defined: from each line the shortest run
+A text's lines are its parts between line ends; lines without words do not count.  Windows are content-defined: from each line the shortest run
 of lines with ``min_words`` words, forwards and backwards.  A run of that many words that occurs twice is
 exactly covered by windows that occur twice, so deleting every later window deletes every later run, up to
 its ends (a maximal match, extended both ways).
@@ -27,17 +26,11 @@ MIN_WORDS = 25
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(0x09, 0x0E), 0x20]] = True
-_END = np.zeros(256, bool)
-_END[[0x21, 0x2E, 0x3F]] = True
 
 
 def split_lines(buf: np.ndarray, off: np.ndarray):
-    """(starts, ends, words, first) of the lines with words: parts between line ends and behind ``.``, ``!`` or ``?``
-    and a space; ``first`` says at which line each document begins."""
-    kind = np.ones(len(buf), np.uint8)
-    kind[(buf == 0x0A) | (buf == 0x0D)] = 0
-    if len(buf) > 1:
-        kind[1:][(buf[1:] == 0x20) & _END[buf[:-1]]] = 0
+    """(starts, ends, words, first) of the lines with words; ``first`` says at which line each document begins."""
+    kind = ((buf != 0x0A) & (buf != 0x0D)).astype(np.uint8)
     starts, ends, _, _ = runs(kind, off)
     word = ~_SPACE[buf]
     begin = word.copy()
@@ -123,7 +116,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, text_hash, lines array<int>)``: the lines (numbers among those with
     words) of later repeated runs, for the documents that have any."""
     tune(docs.sparkSession)
-    named = durable(line_hashes(docs).dropDuplicates(["doc_id", "text_hash"]).withColumn("row", F.monotonically_increasing_id()))
+    named = durable(line_hashes(docs).withColumn("row", F.monotonically_increasing_id()))
 
     def select(batches):
         for b in batches:
@@ -163,39 +156,23 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = candidates.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("ha", "hb", "first")
     later = candidates.join(first, ["ha", "hb"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     lines = later.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))))).alias("lines"))
-    return named.select("row", "doc_id", "text_hash").join(lines, "row").drop("row")
+    # Rows that repeat doc_id and text are one document: its first row's lines hold.
+    own_row = named.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"))
+    return own_row.join(lines, "row").drop("row")
 
 
-def _without(text: bytes, starts, ends, drop: list[int]) -> bytes:
-    """The text without some of its lines; a paragraph that keeps nothing goes with its line end."""
-    gone = set(drop)
+def _without(text: bytes, starts: list[int], ends: list[int], drop: list[int]) -> bytes:
+    """The text without some of its lines and their line ends."""
     out, at = [], 0
-    for k, (a, b) in enumerate(zip(starts, ends)):
-        out.append((text[at:a], False))
-        out.append((b"" if k in gone else text[a:b], k in gone))
-        at = b
-    out.append((text[at:], False))
-    kept = []
-    for line in _paragraphs(out):
-        body = b"".join(x for x, _ in line)
-        if any(g for _, g in line):
-            while b"  " in body:
-                body = body.replace(b"  ", b" ")
-            body = body.strip(b" ") or None
-        if body is not None:
-            kept.append(body)
-    return b"\n".join(kept)
-
-
-def _paragraphs(parts):
-    line = []
-    for body, gone in parts:
-        bits = body.split(b"\n")
-        line.append((bits[0], gone))
-        for bit in bits[1:]:
-            yield line
-            line = [(bit, False)]
-    yield line
+    for k in drop:
+        out.append(text[at : starts[k]])
+        at = ends[k]
+        if text[at : at + 2] == b"\r\n":
+            at += 2
+        elif at < len(text):
+            at += 1
+    out.append(text[at:])
+    return b"".join(out)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
