@@ -145,5 +145,5 @@ ORACLE_SQL = {
       JOIN (WITH {q.INDEX}, {q.TITLES}, {q.hits('titled', 'title', q.TITLE_CANDS)}, {_grouped('title', True, False)} SELECT title, canonical_id AS catalogue FROM res) USING (title)
       JOIN (WITH {q.INDEX}, {q.TITLES}, {_LONGEST} SELECT title, canonical_id AS longest FROM res) USING (title) WHERE serving IS DISTINCT FROM catalogue OR serving IS DISTINCT FROM longest""",
     "resolve_volume": f"WITH {_SERVING} SELECT match_method, count(*) AS n, count(DISTINCT canonical_id) AS n_ids FROM lineitem JOIN titled t ON l_partkey = p_partkey JOIN res r ON r.label = t.title AND r.latin IS NOT DISTINCT FROM t.latin GROUP BY match_method",
-    "display_names": f"""WITH {q.IDENTITIES} SELECT canonical_id, CASE WHEN canonical_id = 'blue-rod' THEN 'Azure rod' WHEN noun = 'ring' THEN adj ELSE noun END AS display_name FROM ident JOIN names ON canonical_id = adj || '-' || noun""",
+    "display_names": f"""WITH {q.IDENTITIES} SELECT canonical_id, CASE WHEN canonical_id = 'blue-rod' THEN 'Azure rod' WHEN noun = 'ring' AND adj IN ('large', 'small') THEN adj || noun WHEN noun = 'ring' THEN adj ELSE noun END AS display_name FROM ident JOIN names ON canonical_id = adj || '-' || noun""",
 }
