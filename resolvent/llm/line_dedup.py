@@ -131,7 +131,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     chosen = named.select("row", "h", "words").mapInArrow(select, "row long, fp long")
     # A fingerprint that one document alone selects matters only if that document repeats it itself.
-    often = chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    often = durable(chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))  # cut, so that AQE can split the join
     within = named.where(F.size(F.array_distinct("h")) < F.size("h")).select("row")
     wanted = chosen.join(often, "fp").groupBy("row").agg(F.collect_set("fp").alias("fps"))
     wanted = wanted.join(within.withColumn("own", F.lit(True)), "row", "full_outer").select("row", F.coalesce("fps", F.array().cast("array<long>")).alias("fps"), F.coalesce("own", F.lit(False)).alias("own"))
@@ -153,7 +153,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     candidates = durable(named.join(wanted, "row").select("row", "doc_id", "h", "words", "fps", "own").mapInArrow(compare, "row long, doc_id long, start int, len int, ha long, hb long"))
     place = F.struct(F.col("doc_id"), F.col("row"), F.col("start"))
-    first = candidates.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("ha", "hb", "first")
+    first = durable(candidates.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("ha", "hb", "first"))
     later = candidates.join(first, ["ha", "hb"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
     lines = later.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))))).alias("lines"))
     # Rows that repeat doc_id and text are one document: its first row's lines hold.
