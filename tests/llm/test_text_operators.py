@@ -116,9 +116,10 @@ def test_covering_tables_lose_no_pair(spark, split):
                 assert roots[signed[i]] == roots[signed[j]]
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("finish", [0, 1_000_000])
+def test_components_of_chains_and_hubs(spark, finish):
     edges = [(i, i + 1) for i in range(60)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5), (1, 0), (None, 7)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), finish).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{k: 1000 for k in range(1000, 1100)}}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
