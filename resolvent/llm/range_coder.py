@@ -20,8 +20,8 @@ import zlib
 
 import numpy as np
 
-BLOCK, GROUP, SLOTS = 2048, 1536, 2048
-_EPOCHS = [1 << k for k in range(5, 11)]
+BLOCK, GROUP, SLOT_BITS = 1024, 2048, 9
+_EPOCHS = [1 << k for k in range(5, 10)]
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"RCB1"
 _TOP = np.uint64(1 << 48)
@@ -45,15 +45,21 @@ class _Model:
     """Context tables and mixing counts of a group of blocks."""
 
     def __init__(self, lanes: int):
-        self.slot0 = np.arange(lanes, dtype=np.int64) * SLOTS
+        slots = 1 << SLOT_BITS
+        self.shift = np.uint32(32 - SLOT_BITS)
+        self.slot0 = np.arange(lanes, dtype=np.int64) * slots
         self.state0 = np.arange(lanes, dtype=np.int64) * 128
-        self.order1, self.order2 = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
+        self.order1, self.order2 = np.zeros(lanes * slots, np.uint32), np.zeros(lanes * slots, np.uint32)
         self.prev, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.counts = np.tile(_PRIOR, (lanes, 1)).reshape(-1)
+        self.counts = np.tile(_PRIOR, (lanes, 1)).reshape(-1).astype(np.int64)
+        self.taken: list[np.ndarray] = []
         self.renew(False)
 
     def renew(self, order0: bool) -> None:
         """Begin and width of the four intervals for each lane and state, from the counts so far."""
+        if self.taken:
+            self.counts += 2 * np.bincount(np.concatenate(self.taken), minlength=len(self.counts))
+            self.taken.clear()
         n = self.counts.reshape(-1, 32, 4).astype(np.float64)
         able = np.ones((32, 4))
         able[:, :2] = _ABLE
@@ -64,26 +70,27 @@ class _Model:
         end[..., 3] = TOTAL
         begin = end - f
         begin[..., 3] = end[..., 2]
-        self.begin, self.width = begin.reshape(-1), (end - begin).reshape(-1)
-        self.end = [np.ascontiguousarray(end[..., k]).reshape(-1) for k in range(3)]
+        self.begin, self.width = begin.reshape(-1).astype(np.uint32), (end - begin).reshape(-1).astype(np.uint32)
+        self.end = [np.ascontiguousarray(end[..., k]).reshape(-1).astype(np.uint32) for k in range(3)]
 
     def predict(self, a: int) -> np.ndarray:
         """Set the predictions i2 and i1 of the first a lanes; their states' rows, times four."""
         p, q = self.prev[:a], self.prev2[:a]
-        self.s1 = self.slot0[:a] + ((p * np.uint32(0x9E3779B1)) >> np.uint32(21))
-        self.s2 = self.slot0[:a] + ((p * np.uint32(0x85EBCA6B) + q * np.uint32(0xC2B2AE35)) >> np.uint32(21))
+        self.s1 = self.slot0[:a] + ((p * np.uint32(0x9E3779B1)) >> self.shift)
+        self.s2 = self.slot0[:a] + ((p * np.uint32(0x85EBCA6B) + q * np.uint32(0xC2B2AE35)) >> self.shift)
         self.v1, self.v2 = self.order1[self.s1], self.order2[self.s2]
         self.i1, self.i2 = self.v1 & np.uint32(0xFFFF), self.v2 & np.uint32(0xFFFF)
         state = ((self.v2 >> np.uint32(12)) & np.uint32(0x30)) + ((self.v1 >> np.uint32(14)) & np.uint32(0xC)) + ((self.i1 == self.i2) * np.uint32(64))
         return self.state0[:a] + state
 
-    def update(self, a: int, x: np.ndarray, at: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Take in the coded ids; ``at`` are their counters."""
+    def update(self, a: int, x: np.ndarray, at: np.ndarray | None, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """Take in the coded ids; ``at`` are their counters, or None where nothing is renewed any more."""
         step = np.uint32(0x10000)
         one, cap = x | step, x | np.uint32(0x30000)
         self.order1[self.s1] = np.where(hit1, np.minimum(self.v1 + step, cap), one)
         self.order2[self.s2] = np.where(hit2, np.minimum(self.v2 + step, cap), one)
-        self.counts[at] += 2
+        if at is not None:
+            self.taken.append(at)
         self.prev2[:a] = self.prev[:a]
         self.prev[:a] = x
 
@@ -160,9 +167,9 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
             hit1 = (model.i1 == ids) & (model.v1 >= seen)
             at = row + np.where(hit2, 0, np.where(hit1, 1, kinds[t, :a]))
             hit = hit2 | hit1
-            outer = model.width[at]
+            outer = model.width[at].astype(np.uint64)
             r = rng[:a] >> _32
-            add = r * ((model.begin[at] << _16) + outer * np.where(hit, np.uint64(0), begin[t, :a]))
+            add = r * ((model.begin[at].astype(np.uint64) << _16) + outer * np.where(hit, np.uint64(0), begin[t, :a]))
             low[:a] += add
             over = low[:a] < add
             r *= outer * np.where(hit, full, width[t, :a])
@@ -177,7 +184,7 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
                 emit(short)
                 rng[short] <<= _16
                 short = short[rng[short] < _TOP]
-            model.update(a, ids, at, hit2, hit1)
+            model.update(a, ids, at if t1 < steps else None, hit2, hit1)
     for _ in range(4):
         emit(np.arange(lanes))
     return [out[i:j] for i, j in zip(first, pos)]
@@ -185,7 +192,7 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
 
 def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
     lanes = len(words)
-    x = np.zeros((lanes, steps), np.uint16)
+    x = np.zeros((steps, lanes), np.uint16)
     model = _Model(lanes)
     sizes = np.array([len(w) for w in words])
     flat = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.uint64)
@@ -198,12 +205,15 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
     for t0, t1 in zip(bounds, bounds[1:]):
         if t0:
             model.renew(True)
-            s = np.sort(x[:, :t0], axis=1, kind="stable")
+            s = np.sort(np.ascontiguousarray(x[:t0].T), axis=1, kind="stable")
             starts, lane = _group_sums(s)
             f0, c0 = _frequencies(np.diff(np.append(starts, s.size)), lane, lanes, t0)
             ids0, f0, c0 = s.reshape(-1)[starts].astype(np.uint32), f0.astype(np.uint64), c0.astype(np.uint64)
-            begin_of = np.searchsorted(lane, np.arange(lanes + 1))
-            depth = int(np.diff(begin_of).max()).bit_length()
+            # Last interval that begins at or before each 1/256 of the range, and the one before the next: searches stay short.
+            place = np.bincount(lane * 257 + (c0 >> np.uint64(8)).astype(np.int64) + 1, minlength=lanes * 257 + 1)[: lanes * 257].reshape(lanes, 257)
+            behind = np.cumsum(place, axis=1) + np.searchsorted(lane, np.arange(lanes))[:, None]
+            lowest = np.maximum(behind[:, :256] - 1, behind[:, :1]).reshape(-1)
+            extent = (behind[:, 1:].reshape(-1) - lowest).astype(np.int64)
         for t in range(t0, t1):
             a = lanes if t < last else lanes - 1
             if not a:
@@ -211,19 +221,20 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             row = model.predict(a)
             r = rng[:a] >> _32
             target = np.minimum(value[:a] // r, most)
-            high = target >> _16
+            high = (target >> _16).astype(np.uint32)
             state = row >> 2
             kind = (high >= model.end[0][state]).astype(np.int64) + (high >= model.end[1][state]) + (high >= model.end[2][state])
             at = row + kind
-            outer, base = model.width[at], model.begin[at] << _16
+            outer, base = model.width[at].astype(np.uint64), model.begin[at].astype(np.uint64) << _16
             inner = (target - base) // outer
             ids = np.where(kind == 0, model.i2, np.where(kind == 1, model.i1, inner.astype(np.uint32)))
             begin, width = np.where(kind == 3, inner, np.uint64(0)), np.where(kind == 3, np.uint64(1), full)
             own = np.flatnonzero(kind == 2)
             if own.size:
-                lo, want = begin_of[own], inner[own]
-                size = begin_of[own + 1] - lo
-                for _ in range(depth):
+                want = inner[own]
+                bucket = own * 256 + (want >> np.uint64(8)).astype(np.int64)
+                lo, size = lowest[bucket], extent[bucket]
+                for _ in range(int(size.max(initial=1) - 1).bit_length()):
                     half = size >> 1
                     lo += half * (c0[lo + half] <= want)
                     size -= half
@@ -238,9 +249,9 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
                 pos[short] += 1
                 rng[short] <<= _16
                 short = short[rng[short] < _TOP]
-            x[:a, t] = ids
-            model.update(a, ids, at, (model.i2 == ids) & (model.v2 >= seen), (model.i1 == ids) & (model.v1 >= seen))
-    return x
+            x[t, :a] = ids
+            model.update(a, ids, at if t1 < steps else None, (model.i2 == ids) & (model.v2 >= seen), (model.i1 == ids) & (model.v1 >= seen))
+    return x.T
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, group: int = GROUP) -> bytes:
@@ -285,7 +296,7 @@ def decode(data: bytes, block: int = BLOCK, group: int = GROUP) -> np.ndarray:
         x = _decode_group(words, table[i][0], table[j - 1][0])
         for k in range(j - i):
             n, _, crc, p = table[i + k]
-            own = x[k, :n]
+            own = np.ascontiguousarray(x[k, :n])
             if zlib.crc32(own.astype("<u2").tobytes()) != crc:
                 raise ValueError(f"checksum of the block at byte {p} fails")
             parts.append(own)

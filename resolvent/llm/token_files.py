@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder
@@ -79,11 +79,15 @@ def read_tokens(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFr
     """
     tune(spark)
     files = spark.read.schema(_SCHEMA).parquet(out)
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each file
-    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    base, at = {}, 0
+    for r in sorted(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):  # a row for each file
+        base[r["part"]] = at
+        at += r["n"]
+
     def run(batches):
         for b in batches:
-            for start, n, doc_ids, sizes, data in zip(*(b.column(k).to_pylist() for k in range(5))):
+            for part, before, n, doc_ids, sizes, data in zip(*(b.column(k).to_pylist() for k in range(6))):
+                start = base[part] + before
                 ids = range_coder.decode(data)
                 if len(ids) != n or sum(sizes) != n:
                     raise ValueError("a segment does not hold the ids that it says")
@@ -97,7 +101,7 @@ def read_tokens(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"] + (["ids"] if keep_ids else []))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return files.join(parts, "part").select((F.col("base") + F.col("before")).alias("start"), "n_ids", "doc_ids", "sizes", "blocks").mapInArrow(run, schema)
+    return files.select("part", "before", "n_ids", "doc_ids", "sizes", "blocks").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
