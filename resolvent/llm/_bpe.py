@@ -8,6 +8,8 @@ come from the library's BPE model, once per distinct pre-token and worker.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -44,9 +46,6 @@ class Pieces:
     def hashes(self) -> np.ndarray:
         return hash_spans(self.pad, self.starts, self.ends)
 
-    def bytes_at(self, i: int) -> bytes:
-        return self.pad[self.starts[i] : self.ends[i]].tobytes()
-
 
 def _contractions(low: np.ndarray, starts, ends, kinds, first):
     """Move the s, t, m, d, re, ve or ll behind a lone apostrophe from its word to the apostrophe."""
@@ -78,8 +77,9 @@ class WordBPE:
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.special_bytes = {name.encode(): i for name, i in self.special.items()}
         self.model, alphabet = self.tok.model, byte_alphabet()
-        self.to_level = {b: alphabet[b] for b in range(256)}
+        self.to_level = [alphabet[b] for b in range(256)]
         self.from_level = {ord(c): b for b, c in alphabet.items()}
         self.reset()
 
@@ -149,10 +149,12 @@ class WordBPE:
 
     def ids_of(self, piece: bytes) -> list[int]:
         """Ids of one pre-token (its normalised UTF-8 bytes)."""
-        special = self.special.get(piece.decode("utf-8", "replace"))
-        if special is not None:
-            return [special]
-        return [t.id for t in self.model.tokenize("".join(map(self.to_level.__getitem__, piece)))]
+        if piece in self.special_bytes:
+            return [self.special_bytes[piece]]
+        text = piece.decode("latin-1")
+        if not (piece.isascii() and text.isprintable()):  # printable ASCII stands for itself
+            text = "".join([self.to_level[b] for b in piece])
+        return [t.id for t in self.model.tokenize(text)]
 
     def index(self, p: Pieces) -> np.ndarray:
         """Cache index of each pre-token, looking ids up where they are new."""
@@ -163,14 +165,15 @@ class WordBPE:
         new = np.flatnonzero(at < 0)
         if new.size:
             fresh, where = np.unique(h[new], return_index=True)
-            ids = [self.ids_of(p.bytes_at(i)) for i in new[where].tolist()]
+            data, places = p.pad.tobytes(), new[where]
+            ids = [self.ids_of(data[i:j]) for i, j in zip(p.starts[places].tolist(), p.ends[places].tolist())]
             n, base = np.array([len(x) for x in ids], np.int32), self.table.n
             while base + len(ids) > len(self.first):
                 self.first, self.counts = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
             total = int(n.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + total] = [i for x in ids for i in x]
+            self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
             self.first[base : base + len(ids)] = self.used + np.cumsum(n) - n
             self.counts[base : base + len(ids)] = n
             self.used += total

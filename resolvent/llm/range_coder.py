@@ -3,7 +3,7 @@
 A block of ``BLOCK`` ids is coded from reset models.  For every id three predictors speak:
 
 * order 2 and order 1: the id that last followed the two previous ids (the previous id), with a confidence
-  of 1 to 3 that grows while it is right, in direct-mapped tables;
+  of 1, or 2 where it was right the last time, in direct-mapped tables;
 * order 0: adaptive frequencies of the ids seen so far, renewed whenever their number has doubled.
 
 Their weights are mixed by adaptive counts per state (both confidences, and whether the two predictions
@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 
 BLOCK, GROUP, SLOT_BITS = 1024, 2048, 9
-_EPOCHS = [1 << k for k in range(5, 10)]
+_EPOCHS = [32, 64, 128, 256, 512]
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"RCB1"
 _TOP = np.uint64(1 << 48)
@@ -34,7 +34,7 @@ def _states() -> tuple[np.ndarray, np.ndarray]:
     s = np.arange(32)
     c2, c1, agree = s >> 2 & 3, s & 3, s >> 4
     able = np.stack([c2 > 0, (c1 > 0) & ~((agree == 1) & (c2 > 0))], 1)
-    weight = np.stack([np.array([0, 2, 6, 14])[c2], np.array([0, 1, 3, 8])[c1], np.full(32, 6), np.full(32, 3)], 1)
+    weight = np.stack([np.array([0, 2, 8, 14])[c2], np.array([0, 1, 4, 8])[c1], np.full(32, 6), np.full(32, 3)], 1)
     return weight.astype(np.int32), able
 
 
@@ -50,7 +50,6 @@ class _Model:
         self.slot0 = np.arange(lanes, dtype=np.int64) * slots
         self.state0 = np.arange(lanes, dtype=np.int64) * 128
         self.order1, self.order2 = np.zeros(lanes * slots, np.uint32), np.zeros(lanes * slots, np.uint32)
-        self.prev, self.prev2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.counts = np.tile(_PRIOR, (lanes, 1)).reshape(-1).astype(np.int64)
         self.taken: list[np.ndarray] = []
         self.renew(False)
@@ -73,26 +72,27 @@ class _Model:
         self.begin, self.width = begin.reshape(-1).astype(np.uint32), (end - begin).reshape(-1).astype(np.uint32)
         self.end = [np.ascontiguousarray(end[..., k]).reshape(-1).astype(np.uint32) for k in range(3)]
 
-    def predict(self, a: int) -> np.ndarray:
+    def places(self, p: np.ndarray, q: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+        """Table places of order 1 and order 2 behind the ids p and, before it, q."""
+        s1 = self.slot0[:a] + ((p * np.uint32(0x9E3779B1)) >> self.shift)
+        return s1, self.slot0[:a] + ((p * np.uint32(0x85EBCA6B) + q * np.uint32(0xC2B2AE35)) >> self.shift)
+
+    def predict(self, s1: np.ndarray, s2: np.ndarray, a: int) -> np.ndarray:
         """Set the predictions i2 and i1 of the first a lanes; their states' rows, times four."""
-        p, q = self.prev[:a], self.prev2[:a]
-        self.s1 = self.slot0[:a] + ((p * np.uint32(0x9E3779B1)) >> self.shift)
-        self.s2 = self.slot0[:a] + ((p * np.uint32(0x85EBCA6B) + q * np.uint32(0xC2B2AE35)) >> self.shift)
-        self.v1, self.v2 = self.order1[self.s1], self.order2[self.s2]
+        self.s1, self.s2 = s1, s2
+        self.v1, self.v2 = self.order1[s1], self.order2[s2]
         self.i1, self.i2 = self.v1 & np.uint32(0xFFFF), self.v2 & np.uint32(0xFFFF)
         state = ((self.v2 >> np.uint32(12)) & np.uint32(0x30)) + ((self.v1 >> np.uint32(14)) & np.uint32(0xC)) + ((self.i1 == self.i2) * np.uint32(64))
         return self.state0[:a] + state
 
-    def update(self, a: int, x: np.ndarray, at: np.ndarray | None, hit2: np.ndarray, hit1: np.ndarray) -> None:
+    def update(self, x: np.ndarray, at: np.ndarray | None, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """Take in the coded ids; ``at`` are their counters, or None where nothing is renewed any more."""
         step = np.uint32(0x10000)
-        one, cap = x | step, x | np.uint32(0x30000)
-        self.order1[self.s1] = np.where(hit1, np.minimum(self.v1 + step, cap), one)
-        self.order2[self.s2] = np.where(hit2, np.minimum(self.v2 + step, cap), one)
+        one = x | step
+        self.order1[self.s1] = one + hit1 * step
+        self.order2[self.s2] = one + hit2 * step
         if at is not None:
             self.taken.append(at)
-        self.prev2[:a] = self.prev[:a]
-        self.prev[:a] = x
 
 
 def _group_sums(sorted_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,6 +149,11 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
     full, seen = np.uint64(TOTAL), np.uint32(0x10000)
     for t0, t1 in zip(bounds, bounds[1:]):
         plain = np.ascontiguousarray(x[:, t0:t1].T).astype(np.uint32)
+        before = np.zeros((t1 - t0 + 2, lanes), np.uint32)
+        before[2:] = plain
+        if t0:
+            before[:2] = x[:, t0 - 2 : t0].T
+        at1, at2 = model.places(before[1:-1], before[:-2], lanes)
         if t0:
             model.renew(True)
             width, begin = (np.ascontiguousarray(y.T) for y in _order0_of(x, t0, t1))
@@ -162,7 +167,7 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
             if not a:
                 break
             ids = plain[t, :a]
-            row = model.predict(a)
+            row = model.predict(at1[t, :a], at2[t, :a], a)
             hit2 = (model.i2 == ids) & (model.v2 >= seen)
             hit1 = (model.i1 == ids) & (model.v1 >= seen)
             at = row + np.where(hit2, 0, np.where(hit1, 1, kinds[t, :a]))
@@ -184,7 +189,7 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
                 emit(short)
                 rng[short] <<= _16
                 short = short[rng[short] < _TOP]
-            model.update(a, ids, at if t1 < steps else None, hit2, hit1)
+            model.update(ids, at if t1 < steps else None, hit2, hit1)
     for _ in range(4):
         emit(np.arange(lanes))
     return [out[i:j] for i, j in zip(first, pos)]
@@ -202,6 +207,7 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
     rng = np.full(lanes, (1 << 64) - 1, np.uint64)
     bounds = [0, *[e for e in _EPOCHS if e < steps], steps]
     full, seen, most = np.uint64(TOTAL), np.uint32(0x10000), np.uint64((1 << 32) - 1)
+    p, q = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     for t0, t1 in zip(bounds, bounds[1:]):
         if t0:
             model.renew(True)
@@ -218,7 +224,7 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             a = lanes if t < last else lanes - 1
             if not a:
                 break
-            row = model.predict(a)
+            row = model.predict(*model.places(p[:a], q[:a], a), a)
             r = rng[:a] >> _32
             target = np.minimum(value[:a] // r, most)
             high = (target >> _16).astype(np.uint32)
@@ -250,7 +256,8 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
                 rng[short] <<= _16
                 short = short[rng[short] < _TOP]
             x[t, :a] = ids
-            model.update(a, ids, at if t1 < steps else None, (model.i2 == ids) & (model.v2 >= seen), (model.i1 == ids) & (model.v1 >= seen))
+            model.update(ids, at if t1 < steps else None, kind == 0, (model.i1 == ids) & (model.v1 >= seen))
+            p, q = ids, p
     return x.T
 
 
