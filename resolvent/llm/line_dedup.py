@@ -1,6 +1,8 @@
 """Line deduplication by winnowing over line hashes.
 
-A text's lines are its parts between line ends; lines without words do not count.  Windows are content-defined: from each line the shortest run
+A text's lines are its parts between line ends, cut again behind sentence ends, and parts of more than ``LONG`` words
+once more at words that a hash of their neighbourhood picks, so that a passage is found wherever it begins or ends
+inside a line; parts without words do not count.  Windows are content-defined: from each line the shortest run
 of lines with ``min_words`` words, forwards and backwards.  A run of that many words that occurs twice is
 exactly covered by windows that occur twice, so deleting every later window deletes every later run, up to
 its ends (a maximal match, extended both ways).
@@ -18,26 +20,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import hash_spans, mix, padded, pieces, runs, utf8
-from ._spark import durable, tune
+from ._arrow import hash_spans, mix, padded, pieces, runs, spread, utf8
+from ._spark import durable, release, tune
 
 #: Words of the shortest run that is deleted when it repeats.
 MIN_WORDS = 25
+#: Parts of more words than LONG are cut again, in front of one word in CUT (a power of two).
+LONG, CUT = 16, 8
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(0x09, 0x0E), 0x20]] = True
+_END = np.zeros(256, bool)
+_END[[0x21, 0x2E, 0x3F]] = True
 
 
 def split_lines(buf: np.ndarray, off: np.ndarray):
-    """(starts, ends, words, first) of the lines with words; ``first`` says at which line each document begins."""
+    """(starts, ends, words, first) of the parts with words; ``first`` says at which part each document begins."""
     kind = ((buf != 0x0A) & (buf != 0x0D)).astype(np.uint8)
-    starts, ends, _, _ = runs(kind, off)
+    if len(buf) > 1:
+        kind[1:][(buf[1:] == 0x20) & _END[buf[:-1]]] = 0
     word = ~_SPACE[buf]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     begin[off[:-1][off[:-1] < len(buf)]] = word[off[:-1][off[:-1] < len(buf)]]
     count = np.concatenate([[0], np.cumsum(begin)])
+    starts, ends, _, _ = runs(kind, off)
     words = count[ends] - count[starts]
+    # Cut long parts in front of the words that the hash of two neighbours picks.
+    long = words > LONG
+    at = spread(count[starts[long]] + 1, words[long] - 1)
+    if at.size:
+        w_starts, w_ends, _, _ = runs(word.astype(np.uint8), off)
+        h = hash_spans(padded(buf), w_starts, w_ends)
+        at = at[(mix(h[at - 1] * np.uint64(3) ^ h[at]) & np.uint64(CUT - 1)) == 0]
+        kind[w_starts[at] - 1] = 0
+        starts, ends, _, _ = runs(kind, off)
+        words = count[ends] - count[starts]
     keep = words > 0
     starts, ends, words = starts[keep], ends[keep], words[keep]
     return starts, ends, words, np.searchsorted(starts, off)
@@ -59,8 +77,9 @@ def windows(h: np.ndarray, words: np.ndarray, first: np.ndarray, least: int):
     ok = end <= first[1:][doc]
     begin = np.searchsorted(total, total[1:] - least, side="right") - 1
     ok2 = begin >= first[:-1][doc]
-    pairs = np.unique(np.concatenate([line[ok] * (n + 1) + end[ok], begin[ok2] * (n + 1) + line[ok2] + 1]))
-    s, e = pairs // (n + 1), pairs % (n + 1)
+    back, behind = begin[ok2], line[ok2] + 1
+    new = ~ok[back] | (end[back] != behind)  # not a forward window already
+    s, e = np.concatenate([line[ok], back[new]]), np.concatenate([end[ok], behind[new]])
     size = e - s
     fp = np.zeros(len(s), np.uint64)
     level, k = h, 0
@@ -81,6 +100,10 @@ def windows(h: np.ndarray, words: np.ndarray, first: np.ndarray, least: int):
     return doc[s] if len(s) else s, s, e, fp, hashes[0], hashes[1]
 
 
+def _pair(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return mix(x ^ mix(doc.astype(np.uint64) + np.uint64(1)))
+
+
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values))
 
@@ -123,18 +146,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             h, words, first = _read_lines(b, 1, 2)
             doc, _, _, fp, _, _ = windows(h, words, first, min_words)
             rows = np.asarray(b.column(0))
-            order = np.lexsort((fp, doc))
-            doc, fp = doc[order], fp[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[doc[new]]), pa.array(fp[new].view(np.int64))], ["row", "fp"])
+            chosen_by, new = np.unique(_pair(doc, fp), return_index=True)
+            doc, fp = doc[new], fp[new]
+            held, times = np.unique(_pair(np.repeat(np.arange(len(first) - 1), np.diff(first)), h), return_counts=True)
+            again = times[np.searchsorted(held, chosen_by)] > 1 if len(doc) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[doc]), pa.array(fp.view(np.int64)), pa.array(again.astype(np.int64) + 1)], ["row", "fp", "n"])
 
-    chosen = named.select("row", "h", "words").mapInArrow(select, "row long, fp long")
+    chosen = named.select("row", "h", "words").mapInArrow(select, "row long, fp long, n long")
     # A fingerprint that one document alone selects matters only if that document repeats it itself.
-    often = durable(chosen.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))  # cut, so that AQE can split the join
-    within = named.where(F.size(F.array_distinct("h")) < F.size("h")).select("row")
-    wanted = chosen.join(often, "fp").groupBy("row").agg(F.collect_set("fp").alias("fps"))
-    wanted = wanted.join(within.withColumn("own", F.lit(True)), "row", "full_outer").select("row", F.coalesce("fps", F.array().cast("array<long>")).alias("fps"), F.coalesce("own", F.lit(False)).alias("own"))
+    often = durable(chosen.groupBy("fp").agg(F.sum("n").alias("n")).where("n > 1").select("fp"))  # cut, so that AQE can split the join
+    wanted = chosen.select("row", "fp").join(often, "fp").groupBy("row").agg(F.collect_set("fp").alias("fps"))
 
     def compare(batches):
         for b in batches:
@@ -143,34 +164,51 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             allow_first = np.asarray(b.column(4).offsets).astype(np.int64)
             allow = np.asarray(b.column(4).values).astype(np.int64).view(np.uint64)[allow_first[0] : allow_first[-1]]
             owner = np.repeat(np.arange(b.num_rows), np.diff(allow_first))
-            own = np.asarray(b.column(5).to_numpy(zero_copy_only=False)).astype(bool)
-            pair = lambda d, x: mix(x ^ mix(d.astype(np.uint64) + np.uint64(1)))
-            keep = np.flatnonzero(np.isin(pair(doc, fp), pair(owner, allow)) | own[doc])
+            keep = np.flatnonzero(np.isin(_pair(doc, fp), _pair(owner, allow)))
             doc, s, e = doc[keep], s[keep], e[keep]
             rows, ids = np.asarray(b.column(0)), b.column(1)
-            cols = [pa.array(rows[doc]), ids.take(pa.array(doc)), pa.array((s - first[doc]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(ha[keep].view(np.int64)), pa.array(hb[keep].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "start", "len", "ha", "hb"])
-
-    candidates = durable(named.join(wanted, "row").select("row", "doc_id", "h", "words", "fps", "own").mapInArrow(compare, "row long, doc_id long, start int, len int, ha long, hb long"))
-    place = F.struct(F.col("doc_id"), F.col("row"), F.col("start"))
+            cols = [pa.array(rows[doc]), ids.take(pa.array(doc)), pa.array((s - first[doc] << 32) | (e - s)), pa.array(ha[keep].view(np.int64)), pa.array(hb[keep].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "at", "ha", "hb"])
+
+    # ``at`` is the window's first line, times 2^32, and its number of lines.
+    candidates = durable(named.join(wanted, "row").select("row", "doc_id", "h", "words", "fps").mapInArrow(compare, "row long, doc_id long, at long, ha long, hb long"))
+    del often, wanted, chosen
+    release(docs.sparkSession)
+    place = F.struct(F.col("doc_id"), F.col("row"), F.col("at"))
     first = durable(candidates.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("ha", "hb", "first"))
-    later = candidates.join(first, ["ha", "hb"]).where((F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start")))
-    lines = later.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))))).alias("lines"))
+    later = candidates.join(first, ["ha", "hb"]).where((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
+    release(docs.sparkSession)
+
+    def span(x):
+        start = F.shiftright(x, 32).cast("int")
+        return F.sequence(start, start + x.bitwiseAND(0xFFFFFFFF).cast("int") - 1)
+
+    lines = later.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_list("at"), span)))).alias("lines"))
     # Rows that repeat doc_id and text are one document: its first row's lines hold.
     own_row = named.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row"))
-    return own_row.join(lines, "row").drop("row")
+    found = durable(own_row.join(lines, "row").drop("row"))
+    del named, candidates, first, later, lines, own_row
+    release(docs.sparkSession)
+    return found
 
 
 def _without(text: bytes, starts: list[int], ends: list[int], drop: list[int]) -> bytes:
-    """The text without some of its lines and their line ends."""
-    out, at = [], 0
+    """The text without some of its lines, each with the space or the line end behind it.
+
+    The line end stays where something of its line does.
+    """
+    out, at, gone = [], 0, set(drop)
     for k in drop:
         out.append(text[at : starts[k]])
         at = ends[k]
-        if text[at : at + 2] == b"\r\n":
-            at += 2
-        elif at < len(text):
-            at += 1
+        if text[at : at + 1] not in (b"\r", b"\n"):
+            at += at < len(text)
+            continue
+        head = k
+        while head and text.find(b"\n", ends[head - 1], starts[head]) < 0 and text.find(b"\r", ends[head - 1], starts[head]) < 0:
+            head -= 1
+        if all(i in gone for i in range(head, k)):
+            at += 2 if text[at : at + 2] == b"\r\n" else 1
     out.append(text[at:])
     return b"".join(out)
 

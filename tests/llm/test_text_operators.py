@@ -161,3 +161,18 @@ def test_line_dedup(spark, edge_docs, no_docs):
     assert line_dedup.report(no_docs).collect() == []
     kept = line_dedup.dedup_lines(edge_docs)
     assert kept.columns == [*edge_docs.columns, "n_lines", "n_deleted", "words_deleted"] and kept.count() == edge_docs.count()
+
+
+def test_line_dedup_finds_passages_inside_lines(spark):
+    """A passage without line ends of its own goes wherever it begins and ends, and so does what a changed word leaves."""
+    rng = random.Random(4)
+    text = lambda n: [f"t{rng.randrange(10**6)}" for _ in range(n)]
+    sentence = " ".join(text(30)) + "."
+    long, changed = text(120), text(120)
+    docs = [(1, " ".join(text(9)) + ". " + sentence + " Then more."), (2, "Other words. " + sentence + "\nLast."), (3, " ".join(text(7) + long + text(5))), (4, " ".join(text(11) + long + text(3))), (5, " ".join(changed)), (6, " ".join([*changed[:60], "x", *changed[61:]])),
+            (7, "Mine. " + sentence + " " + sentence)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 25).collect()}
+    assert all(got[i].text == dict(docs)[i] for i in (1, 3, 5))
+    assert got[2].text == "Other words. \nLast." and got[2].words_deleted == 30 and got[7].text.strip() == "Mine."
+    assert got[4].words_deleted > 80 and got[6].words_deleted > 80 and "x" in got[6].text.split()
+    assert line_dedup._without(b"a.\nb. c.\r\nd.", [0, 3, 6, 10], [2, 5, 8, 12], [0, 2, 3]) == b"b. \r\n"
