@@ -184,7 +184,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, split: int
 def representatives(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns kept, that stay when one document of each component does: the one with the
     smallest doc_id (nulls last), of rows that repeat it the one with the smallest text hash, and one of equal rows."""
-    placed = durable(classes(docs, size, radius).select("doc_id", "text_hash", "root"))
+    return one_of_each(docs, durable(classes(docs, size, radius).select("doc_id", "text_hash", "root")))
+
+
+def one_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when one of each root of ``placed(doc_id, text_hash, root)`` does."""
     keep = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
     own, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
     kept = docs.join(keep, own.eqNullSafe(keep["_id"]) & (text_hash == keep["_hash"]), "left_semi")

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from resolvent.llm import _arrow, components, decontam, line_dedup, simhash
+import corpus_pipeline
+from resolvent.llm import _arrow, components, decontam, line_dedup, near_copies, simhash
 
 from .conftest import PHRASE
 
@@ -176,3 +177,40 @@ def test_line_dedup_finds_passages_inside_lines(spark):
     assert got[2].text == "Other words. \nLast." and got[2].words_deleted == 30 and got[7].text.strip() == "Mine."
     assert got[4].words_deleted > 80 and got[6].words_deleted > 80 and "x" in got[6].text.split()
     assert line_dedup._without(b"a.\nb. c.\r\nd.", [0, 3, 6, 10], [2, 5, 8, 12], [0, 2, 3]) == b"b. \r\n"
+
+
+def test_near_copies_equal_brute_force(spark, edge_docs, no_docs):
+    """The pipeline's stage links every pair with a Jaccard similarity of 0.8 over 5-word shingles, and no other."""
+    rng = random.Random(8)
+    docs = [(r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").where("doc_id not in (11, 12)").collect()]
+    for family in range(30):
+        base = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        for k in range(4):
+            text = list(base)
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = f"z{rng.random()}"
+            docs.append((100 + 10 * family + k, " ".join(text)))
+
+    def shingles(text):
+        ws = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets, comp = [shingles(t) for _, t in docs], list(range(len(docs)))
+
+    def find(a):
+        while comp[a] != a:
+            a = comp[a]
+        return a
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                comp[find(i)] = find(j)
+    want = {}
+    for k, (d, _) in enumerate(docs):
+        want.setdefault(find(k), []).append(d)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    kept = sorted(r.doc_id for r in corpus_pipeline.keep_one_of_near_duplicates(spark, frame, "").collect())
+    assert kept == sorted(min(x) for x in want.values())
+    assert simhash.representatives(frame).count() > len(kept)
+    assert near_copies.representatives(no_docs).collect() == []
