@@ -2,7 +2,8 @@
 
 Documents lie in shards of bounded size, one after the other within each input partition.  Corpus statistics
 (number of documents, mean length, document frequency of every term) are counted over all documents first;
-terms are pre-tokens hashed to ``TERM_BITS`` bits, so that the frequencies are one array of a fixed size.  Each
+terms are 64-bit hashes of pre-tokens.  The frequencies of the terms that two documents or more have are broadcast, 12
+bytes a term: they grow with the vocabulary.  A term that is not among them occurs in one document.  Each
 shard then builds an inverted index with BM25 impacts.  A seed document's strongest terms are the query; its
 unused neighbours fill the seed's window greedily by score, and the best one that is too long is cut to fill
 the rest.  What is left when a shard has no unused document becomes sequences whose lengths are powers of two,
@@ -20,39 +21,59 @@ from pyspark.sql import functions as F
 
 from ._arrow import pieces, spread, utf8
 from ._bpe import load
-from ._spark import row_base, tune
+from ._spark import durable, row_base, tune
 
-#: Bits of a term, ids and documents of one shard, terms of a query, BM25's two constants.
-TERM_BITS, SHARD_IDS, SHARD_DOCS, QUERY_TERMS, K1, B = 18, 3_000_000, 8192, 24, 1.2, 0.75
+#: Ids and documents of one shard, terms of a query, BM25's two constants.
+SHARD_IDS, SHARD_DOCS, QUERY_TERMS, K1, B = 3_000_000, 8192, 24, 1.2, 0.75
+#: Terms that a counting task holds before it passes their counts on.
+HELD_TERMS = 1 << 20
 
 
-def _doc_terms(h: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, frequency), sorted, of hashed pre-tokens."""
+def _doc_terms(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, frequency), sorted by document, of hashed pre-tokens."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    key, tf = np.unique((doc << bits) | (h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-    return key >> bits, key & ((1 << bits) - 1), tf
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def corpus_statistics(docs: DataFrame, path: str, bits: int = TERM_BITS) -> tuple[int, float, np.ndarray]:
-    """Documents, their mean number of pre-tokens, and in how many of them each term occurs."""
-    size = 1 << bits
+def corpus_statistics(docs: DataFrame, path: str) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Documents, their mean number of pre-tokens, and the sorted terms that occur in two documents or more with the
+    number of those."""
 
     def run(batches):
-        bpe, total = load(path), np.zeros(size + 2, np.int64)
+        bpe, held, seen = load(path), [], 0
+        n_docs = n_words = 0
+
+        def flush():
+            term, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(term), np.int32)), pa.array(term.view(np.int64)), pa.array(n)], ["kind", "term", "n"])
+
         for b in batches:
             buf, off = utf8(b.column(0))
             for i, j in pieces(off):
                 p = bpe.split(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                total[:size] += np.bincount(_doc_terms(p.hashes(), p.first, bits)[1], minlength=size)
-                total[size] += j - i
-                total[size + 1] += len(p.starts)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # at most 2^bits + 2 rows
-    out = np.zeros(size + 2, np.int64)
-    out[rows["term"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return int(out[size]), float(out[size + 1]) / max(1, int(out[size])), out[:size]
+                held.append(_doc_terms(p.hashes(), p.first)[1])
+                seen += len(held[-1])
+                n_docs, n_words = n_docs + j - i, n_words + len(p.starts)
+                if seen >= HELD_TERMS:
+                    yield flush()
+                    held.clear()
+                    seen = 0
+        if held:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([0, 0]), pa.array([n_docs, n_words])], ["kind", "term", "n"])
+
+    counted = durable(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")).where("kind > 0 or n > 1"))
+    total = {r["kind"]: r["n"] for r in counted.where("kind > 0").collect()}  # two rows
+    rows = counted.where("kind = 0").select("term", F.col("n").cast("int").alias("n")).toArrow()
+    term, df = rows["term"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int32)
+    order = np.argsort(term)
+    n_docs = total.get(1, 0)
+    return n_docs, total.get(2, 0) / max(1, n_docs), term[order], df[order]
 
 
 class Shard:
@@ -152,9 +173,10 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
     are ignored; an empty table gives no rows.
     """
     tune(docs.sparkSession)
-    n_docs, mean, df = corpus_statistics(docs, path)
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
-    held = docs.sparkSession.sparkContext.broadcast(idf)
+    n_docs, mean, common, df = corpus_statistics(docs, path)
+    # The last place is for the terms of one document.
+    idf = np.log1p((n_docs - np.append(df, 1) + 0.5) / (np.append(df, 1) + 0.5)).astype(np.float32)
+    held = docs.sparkSession.sparkContext.broadcast((common, idf))
 
     def run(batches):
         bpe, state = load(path), {"sequence": row_base()}
@@ -171,7 +193,12 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
             doc = np.concatenate([x[3] + k for x, k in zip(parts, bases)])
             term, tf = np.concatenate([x[4] for x in parts]), np.concatenate([x[5] for x in parts])
             begin = np.cumsum(n_ids) - n_ids
-            shard = Shard(doc, term, tf, len(n_ids), lengths_words, held.value, mean, TERM_BITS)
+            own, term = np.unique(term, return_inverse=True)
+            common, idf = held.value
+            at = np.searchsorted(common, own)
+            if len(common):
+                at[common[np.minimum(at, len(common) - 1)] != own] = len(common)
+            shard = Shard(doc, term, tf, len(n_ids), lengths_words, idf[at], mean, 0)
             rows, pay = [], []
             for sequence in pack_shard(n_ids, shard, window):
                 at = 0
@@ -204,7 +231,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
                 begins = np.concatenate([[0], np.cumsum(k)])[p.first]
                 flat = bpe.flat[spread(bpe.first[at], k)]
                 ids = np.insert(flat, begins[1:], np.uint16(end_id))
-                doc, term, tf = _doc_terms(h, p.first, TERM_BITS)
+                doc, term, tf = _doc_terms(h, p.first)
                 names.append(b.column(0)[i:j])
                 parts.append((np.diff(begins) + 1, ids, np.diff(p.first), doc, term, tf))
                 count[0] += j - i

@@ -151,3 +151,13 @@ def test_media_digests(edge_docs, no_docs):
     assert got == sorted(want, key=repr)
     assert matroska.media_digests(no_docs).collect() == []
     assert matroska.packet_table(matroska.to_media(edge_docs.where("doc_id = 5"))).count() == 2
+
+
+def test_packing_terms_are_exact(spark, path):
+    """Every word has its own document frequency, however many words there are, and none matches another word."""
+    words = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(300_000)]
+    texts = [(i, " ".join(words[i::10])) for i in range(10)] * 2 + [(99, "lone")]
+    n_docs, mean, term, df = packing.corpus_statistics(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), path)
+    assert (n_docs, mean) == (21, 600_001 / 21) and len(term) == 300_000 and (df == 2).all() and (term[1:] > term[:-1]).all()
+    doc, at, tf = packing._doc_terms(np.array([5 << 40, (5 << 40) + 1, 5 << 40, 7], np.uint64), np.array([0, 3, 4]))
+    assert list(zip(doc, at, tf)) == [(0, 5 << 40, 2), (0, (5 << 40) + 1, 1), (1, 7, 1)]
