@@ -2,7 +2,7 @@
 
 The rules' verdicts label the URLs they fit.  Variable-order Markov models (orders 0 to ``ORDER``, each order
 smoothed by the one below) of accepted and of rejected URLs are counted over every labelled URL outside the
-calibration fold, in hashed tables of a fixed size.  A URL's score is the difference of its two mean
+calibration fold, under 64-bit keys in a table of all distinct ones, which is broadcast: 16 bytes a key.  A URL's score is the difference of its two mean
 log-likelihoods per byte, calibrated to a probability by a logistic fit on the fold that the models have not seen.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ._arrow import mix, pieces, spread, utf8
 from ._spark import durable, row_base, tune
 
-#: Longest context in bytes, log2 of the slots of the count tables (4 bytes a slot and class), weight of the order below.
-ORDER, SLOT_BITS, BACKOFF = 5, 20, 2.0
+#: Longest context in bytes, weight of the order below.
+ORDER, BACKOFF = 5, 2.0
 #: One URL in so many calibrates the scores; bins of the calibration histogram and the range they cover.
 FOLD, BINS, REACH = 5, 2048, 8.0
 
@@ -59,56 +59,63 @@ def matched_rules(urls: DataFrame, rules: list[Rule]) -> DataFrame:
     return fits.groupBy("row").agg(best.alias("best")).select("row", "best.rule", "best.verdict")
 
 
-def _slots(buf: np.ndarray, off: np.ndarray, order: int, bits: int):
-    """For each byte of each URL and each order: slots of its context and of its context with the byte."""
+def _keys(buf: np.ndarray, off: np.ndarray, order: int):
+    """For each byte of each URL and each order: 64-bit keys of its context and of its context with the byte."""
     lens = np.diff(off)
     data = np.zeros(int(lens.sum()) + len(lens) * order, np.uint64)
     begins = np.cumsum(lens + order) - lens
     at = spread(begins, lens)
     data[at] = buf.astype(np.uint64) + np.uint64(1)
-    base, shift = 0x9E3779B97F4A7C15, np.uint64(64 - bits)
+    base = 0x9E3779B97F4A7C15
     context, out = np.zeros(len(at), np.uint64), []
     for k in range(order + 1):
         if k:
             context += data[at - k] * np.uint64(pow(base, k, 1 << 64))
         salt = np.uint64(2 * k + 1)
-        out.append(((mix(context + salt) >> shift).astype(np.int64), (mix(context + data[at] * np.uint64(0xD6E8FEB86659FD93) + salt + np.uint64(1 << 32)) >> shift).astype(np.int64)))
+        out.append((mix(context + salt), mix(context + data[at] * np.uint64(0xD6E8FEB86659FD93) + salt + np.uint64(1 << 32))))
     return out, np.concatenate([[0], np.cumsum(lens)])
 
 
-def count_models(labelled: DataFrame, order: int, bits: int) -> np.ndarray:
-    """``labelled(url, accepted)`` -> counts [2, 2^bits] of rejected and accepted URLs."""
+def count_models(labelled: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """``labelled(url, accepted)`` -> sorted distinct keys, and their counts [2, keys] in rejected and accepted URLs."""
 
     def run(batches):
-        total = np.zeros((2, 1 << bits), np.int64)
         for b in batches:
             buf, off = utf8(b.column(0))
             kind = np.asarray(b.column(1)).astype(np.int64)
             for i, j in pieces(off):
-                slots, first = _slots(buf[off[i] : off[j]], off[i : j + 1] - off[i], order, bits)
+                keys, first = _keys(buf[off[i] : off[j]], off[i : j + 1] - off[i], order)
                 own = np.repeat(kind[i:j], np.diff(first)).astype(bool)
-                for context, full in slots:
-                    for c in (0, 1):
-                        for x in (context, full):
-                            np.add.at(total[c], x[own == bool(c)], 1)
-        for c in (0, 1):
-            at = np.flatnonzero(total[c])
-            yield pa.RecordBatch.from_arrays([pa.array(at + (c << bits)), pa.array(total[c][at])], ["slot", "n"])
+                for c in (0, 1):
+                    key, n = np.unique(np.concatenate([x[own == bool(c)] for pair in keys for x in pair]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n if c == 0 else n * 0), pa.array(n if c else n * 0)], ["key", "rejected", "accepted"])
 
-    rows = labelled.select("url", F.col("accepted").cast("int").alias("accepted")).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most 2^(bits + 1) rows
-    out = np.zeros(2 << bits, np.int64)
-    out[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out.reshape(2, -1)
+    counted = labelled.select("url", F.col("accepted").cast("int").alias("accepted")).mapInArrow(run, "key long, rejected long, accepted long")
+    rows = counted.groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")).toArrow()  # one row a distinct key
+    key = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
+    order_of = np.argsort(key)
+    return key[order_of], np.stack([rows[c].to_numpy().astype(np.int64)[order_of] for c in ("rejected", "accepted")])
 
 
-def log_ratio(buf: np.ndarray, off: np.ndarray, counts: np.ndarray, order: int, bits: int, backoff: float) -> np.ndarray:
+def _counts_of(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Counts [2, keys] of each key, 0 where it was never counted."""
+    held, counts = table
+    if not len(held):
+        return np.zeros((2, len(keys)), counts.dtype)
+    own, back = np.unique(keys, return_inverse=True)
+    at = np.minimum(np.searchsorted(held, own), len(held) - 1)
+    return (counts[:, at] * (held[at] == own))[:, back]
+
+
+def log_ratio(buf: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndarray], order: int, backoff: float) -> np.ndarray:
     """Mean log-likelihood of each URL under the accepted model less that under the rejected one; 0 for an empty URL."""
-    slots, first = _slots(buf, off, order, bits)
+    keys, first = _keys(buf, off, order)
+    seen = [(_counts_of(context, table), _counts_of(full, table)) for context, full in keys]
     score = np.zeros(int(first[-1]))
     for c, sign in ((1, 1.0), (0, -1.0)):
         p = np.full(len(score), 1 / 256)
-        for context, full in slots:
-            p = (counts[c][full] + backoff * p) / (np.maximum(counts[c][context], counts[c][full]) + backoff)
+        for context, full in seen:
+            p = (full[c] + backoff * p) / (np.maximum(context[c], full[c]) + backoff)
         score += sign * np.log(p)
     total = np.concatenate([[0.0], np.cumsum(score)])
     n = np.diff(first)
@@ -131,7 +138,7 @@ def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return (max(float(a), 1e-6), float(b))
 
 
-def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = ORDER, bits: int = SLOT_BITS, backoff: float = BACKOFF) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """``pages(page_id, url, ...)`` -> ``(page_id, host, path, rule, verdict, score)``, one row per input row.
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest wins.  Where no
@@ -153,13 +160,13 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = ORDER, bits:
     base = durable(named.select("row", "page_id", "url", host.alias("host"), path.alias("path")))
     ruled = durable(base.join(matched_rules(base.select("row", "host", "path"), rules), "row", "left"))
     fold = F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(FOLD)) == 0
-    counts = count_models(ruled.where(F.col("rule").isNotNull() & ~fold).select("url", (F.col("verdict") == "allow").alias("accepted")), order, bits)
-    held = spark.sparkContext.broadcast(counts.astype(np.float32))
+    keys, counts = count_models(ruled.where(F.col("rule").isNotNull() & ~fold).select("url", (F.col("verdict") == "allow").alias("accepted")), order)
+    held = spark.sparkContext.broadcast((keys, counts.astype(np.float32)))
 
     def scores(batches):
         for b in batches:
             buf, off = utf8(b.column(b.schema.get_field_index("url")))
-            z = [log_ratio(buf[off[i] : off[j]], off[i : j + 1] - off[i], held.value, order, bits, backoff) for i, j in pieces(off)]
+            z = [log_ratio(buf[off[i] : off[j]], off[i : j + 1] - off[i], held.value, order, backoff) for i, j in pieces(off)]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(np.concatenate([*z, np.zeros(0)]))], ["page_id", "host", "path", "rule", "verdict", "fold", "z"])
 
     scored = durable(ruled.select("page_id", "url", "host", "path", "rule", "verdict", fold.alias("fold")).mapInArrow(scores, "page_id long, host string, path string, rule string, verdict string, fold boolean, z double"))

@@ -95,3 +95,17 @@ def test_url_model_tells_its_classes_apart(spark):
     rows = [(i, f"http://good{i % 7}.example.net/en/{i}") for i in range(300)] + [(1000 + i, f"http://bad-pills{i % 7}.net/x{i}") for i in range(300)] + [(5000, "http://bad-pills3.biz/x7"), (5001, "http://good3.example.biz/en/4")]
     got = {r.page_id: r.verdict for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), queries.RULES).where("page_id >= 5000").collect()}
     assert got == {5000: "block", 5001: "allow"}
+
+
+def test_url_counts_are_exact(spark):
+    """Every n-gram has its own count, however many there are: 2 million keys, more than the former tables had slots."""
+    rng = np.random.default_rng(3)
+    urls = ["".join(map(chr, rng.integers(33, 127, 80))) for _ in range(4000)]
+    key, counts = url_filter.count_models(spark.createDataFrame([(u, k % 2 == 0) for k, u in enumerate(urls)], "url string, accepted boolean"), 5)
+    want = set()
+    for u in urls:
+        for k in range(6):
+            padded = "\0" * 5 + u
+            for i in range(5, len(padded)):
+                want |= {(k, padded[i - k : i]), (k, padded[i - k : i + 1], 1)}
+    assert len(key) == len(want) > 1 << 20 and counts.sum() == 4000 * 80 * 12
