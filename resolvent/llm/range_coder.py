@@ -1,16 +1,21 @@
 """Adaptive context-mixing range coder for 16-bit token ids, over many independent blocks in lockstep.
 
-A block of ``BLOCK`` ids is coded from reset models.  For every id three predictors speak:
-
-* order 2 and order 1: the id that last followed the two previous ids (the previous id), with a confidence
-  of 1, or 2 where it was right the last time, in direct-mapped tables;
-* order 0: adaptive frequencies of the ids seen so far, renewed whenever their number has doubled.
-
-Their weights are mixed by adaptive counts per state (both confidences, and whether the two predictions
-agree): an outer interval says which predictor has the id, an inner one codes it by order 0 or, where none
-has it, plainly.  The coder is a 64-bit range coder that emits 16-bit words and carries into words already
-written.  Blocks share nothing, so numpy codes all blocks of a group step by step together, and any block
-can be decoded and verified alone: its header has its number of ids, its words and the CRC-32 of its ids.
+A block of ``BLOCK`` ids is coded from reset models.  Every id is coded under a linear mixture of three adaptive
+predictions, P(x) = w2 [x = p2] + w1 [x = p1] + w0 P0(x):
+
+* order 2 and order 1 predict the id that last followed the two previous ids (the previous id), p2 and p1, from
+  direct-mapped tables with three levels of confidence;
+* order 0 has the frequencies of the block's ids so far, and a fixed falling prior over all 65,536 ids for those it has
+  not, weighted by the share of new ids since the last renewal.  Frequencies are renewed at the steps of ``RENEW``.
+
+The weights are adaptive counts per state (both confidences, and whether the two predictions agree).  Order 0 lays
+ids out in order of the renewal that found them, then of the id, and new ones by the prior behind; an id's parts of the
+mixture are one interval there, whose width is its mixed probability in units of 2^-32.  The coder is a 64-bit range
+coder that emits 16-bit words and carries into words already written.
+
+Blocks share nothing: numpy codes all blocks of a group together, and any block can be decoded and verified alone;
+its header has its number of ids, its words and the CRC-32 of its ids.  The encoder knows all ids, so it derives what
+the tables hold at every step by sorting, and only the range arithmetic runs step by step.
 """
 
 from __future__ import annotations
@@ -20,120 +25,173 @@ import zlib
 
 import numpy as np
 
-BLOCK, GROUP, SLOT_BITS = 1024, 2048, 9
-_EPOCHS = [32, 64, 128, 256, 512]
+#: Ids of a block (at most 2,048), blocks coded together, blocks modelled together, log2 of the slots of a table.
+BLOCK, GROUP, CHUNK, SLOT_BITS = 2048, 2048, 128, 11
+#: Ids after which a block's frequencies and weights are renewed.
+RENEW = [32, 96, 256, 512, 1024, 1536]
 _HEAD = struct.Struct("<4sIII")
-_MAGIC = b"RCB1"
+_MAGIC = b"RCB2"
 _TOP = np.uint64(1 << 48)
-_16, _32, _48 = np.uint64(16), np.uint64(32), np.uint64(48)
-TOTAL = 1 << 16
+_16, _24, _32, _48 = np.uint64(16), np.uint64(24), np.uint64(32), np.uint64(48)
+#: Order 0 has PARTS parts of 2^12 units; the prior has 2^18 units, that is 64 parts, times the share of new ids.
+PARTS, PRIOR, SHARES, WEIGHTS = 4096, 1 << 18, 64, 256
+MASS = PARTS << 12
+#: Marks an id that order 0 has not.
+_NEW = 0xFFFF
+
+
+def _prior() -> np.ndarray:
+    """Exclusive cumulative units of the prior: one for each id, the rest falling as 1 / (id + 512)."""
+    share = 1.0 / (np.arange(1 << 16) + 512.0)
+    units = 1 + np.floor(share / share.sum() * (PRIOR - (1 << 16))).astype(np.int64)
+    units[0] += PRIOR - units.sum()
+    return np.concatenate([[0], np.cumsum(units)])
 
 
-def _states() -> tuple[np.ndarray, np.ndarray]:
-    """Initial weights [32, 4] of order 2, order 1, order 0 and none, and which of the first two can occur."""
+_CUM = _prior()
+_UNITS = np.diff(_CUM)
+#: The id at each unit of the prior.
+_FIND = np.repeat(np.arange(1 << 16, dtype=np.uint16), _UNITS)
+_HASH = (np.uint32(0x9E3779B1), np.uint32(0xC2B2AE35))
+
+
+def _states() -> np.ndarray:
+    """Initial counts [32, 3] of order 2, order 1 and order 0; 0 for what cannot occur."""
     s = np.arange(32)
     c2, c1, agree = s >> 2 & 3, s & 3, s >> 4
-    able = np.stack([c2 > 0, (c1 > 0) & ~((agree == 1) & (c2 > 0))], 1)
-    weight = np.stack([np.array([0, 2, 8, 14])[c2], np.array([0, 1, 4, 8])[c1], np.full(32, 6), np.full(32, 3)], 1)
-    return weight.astype(np.int32), able
-
-
-_PRIOR, _ABLE = _states()
-
-
-class _Model:
-    """Context tables and mixing counts of a group of blocks."""
-
-    def __init__(self, lanes: int):
-        slots = 1 << SLOT_BITS
-        self.shift = np.uint32(32 - SLOT_BITS)
-        self.slot0 = np.arange(lanes, dtype=np.int64) * slots
-        self.state0 = np.arange(lanes, dtype=np.int64) * 128
-        self.order1, self.order2 = np.zeros(lanes * slots, np.uint32), np.zeros(lanes * slots, np.uint32)
-        self.counts = np.tile(_PRIOR, (lanes, 1)).reshape(-1).astype(np.int64)
-        self.taken: list[np.ndarray] = []
-        self.renew(False)
-
-    def renew(self, order0: bool) -> None:
-        """Begin and width of the four intervals for each lane and state, from the counts so far."""
-        if self.taken:
-            self.counts += 2 * np.bincount(np.concatenate(self.taken), minlength=len(self.counts))
-            self.taken.clear()
-        n = self.counts.reshape(-1, 32, 4).astype(np.float64)
-        able = np.ones((32, 4))
-        able[:, :2] = _ABLE
-        able[:, 2] = order0
-        n = n * able
-        f = (able + np.floor(n / n.sum(2, keepdims=True) * (TOTAL - 4))).astype(np.uint64)
-        end = np.cumsum(f, axis=2)
-        end[..., 3] = TOTAL
-        begin = end - f
-        begin[..., 3] = end[..., 2]
-        self.begin, self.width = begin.reshape(-1).astype(np.uint32), (end - begin).reshape(-1).astype(np.uint32)
-        self.end = [np.ascontiguousarray(end[..., k]).reshape(-1).astype(np.uint32) for k in range(3)]
-
-    def places(self, p: np.ndarray, q: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
-        """Table places of order 1 and order 2 behind the ids p and, before it, q."""
-        s1 = self.slot0[:a] + ((p * np.uint32(0x9E3779B1)) >> self.shift)
-        return s1, self.slot0[:a] + ((p * np.uint32(0x85EBCA6B) + q * np.uint32(0xC2B2AE35)) >> self.shift)
-
-    def predict(self, s1: np.ndarray, s2: np.ndarray, a: int) -> np.ndarray:
-        """Set the predictions i2 and i1 of the first a lanes; their states' rows, times four."""
-        self.s1, self.s2 = s1, s2
-        self.v1, self.v2 = self.order1[s1], self.order2[s2]
-        self.i1, self.i2 = self.v1 & np.uint32(0xFFFF), self.v2 & np.uint32(0xFFFF)
-        state = ((self.v2 >> np.uint32(12)) & np.uint32(0x30)) + ((self.v1 >> np.uint32(14)) & np.uint32(0xC)) + ((self.i1 == self.i2) * np.uint32(64))
-        return self.state0[:a] + state
-
-    def update(self, x: np.ndarray, at: np.ndarray | None, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Take in the coded ids; ``at`` are their counters, or None where nothing is renewed any more."""
-        step = np.uint32(0x10000)
-        one = x | step
-        self.order1[self.s1] = one + hit1 * step
-        self.order2[self.s2] = one + hit2 * step
-        if at is not None:
-            self.taken.append(at)
-
-
-def _group_sums(sorted_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flat starts of the runs of equal values within each sorted row, and the row of each run."""
-    cut = np.ones(sorted_rows.shape, bool)
-    np.not_equal(sorted_rows[:, 1:], sorted_rows[:, :-1], out=cut[:, 1:])
+    one = np.array([0, 1, 4, 8])[c1] * ~((agree == 1) & (c2 > 0))
+    return np.stack([np.array([0, 3, 12, 20])[c2], one, np.full(32, 10)], 1).astype(np.int64)
+
+
+_COUNTS = _states()
+
+
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """Weights of order 2 (bits 0 to 7), order 1 (bits 8 to 15) and order 0 (from bit 16, at least 1) per lane and state."""
+    total = counts.sum(2)
+    w = counts[..., :2] * (WEIGHTS - 1) // total[..., None]
+    return (w[..., 0] | w[..., 1] << 8 | (WEIGHTS - w.sum(2)) << 16).astype(np.uint32).reshape(-1)
+
+
+def _slots(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Table slots of order 1 and order 2 behind the ids p and, before it, q (uint32)."""
+    shift = np.uint32(32 - SLOT_BITS)
+    a = p * _HASH[0]
+    return a >> shift, (a + q * _HASH[1]) >> shift
+
+
+def _entries(x: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """What a table holds at each step: the last position with the same slot and, from bit 12, its confidence; 0 if none."""
+    lanes, steps = x.shape
+    key = np.sort((slot << np.uint32(12)) | np.arange(steps, dtype=np.uint32), axis=1)
+    at = (key & np.uint32(0xFFF)).astype(np.int64)
+    flat = at + (np.arange(lanes) * steps)[:, None]
+    ids = x.reshape(-1)[flat]
+    same = (key[:, 1:] >> np.uint32(12)) == (key[:, :-1] >> np.uint32(12))
+    hit = np.zeros((lanes, steps + 1), bool)  # one column ahead
+    hit[:, 2:] = same & (ids[:, 1:] == ids[:, :-1])
+    confidence = 1 + hit[:, 1:-1] + (hit[:, 1:-1] & hit[:, :-2]).astype(np.uint16)
+    entry = np.zeros((lanes, steps), np.uint16)
+    entry[:, 1:] = np.where(same, (confidence << 12) | at[:, :-1], 0)
+    out = np.empty(lanes * steps, np.uint16)
+    out[flat] = entry
+    return out.reshape(lanes, steps)
+
+
+def _order0(counts: np.ndarray, seen: int, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and width of each entry, in parts, from the counts [lanes, entries] of the ``seen`` ids."""
+    end = np.cumsum(counts, axis=1, dtype=np.int32)
+    end *= (PARTS - SHARES * share).astype(np.int32)[:, None]
+    end //= np.int32(seen)
+    width = end.copy()
+    width[:, 1:] -= end[:, :-1]
+    return end - width, width
+
+
+def _share(new: np.ndarray, steps: int, seen: int) -> np.ndarray:
+    """Share of new ids (of SHARES) where so many of the last ``steps`` ids were; leaves each id seen a part."""
+    return np.clip(new * (SHARES * 7 // 8) // steps + 1, 1, min(SHARES - 8, (PARTS - seen) // SHARES))
+
+
+def _epochs(steps: int) -> list[tuple[int, int]]:
+    bounds = [0, *[e for e in RENEW if e < steps], steps]
+    return list(zip(bounds, bounds[1:]))
+
+
+def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and width [lanes, steps] (uint32) of every id's interval, in units of 2^-32."""
+    lanes, steps = x.shape
+    before = np.zeros((lanes, steps + 2), np.uint32)
+    before[:, 2:] = x
+    slot1, slot2 = _slots(before[:, 1:-1], before[:, :-2])
+    entry1, entry2 = _entries(x, slot1), _entries(x, slot2)
+    # Each distinct id's entry in order 0 and the epoch that it is found in.
+    epochs = _epochs(steps)
+    order = np.argsort(x, axis=1, kind="stable")
+    ids = np.take_along_axis(x, order, 1)
+    cut = np.ones((lanes, steps), bool)
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=cut[:, 1:])
     starts = np.flatnonzero(cut)
-    return starts, starts // sorted_rows.shape[1]
-
-
-def _frequencies(counts: np.ndarray, lane: np.ndarray, lanes: int, seen: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequency (0 for a count of 0) and exclusive cumulative frequency of runs, by lane; at most TOTAL in all."""
-    has = counts > 0
-    distinct = np.bincount(lane, weights=has, minlength=lanes).astype(np.int64)
-    f = np.where(has, 1 + counts * (TOTAL - distinct[lane]) // seen, 0)
-    total = np.cumsum(f)
-    first = np.searchsorted(lane, np.arange(lanes))
-    base = np.concatenate([[0], total])[first]
-    return f, total - f - base[lane]
-
-
-def _order0_of(x: np.ndarray, t0: int, t1: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the ids at steps t0 to t1: order-0 frequency and cumulative frequency, given the ids before t0."""
-    y = x[:, :t1]
-    order = np.argsort(y, axis=1, kind="stable")
-    starts, lane = _group_sums(np.take_along_axis(y, order, 1))
-    early = (order < t0).reshape(-1)
-    f, c = _frequencies(np.add.reduceat(early.astype(np.int64), starts), lane, len(x), t0)
-    size = np.diff(np.append(starts, y.size))
-    late = np.flatnonzero(~early)
-    at = np.repeat(np.arange(len(starts), dtype=np.int32), size)[late]
-    where = (late // t1) * (t1 - t0) + order.reshape(-1)[late] - t0
-    out_f, out_c = np.zeros(len(x) * (t1 - t0), np.uint64), np.zeros(len(x) * (t1 - t0), np.uint64)
-    out_f[where], out_c[where] = f[at], c[at]
-    return out_f.reshape(len(x), -1), out_c.reshape(len(x), -1)
+    lane = starts // steps
+    found = np.searchsorted([e for _, e in epochs], order.reshape(-1)[starts], side="right")
+    by = np.argsort(lane * 16 + found, kind="stable")
+    entry = np.empty(len(starts), np.int64)
+    entry[by] = np.arange(len(starts)) - np.searchsorted(lane, lane[by])
+    sizes = np.bincount(lane * len(epochs) + found, minlength=lanes * len(epochs)).reshape(lanes, -1)
+    most = int(sizes.sum(1).max())
+    place, epoch = np.empty((lanes, steps), np.int64), np.empty((lanes, steps), np.int8)
+    size = np.diff(np.append(starts, lanes * steps))
+    np.put_along_axis(place, order, np.repeat(lane * most + entry, size).reshape(lanes, steps), 1)
+    np.put_along_axis(epoch, order, np.repeat(found.astype(np.int8), size).reshape(lanes, steps), 1)
+    row, lane32 = (np.arange(lanes) * steps)[:, None], (np.arange(lanes) * 32)[:, None]
+    flat, places, epoch_of = x.reshape(-1), place.reshape(-1), epoch.reshape(-1)
+    counts, weigh = np.zeros((lanes, most), np.int32), np.tile(_COUNTS, (lanes, 1, 1))
+    begins, widths = np.empty((lanes, steps), np.uint32), np.empty((lanes, steps), np.uint32)
+    for k, (t0, t1) in enumerate(epochs):
+        weight = _weights(weigh)
+        if k:
+            s0 = epochs[k - 1][0]
+            counts += np.bincount(place[:, s0:t0].reshape(-1), minlength=counts.size).reshape(counts.shape).astype(np.int32)
+            share = _share(sizes[:, k - 1], t0 - s0, t0)
+            begin0, width0 = _order0(counts, t0, share)
+            begin0, width0 = (begin0.reshape(-1) << 12).view(np.uint32), (width0.reshape(-1) << 12).view(np.uint32)
+        else:
+            share, begin0, width0 = np.full(lanes, SHARES), np.zeros(counts.size, np.uint32), np.zeros(counts.size, np.uint32)
+        base = (PARTS - SHARES * share) << 12
+        ids, e1, e2 = x[:, t0:t1], entry1[:, t0:t1], entry2[:, t0:t1]
+        at1, at2 = row + (e1 & 0xFFF), row + (e2 & 0xFFF)
+        id1, id2 = flat[at1], flat[at2]
+        def placed(at, ids):
+            """Begin and place in order 0 of the ids at flat positions."""
+            where = places[at]
+            begin = begin0[where]
+            new = np.flatnonzero(epoch_of[at].reshape(-1) >= k)
+            of = new // at.shape[1]
+            begin.reshape(-1)[new] = base[of] + share[of] * _CUM[ids.reshape(-1)[new]]
+            return begin, where, new
+
+        own, where, new = placed(row + np.arange(t0, t1), ids)
+        width = width0[where]
+        width.reshape(-1)[new] = share[new // (t1 - t0)] * _UNITS[ids.reshape(-1)[new]]
+        state = lane32 + ((e2 >> 12 << 2) | (e1 >> 12)) + 16 * (id1 == id2)
+        w = weight[state]
+        w2, w1, w0 = w << np.uint32(24), (w >> np.uint32(8)) << np.uint32(24), w >> np.uint32(16)
+        hit2, hit1 = id2 == ids, id1 == ids
+        begins[:, t0:t1] = w2 * (placed(at2, id2)[0] < own) + w1 * (placed(at1, id1)[0] < own) + w0 * own
+        widths[:, t0:t1] = w2 * hit2 + w1 * hit1 + w0 * width
+        if t1 < steps:
+            kind = np.where(hit2 & (e2 > 0), 0, np.where(hit1 & (e1 > 0), 1, 2))
+            weigh += 2 * np.bincount((state * 3 + kind).reshape(-1), minlength=weigh.size).reshape(weigh.shape) * (_COUNTS > 0)
+    return begins, widths
 
 
 def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
     """Words of each block; x is [lanes, steps] uint16, and the last lane has only ``last`` ids."""
     lanes, steps = x.shape
-    model = _Model(lanes)
+    begins, widths = np.empty((steps, lanes), np.uint32), np.empty((steps, lanes), np.uint32)
+    for i in range(0, lanes, CHUNK):  # what is at work fits into the processor's cache
+        begin, width = _intervals(x[i : i + CHUNK])
+        begins[:, i : i + CHUNK], widths[:, i : i + CHUNK] = begin.T, width.T
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     room = 2 * steps + 8
     out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
@@ -145,124 +203,167 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
         pos[at] += 1
         low[at] = now << _16
 
-    bounds = [0, *[e for e in _EPOCHS if e < steps], steps]
-    full, seen = np.uint64(TOTAL), np.uint32(0x10000)
-    for t0, t1 in zip(bounds, bounds[1:]):
-        plain = np.ascontiguousarray(x[:, t0:t1].T).astype(np.uint32)
-        before = np.zeros((t1 - t0 + 2, lanes), np.uint32)
-        before[2:] = plain
-        if t0:
-            before[:2] = x[:, t0 - 2 : t0].T
-        at1, at2 = model.places(before[1:-1], before[:-2], lanes)
-        if t0:
-            model.renew(True)
-            width, begin = (np.ascontiguousarray(y.T) for y in _order0_of(x, t0, t1))
-            known = width > 0
-            kinds = np.where(known, np.int64(2), np.int64(3))
-            begin, width = np.where(known, begin, plain), np.maximum(width, np.uint64(1))
-        else:
-            begin, width, kinds = plain.astype(np.uint64), np.ones(plain.shape, np.uint64), np.full(plain.shape, 3)
-        for t in range(t1 - t0):
-            a = lanes if t0 + t < last else lanes - 1
-            if not a:
-                break
-            ids = plain[t, :a]
-            row = model.predict(at1[t, :a], at2[t, :a], a)
-            hit2 = (model.i2 == ids) & (model.v2 >= seen)
-            hit1 = (model.i1 == ids) & (model.v1 >= seen)
-            at = row + np.where(hit2, 0, np.where(hit1, 1, kinds[t, :a]))
-            hit = hit2 | hit1
-            outer = model.width[at].astype(np.uint64)
-            r = rng[:a] >> _32
-            add = r * ((model.begin[at].astype(np.uint64) << _16) + outer * np.where(hit, np.uint64(0), begin[t, :a]))
-            low[:a] += add
-            over = low[:a] < add
-            r *= outer * np.where(hit, full, width[t, :a])
-            rng[:a] = r
-            if over.any():  # a carry goes into words already written
-                p = pos[np.flatnonzero(over)] - 1
-                while p.size:
-                    out[p] += np.uint16(1)
-                    p = p[out[p] == 0] - 1
-            short = np.flatnonzero(r < _TOP)
-            while short.size:
-                emit(short)
-                rng[short] <<= _16
-                short = short[rng[short] < _TOP]
-            model.update(ids, at if t1 < steps else None, hit2, hit1)
+    for t in range(steps):
+        a = lanes if t < last else lanes - 1
+        if not a:
+            break
+        r = rng[:a] >> _32
+        add = r * begins[t, :a]
+        now = low[:a]
+        now += add
+        over = now < add
+        r *= widths[t, :a]
+        rng[:a] = r
+        if over.any():  # a carry goes into words already written
+            p = pos[np.flatnonzero(over)] - 1
+            while p.size:
+                out[p] += np.uint16(1)
+                p = p[out[p] == 0] - 1
+        short = np.flatnonzero(r < _TOP)
+        while short.size:
+            emit(short)
+            small = rng[short] << _16
+            rng[short] = small
+            short = short[small < _TOP]
     for _ in range(4):
         emit(np.arange(lanes))
     return [out[i:j] for i, j in zip(first, pos)]
 
 
+class _Search:
+    """Order 0 of all lanes of a decoder: finds the id at a place of a lane's range."""
+
+    def __init__(self, steps: int, lanes: int):
+        self.lanes = lanes
+        self.counts, self.ids, self.sizes = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.uint16), np.zeros(lanes, np.int64)
+        self.share, self.base = np.full(lanes, SHARES), np.zeros(lanes, np.int64)
+        self.part, self.packed, self.most = np.full(lanes * PARTS, _NEW, np.uint16), np.zeros(lanes, np.uint64), 1
+
+    def renew(self, x: np.ndarray, index: np.ndarray, s0: int, info: np.ndarray) -> None:
+        """Take in the ids x [steps, lanes] from step ``s0``, with their entries where they had one; fills the entries in,
+        and ``info`` with the entry's id, begin and width at every step."""
+        seen, lanes = x.shape
+        new, lane = np.nonzero(index[s0:] == _NEW)
+        new += s0
+        key, back = np.unique(lane << 16 | x[new, lane].astype(np.int64), return_inverse=True)
+        own = key >> 16
+        added = np.bincount(own, minlength=lanes)
+        entry = np.arange(len(key)) - np.searchsorted(own, own) + self.sizes[own]
+        self.ids[own, entry] = key & 0xFFFF
+        index[new, lane] = entry[back]
+        self.sizes += added
+        self.most = most = int(self.sizes.max())
+        self.counts[:, :most] += np.bincount((np.arange(lanes) * most + index[s0:]).reshape(-1), minlength=lanes * most).reshape(lanes, most).astype(np.int32)
+        self.share = _share(added, seen - s0, seen)
+        begin, width = _order0(self.counts[:, :most], seen, self.share)
+        self.base = (PARTS - SHARES * self.share) << 12
+        self.packed = ((self.ids[:, :most].astype(np.uint64) << _48) | (begin.astype(np.uint64) << np.uint64(36)) | (width.astype(np.uint64) << np.uint64(12))).reshape(-1)
+        every = np.empty((lanes, most + 1), np.int32)
+        every[:, :most], every[:, most] = width, SHARES * self.share
+        name = np.arange(most + 1, dtype=np.uint16)
+        name[most] = _NEW
+        self.part = np.repeat(np.broadcast_to(name, every.shape).reshape(-1), every.reshape(-1))
+        at = np.arange(lanes) * most
+        for i in range(0, seen, 64):
+            info[i : i + 64][: seen - i] = self.packed[at + index[i : min(i + 64, seen)]]
+
+    def find(self, lane: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Id (from bit 48), begin (from bit 24) and width of the intervals that hold ``want``, and their entries."""
+        entry = self.part[(lane << 12) + (want >> np.uint32(12))]
+        got = self.packed[lane * self.most + np.where(entry == _NEW, np.uint16(0), entry)]
+        gap = np.flatnonzero(entry == _NEW)
+        if gap.size:
+            share, base = self.share[lane[gap]], self.base[lane[gap]]
+            new = _FIND[(want[gap] - base) // share].astype(np.int64)
+            got[gap] = (new << 48 | (base + share * _CUM[new]) << 24 | share * _UNITS[new]).view(np.uint64)
+        return got, entry
+
+
 def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
     lanes = len(words)
     x = np.zeros((steps, lanes), np.uint16)
-    model = _Model(lanes)
     sizes = np.array([len(w) for w in words])
     flat = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.uint64)
     pos = np.cumsum(sizes) - sizes
     value = (flat[pos] << _48) | (flat[pos + 1] << _32) | (flat[pos + 2] << _16) | flat[pos + 3]
     pos += 4
+    flat = flat.astype(np.uint16)
     rng = np.full(lanes, (1 << 64) - 1, np.uint64)
-    bounds = [0, *[e for e in _EPOCHS if e < steps], steps]
-    full, seen, most = np.uint64(TOTAL), np.uint32(0x10000), np.uint64((1 << 32) - 1)
-    p, q = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-    for t0, t1 in zip(bounds, bounds[1:]):
-        if t0:
-            model.renew(True)
-            s = np.sort(np.ascontiguousarray(x[:t0].T), axis=1, kind="stable")
-            starts, lane = _group_sums(s)
-            f0, c0 = _frequencies(np.diff(np.append(starts, s.size)), lane, lanes, t0)
-            ids0, f0, c0 = s.reshape(-1)[starts].astype(np.uint32), f0.astype(np.uint64), c0.astype(np.uint64)
-            # Last interval that begins at or before each 1/256 of the range, and the one before the next: searches stay short.
-            place = np.bincount(lane * 257 + (c0 >> np.uint64(8)).astype(np.int64) + 1, minlength=lanes * 257 + 1)[: lanes * 257].reshape(lanes, 257)
-            behind = np.cumsum(place, axis=1) + np.searchsorted(lane, np.arange(lanes))[:, None]
-            lowest = np.maximum(behind[:, :256] - 1, behind[:, :1]).reshape(-1)
-            extent = (behind[:, 1:].reshape(-1) - lowest).astype(np.int64)
+    # Rows of what follows: order 2 and order 1.
+    slot0 = (np.arange(2 * lanes, dtype=np.int64) << SLOT_BITS).reshape(2, lanes)
+    table = np.zeros(2 * lanes << SLOT_BITS, np.uint16)
+    info = np.zeros((steps, lanes), np.uint64)  # id, begin and width in order 0 of the id at each step
+    index, search = np.full((steps, lanes), _NEW, np.uint16), _Search(steps, lanes)  # the id's entry in order 0
+    known, indices, counts = info.reshape(-1), index.reshape(-1), np.tile(_COUNTS, (lanes, 1, 1))
+    lane, state0 = np.arange(lanes), np.arange(lanes) * 32
+    context = np.zeros((2, lanes), np.uint32)  # the two previous ids, hashed for order 2 and order 1
+    before = np.zeros(lanes, np.uint32)
+    low24, part = np.uint32(MASS - 1), np.array([[0], [8]], np.uint32)
+    epochs = _epochs(steps)
+    for k, (t0, t1) in enumerate(epochs):
+        weight = _weights(counts)
+        if k:
+            search.renew(x[:t0], index[:t0], epochs[k - 1][0], info)
+        taken = np.zeros((t1 - t0, lanes), np.int64)
         for t in range(t0, t1):
             a = lanes if t < last else lanes - 1
             if not a:
                 break
-            row = model.predict(*model.places(p[:a], q[:a], a), a)
+            slot = slot0[:, :a] + (context[:, :a] >> np.uint32(32 - SLOT_BITS))
+            entry = table[slot]
+            at = (entry & np.uint16(0xFFF)).astype(np.int64) * lanes + lane[:a]
+            i = known[at]
+            level, ids = entry >> np.uint16(12), (i >> _48).astype(np.uint32)
+            state = state0[:a] + (level[0] << np.uint16(2)) + level[1] + 16 * (ids[0] == ids[1])
+            w = weight[state]
+            w0, w = w >> np.uint32(16), (w >> part) << np.uint32(24)
+            begin = (i >> _24).astype(np.uint32) & low24
+            begin = w[::-1] * (begin[::-1] < begin) + w0 * begin
+            width = w + w0 * (i.astype(np.uint32) & low24)
             r = rng[:a] >> _32
-            target = np.minimum(value[:a] // r, most)
-            high = (target >> _16).astype(np.uint32)
-            state = row >> 2
-            kind = (high >= model.end[0][state]).astype(np.int64) + (high >= model.end[1][state]) + (high >= model.end[2][state])
-            at = row + kind
-            outer, base = model.width[at].astype(np.uint64), model.begin[at].astype(np.uint64) << _16
-            inner = (target - base) // outer
-            ids = np.where(kind == 0, model.i2, np.where(kind == 1, model.i1, inner.astype(np.uint32)))
-            begin, width = np.where(kind == 3, inner, np.uint64(0)), np.where(kind == 3, np.uint64(1), full)
-            own = np.flatnonzero(kind == 2)
+            target = value[:a] // r
+            target = np.minimum(target, np.uint64((1 << 32) - 1)).astype(np.uint32)
+            off = target - begin
+            hit = off < width
+            hit &= entry > 0
+            own = np.flatnonzero(~(hit[0] | hit[1]))
+            begins, widths, now = begin[1], width[1], i[1]
+            two = np.flatnonzero(hit[0])
+            entries = indices[at[1]]
+            over = (w[0] * (target >= begin[0]) + w[1] * (target >= begin[1]))[own]
+            begins[two], widths[two], now[two], entries[two] = begin[0, two], width[0, two], i[0, two], indices[at[0, two]]
             if own.size:
-                want = inner[own]
-                bucket = own * 256 + (want >> np.uint64(8)).astype(np.int64)
-                lo, size = lowest[bucket], extent[bucket]
-                for _ in range(int(size.max(initial=1) - 1).bit_length()):
-                    half = size >> 1
-                    lo += half * (c0[lo + half] <= want)
-                    size -= half
-                ids[own], begin[own], width[own] = ids0[lo], c0[lo], f0[lo]
-            v = value[:a]
-            v -= r * (base + outer * begin)
-            r *= outer * width
-            rng[:a] = r
+                scale = w0[own]
+                got, entries[own] = search.find(own, (target[own] - over) // scale)
+                begins[own], widths[own], now[own] = over + scale * ((got >> _24).astype(np.uint32) & low24), scale * (got.astype(np.uint32) & low24), got
+            index[t, :a] = entries
+            info[t, :a] = now
+            c = value[:a]
+            c -= r * begins
+            r *= widths
             short = np.flatnonzero(r < _TOP)
             while short.size:
                 value[short] = (value[short] << _16) | flat[pos[short]]
                 pos[short] += 1
-                rng[short] <<= _16
-                short = short[rng[short] < _TOP]
-            x[t, :a] = ids
-            model.update(ids, at if t1 < steps else None, kind == 0, (model.i1 == ids) & (model.v1 >= seen))
-            p, q = ids, p
+                small = r[short] << _16
+                r[short] = small
+                short = short[small < _TOP]
+            rng[:a] = r
+            new = (now >> _48).astype(np.uint32)
+            x[t, :a] = new
+            hit = (ids == new) & (entry > 0)
+            table[slot] = np.uint16(t + 0x1000) + hit * (np.minimum(entry, np.uint16(0x2FFF)) & np.uint16(0x3000))
+            taken[t - t0, :a] = state * 3 + np.where(hit[0], 0, 2 - hit[1])
+            context[1, :a] = new * _HASH[0]
+            context[0, :a] = context[1, :a] + before[:a] * _HASH[1]
+            before = new
+        if t1 < steps:
+            counts += 2 * np.bincount(taken.reshape(-1), minlength=counts.size).reshape(counts.shape) * (_COUNTS > 0)
     return x.T
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, group: int = GROUP) -> bytes:
-    """Coded blocks of uint16 ids, one after the other."""
+    """Coded blocks of uint16 ids, one after the other; a block has at most 4,096 ids."""
     ids, parts = np.ascontiguousarray(ids, np.uint16), []
     for i in range(0, len(ids), block * group):
         own = ids[i : i + block * group]
@@ -291,7 +392,7 @@ def blocks(data: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def decode(data: bytes, block: int = BLOCK, group: int = GROUP) -> np.ndarray:
+def decode(data: bytes, group: int = GROUP) -> np.ndarray:
     """The ids of all blocks; raises ValueError where a checksum fails."""
     table, parts = blocks(data), []
     i = 0

@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
@@ -79,15 +79,13 @@ def read_tokens(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFr
     """
     tune(spark)
     files = spark.read.schema(_SCHEMA).parquet(out)
-    base, at = {}, 0
-    for r in sorted(files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):  # a row for each file
-        base[r["part"]] = at
-        at += r["n"]
+    # Ids of all parts before each part: a row of 16 bytes for each file, so small that a join needs no shuffle.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
     def run(batches):
         for b in batches:
-            for part, before, n, doc_ids, sizes, data in zip(*(b.column(k).to_pylist() for k in range(6))):
-                start = base[part] + before
+            for start, n, doc_ids, sizes, data in zip(*(b.column(k).to_pylist() for k in range(5))):
                 ids = range_coder.decode(data)
                 if len(ids) != n or sum(sizes) != n:
                     raise ValueError("a segment does not hold the ids that it says")
@@ -101,7 +99,8 @@ def read_tokens(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"] + (["ids"] if keep_ids else []))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return files.select("part", "before", "n_ids", "doc_ids", "sizes", "blocks").mapInArrow(run, schema)
+    placed = files.join(F.broadcast(parts), "part")
+    return placed.select(F.col("base") + F.col("before"), "n_ids", "doc_ids", "sizes", "blocks").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
