@@ -26,7 +26,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block (at most 2,048), blocks coded together, blocks modelled together, log2 of the slots of a table.
-BLOCK, GROUP, CHUNK, SLOT_BITS = 2048, 2048, 128, 11
+BLOCK, GROUP, CHUNK, SLOT_BITS = 2048, 2048, 64, 11
 #: Ids after which a block's frequencies and weights are renewed.
 RENEW = [32, 96, 256, 512, 1024, 1536]
 _HEAD = struct.Struct("<4sIII")
@@ -60,7 +60,7 @@ def _states() -> np.ndarray:
     s = np.arange(32)
     c2, c1, agree = s >> 2 & 3, s & 3, s >> 4
     one = np.array([0, 1, 4, 8])[c1] * ~((agree == 1) & (c2 > 0))
-    return np.stack([np.array([0, 3, 12, 20])[c2], one, np.full(32, 10)], 1).astype(np.int64)
+    return np.stack([np.array([0, 3, 12, 20])[c2], one, np.full(32, 10)], 1).astype(np.int32)
 
 
 _COUNTS = _states()
@@ -68,9 +68,10 @@ _COUNTS = _states()
 
 def _weights(counts: np.ndarray) -> np.ndarray:
     """Weights of order 2 (bits 0 to 7), order 1 (bits 8 to 15) and order 0 (from bit 16, at least 1) per lane and state."""
-    total = counts.sum(2)
-    w = counts[..., :2] * (WEIGHTS - 1) // total[..., None]
-    return (w[..., 0] | w[..., 1] << 8 | (WEIGHTS - w.sum(2)) << 16).astype(np.uint32).reshape(-1)
+    two, one = counts[..., 0], counts[..., 1]
+    total = two + one + counts[..., 2]
+    two, one = two * (WEIGHTS - 1) // total, one * (WEIGHTS - 1) // total
+    return (two | one << 8 | (WEIGHTS - two - one) << 16).astype(np.uint32).reshape(-1)
 
 
 def _slots(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +182,7 @@ def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         widths[:, t0:t1] = w2 * hit2 + w1 * hit1 + w0 * width
         if t1 < steps:
             kind = np.where(hit2 & (e2 > 0), 0, np.where(hit1 & (e1 > 0), 1, 2))
-            weigh += 2 * np.bincount((state * 3 + kind).reshape(-1), minlength=weigh.size).reshape(weigh.shape) * (_COUNTS > 0)
+            weigh += 2 * np.bincount((state * 3 + kind).reshape(-1), minlength=weigh.size).reshape(weigh.shape).astype(np.int32) * (_COUNTS > 0)
     return begins, widths
 
 
@@ -237,7 +238,7 @@ class _Search:
         self.lanes = lanes
         self.counts, self.ids, self.sizes = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.uint16), np.zeros(lanes, np.int64)
         self.share, self.base = np.full(lanes, SHARES), np.zeros(lanes, np.int64)
-        self.part, self.packed, self.most = np.full(lanes * PARTS, _NEW, np.uint16), np.zeros(lanes, np.uint64), 1
+        self.part, self.packed, self.most = np.zeros(lanes * PARTS, np.uint16), np.zeros(lanes, np.uint64), 0
 
     def renew(self, x: np.ndarray, index: np.ndarray, s0: int, info: np.ndarray) -> None:
         """Take in the ids x [steps, lanes] from step ``s0``, with their entries where they had one; fills the entries in,
@@ -257,25 +258,30 @@ class _Search:
         self.share = _share(added, seen - s0, seen)
         begin, width = _order0(self.counts[:, :most], seen, self.share)
         self.base = (PARTS - SHARES * self.share) << 12
-        self.packed = ((self.ids[:, :most].astype(np.uint64) << _48) | (begin.astype(np.uint64) << np.uint64(36)) | (width.astype(np.uint64) << np.uint64(12))).reshape(-1)
-        every = np.empty((lanes, most + 1), np.int32)
-        every[:, :most], every[:, most] = width, SHARES * self.share
-        name = np.arange(most + 1, dtype=np.uint16)
-        name[most] = _NEW
-        self.part = np.repeat(np.broadcast_to(name, every.shape).reshape(-1), every.reshape(-1))
-        at = np.arange(lanes) * most
+        # One entry more, behind all others, stands for new ids.
+        wide = most + 1
+        self.packed = np.zeros((lanes, wide), np.uint64)
+        self.packed[:, :most] = (self.ids[:, :most].astype(np.uint64) << _48) | (begin.astype(np.uint64) << np.uint64(36)) | (width.astype(np.uint64) << np.uint64(12))
+        every, name = np.empty((CHUNK, wide), np.int32), np.tile(np.arange(wide, dtype=np.uint16), CHUNK)
+        for i in range(0, lanes, CHUNK):
+            n = min(CHUNK, lanes - i)
+            every[:n, :most], every[:n, most] = width[i : i + n], SHARES * self.share[i : i + n]
+            self.part[i * PARTS : (i + n) * PARTS] = np.repeat(name[: n * wide], every[:n].reshape(-1))
+        self.packed, at = self.packed.reshape(-1), np.arange(lanes) * wide
         for i in range(0, seen, 64):
             info[i : i + 64][: seen - i] = self.packed[at + index[i : min(i + 64, seen)]]
 
     def find(self, lane: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (from bit 48), begin (from bit 24) and width of the intervals that hold ``want``, and their entries."""
         entry = self.part[(lane << 12) + (want >> np.uint32(12))]
-        got = self.packed[lane * self.most + np.where(entry == _NEW, np.uint16(0), entry)]
-        gap = np.flatnonzero(entry == _NEW)
+        got = self.packed[lane * (self.most + 1) + entry]
+        gap = np.flatnonzero(entry == self.most)
         if gap.size:
-            share, base = self.share[lane[gap]], self.base[lane[gap]]
+            of = lane[gap]
+            share, base = self.share[of], self.base[of]
             new = _FIND[(want[gap] - base) // share].astype(np.int64)
             got[gap] = (new << 48 | (base + share * _CUM[new]) << 24 | share * _UNITS[new]).view(np.uint64)
+            entry[gap] = _NEW
         return got, entry
 
 
@@ -304,7 +310,7 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
         weight = _weights(counts)
         if k:
             search.renew(x[:t0], index[:t0], epochs[k - 1][0], info)
-        taken = np.zeros((t1 - t0, lanes), np.int64)
+        taken = np.zeros((t1 - t0, lanes), np.int32)
         for t in range(t0, t1):
             a = lanes if t < last else lanes - 1
             if not a:
@@ -314,7 +320,7 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             at = (entry & np.uint16(0xFFF)).astype(np.int64) * lanes + lane[:a]
             i = known[at]
             level, ids = entry >> np.uint16(12), (i >> _48).astype(np.uint32)
-            state = state0[:a] + (level[0] << np.uint16(2)) + level[1] + 16 * (ids[0] == ids[1])
+            state = state0[:a] + (level[0] << np.uint16(2) | level[1] | (ids[0] == ids[1]).astype(np.uint16) << np.uint16(4))
             w = weight[state]
             w0, w = w >> np.uint32(16), (w >> part) << np.uint32(24)
             begin = (i >> _24).astype(np.uint32) & low24
@@ -352,13 +358,14 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             new = (now >> _48).astype(np.uint32)
             x[t, :a] = new
             hit = (ids == new) & (entry > 0)
-            table[slot] = np.uint16(t + 0x1000) + hit * (np.minimum(entry, np.uint16(0x2FFF)) & np.uint16(0x3000))
-            taken[t - t0, :a] = state * 3 + np.where(hit[0], 0, 2 - hit[1])
+            table[slot] = np.uint16(t + 0x1000) + hit * (np.minimum(level, np.uint16(2)) << np.uint16(12))
+            kind = hit.view(np.uint8)
+            taken[t - t0, :a] = state * 3 + (2 - np.maximum(kind[0] << 1, kind[1]))
             context[1, :a] = new * _HASH[0]
             context[0, :a] = context[1, :a] + before[:a] * _HASH[1]
             before = new
         if t1 < steps:
-            counts += 2 * np.bincount(taken.reshape(-1), minlength=counts.size).reshape(counts.shape) * (_COUNTS > 0)
+            counts += 2 * np.bincount(taken.reshape(-1), minlength=counts.size).reshape(counts.shape).astype(np.int32) * (_COUNTS > 0)
     return x.T
 
 
