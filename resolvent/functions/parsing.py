@@ -91,20 +91,20 @@ def split_joined_case(c: Column | str) -> Column:
 
 
 def repair_names(names: DataFrame, genera: DataFrame, column: str = "name") -> DataFrame:
-    """Adds ``repaired`` and ``repair``: joined case is split, then a glued binomial by its longest known genus, if at
-    least three letters remain.
+    """Adds ``repaired`` and ``repair``: joined case is split; a name that is still one word of letters alone, longer than
+    eight, is split behind its longest known genus, if at least three letters remain.
 
-    Genera are joined on their first three letters and checked by ``startswith``, so the join is an equi-join.
+    A glued name's beginnings meet the genera in an equi-join, so a genus of any length is found.
     """
-    rows = names.withColumn("_split", split_joined_case(F.trim(column))).withColumn("_id", F.monotonically_increasing_id())
-    low = F.lower("_split")
-    keyed = genera.select(F.lower("genus").alias("_g"), F.col("genus").alias("_genus")).distinct().withColumn("_k", F.substring("_g", 1, 3))
-    found = rows.where(~F.contains("_split", F.lit(" "))).withColumn("_k", F.substring(low, 1, 3)).join(keyed, "_k").where(low.startswith(F.col("_g")) & (F.length("_split") - F.length("_g") >= 3))
-    best = found.groupBy("_id").agg(F.max_by("_genus", F.struct(F.length("_g"), "_g")).alias("_genus"))
+    rows = names.withColumn("_split", split_joined_case(squeeze(column))).withColumn("_id", F.monotonically_increasing_id())
+    known = genera.where("genus <> ''").groupBy(F.lower("genus").alias("_g")).agg(F.min("genus").alias("_genus"))
+    glued = rows.where(F.col("_split").rlike("^\\p{L}{9,}$"))
+    heads = glued.select("_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("_split") - 3), lambda k: F.substr(F.lower("_split"), F.lit(1), k))).alias("_g"))
+    best = heads.join(known, "_g").groupBy("_id").agg(F.max_by("_genus", F.length("_g")).alias("_genus"))
     out = rows.join(best, "_id", "left")
-    glued = F.concat("_genus", F.lit(" "), F.lower(F.substr(F.col("_split"), F.length("_genus") + 1)))
-    kind = F.when(F.col("_genus").isNotNull(), "glued_genus_split").when(F.col("_split") != F.trim(column), "case_split").otherwise("none")
-    return out.select(*names.columns, F.when(F.col("_genus").isNotNull(), glued).otherwise(F.col("_split")).alias("repaired"), kind.alias("repair"))
+    parted = F.concat("_genus", F.lit(" "), F.lower(F.substr(F.col("_split"), F.length("_genus") + 1)))
+    kind = F.when(F.col("_genus").isNotNull(), "glued_genus_split").when(F.col("_split") != squeeze(column), "case_boundary_split").otherwise("none")
+    return out.select(*names.columns, F.coalesce(parted, "_split").alias("repaired"), kind.alias("repair"))
 
 
 def extract_latin(c: Column | str, v: Vocabulary = DEFAULT) -> Column:

@@ -6,6 +6,7 @@ stripped from trade names; ``DEFAULT`` is a small general one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -19,6 +20,11 @@ class Vocabulary:
     form: tuple[str, ...] = ("extract", "powder", "oil", "dried", "whole", "cut", "pure", "raw", "standard", "economy", "medium", "promo", "large", "small")
     parts: dict[str, str] = field(default_factory=lambda: {"root": "root", "roots": "root", "leaf": "leaf", "leaves": "leaf", "seed": "seed", "seeds": "seed", "bark": "bark", "flower": "flower", "ring": "ring"})
     noise: tuple[str, ...] = ("kg", "pack")
+    #: Words that are never part of a binomial in ``ngram_candidates``, beside form and part words.
+    stop: tuple[str, ...] = ("the", "and", "fresh", "wild", "golden")
+    #: Phrases that ``clean_common`` strips, and last words that make a name no scientific one.
+    phrases: tuple[str, ...] = ("oil extract", "extract", "powder", "oil")
+    vernacular: tuple[str, ...] = ("leaf", "root", "seed", "oil")
 
     @property
     def strip(self) -> tuple[str, ...]:
@@ -30,12 +36,43 @@ class Vocabulary:
 
 
 DEFAULT = Vocabulary()
+# The words of botanical catalogues, as their data files use them.
+BOTANICAL = Vocabulary(
+    form=(
+        "extract", "powder", "powdered", "oil", "soluble", "water", "glycerin", "glycol", "infused", "carrier", "essential", "oleoresin", "hydrosol", "paste", "dried", "freeze",
+        "cut", "whole", "isolate", "standardized", "standardised", "organic", "natural", "pure", "concentrate", "concentrated", "liquid", "gum", "co2", "virgin", "refined", "fine", "bulk",
+        "wholesale", "premium", "ground", "raw", "for", "personal", "care",
+    ),
+    parts={
+        "root": "root", "roots": "root", "leaf": "leaf", "leaves": "leaf", "seed": "seed", "seeds": "seed", "bark": "bark", "flower": "flower", "flowers": "flower", "phool": "flower",
+        "phul": "flower", "fruit": "fruit", "fruits": "fruit", "berry": "fruit", "rhizome": "rhizome", "peel": "peel", "pericarp": "peel", "rind": "peel", "aerial": "aerial", "herb": "aerial",
+        "wood": "wood", "bud": "bud", "buds": "bud", "stem": "stem", "tuber": "tuber", "husk": "husk", "pod": "pod", "pods": "pod", "shell": "shell", "resin": "resin", "gum": "gum", "nut": "seed",
+    },
+    noise=("chaal", "chhal", "patta", "patti", "beej", "mool", "chilka", "dana", "sabut", "gutli", "booti", "buti", "big", "small", "kg", "gm"),
+    stop=(
+        "extracts", "powders", "oils", "granules", "granulated", "dry", "fresh", "sifted", "tincture", "capsules", "capsule", "tablet", "tablets", "softgel", "juice", "flakes", "chips", "oleoresins",
+        "fragrance", "aroma", "diffuser", "inspired", "million", "bliss", "ultra", "grade", "black", "white", "red", "green", "blue", "yellow", "golden", "wild", "sweet", "bitter", "food", "gel", "butter",
+    ),
+    phrases=(
+        "Oil Soluble Extract", "Water Soluble Extract", "Propylene Glycol Extract", "Glycerin Extract", "CO2 Extract", "PG Extract", "Infused Oil", "Carrier Oil", "Essential Oil", "Extract Paste",
+        "Extract Powder", "Oleoresin", "Hydrosol", "Extract", "Powder", "Paste",
+    ),
+    vernacular=(
+        "petal", "basil", "gourd", "daisy", "mustard", "cornflower", "pea", "apple", "tree", "barberry", "kino", "kudzu", "matcha", "husk", "jivak", "iridis", "patti", "phool", "phul",
+        "mirch", "chaal", "dana", "badi", "murga", "irani", "madrasi", "fagonia", "wood", "kahwa",
+    ),
+)
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _words(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -76,7 +113,7 @@ def clean_label(c: Column | str, v: Vocabulary = DEFAULT) -> Column:
 def strip_trailing_parens(c: Column | str) -> tuple[Column, Column]:
     """(text without its trailing parenthesised groups, those groups from the last to the first)."""
     tail = F.regexp_extract(_col(c), "((\\s*\\([^()]*\\)\\s*)+)$", 1)
-    groups = F.reverse(F.transform(F.regexp_extract_all(tail, F.lit("\\(([^()]*)\\)"), F.lit(1)), F.trim))
+    groups = F.reverse(F.transform(F.regexp_extract_all(tail, F.lit("\\(([^()]*)\\)"), F.lit(1)), lambda g: F.trim(g)))
     return F.regexp_replace(_col(c), "(\\s*\\([^()]*\\)\\s*)+$", ""), groups
 
 
@@ -84,7 +121,7 @@ def binomial_case(genus: Column, species: Column) -> Column:
     return F.concat(F.upper(F.substring(genus, 1, 1)), F.lower(F.substr(genus, F.lit(2))), F.lit(" "), F.lower(species))
 
 
-def clean_common(c: Column | str, phrases: tuple[str, ...] = ("oil extract", "extract", "powder", "oil")) -> Column:
+def clean_common(c: Column | str, phrases: tuple[str, ...] = DEFAULT.phrases) -> Column:
     """A trade name without its country tag and form phrases (the longest first)."""
     x = F.trim(F.regexp_replace(_col(c), "^\\s*\\[[A-Za-z]{2,4}\\]\\s*", ""))
     for p in sorted(phrases, key=lambda p: -len(p)):
@@ -96,17 +133,13 @@ def country_tag(c: Column | str) -> Column:
     return F.regexp_extract(_col(c), "^\\s*(\\[[A-Za-z]{2,4}\\])", 1)
 
 
-def within_one_edit(a: Column | str, b: Column | str) -> Column:
-    return F.levenshtein(_col(a), _col(b), 1) >= 0
-
-
 def folded_distance(a: Column | str, b: Column | str) -> Column:
     return F.levenshtein(F.lower(_col(a)), F.lower(_col(b)))
 
 
 def canonical_of(c: Column | str) -> Column:
-    """A scientific name without its author: the binomial, and a third epithet where there is one."""
-    return F.regexp_extract(squeeze(c), "^([A-Z][a-z\\-]+(?: [a-z][a-z\\-]+){0,2})", 1)
+    """A scientific name's binomial, without what follows; '' where it begins with none."""
+    return F.regexp_extract(squeeze(c), "^([A-Z][a-zA-Z-]+ ×?[a-z][a-zA-Z-]+)", 1)
 
 
 def name_parts(c: Column | str, markers: tuple[str, ...] = ("var.", "subsp.", "ssp.", "f.")) -> Column:
@@ -119,15 +152,16 @@ def name_parts(c: Column | str, markers: tuple[str, ...] = ("var.", "subsp.", "s
     )
 
 
-def slug(c: Column | str, markers: str = "var|subsp|ssp") -> Column:
-    x = F.regexp_replace(F.lower(_col(c)), f"\\b({markers})\\b\\.?", " ")
+def slug(c: Column | str, markers: str = "var|subsp|ssp|f|cv|forma") -> Column:
+    """Lower case, the hybrid sign as x-, without rank markers; other characters become single hyphens."""
+    x = F.regexp_replace(F.replace(F.lower(_col(c)), F.lit("×"), F.lit("x-")), f"\\b({markers})\\.?\\b", "")
     return F.regexp_replace(F.regexp_replace(x, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def is_scientific(c: Column | str, vernacular: tuple[str, ...] = ("leaf", "root", "seed", "oil")) -> Column:
-    """Binomial-shaped, and the last word is no vernacular one."""
+def is_scientific(c: Column | str, vernacular: tuple[str, ...] = DEFAULT.vernacular) -> Column:
+    """A capital word (which may have further small ones) and a small one, and the last word is no vernacular one."""
     x = squeeze(c)
-    return x.rlike("^[A-Z][a-z]+( x)? [a-z][a-z\\-]+( [a-z][a-z\\-]+)?$") & ~F.array_contains(_words(vernacular), F.element_at(F.split(x, " "), -1))
+    return x.rlike("^[A-Z][a-z]+(?:[- ][a-z]+)* [a-z]") & ~F.array_contains(_words(vernacular), F.lower(F.element_at(F.split(x, " "), -1)))
 
 
 def _binomials(c: Column) -> Column:
@@ -141,7 +175,7 @@ def _parentheses(c: Column) -> Column:
 
 def _core(c: Column) -> Column:
     x = F.regexp_replace(F.get(F.split(c, "\\|"), F.lit(0)), "\\([^)]*\\)", " ")
-    x = F.regexp_replace(x, "(?i)\\b\\d+(\\.\\d+)?\\s*(ml|l|g|kg|mg|oz|lb|%|:1)\\b", " ")
+    x = F.regexp_replace(x, "(?i)\\b\\d+(\\.\\d+)?\\s*(ml|l|g|kg|gm|mg|oz|lb|%|:1)\\b", " ")
     x = F.regexp_replace(x, "(?i)\\b\\d+\\s*[x×]\\s*\\d+\\b", " ")
     return F.regexp_replace(x, "(?s)[-–—].*$", " ")
 
@@ -166,14 +200,31 @@ def serving_candidates(latin: Column | str, label: Column | str, v: Vocabulary =
     return F.concat(*given, _shortened(label_tokens(label, v)))
 
 
-def ngram_candidates(c: Column | str, stop: tuple[str, ...] = ("the", "and")) -> Column:
+def _stripped_title(c: Column) -> Column:
+    """A title without parentheses, pack sizes, what is behind a bar, and what is behind a dash."""
+    x = F.regexp_replace(F.regexp_replace(c, "\\([^)]*\\)", " "), "(?i)\\b\\d+(?:\\.\\d+)?\\s*(?:ml|l|g|kg|gm|mg|oz|%|:1)\\b", " ")
+    return F.regexp_replace(F.get(F.split(x, "\\|"), F.lit(0)), "(?s)[-–—].*$", " ")
+
+
+def ngram_binomials(c: Column | str, v: Vocabulary = DEFAULT) -> Column:
+    """Binomials of a title, in any case, neither word of which is a form, part or stop word."""
+    whole = F.regexp_extract_all(_col(c), F.lit("\\b[A-Za-z][a-z]+\\s+[A-Za-z][a-z]{2,}(?:-[a-z]+)?\\b"), F.lit(0))
+    pairs = F.filter(F.transform(whole, lambda m: F.split(m, "\\s+")), lambda p: ~F.arrays_overlap(F.transform(p, F.lower), _words((*v.label_words, *v.stop))))
+    return F.transform(pairs, lambda p: binomial_case(F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+
+
+def ngram_core(c: Column | str, v: Vocabulary = DEFAULT) -> Column:
+    """A title's words without form and part words; its first word where none is left; '' without words."""
+    t = _tokens(_stripped_title(_col(c)))
+    return F.coalesce(F.nullif(F.array_join(F.filter(t, lambda w: ~F.array_contains(_words(v.label_words), F.lower(w))), " "), F.lit("")), F.get(t, F.lit(0)), F.lit(""))
+
+
+def ngram_candidates(c: Column | str, v: Vocabulary = DEFAULT) -> Column:
     """Binomials, parentheses, then prefixes of the core from the longest to the shortest; the first of equal ones stays."""
-    x = F.trim(_col(c))
-    t = _tokens(_core(x))
+    t = _tokens(_stripped_title(_col(c)))
     prefixes = F.when(F.size(t) > 0, F.transform(F.sequence(F.size(t), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(t, F.lit(1), k), " "))).otherwise(F.array().cast("array<string>"))
-    binomials = F.filter(_binomials(x), lambda b: ~F.array_contains(_words(stop), F.lower(F.get(F.split(b, " "), F.lit(0)))))
-    every = F.concat(binomials, _parentheses(x), prefixes)
-    return F.filter(every, lambda s, i: F.array_position(F.transform(every, lambda y: F.lower(F.trim(y))), F.lower(F.trim(s))) == i + 1)
+    every = F.filter(F.transform(F.concat(ngram_binomials(c, v), _parentheses(_col(c)), prefixes), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(every, lambda s, i: F.array_position(F.transform(every, F.lower), F.lower(s)) == i + 1)
 
 
 def plant_part(c: Column | str, v: Vocabulary = DEFAULT) -> Column:
@@ -209,3 +260,24 @@ def first_sentence(c: Column | str) -> Column:
 def rate(part: Column, whole: Column, empty: float) -> Column:
     """part / whole to three digits; ``empty`` where there is no whole."""
     return F.round(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(empty)), 3)
+
+
+def is_binomial(c: Column | str) -> Column:
+    """A capital word and, behind a space or a hybrid sign, something more."""
+    return F.coalesce(F.trim(_col(c)).rlike("^[A-Z][a-z]+[ ×]"), F.lit(False))
+
+
+def species_key(c: Column | str) -> Column:
+    """Key of a name's genus and epithet, hybrid signs aside."""
+    x = norm(F.regexp_replace(F.regexp_replace(_col(c), "^×", ""), "\\s×\\s?", " "))
+    return F.array_join(F.slice(F.split(x, " "), 1, 2), " ")
+
+
+def genus_token(c: Column | str) -> Column:
+    """Key of a name's first word."""
+    return norm(F.get(F.split(F.trim(_col(c)), "[ ×]"), F.lit(0)))
+
+
+def epithet_shaped(c: Column | str) -> Column:
+    """Whether the second word of a name's key looks like an epithet of three letters or more."""
+    return F.coalesce(F.get(F.split(norm(c), " "), F.lit(1)).rlike("^[a-z][a-zà-ÿ-]{2,}$"), F.lit(False))

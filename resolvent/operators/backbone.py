@@ -2,44 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded_distance, slug
+from ..functions.text import DEFAULT, Vocabulary, canonical_of, folded_distance, is_scientific, norm, slug
 
 #: Fixed order of statuses when a group picks its representative.
 STATUS_ORDER = ("accepted", "synonym-resolved", "owner-resolved", "typo-corrected", "genus_level", "species_ambiguous", "trade_ambiguous")
 NAME_ARRAYS = ("original_parsed_names", "scientific_synonyms", "trade_synonyms", "common_names")
 
 
+#: Ranks of species and below.
+SPECIES_RANKS = ("SPECIES", "SUBSPECIES", "VARIETY", "FORM")
+
+
+def name_usages(usages: DataFrame) -> DataFrame:
+    """``usages(name, canonical, rank, status, accepted)`` of an authority -> ``(name, own, targets)``: the name itself if a
+    usage of exactly that name accepts it, and the different names that its other usages accept, without authors."""
+    same = (F.lower(F.trim("canonical")) == F.lower(F.trim("name"))) & F.col("rank").isin(*SPECIES_RANKS)
+    to = F.nullif(canonical_of("accepted"), F.lit(""))
+    return usages.where(same).withColumn("_to", to).groupBy("name").agg(
+        F.expr("min(canonical) FILTER (WHERE status = 'ACCEPTED')").alias("own"), F.array_sort(F.collect_set("_to")).alias("targets"),
+    )
+
+
+def _against_authority(names: DataFrame, matches: DataFrame, usages: DataFrame) -> DataFrame:
+    return names.select("name").distinct().join(matches, "name", "left").join(name_usages(usages), "name", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+
+
 def classify_authority(names: DataFrame, matches: DataFrame, usages: DataFrame) -> DataFrame:
-    """``names(name)`` against ``matches(name, match_type, status, canonical, confidence)`` and ``usages(name, accepted)``:
-    accepted, synonym (one or several targets), typo or unknown; the first rule that holds."""
-    targets = usages.where("accepted is not null").groupBy("name").agg(F.array_sort(F.collect_set("accepted")).alias("targets"))
-    m = names.select("name").distinct().join(matches, "name", "left").join(targets, "name", "left")
-    n = F.coalesce(F.size("targets"), F.lit(0))
-    status = (
-        F.when((F.col("match_type") == "EXACT") & (F.col("status") == "ACCEPTED"), "accepted")
-        .when((F.col("match_type") == "EXACT") & (F.col("status") == "SYNONYM") & (n >= 1), "synonym")
-        .when((F.col("match_type") == "FUZZY") & (folded_distance("name", "canonical") <= 3), "typo")
-        .when(n >= 1, "synonym")
-        .otherwise("unknown")
-    )
-    out = m.withColumn("disposition", status)
-    accepted = F.when(F.col("disposition") == "accepted", F.col("canonical")).when((F.col("disposition") == "synonym") & (n == 1), F.get("targets", F.lit(0))).when(F.col("disposition") == "typo", F.col("canonical"))
-    return out.select("name", "disposition", accepted.alias("accepted"), ((F.col("disposition") == "synonym") & (n > 1)).alias("ambiguous"), F.when((F.col("disposition") == "synonym") & (n > 1), F.col("targets")).alias("candidates"))
+    """``names(name)`` against ``matches(name, match_type, status, rank, usage_key, canonical, accepted_canonical)`` and
+    ``usages`` (see ``name_usages``): accepted, synonym, typo or unknown.
+
+    A match that is none, of a higher rank, doubtful or without a key falls back on the usages; a synonym of several names
+    stays without an accepted one.  A fuzzy match is a suggestion with its edit distance, never applied.
+    """
+    m = _against_authority(names, matches, usages)
+    kind = F.coalesce("match_type", F.lit("NONE"))
+    back = kind.isin("NONE", "HIGHERRANK") | F.col("usage_key").isNull() | ~F.coalesce(F.col("rank").isin(*SPECIES_RANKS), F.lit(False)) | F.col("status").eqNullSafe("DOUBTFUL")
+    n = F.size("targets")
+    typo, synonym = ~back & (kind == "FUZZY"), ~back & (kind != "FUZZY") & F.col("status").eqNullSafe("SYNONYM")
+    disposition = F.when(back, F.when(F.col("own").isNotNull(), "accepted").when(n > 0, "synonym").otherwise("unknown")).when(typo, "typo").when(synonym, "synonym").otherwise("accepted")
+    accepted = F.when(back, F.coalesce("own", F.when(n == 1, F.get("targets", F.lit(0))))).when(typo, None).when(synonym, F.coalesce("accepted_canonical", "canonical")).otherwise(F.col("canonical"))
+    ambiguous = back & F.col("own").isNull() & (n > 1)
+    return m.select(
+        "name", disposition.alias("disposition"), accepted.alias("accepted"), ambiguous.alias("ambiguous"), F.when(ambiguous, F.col("targets")).alias("candidates"),
+        F.when(typo, F.col("canonical")).alias("suggested"), F.when(typo, folded_distance("name", F.coalesce("canonical", F.lit("")))).alias("distance"),
+        F.when(back & (F.col("own").isNotNull() | (n > 0)), F.concat(kind, F.lit("+nameusage"))).otherwise(kind).alias("match_type"),
+    )
+
+
+def recheck(names: DataFrame, matches: DataFrame, usages: DataFrame) -> DataFrame:
+    """An owner's names once more against the authority: confirmed, synonym or not_found, with what it suggests."""
+    m = _against_authority(names, matches, usages)
+    n = F.size("targets")
+    same = F.lower(F.trim("canonical")) == F.lower(F.trim("name"))
+    sure = F.coalesce((F.col("match_type") == "EXACT") & (F.col("status") == "ACCEPTED") & F.col("rank").isin(*SPECIES_RANKS) & same, F.lit(False))
+    synonym = F.col("usage_key").isNotNull() & F.col("status").eqNullSafe("SYNONYM")
+    status = F.when(sure, "confirmed").when(synonym, "synonym").when(F.col("own").isNotNull(), "confirmed").when(n > 0, "synonym").otherwise("not_found")
+    accepted = F.when(sure, F.col("canonical")).when(synonym, F.coalesce("accepted_canonical", "canonical")).otherwise(F.coalesce("own", F.when(n == 1, F.get("targets", F.lit(0)))))
+    open_ = ~sure & ~synonym & F.col("own").isNull()
+    return m.select(
+        "name", status.alias("status"), accepted.alias("accepted"), F.when(open_ & (n > 1), F.col("targets")).alias("candidates"),
+        F.when((status == "not_found") & F.col("match_type").isin("FUZZY", "HIGHERRANK"), F.col("canonical")).alias("suggested"),
+    )
+
+
+#: Decisions on unknown names in order of precedence, and the bucket each leads to.
+TRIAGE = {"resolved": "resolved", "common_resolved": "resolved", "species_ambiguous": "species_ambiguous", "genus_level": "genus_level", "non_botanical": "non_botanical", "unresolvable": "unresolvable"}
+
+
+def triage(unknown: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``unknown(name)`` under ``decisions(name, decision, value)``: of several decisions the first in the order of ``TRIAGE``
+    holds, and a name without one is a common name.  Raises if a decision's name is not unknown."""
+    check_subset(decisions, unknown, "name")
+    rank = F.array_position(F.array(*map(F.lit, TRIAGE)), F.col("decision"))
+    first = decisions.where(rank > 0).groupBy("name").agg(F.min_by(F.struct("decision", "value"), F.struct(rank, "value")).alias("d"))
+    bucket = F.element_at(F.create_map(*[F.lit(x) for pair in TRIAGE.items() for x in pair]), F.col("d.decision"))
+    j = unknown.select("name").distinct().join(first, "name", "left").withColumn("bucket", F.coalesce(bucket, F.lit("common_name")))
+    return j.select(
+        "name", "bucket", F.when(F.col("bucket") == "resolved", F.col("d.value")).alias("accepted_name"), F.when(F.col("bucket").isin("genus_level", "non_botanical"), F.col("d.value")).alias("identity"),
+        F.coalesce(F.col("d.decision") == "common_resolved", F.lit(False)).alias("outside_authority"),
+    )
 
 
 def dispose(results: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Authority results with human decisions laid over: ``decisions(name, action, target)`` with accept, exclude or genus.
+    """Authority results with human decisions laid over: ``decisions(name, action, target)`` with accept, correct (a typo's
+    suggestion, if no target is given), ambiguous, trade_ambiguous, exclude or genus.
 
-    Gives ``group_key`` and ``resolution_status``; an excluded name has none."""
+    Gives ``group_key`` and ``resolution_status``; an excluded name has none, and a typo without a decision stays unknown."""
     j = results.join(decisions, "name", "left")
-    act = F.col("action")
-    key = F.when(act == "exclude", None).when(act.isin("accept", "genus"), F.col("target")).when(F.col("ambiguous"), F.concat(F.lit("amb:"), "name")).otherwise(F.coalesce("accepted", F.concat(F.lit("unk:"), "name")))
+    act = F.coalesce("action", F.lit(""))
+    unsure = act.isin("ambiguous", "trade_ambiguous") | ((act == "") & F.col("ambiguous"))
+    chosen = F.when(act.isin("accept", "genus"), F.col("target")).when(act == "correct", F.coalesce("target", "suggested")).when(act == "", F.col("accepted"))
+    key = F.when(act == "exclude", None).when(unsure, F.concat(F.lit("amb:"), "name")).otherwise(F.coalesce(chosen, F.concat(F.lit("unk:"), "name")))
     status = (
-        F.when(act == "exclude", "excluded").when(act == "accept", "owner-resolved").when(act == "genus", "genus_level").when(F.col("ambiguous"), "species_ambiguous")
-        .when(F.col("disposition") == "accepted", "accepted").when(F.col("disposition") == "synonym", "synonym-resolved").when(F.col("disposition") == "typo", "typo-corrected").otherwise("trade_ambiguous")
+        F.when(act == "exclude", "excluded").when(act == "accept", "owner-resolved").when(act == "genus", "genus_level").when(act == "correct", "typo-corrected").when(act == "trade_ambiguous", "trade_ambiguous")
+        .when(unsure, "species_ambiguous").when(F.col("accepted").isNull(), "trade_ambiguous").when(F.col("disposition") == "accepted", "accepted").otherwise("synonym-resolved")
     )
     return j.select("name", key.alias("group_key"), status.alias("resolution_status"), "candidates")
 
@@ -74,24 +133,41 @@ def _arrays(prefix: str = "") -> list:
     return out
 
 
-def merge_records(identities: DataFrame, edges: DataFrame) -> DataFrame:
-    """``edges(absorb_id, keep_id)``: the absorbed record's names, its accepted one included as a synonym, join the kept
-    record's; an edge with a missing end is skipped.  Chains end at their last keeper (edges must be free of cycles)."""
+def merge_records(identities: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """``edges(absorb_id, keep_id, drop_name)``: the absorbed record's names join the kept record's, its accepted one as a
+    synonym if it is scientific and not dropped; an edge with a missing end is skipped.
+
+    Chains end at their last keeper; a round doubles the length of chains followed.  Raises on a cycle, or if one id is
+    absorbed by several.
+    """
     ids = identities.select("canonical_id")
-    live = edges.join(ids, edges["absorb_id"] == ids["canonical_id"], "left_semi").join(ids, edges["keep_id"] == ids["canonical_id"], "left_semi").select("absorb_id", "keep_id")
+    edges = edges if "drop_name" in edges.columns else edges.withColumn("drop_name", F.lit(False))
+    live = edges.join(ids, edges["absorb_id"] == ids["canonical_id"], "left_semi").join(ids, edges["keep_id"] == ids["canonical_id"], "left_semi").select("absorb_id", "keep_id", F.coalesce("drop_name", F.lit(False)).alias("drop_name"))
+    if not live.groupBy("absorb_id").count().where("count > 1").isEmpty():
+        raise ValueError("an id is absorbed by several")
     target = live
-    while True:  # each round doubles the length of the chains followed
+    for _ in range(rounds):
+        if not target.where("absorb_id = keep_id").isEmpty():
+            raise ValueError("the merges have a cycle")
         nxt = target.select(F.col("absorb_id").alias("keep_id"), F.col("keep_id").alias("_far"))
         step = target.join(nxt, "keep_id", "left")
         if step.where("_far is not null").isEmpty():
             break
-        target = step.select("absorb_id", F.coalesce("_far", "keep_id").alias("keep_id"))
+        target = _cut(step.select("absorb_id", F.coalesce("_far", "keep_id").alias("keep_id"), "drop_name"))
+    else:
+        raise ValueError("the merges have a cycle")
     moved = identities.join(target, identities["canonical_id"] == target["absorb_id"], "left").withColumn("_to", F.coalesce("keep_id", "canonical_id"))
-    moved = moved.withColumn("scientific_synonyms", F.when(F.col("keep_id").isNotNull(), F.array_compact(F.array_append("scientific_synonyms", F.col("accepted_name")))).otherwise(F.col("scientific_synonyms")))
+    own = F.col("keep_id").isNotNull() & ~F.coalesce("drop_name", F.lit(False)) & F.coalesce(is_scientific("accepted_name"), F.lit(False))
+    moved = moved.withColumn("scientific_synonyms", F.when(own, F.array_append("scientific_synonyms", F.col("accepted_name"))).otherwise(F.col("scientific_synonyms")))
     merged = moved.groupBy("_to").agg(F.expr("max(accepted_name) FILTER (WHERE keep_id IS NULL)").alias("accepted_name"), (F.count("*") - 1).alias("n_absorbed"), *_arrays())
     return merged.withColumnRenamed("_to", "canonical_id").withColumn("scientific_synonyms", F.array_except("scientific_synonyms", F.array("accepted_name")))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The frame without its lineage where the session has a folder for checkpoints, else as it is."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def merge_converged(identities: DataFrame, pinned: DataFrame) -> DataFrame:
     """Records that share an accepted name become one: the survivor is an owner-mapped record if any, then the smallest id.
 
@@ -143,3 +219,50 @@ def check_subset(left: DataFrame, right: DataFrame, column: str) -> None:
     """Fail closed unless every value on the left is on the right."""
     if not left.join(right, column, "left_anti").isEmpty():
         raise ValueError(f"values of {column} are missing on the right")
+
+
+def alias_pool(keys: Column, corrected: Column, accepted: Column, trade: Column, v: Vocabulary = DEFAULT) -> Column:
+    """Struct of ``scientific`` and ``common``: parsed keys and corrected names, without the accepted name and trade names."""
+    empty = F.array().cast("array<string>")
+    every = F.array_union(F.coalesce(keys, empty), F.coalesce(corrected, empty))
+    pool = F.array_sort(F.array_except(every, F.array_append(F.coalesce(trade, empty), F.coalesce(accepted, F.lit("")))))
+    return F.struct(F.filter(pool, lambda a: is_scientific(a, v.vernacular)).alias("scientific"), F.filter(pool, lambda a: ~is_scientific(a, v.vernacular)).alias("common"))
+
+
+def flip_names(identities: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
+    """Records whose ``authority_name`` differs from their accepted one: the authority's becomes accepted, and the old one is
+    a synonym (if scientific), the trade name and what is displayed; ids never change."""
+    flip = F.col("authority_name").isNotNull() & F.col("accepted_name").isNotNull() & (F.col("authority_name") != F.col("accepted_name"))
+    without = F.array_except("scientific_synonyms", F.array("authority_name"))
+    synonyms = F.when(is_scientific("accepted_name", v.vernacular), F.array_union(without, F.array("accepted_name"))).otherwise(without)
+    accepted = F.when(flip, F.col("authority_name")).otherwise(F.col("accepted_name"))
+    out = identities.withColumns({"_syn": F.when(flip, F.array_sort(synonyms)).otherwise(F.col("scientific_synonyms")), "_acc": accepted, "trade_primary_name": F.when(flip, F.col("accepted_name"))})
+    out = out.withColumn("canonical_display_name", F.coalesce("trade_primary_name", "_acc"))
+    return out.drop("scientific_synonyms", "accepted_name").withColumnsRenamed({"_syn": "scientific_synonyms", "_acc": "accepted_name"})
+
+
+def enrichment(results: DataFrame) -> DataFrame:
+    """``results(ord, name, disposition, accepted, ambiguous)`` -> one row per accepted name that accepted or unambiguous
+    synonym names give: ``via`` the disposition seen first, and the names."""
+    rows = results.where("accepted is not null and (disposition = 'accepted' or (disposition = 'synonym' and not ambiguous))")
+    return rows.groupBy(F.col("accepted").alias("accepted_name")).agg(F.min_by("disposition", "ord").alias("via"), F.array_sort(F.collect_set("name")).alias("parsed_names"))
+
+
+def mapping_round(mappings: DataFrame, corrections: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``mappings(common_name, accepted)`` without excluded names and with corrected targets, all compared by key:
+    ``(accepted, common_names, n_corrected)`` per target, and the excluded mappings."""
+    rows = mappings.withColumn("_key", norm("common_name"))
+    out = exclusions.select(norm("common_name").alias("_key")).distinct()
+    fixed = corrections.groupBy(norm("common_name").alias("_key")).agg(F.max("accepted").alias("_fixed"))
+    kept = rows.join(out, "_key", "left_anti").join(fixed, "_key", "left")
+    grouped = kept.groupBy(F.coalesce("_fixed", "accepted").alias("accepted")).agg(F.array_sort(F.collect_set("common_name")).alias("common_names"), F.count_if(F.col("_fixed").isNotNull()).alias("n_corrected"))
+    return grouped, rows.join(out, "_key", "left_semi").drop("_key")
+
+
+def adopt(records: DataFrame, adoptions: DataFrame, expected: int) -> DataFrame:
+    """``adoptions(name, accepted)`` laid over ``records(name, accepted_name)``; raises unless exactly ``expected`` are adopted."""
+    j = records.join(adoptions.select("name", F.col("accepted").alias("_new")), "name", "left")
+    n = j.where("_new is not null").count()
+    if n != expected:
+        raise ValueError(f"{n} names adopted, not {expected}")
+    return j.withColumn("accepted_name", F.coalesce("_new", "accepted_name")).withColumn("adopted", F.col("_new").isNotNull()).drop("_new")

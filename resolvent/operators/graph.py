@@ -52,23 +52,29 @@ def collapse(observations: DataFrame, entity: str = "entity_id") -> DataFrame:
     return observations.groupBy(entity, *FORM_KEY).agg(F.count("*").alias("n"))
 
 
-def form_graph(observations: DataFrame, family: Column, entity: str = "entity_id") -> DataFrame:
-    """Per identity, part and form: observations, entities and independent families (an entity without a family is its own)."""
-    return collapse(observations, entity).withColumn("_family", family).groupBy(*FORM_KEY).agg(
-        F.sum("n").alias("n_observations"), F.count_distinct(entity).alias("n_entities"), F.count_distinct("_family").alias("n_families"),
-    )
+def form_graph(observations: DataFrame, family: str, entity: str = "entity_id") -> DataFrame:
+    """Per identity, part and form: observations, entities and independent families.  Rows are counted per entity first."""
+    per = observations.groupBy(entity, family, *FORM_KEY).agg(F.count("*").alias("n"))
+    return per.groupBy(*FORM_KEY).agg(F.sum("n").alias("n_observations"), F.count_distinct(entity).alias("n_entities"), F.count_distinct(family).alias("n_families"))
 
 
 def nested_graph(long: DataFrame) -> DataFrame:
     """The long graph as ``(canonical_id, parts MAP<part, MAP<signature, counts>>)``."""
     sig = F.concat_ws("+", "base", F.when(F.col("overlays") != "", F.col("overlays")))
-    inner = long.groupBy("canonical_id", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(sig.alias("key"), F.struct("n_entities", "n_families").alias("value"))))).alias("forms"))
+    inner = long.groupBy("canonical_id", "part").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(sig.alias("key"), F.struct("base", "overlays", "n_entities", "n_families").alias("value"))))).alias("forms"))
     return inner.groupBy("canonical_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("part", F.map_entries("forms").alias("forms"))))).alias("parts"))
 
 
 def conflicts(observations: DataFrame) -> DataFrame:
-    """Raw strings that were resolved to more than one identity."""
-    return observations.where("canonical_id is not null").groupBy("raw").agg(F.array_sort(F.collect_set("canonical_id")).alias("cids")).where("size(cids) > 1")
+    """``(raw, n_ids)`` of raw strings that were resolved to more than one identity; a pair counts once, before the shuffle."""
+    return conflict_rows(observations).groupBy("raw").agg(F.count("*").alias("n_ids"))
+
+
+def conflict_rows(observations: DataFrame) -> DataFrame:
+    """``(raw, canonical_id)``: the identities of such strings, a row for each."""
+    pairs = observations.where("canonical_id is not null").select("raw", "canonical_id").distinct()
+    wide = pairs.groupBy("raw").agg(F.min("canonical_id").alias("a"), F.max("canonical_id").alias("b")).where("a <> b").select("raw")
+    return pairs.join(wide, "raw", "left_semi")
 
 
 def near_duplicates(keys: DataFrame) -> DataFrame:
@@ -109,13 +115,46 @@ def promote_types(rows: DataFrame, key: str = "key") -> DataFrame:
     return g.select(key, F.when(F.col("latin"), "latin").otherwise("common_only").alias("kind"), "text", "n")
 
 
-def percentile_floor(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+def percentile_floor(rows: DataFrame, key: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Per key the value at sorted index floor(p n), capped at the last: an exact order statistic.
 
-    Ranks come from a window over each key sorted by value, so no group is held in memory.
+    A sketch of fixed size brackets each share by its error bound; only what lies inside the bracket, counted per value, is
+    ranked, about 6 / ``accuracy`` of a key's rows at most, and what lies below is only counted.  Raises if a bracket
+    misses its rank.
     """
     from pyspark.sql import Window
 
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = rows.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(Window.partitionBy(key).orderBy(value)).alias("_r"), n.alias("_n"))
-    return ranked.groupBy(key).agg(F.first("_n").alias("n"), *[F.max(F.when(F.col("_r") == F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1), F.col(value))).alias(name) for name, p in shares.items()])
+    kept = rows.where(F.col(value).isNotNull()).select(F.col(key), F.col(value).alias("_v"))
+    room = 3 / accuracy
+    ends = sorted({min(1.0, max(0.0, p + d)) for p in shares.values() for d in (-room, room)})
+    at = F.percentile_approx("_v", [float(e) for e in ends], accuracy)
+    marks = kept.groupBy(key).agg(F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), at.alias("_q"))
+    edge = lambda p, d: F.col("_min" if p + d <= 0 else "_max") if not 0 < p + d < 1 else F.col("_q")[ends.index(p + d)]
+    spans = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("n"), F.floor(F.col("n") * p) + 1).alias("rank"), edge(p, -room).alias("lo"), edge(p, room).alias("hi")) for name, p in shares.items()])
+    wanted = marks.select(key, "n", F.inline(spans))
+    j = kept.join(wanted, key).where("_v <= hi")
+    inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))
+    counts = j.groupBy(key, "n", "name", "rank", inside.alias("v")).agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(key, "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("_to", F.sum("c").over(upto))
+    hit = run.groupBy(key, "n").agg(*[F.min(F.when((F.col("name") == name) & (F.col("_to") >= F.col("rank")) & F.col("v").isNotNull(), F.col("v"))).alias(name) for name in shares], F.max(F.col("v").isNull() & (F.col("_to") >= F.col("rank"))).alias("_missed"))
+    checked = hit.where(F.when(F.col("_missed") | F.expr(" or ".join(f"`{n}` is null" for n in shares)), F.raise_error(F.lit("a bracket misses its rank"))).otherwise(F.lit(True)))
+    return checked.drop("_missed")
+
+
+def storefront(graph: DataFrame, fields: tuple[str, ...] = ("base", "overlays", "status")) -> DataFrame:
+    """A nested graph ``(canonical_id, parts MAP<part, ARRAY<{key, value}>>)`` with only the allowed fields of every form."""
+    kind = graph.schema["parts"].dataType.valueType.elementType["value"].dataType
+    keep = [f for f in fields if f in kind.fieldNames()]
+    slim = lambda e: F.struct(e["key"].alias("key"), F.struct(*[e["value"][f].alias(f) for f in keep]).alias("value"))
+    return graph.select(*[c for c in graph.columns if c != "parts"], F.transform_values("parts", lambda _, forms: F.transform(forms, slim)).alias("parts"))
+
+
+def observed_ladder(preferred: Column, observed: Column) -> Column:
+    """The preferred codes that were observed, in the ladder's order."""
+    return F.filter(preferred, lambda c: F.coalesce(F.array_contains(observed, c), F.lit(False)))
+
+
+def references(counts: Column) -> Column:
+    """Sum of a map's values: how often something is referred to."""
+    return F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x)

@@ -57,3 +57,34 @@ def guarded_common_index(identities: DataFrame, pins: DataFrame, v: Vocabulary =
 def serving_common(identities: DataFrame, pins: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
     """``(key, cids)`` as resolvers use it: without held-back keys that are no raw keys."""
     return guarded_common_index(identities, pins, v).where("cids is not null").select("key", "cids")
+
+
+class Indices:
+    """The exact and common index of one identity table, built and persisted once per session.
+
+    A build that fails leaves nothing behind, so the next call builds anew; ``release`` frees what is kept.
+    """
+
+    _kept: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+    @classmethod
+    def of(cls, identities: DataFrame, pins: DataFrame, version: str, v: Vocabulary = DEFAULT) -> tuple[DataFrame, DataFrame]:
+        key = (id(identities.sparkSession), version, repr(v))
+        if key not in cls._kept:
+            built = exact_index(identities).persist(), serving_common(identities, pins, v).persist()
+            try:
+                for x in built:
+                    x.count()
+            except Exception:
+                for x in built:
+                    x.unpersist()
+                raise
+            cls._kept[key] = built
+        return cls._kept[key]
+
+    @classmethod
+    def release(cls) -> None:
+        for built in cls._kept.values():
+            for x in built:
+                x.unpersist()
+        cls._kept.clear()

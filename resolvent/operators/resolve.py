@@ -18,27 +18,28 @@ def _hits(inputs: DataFrame, keys: list[str], cands: Column, exact: DataFrame, c
     return found.where("method is not null or cids is not null").withColumn("n_ids", F.coalesce(F.size("cids"), F.lit(0)))
 
 
-def _finish(inputs: DataFrame, keys: list[str], grouped: DataFrame, cid: Column, method: Column, ids: Column) -> DataFrame:
-    picked = grouped.select(*[F.col(k).alias(f"_{k}") for k in keys], cid.alias("canonical_id"), method.alias("match_method"), ids.alias("candidates"))
+def _finish(inputs: DataFrame, keys: list[str], grouped: DataFrame, cid: Column, method: Column, ids: Column, **more: Column) -> DataFrame:
+    picked = grouped.select(*[F.col(k).alias(f"_{k}") for k in keys], cid.alias("canonical_id"), method.alias("match_method"), ids.alias("candidates"), *[c.alias(k) for k, c in more.items()])
     every = inputs.select(*keys).distinct()
     same = None
     for k in keys:
         c = every[k].eqNullSafe(picked[f"_{k}"])
         same = c if same is None else same & c
     out = every.join(picked, same, "left")
-    return out.select(*keys, "canonical_id", F.coalesce("match_method", F.lit("unresolved")).alias("match_method"), "candidates")
+    return out.select(*keys, "canonical_id", F.coalesce("match_method", F.lit("unresolved")).alias("match_method"), "candidates", *more)
 
 
 def resolve_serving(inputs: DataFrame, exact: DataFrame, common: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
-    """``inputs(latin, label)``: candidate by candidate, exact before common; the first hit decides, ambiguous or not."""
+    """``inputs(latin, label)``: candidate by candidate, exact before common; the first hit decides, ambiguous or not, and is
+    given as ``matched``."""
     keys = ["latin", "label"]
     hits = _hits(inputs, keys, serving_candidates("latin", "label", v), exact, common)
-    first = hits.groupBy(*keys).agg(F.min_by(F.struct("canonical_id", "method", "cids", "n_ids"), "pos").alias("h"))
+    first = hits.groupBy(*keys).agg(F.min_by(F.struct("canonical_id", "method", "cids", "n_ids", "cand"), "pos").alias("h"))
     sure = F.col("h.method").isNotNull()
     one = F.col("h.n_ids") == 1
     cid = F.when(sure, F.col("h.canonical_id")).when(one, F.get("h.cids", F.lit(0)))
     method = F.when(sure, F.col("h.method")).when(one, "common_name_exact_unique").otherwise("ambiguous")
-    return _finish(inputs, keys, first, cid, method, F.when(~sure & ~one, F.col("h.cids")))
+    return _finish(inputs, keys, first, cid, method, F.when(~sure & ~one, F.col("h.cids")), matched=F.col("h.cand"))
 
 
 def resolve_catalogue(inputs: DataFrame, exact: DataFrame, common: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
@@ -72,10 +73,10 @@ def resolve_ingest(inputs: DataFrame, exact: DataFrame, common: DataFrame, v: Vo
     return _finish(inputs, keys, g, cid, method, F.when(~sure & (n > 1), F.col("u")).when(~sure & (n == 0), F.col("m")))
 
 
-def resolve_longest(inputs: DataFrame, exact: DataFrame, common: DataFrame) -> DataFrame:
+def resolve_longest(inputs: DataFrame, exact: DataFrame, common: DataFrame, v: Vocabulary = DEFAULT) -> DataFrame:
     """``inputs(title)``: of all exact and unique common hits the one with the most words, exact before common, then the
     earliest; ``shortest`` is the id that the fewest words would give; ambiguous only without any such hit."""
-    hits = _hits(inputs, ["title"], ngram_candidates("title"), exact, common).withColumn("nt", F.size(F.split("key", " ")))
+    hits = _hits(inputs, ["title"], ngram_candidates("title", v), exact, common).withColumn("nt", F.size(F.split("key", " ")))
     hit = F.struct(F.coalesce("canonical_id", F.get("cids", F.lit(0))).alias("cid"), F.coalesce("method", F.lit("common_name_exact_unique")).alias("how"))
     rows = hits.withColumn("ok", F.col("method").isNotNull() | (F.col("n_ids") == 1)).withColumn("hit", hit).withColumn("kind", F.col("method").isNotNull().cast("int"))
     g = rows.groupBy("title").agg(
@@ -84,9 +85,7 @@ def resolve_longest(inputs: DataFrame, exact: DataFrame, common: DataFrame) -> D
         F.expr("min_by(cids, struct(-nt, pos)) FILTER (WHERE NOT ok)").alias("m"),
     )
     sure = F.col("e").isNotNull()
-    short = g.select(F.col("title").alias("_t"), F.col("s.cid").alias("shortest"))
-    out = _finish(inputs, ["title"], g, F.col("e.cid"), F.when(sure, F.col("e.how")).otherwise("ambiguous"), F.when(~sure, F.col("m")))
-    return out.join(short, out["title"].eqNullSafe(short["_t"]), "left").drop("_t")
+    return _finish(inputs, ["title"], g, F.col("e.cid"), F.when(sure, F.col("e.how")).otherwise("ambiguous"), F.when(~sure, F.col("m")), shortest=F.col("s.cid"))
 
 
 def status_of(canonical_id: Column, method: Column) -> Column:

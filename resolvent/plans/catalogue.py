@@ -6,7 +6,7 @@ types, suppliers and small decision tables are derived by fixed rules, the same
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -26,7 +26,7 @@ def identities(spark: SparkSession, sf: str) -> DataFrame:
     n = names(spark, sf)
     cap = F.concat(F.upper(F.substring("noun", 1, 1)), F.substr("noun", F.lit(2)))
     return n.select(
-        F.row_number().over(Window.orderBy(F.concat_ws("-", "adj", "noun"))).alias("rec_ord"), F.concat_ws("-", "adj", "noun").alias("canonical_id"),
+        F.concat_ws("-", "adj", "noun").alias("rec_ord"), F.concat_ws("-", "adj", "noun").alias("canonical_id"),
         F.concat_ws(" ", cap, "adj").alias("accepted_name"), F.array("p_name").alias("original_parsed_names"),
         F.array(F.concat(F.col("noun"), F.lit("us "), F.col("adj"))).alias("scientific_synonyms"),
         F.when(F.col("adj") == "blue", F.array(F.concat(F.col("noun"), F.lit(" azure")))).otherwise(F.array().cast("array<string>")).alias("trade_synonyms"),
@@ -34,6 +34,49 @@ def identities(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _case(default, cases: dict[str, object]):
+    """A value per record, by its id."""
+    out = None
+    for k, x in cases.items():
+        hit = F.col("canonical_id") == k
+        x = x if not isinstance(x, str) and x is not None else F.lit(x)
+        out = F.when(hit, x) if out is None else out.when(hit, x)
+    return out.otherwise(default)
+
+
+#: Provenance of records, by id; the others have that of their adjective or a plain one.
+PROVENANCE = {
+    "red-rod": '{"enriched_by": "w1"}', "red-bolt": '{"enriched_by": []}', "red-ring": None, "red-plate": "text", "red-gear": '{"note": 1}',
+    "blue-rod": '{"accepted_outside_authority": true, "resolved_by": "owner"}', "blue-gear": '{"accepted_outside_authority": true, "resolved_by": "Authority", "query_date": "2024-01-01"}',
+    "blue-bolt": '{"accepted_outside_authority": true, "authority": "a", "recheck": {"query_date": "2024-01-01"}}',
+}
+PROVENANCE_OF = {"red": '{"enriched_by": ["w1"]}', "blue": '{"accepted_outside_authority": true, "resolved_by": "owner", "review_date": "2024-02-01"}'}
+PLAIN_PROVENANCE = '{"authority": "a", "query_date": "2024-01-01"}'
+#: Fields of records that differ from what the name says, by id.
+ACCEPTED = {"old-bolt": None, "old-rod": "rod Old 3", "old-plate": "Anvil red", "cold-anvil": "Anvil × cold"}
+AUTHORITY = {**ACCEPTED, "old-gear": "Gear antiqua"}
+STATUS = {"old-bolt": "trade_ambiguous", "old-ring": "species_ambiguous", "hot-gear": "genus_level", "new-gear": "genus_level"}
+RANK = {"hot-bolt": "CLADE", "hot-gear": "VARIETY", "new-gear": "GENUS", "hot-plate": None}
+DISPLAY = {"old-bolt": None, "old-ring": None, "cold-ring": "Cold ring", "cold-gear": "Trade gear", "cold-rod": "Rod cold"}
+TRADE = {"cold-gear": "Trade gear", "cold-rod": "Rod cold", "cold-plate": "Other plate"}
+
+
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """The identities as full records, with a few that each audit must find; one record is there twice."""
+    i = identities(spark, sf).withColumn("adj", F.split("canonical_id", "-")[0]).withColumn("noun", F.split("canonical_id", "-")[1])
+    cap = F.initcap("noun")
+    own = F.col("accepted_name")
+    out = i.select(
+        "rec_ord", "canonical_id", _case(own, ACCEPTED).alias("accepted_name"), _case(own, AUTHORITY).alias("authority_accepted_name"), "original_parsed_names",
+        _case(F.array(F.concat(cap, F.lit("us "), F.col("adj"))), {"cold-bolt": F.array(F.lit("bad Synonym"), F.lit("Boltus cold")), "new-rod": F.array(F.lit("Rod old"), F.lit("Gizmo novus"), F.lit("Holy basil"))}).alias("scientific_synonyms"),
+        "trade_synonyms", _case(F.col("common_names"), {"new-plate": F.array().cast("array<string>"), "new-anvil": F.array(F.lit("anvil"))}).alias("common_names"),
+        _case(F.lit("SPECIES"), RANK).alias("accepted_rank"), _case(cap, {"hot-ring": None}).alias("genus"), F.col("adj").alias("species"), _case(F.lit(None).cast("string"), {"hot-rod": "x"}).alias("infraspecific_epithet"),
+        _case(F.lit("accepted"), STATUS).alias("resolution_status"), _case(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PROVENANCE_OF.items() for x in kv]), F.col("adj")), F.lit(PLAIN_PROVENANCE)), PROVENANCE).alias("provenance"),
+        _case(F.lit(None).cast("string"), TRADE).alias("trade_primary_name"), _case(_case(own, AUTHORITY), DISPLAY).alias("canonical_display_name"),
+    )
+    return out.unionByName(out.where("canonical_id = 'new-bolt'"))
+
+
 def pins(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PINS, "key string, pin string")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import security
-from ..operators import audit, decide, index, limiter
+from ..operators import audit, decide, limiter
 from ..session import table
 from . import catalogue as c
 from . import sql as q
@@ -34,7 +34,7 @@ def candidate_assess(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def procurement_match(spark: SparkSession, sf: str) -> DataFrame:
-    stock = c.titles(spark, sf).where("p_size <= 25").join(c.type_map(spark), F.col("p_type") == F.col("map_type")).select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("canonical_id"), "base")
+    stock = c.titles(spark, sf).join(c.type_map(spark), F.col("p_type") == F.col("map_type")).select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("canonical_id"), "base")
     stock = stock.where(~F.col("canonical_id").startswith("red-"))
     targets = c.identities(spark, sf).select("canonical_id", F.explode(F.array(F.lit("MP"), F.lit("SD"))).alias("target"))
     return decide.procurement(targets, stock).select("canonical_id", "target", "match_class", "route")
@@ -59,13 +59,36 @@ def limiter_distinct_set(spark: SparkSession, sf: str) -> DataFrame:
     return limiter.anchored_set(table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type"), "user_id", "event_type", 5 * limiter.DAY).select("event_id", "size")
 
 
-#: Limits that the sparse events of the driver reach.
-LIMITS = limiter.Limits(transport=(("transport_per_day", limiter.DAY, 40),), counters=(("per_hour", limiter.HOUR, 1), ("per_day", limiter.DAY, 4)), members=("unique_botanicals", 3 * limiter.DAY, 3), cells=None, formats=None)
+#: Limits that the sparse events of the driver reach, every check of the chain among them.
+LIMITS = limiter.Limits(
+    transport=(("transport_per_day", limiter.DAY, 40),), counters=(("per_hour", limiter.HOUR, 1), ("per_day", limiter.DAY, 4)), members=("unique_botanicals", 3 * limiter.DAY, 3),
+    cells=("enumeration", 4 * limiter.DAY, 4), formats=("candidate_enumeration", 9 * limiter.DAY, 1),
+)
+#: By how much event times are squeezed together for the published limits.
+SQUEEZE = 5000
 
 
-def limiter_chain(spark: SparkSession, sf: str) -> DataFrame:
+def _events(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type").withColumn("transport", F.pmod("user_id", F.lit(10)))
-    return limiter.limiter_chain(e, LIMITS, "user_id", "transport", "event_type", None, None).select("event_id", "reason")
+    k = lambda n: F.pmod("event_id", F.lit(n)).cast("string")
+    return e.withColumns({"cell": F.when(F.col("event_id") % 9 != 0, k(7)), "code": F.when(F.col("event_id") % 4 != 0, k(3)), "botanical": F.concat(F.lit(" B"), k(41), F.lit(" ")), "wide_cell": k(15), "wide_code": k(5)})
+
+
+def limiter_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return limiter.limiter_chain(_events(spark, sf), LIMITS, "user_id", "transport", "event_type", "cell", "code").select("event_id", "reason", "challenge")
+
+
+def _squeezed(spark: SparkSession, sf: str) -> DataFrame:
+    return _events(spark, sf).withColumn("ts", F.timestamp_micros(F.floor(limiter.micros("ts") / SQUEEZE)))
+
+
+def limiter_published(spark: SparkSession, sf: str) -> DataFrame:
+    """The published limits, on events squeezed into some minutes."""
+    return limiter.limiter_chain(_squeezed(spark, sf), limiter.Limits(), "user_id", "transport", "botanical", "wide_cell", "wide_code").select("event_id", "reason", "challenge")
+
+
+def limiter_precheck(spark: SparkSession, sf: str) -> DataFrame:
+    return limiter.limiter_chain(_squeezed(spark, sf), limiter.PRE_CHECK, "user_id", None, "botanical", None, None).select("event_id", "reason")
 
 
 def fanout_gauge(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,63 +110,51 @@ def canonical_message(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def request_signing(spark: SparkSession, sf: str) -> DataFrame:
-    """HMAC signatures, tokens and their verification; held against published vectors in the tests."""
-    e = table(spark, sf, "events").select("event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("now"))
-    claims = F.struct(F.lit(1).alias("v"), F.col("event_type").alias("cid"), F.lit("p").alias("product"), F.lit("r").alias("role"), F.lit("MP").alias("sf"), F.col("now").alias("iat"), (F.col("now") + 300).alias("exp"))
-    t = e.withColumn("token", security.encode_token(claims, b"key")).withColumn("later", F.col("now") + F.pmod("event_id", F.lit(500)))
-    return t.select("event_id", security.hmac_sha256("event_type", b"key").alias("hmac"), security.verify_token("token", F.col("later"), b"key")["reason"].alias("reason"))
+    """HMAC signatures, tokens and what their verification says: eight kinds of token, checked some time later."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("now")).withColumn("k", F.pmod("event_id", F.lit(8)))
+    k, iat = F.col("k"), F.col("now") + F.when(F.col("k") == 6, 100).otherwise(0)
+    life = F.when(k == 5, -1).when(k == 7, 361).when(k == 0, 360).otherwise(300)
+    claims = F.struct(F.when(k == 3, 2).otherwise(1).alias("v"), F.col("event_type").alias("cid"), F.lit("p").alias("product"), F.lit("r").alias("role"), F.lit("MP").alias("sf"), F.when(k != 4, iat).alias("iat"), (iat + life).alias("exp"))
+    t = e.withColumn("token", security.encode_token(claims, b"key")).withColumn("later", F.col("now") + F.when(k == 6, F.pmod("event_id", F.lit(80))).otherwise(F.pmod("event_id", F.lit(500))))
+    sent = F.when(k == 1, F.concat("token", F.lit(".x"))).when(k == 2, F.concat("token", F.lit("x"))).otherwise(F.col("token"))
+    return t.select("event_id", security.hmac_sha256("event_type", b"key").alias("hmac"), security.verify_token(sent, F.col("later"), b"key")["reason"].alias("reason"))
 
 
 def client_address(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id")
-    octet = F.pmod("event_id", F.lit(300)).cast("string")
-    forwarded = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("10.0.0.1, 10.0.0."), octet)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("junk, 10.0.1."), octet, F.lit(":80, 192.168.0.9"))).otherwise("")
-    return e.select("event_id", security.client_ip(forwarded, F.lit("192.168.0.9")).alias("ip"))
-
-
-def request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Forwarded lists of eight kinds behind a transport; its own hop at the end is peeled, and a malformed last hop falls back."""
+    n = F.pmod("event_id", F.lit(300)).cast("string")
+    join = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    kinds = [
+        join("10.0.0.1, 10.0.0.", n), join("junk, 10.0.1.", n, ":80, 192.168.0.9"), F.lit(""), join("::ffff:1.2.3.", n, " "), join("8.8.8.8,[2001:db8::", F.lower(F.hex(F.pmod("event_id", F.lit(300)))), "%eth0]:443"),
+        F.lit("01.02.03.04"), F.lit("1.2.3.4, junk"), F.lit("192.168.0.9"), join("1:2:3:4:5:6:7", F.when(F.col("event_id") % 2 == 0, ":8").otherwise("")),
+    ]
+    forwarded = F.get(F.array(*kinds), F.pmod("event_id", F.lit(len(kinds))).cast("int"))
+    return table(spark, sf, "events").select("event_id", security.client_ip(forwarded, F.lit("192.168.0.9")).alias("ip"))
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as requests, one fault or two in most of them."""
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    keys = F.when(F.col("p_size") == 1, F.array(F.lit("product"), F.lit("odd"))).otherwise(F.array(F.lit("product"), F.lit("role")))
-    name = F.when(F.col("p_size") == 2, " ").when(F.col("p_size") == 3, F.repeat("p_name", 20)).otherwise(F.col("p_name"))
-    product = F.when(F.col("p_size") == 4, F.col("p_brand")).otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))))
-    reason = security.validate_request(("product", "role", "botanical"), keys, product, F.lower("p_type"), name, F.when(F.col("p_size") == 5, "QQ"), ("MP", "RE"))
-    return p.select("p_partkey", reason.alias("reason"))
-
-
-def audit_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
-    i = c.identities(spark, sf)
-    i = i.withColumn("accepted_name", F.when(F.col("rec_ord") == 1, None).when(F.col("rec_ord") == 2, "Gear red").when(F.col("rec_ord") == 3, "bad Name 3").otherwise(F.col("accepted_name"))).withColumn("scientific_synonyms", F.when(F.col("rec_ord") == 5, F.array("accepted_name")).otherwise(F.col("scientific_synonyms")))
-    return audit.taxonomy_audit(i)
-
-
-def audit_normalisation(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.normalisation_audit(c.identities(spark, sf).withColumn("trade_synonyms", F.when(F.col("rec_ord") <= 2, F.array(F.lit("Café  rod"))).otherwise(F.col("trade_synonyms"))))
-
+    s = F.col("p_size")
+    fields = F.array(F.lit("product"), F.lit("role"), F.when(s == 1, "odd").otherwise("botanical"))
+    name = F.when(s.isin(2, 9), " ").when(s == 3, F.repeat("p_name", 20)).otherwise(F.col("p_name"))
+    return p.select(
+        "p_partkey", F.when(s != 8, fields).alias("keys"), F.when(s != 4, F.col("p_brand")).alias("product"), F.when(s == 6, F.concat("p_type", F.lit("?"))).otherwise(F.col("p_type")).alias("role"), name.alias("botanical"),
+        F.when(s.isin(7, 9), "a b").when(s > 40, F.repeat(F.lit("x"), 2 * s - 20)).alias("session"), F.when(s.isin(5, 10), "QQ").when(s > 30, "MP").alias("code"),
+    )
 
-def _indices(spark: SparkSession, sf: str):
-    i = c.identities(spark, sf)
-    return i, index.exact_index(i), index.serving_common(i, c.pins(spark))
 
-
-def audit_resolver_self(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.resolver_self_test(*_indices(spark, sf))
-
-
-def audit_schema(spark: SparkSession, sf: str) -> DataFrame:
-    i = c.identities(spark, sf)
-    g = i.select("canonical_id").unionByName(i.where("rec_ord <= 4").select(F.concat("canonical_id", F.lit("-x")).alias("canonical_id")))
-    return audit.schema_audit(i.withColumn("common_names", F.when(F.col("rec_ord") == 7, F.array().cast("array<string>")).otherwise(F.col("common_names"))), g)
-
-
-def coverage_siblings(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.sibling_coverage(c.identities(spark, sf))
+def request_validation(spark: SparkSession, sf: str) -> DataFrame:
+    known = c.cells(spark, sf).select("product", "role", F.lit(True).alias("known"))
+    r = _requests(spark, sf).join(known, ["product", "role"], "left")
+    reason = security.validate_request(F.col("keys"), F.col("product"), F.col("role"), F.col("botanical"), F.col("session"), F.col("code"), ("MP", "RE"), F.col("known"))
+    return r.select("p_partkey", reason.alias("reason"))
 
 
-def corpus_regression(spark: SparkSession, sf: str) -> DataFrame:
-    i, exact, common = _indices(spark, sf)
-    full = i.select(F.col("accepted_name").alias("query"), F.when(F.col("rec_ord") % 9 == 0, "policy_dependent").otherwise("resolved").alias("expected_status"), F.when(F.col("rec_ord") % 5 == 0, "blue-rod").otherwise(F.col("canonical_id")).alias("expected_identity"))
-    noun = i.select(F.split(F.col("original_parsed_names")[0], " ")[1].alias("query")).distinct().select("query", F.lit("ambiguous").alias("expected_status"), F.lit(None).cast("string").alias("expected_identity"))
-    return audit.corpus_regression(full.unionByName(noun), exact, common)
+def procurement_validation(spark: SparkSession, sf: str) -> DataFrame:
+    r = _requests(spark, sf)
+    keys = F.when(F.col("keys").isNotNull(), F.array(F.lit("specification_token"), F.when(F.array_contains("keys", "odd"), "spec").otherwise("session_id")))
+    return r.select("p_partkey", security.validate_procurement(keys, F.trim("botanical"), F.col("session")).alias("reason"))
 
 
 def parity_guard(spark: SparkSession, sf: str) -> DataFrame:
@@ -162,7 +173,7 @@ def leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in paths], "path string")
 
 
-QUERIES = {f.__name__: f for f in (ladder_select, reason_rules, message_build, candidate_assess, procurement_match, completeness_full_join, response_minimise, limiter_counter_anchored, limiter_distinct_set, limiter_chain, fanout_gauge, freshness_filter, canonical_message, request_signing, client_address, request_validation, audit_taxonomy, audit_normalisation, audit_resolver_self, audit_schema, coverage_siblings, corpus_regression, parity_guard, version_check, leakage_scan)}
+QUERIES = {f.__name__: f for f in (ladder_select, reason_rules, message_build, candidate_assess, procurement_match, completeness_full_join, response_minimise, limiter_counter_anchored, limiter_distinct_set, limiter_chain, limiter_published, limiter_precheck, fanout_gauge, freshness_filter, canonical_message, request_signing, client_address, request_validation, procurement_validation, parity_guard, version_check, leakage_scan)}
 
 # CRC-32 is no SQL function of the other engine: the cells' number comes from a table of the part brands and types.
 _PH = "[" + ", ".join(f"'{p}'" for p in c.PHASES) + "]"
@@ -187,17 +198,47 @@ sel AS (SELECT p.*, coalesce(best, conditional[1]) AS selected, CASE WHEN best I
 _ORDERED = "ev AS (SELECT *, epoch_us(ts) AS t FROM events), o AS (SELECT event_id, user_id, user_id % 10 AS transport, event_type, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM ev)"
 
 
-def _chain() -> str:
-    hour, day = limiter.HOUR, limiter.DAY
-    return f"""WITH RECURSIVE ev AS (SELECT *, epoch_us(ts) AS t, user_id % 10 AS tr FROM events), a AS (SELECT *, row_number() OVER (PARTITION BY tr ORDER BY t, event_id) AS k FROM ev),
-ta AS (SELECT tr, k, event_id, t AS s, 1 AS n FROM a WHERE k = 1 UNION ALL SELECT a.tr, a.k, a.event_id, CASE WHEN a.t - s >= {day} THEN a.t ELSE s END, CASE WHEN a.t - s >= {day} THEN 1 ELSE n + 1 END FROM ta JOIN a ON a.tr = ta.tr AND a.k = ta.k + 1),
-adm AS (SELECT a.*, row_number() OVER (PARTITION BY user_id ORDER BY a.t, a.event_id) AS j FROM a JOIN ta USING (event_id) WHERE ta.n <= 40),
-st AS (SELECT user_id, j, event_id, t AS hs, 1 AS hn, t AS ds, 1 AS dn, t AS ms, [event_type] AS mem, NULL::VARCHAR AS reason FROM adm WHERE j = 1
-  UNION ALL SELECT user_id, j, event_id, hs, hn, CASE WHEN hn > 1 THEN ds ELSE ds2 END, CASE WHEN hn > 1 THEN dn ELSE dn2 END, CASE WHEN hn > 1 OR dn2 > 4 THEN ms ELSE ms2 END, CASE WHEN hn > 1 OR dn2 > 4 THEN mem ELSE mem2 END,
-    CASE WHEN hn > 1 THEN 'per_hour' WHEN dn2 > 4 THEN 'per_day' WHEN len(mem2) > 3 THEN 'unique_botanicals' END
-  FROM (SELECT a.user_id, a.j, a.event_id, CASE WHEN a.t - hs >= {hour} THEN a.t ELSE hs END AS hs, CASE WHEN a.t - hs >= {hour} THEN 1 ELSE hn + 1 END AS hn, ds, dn, CASE WHEN a.t - ds >= {day} THEN a.t ELSE ds END AS ds2, CASE WHEN a.t - ds >= {day} THEN 1 ELSE dn + 1 END AS dn2,
-    ms, mem, CASE WHEN a.t - ms >= {3 * day} THEN a.t ELSE ms END AS ms2, CASE WHEN a.t - ms >= {3 * day} THEN [a.event_type] ELSE list_distinct(list_append(mem, a.event_type)) END AS mem2 FROM st JOIN adm a ON a.user_id = st.user_id AND a.j = st.j + 1))
-SELECT event_id, reason FROM st UNION ALL SELECT event_id, 'transport_per_day' FROM ta WHERE n > 40"""
+def _chain(limits: limiter.Limits, source: str, member: str, cell: str | None, code: str | None, challenge: bool = True) -> str:
+    """The chain as one recursion for each check, over what the checks before it admit."""
+    parts, steps, n = [f"a0 AS ({source})"], [], 0
+
+    def check(name: str, keys: str, width: int, most: int, value: str | None) -> None:
+        nonlocal n
+        where = "" if value is None else f" WHERE {value} IS NOT NULL" + (f" AND {cell} IS NOT NULL" if "," in keys else "")
+        on = " AND ".join(f"o.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+        own = ", ".join(f"o.{k.strip()}" for k in keys.split(","))
+        start, more = ("1::BIGINT", "n + 1") if value is None else (f"[{value}]", f"list_distinct(list_append(n, o.{value}))")
+        again = "1" if value is None else f"[o.{value}]"
+        parts.append(f"o{n} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY t, event_id) AS k FROM a{n}{where})")
+        parts.append(f"r{n} AS (SELECT {keys}, k, event_id, t AS s, {start} AS n FROM o{n} WHERE k = 1 UNION ALL SELECT {own}, o.k, o.event_id, CASE WHEN o.t - s >= {width} THEN o.t ELSE s END, CASE WHEN o.t - s >= {width} THEN {again} ELSE {more} END FROM r{n} r JOIN o{n} o ON {on} AND o.k = r.k + 1)")
+        parts.append(f"x{n} AS (SELECT event_id FROM r{n} WHERE {'n' if value is None else 'len(n)'} > {most})")
+        parts.append(f"a{n + 1} AS (SELECT * FROM a{n} WHERE event_id NOT IN (SELECT event_id FROM x{n}))")
+        steps.append(f"SELECT event_id, '{name}' AS reason FROM x{n}")
+        n += 1
+
+    for name, width, most in limits.transport:
+        check(name, "transport", width, most, None)
+    for name, width, most in limits.counters:
+        check(name, "user_id", width, most, None)
+    if limits.members:
+        check(limits.members[0], "user_id", limits.members[1], limits.members[2], member)
+    if limits.cells and cell:
+        check(limits.cells[0], "user_id", limits.cells[1], limits.cells[2], cell)
+    if limits.formats and code:
+        check(limits.formats[0], f"user_id, {cell}", limits.formats[1], limits.formats[2], code)
+    last = ", reason IS NOT DISTINCT FROM 'enumeration' AS challenge" if challenge else ""
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT event_id, reason{last} FROM ({' UNION ALL '.join(steps)} UNION ALL SELECT event_id, NULL FROM a{n})"
+
+
+_EV = "SELECT event_id, user_id, user_id % 10 AS transport, event_type, {t} AS t, CASE WHEN event_id % 9 <> 0 THEN (event_id % 7)::VARCHAR END AS cell, CASE WHEN event_id % 4 <> 0 THEN (event_id % 3)::VARCHAR END AS code, 'b' || event_id % 41 AS botanical, (event_id % 15)::VARCHAR AS wide_cell, (event_id % 5)::VARCHAR AS wide_code FROM events"
+_SQUEEZED = _EV.format(t=f"epoch_us(ts) // {SQUEEZE}")
+
+
+def _hmac(message: str, secret: bytes) -> str:
+    """HMAC-SHA256 as hex, from two nested hashes over the padded key."""
+    key = secret.ljust(64, b"\0")
+    pad = lambda x: bytes(b ^ x for b in key).hex()
+    return f"sha256(unhex('{pad(0x5C)}') || unhex(sha256(unhex('{pad(0x36)}') || encode({message}))))"
 
 
 ORACLE_SQL = {
@@ -212,28 +253,27 @@ ORACLE_SQL = {
       CASE WHEN a.code = 'SE' THEN 'review' WHEN f.tier IS NULL THEN 'not_evaluated' WHEN f.tier = 'ok' THEN 'best' WHEN f.tier = 'warn' THEN 'conditional' ELSE 'unsuitable' END AS status,
       CASE WHEN a.code = 'SE' THEN 'overlay_not_a_format' WHEN f.tier IS NULL THEN 'not_evaluated_for_role' WHEN f.note IS NOT NULL THEN 'Check the grade of ' || a.code || '.' ELSE 'default_' || CASE WHEN f.tier IN ('ok', 'warn') THEN f.tier ELSE 'avoid' END END AS explanation
       FROM cells c, (VALUES ('MP'), ('RE'), ('OE'), ('SD'), ('SE')) AS a(code) LEFT JOIN fmt f ON f.product = c.product AND f.role = c.role AND f.code = a.code""",
-    "procurement_match": f"""WITH {q.IDENTITIES}, {q.TITLES}, {q.TYPES}, stock AS (SELECT replace(p_name, ' ', '-') AS canonical_id, list(DISTINCT base) AS have FROM titled JOIN tmap ON p_type = map_type WHERE p_size <= 25 AND p_name NOT LIKE 'red %' GROUP BY 1), t AS (SELECT canonical_id, unnest(['MP', 'SD']) AS target FROM ident)
+    "procurement_match": f"""WITH {q.IDENTITIES}, {q.TITLES}, {q.TYPES}, stock AS (SELECT replace(p_name, ' ', '-') AS canonical_id, list(DISTINCT base) AS have FROM titled JOIN tmap ON p_type = map_type WHERE p_name NOT LIKE 'red %' GROUP BY 1), t AS (SELECT canonical_id, unnest(['MP', 'SD']) AS target FROM ident)
       SELECT canonical_id, target, CASE WHEN list_contains(have, target) THEN 'exact_match' WHEN have IS NOT NULL THEN 'compatible_alternative' ELSE 'ask_us_to_source' END AS match_class, CASE WHEN list_contains(have, target) THEN 'catalogue' WHEN have IS NOT NULL THEN 'catalogue_alternative' ELSE 'request_sourcing' END AS route FROM t LEFT JOIN stock USING (canonical_id)""",
     "completeness_full_join": f"WITH {_CELLS} SELECT product, role, 'missing_message' AS problem FROM cells WHERE k % 7 = 0 UNION ALL SELECT product || 'x', role, 'orphan_message' FROM cells WHERE k = 14",
     "response_minimise": f"WITH {_CELLS} SELECT product, role, category, selected, CASE WHEN k % 2 = 0 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN category = '1' AND selected IS NOT NULL THEN 'r' END AS reasoning, CASE WHEN category = '1' AND selected IS NOT NULL AND k % 2 = 0 THEN 't' END AS token FROM sel",
     "limiter_counter_anchored": f"WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, k, event_id, t AS s, 1::BIGINT AS n FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN o.t - s >= {limiter.DAY} THEN o.t ELSE s END, CASE WHEN o.t - s >= {limiter.DAY} THEN 1 ELSE n + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT event_id, n, n <= 3 AS ok FROM r",
     "limiter_distinct_set": f"WITH RECURSIVE {_ORDERED}, r AS (SELECT user_id, k, event_id, t AS s, [event_type] AS m FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN o.t - s >= {5 * limiter.DAY} THEN o.t ELSE s END, CASE WHEN o.t - s >= {5 * limiter.DAY} THEN [o.event_type] ELSE list_distinct(list_append(m, o.event_type)) END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT event_id, len(m) AS size FROM r",
-    "limiter_chain": _chain(),
+    "limiter_chain": _chain(LIMITS, _EV.format(t="epoch_us(ts)"), "event_type", "cell", "code"),
+    "limiter_published": _chain(limiter.Limits(), _SQUEEZED, "botanical", "wide_cell", "wide_code"),
+    "limiter_precheck": _chain(limiter.PRE_CHECK, _SQUEEZED, "botanical", None, None, challenge=False),
     "fanout_gauge": "WITH f AS (SELECT event_id, user_id % 10 AS transport, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS first_ FROM events) SELECT event_id, transport, sum(first_::INT) OVER (PARTITION BY transport ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS n_keys FROM f",
     "freshness_filter": "SELECT event_id FROM events WHERE abs(event_id % 200 - 100) <= 60",
     "canonical_message": "SELECT event_id, 'kind=' || event_type || ',xuser=' || user_id AS message FROM events",
-    "client_address": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 300 <= 255 THEN '10.0.0.' || event_id % 300 ELSE '10.0.0.1' END WHEN 1 THEN CASE WHEN event_id % 300 <= 255 THEN '10.0.1.' || event_id % 300 ELSE '192.168.0.9' END ELSE '192.168.0.9' END AS ip FROM events",
-    "request_validation": "SELECT p_partkey, CASE p_size WHEN 1 THEN 'unknown_field' WHEN 2 THEN 'empty_botanical' WHEN 3 THEN 'long_botanical' WHEN 4 THEN 'bad_product' WHEN 5 THEN 'bad_candidate' END AS reason FROM part",
-    "audit_taxonomy": f"""WITH {q.IDENTITIES}, i AS (SELECT rec_ord, canonical_id, CASE rec_ord WHEN 1 THEN NULL WHEN 2 THEN 'Gear red' WHEN 3 THEN 'bad Name 3' ELSE accepted_name END AS a FROM ident)
-      SELECT count(*) AS n_records, count(*) FILTER (WHERE a IS NULL) AS no_accepted_name, count(*) FILTER (WHERE NOT regexp_matches(a, '^[A-Z][a-z]+ [a-z]+$')) AS ill_formed, 1::BIGINT AS self_synonym, 0::BIGINT AS duplicate_canonical_id, (SELECT count(*) FROM (SELECT lower(a) FROM i WHERE a IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS duplicate_accepted_name FROM i""",
-    "audit_normalisation": f"""WITH {q.IDENTITIES}, n AS (SELECT canonical_id, 'accepted_name' AS kind, accepted_name AS name FROM ident UNION ALL SELECT canonical_id, 'original_parsed_names', unnest(original_parsed_names) FROM ident UNION ALL SELECT canonical_id, 'scientific_synonyms', unnest(scientific_synonyms) FROM ident
-      UNION ALL SELECT canonical_id, 'trade_synonyms', unnest(CASE WHEN rec_ord <= 2 THEN ['Café  rod'] ELSE trade_synonyms END) FROM ident UNION ALL SELECT canonical_id, 'common_names', unnest(common_names) FROM ident), s AS (SELECT kind, {q.norm('name')} AS key, count(DISTINCT canonical_id) AS c FROM n GROUP BY ALL HAVING count(DISTINCT canonical_id) > 1)
-      SELECT kind, count(*) AS n_names, 0::BIGINT AS n_nbsp, count(*) FILTER (WHERE name LIKE '%  %') AS n_padded, count(*) FILTER (WHERE name LIKE '%é%') AS n_non_ascii, 0::BIGINT AS n_author, coalesce((SELECT count(*) FROM s WHERE s.kind = n.kind), 0) AS n_shared_keys FROM n GROUP BY kind""",
-    "audit_schema": f"WITH {q.IDENTITIES} SELECT 0::BIGINT AS null_ids, count(*) FILTER (WHERE rec_ord = 7) AS no_commons, count(*) FILTER (WHERE rec_ord <= 4) AS graph_orphans FROM ident",
-    "coverage_siblings": f"WITH {q.IDENTITIES} SELECT adj || noun AS key, canonical_id, split_part(accepted_name, ' ', 1) AS genus, count(*) OVER (PARTITION BY noun) AS n_species FROM ident JOIN names ON canonical_id = adj || '-' || noun",
-    "corpus_regression": f"""WITH {q.IDENTITIES}, f AS (SELECT accepted_name AS query, canonical_id, CASE WHEN rec_ord % 9 = 0 THEN 'confident_where_policy_decides' WHEN rec_ord % 5 = 0 AND canonical_id <> 'blue-rod' THEN 'wrong_identity' END AS failure FROM ident)
-      SELECT query, 'resolved' AS status, canonical_id, failure FROM f UNION ALL SELECT DISTINCT noun, CASE WHEN noun = 'gear' THEN 'resolved' ELSE 'ambiguous' END, CASE WHEN noun = 'gear' THEN 'hot-gear' END, CASE WHEN noun = 'gear' THEN 'wrong_status' END FROM names""",
+    "client_address": r"""WITH e AS (SELECT event_id, event_id % 300 AS n, event_id % 9 AS k FROM events), h AS (SELECT event_id, CASE k WHEN 0 THEN '10.0.0.' || n WHEN 1 THEN '10.0.1.' || n WHEN 3 THEN '::ffff:1.2.3.' || n WHEN 4 THEN '2001:db8::' || lower(to_hex(n)) WHEN 5 THEN '01.02.03.04' WHEN 6 THEN 'junk' WHEN 7 THEN '192.168.0.9' WHEN 8 THEN '1:2:3:4:5:6:7' || CASE WHEN event_id % 2 = 0 THEN ':8' ELSE '' END END AS hop FROM e),
+      o AS (SELECT *, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])' AS q FROM h)
+      SELECT event_id, CASE WHEN regexp_full_match(hop, q || '(\.' || q || '){3}') OR (hop LIKE '::ffff:%' AND regexp_full_match(hop[8:], q || '(\.' || q || '){3}')) OR (NOT contains(hop, '.') AND regexp_full_match(hop, '([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|2001:db8::[0-9a-f]{1,4}')) THEN hop ELSE '192.168.0.9' END AS ip FROM o""",
+    "request_signing": f"""WITH e AS (SELECT event_id, event_type, event_id % 8 AS k, event_id % 500 AS d FROM events) SELECT event_id, {_hmac('event_type', b'key')} AS hmac, CASE k WHEN 1 THEN 'malformed' WHEN 2 THEN 'bad_signature' WHEN 3 THEN 'bad_token_version' WHEN 4 THEN 'malformed' WHEN 5 THEN 'bad_expiry' WHEN 6 THEN CASE WHEN 100 > event_id % 80 + 60 THEN 'iat_in_future' END
+      WHEN 7 THEN CASE WHEN d > 361 THEN 'expired' ELSE 'ttl_too_long' END WHEN 0 THEN CASE WHEN d > 360 THEN 'expired' END END AS reason FROM e""",
+    "request_validation": r"""WITH r AS (SELECT p_partkey, p_size AS s, p_brand, p_type, CASE WHEN p_size IN (2, 9) THEN ' ' WHEN p_size = 3 THEN repeat(p_name, 20) ELSE p_name END AS botanical, CASE WHEN p_size IN (7, 9) THEN 'a b' WHEN p_size > 40 THEN repeat('x', 2 * p_size - 20) END AS session FROM part)
+      SELECT p_partkey, CASE WHEN s = 8 THEN 'bad_body' WHEN s = 1 THEN 'unexpected_field' WHEN s = 4 THEN 'missing_product_role' WHEN trim(botanical) = '' OR length(botanical) > 80 THEN 'bad_botanical' WHEN NOT regexp_full_match(session, '[A-Za-z0-9_-]{1,64}') THEN 'bad_session' WHEN s IN (5, 10) THEN 'bad_candidate_format' WHEN s = 6 THEN 'unknown_product_role' END AS reason FROM r""",
+    "procurement_validation": r"""WITH r AS (SELECT p_partkey, p_size AS s, CASE WHEN p_size IN (7, 9) THEN 'a b' WHEN p_size > 40 THEN repeat('x', 2 * p_size - 20) END AS session FROM part)
+      SELECT p_partkey, CASE WHEN s = 8 THEN 'bad_body' WHEN s = 1 THEN 'unexpected_field' WHEN s IN (2, 9) THEN 'missing_token' WHEN NOT regexp_full_match(session, '[A-Za-z0-9_-]{1,64}') THEN 'bad_session' END AS reason FROM r""",
     "parity_guard": "SELECT p_partkey FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 77 = 0",
     "version_check": "SELECT coalesce(first(n_name ORDER BY n_nationkey) FILTER (WHERE n_nationkey >= 7), 'ok') AS first_mismatch, count(*) FILTER (WHERE n_nationkey >= 7) AS n_mismatches FROM nation",
-    "audit_resolver_self": "SELECT NULL::VARCHAR AS name, NULL::VARCHAR AS problem, NULL::VARCHAR AS canonical_id, NULL::VARCHAR AS match_method WHERE false",
 }

@@ -47,9 +47,7 @@ def _observations(spark: SparkSession, sf: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf: str) -> DataFrame:
     family = F.coalesce(F.concat(F.lit("n"), F.col("family")), F.concat(F.lit("s"), F.col("entity_id")))
-    o = _observations(spark, sf).withColumn("_fam", family)
-    per = o.groupBy("entity_id", "_fam", *graph.FORM_KEY).agg(F.count("*").alias("n"))
-    return per.groupBy(*graph.FORM_KEY).agg(F.sum("n").alias("n_observations"), F.count_distinct("entity_id").alias("n_entities"), F.count_distinct("_fam").alias("n_families"))
+    return graph.form_graph(_observations(spark, sf).withColumn("_fam", family), "_fam")
 
 
 def form_graph_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -68,12 +66,13 @@ def dedup_collapsed(spark: SparkSession, sf: str) -> DataFrame:
 
 def nested_graph(spark: SparkSession, sf: str) -> DataFrame:
     n = graph.nested_graph(_graph(spark, sf))
-    return n.select("canonical_id", F.size("parts").cast("long").alias("n_parts"), F.aggregate(F.map_values("parts"), F.lit(0), lambda a, x: a + F.size(x)).cast("long").alias("n_forms"))
+    forms = F.transform(F.map_entries("parts"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.transform(e["value"], lambda f: F.concat(f["key"], F.lit("="), f["value"]["n_entities"], F.lit("/"), f["value"]["n_families"])), ",")))
+    return n.select("canonical_id", F.array_join(F.array_sort(forms), ";").alias("forms"))
 
 
 def conflict_detection(spark: SparkSession, sf: str) -> DataFrame:
     rows = c.catalogue(spark, sf).select(F.col("type").alias("raw"), "canonical_id")
-    return graph.conflicts(rows).select("raw", F.size("cids").cast("long").alias("n_ids"))
+    return graph.conflicts(rows)
 
 
 def format_normalise(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,15 +92,16 @@ def assay_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ocr_repair(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.pmod("p_partkey", F.lit(3))
+    """Names in joined case, glued ones (long, short, with a digit, with a genus of two letters) and whole ones."""
+    k = F.pmod("p_partkey", F.lit(6))
     p = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ")[0].alias("adj"), F.split("p_name", " ")[1].alias("noun"))
-    glued = F.when(k == 0, F.concat(F.initcap("adj"), F.initcap("noun"))).when(k == 1, F.concat(F.initcap("adj"), "noun")).otherwise(F.initcap("adj"))
-    genera = p.select(F.initcap("adj").alias("genus")).distinct()
+    glued = F.when(k == 0, F.concat(F.initcap("adj"), F.initcap("noun"))).when(k == 1, F.concat(F.initcap("adj"), "noun")).when(k == 2, F.concat(F.initcap("adj"), F.lit("1"), "noun", "noun")).when(k == 3, F.concat(F.lit("Io"), "adj", "noun")).when(k == 4, F.concat(F.lit(" "), F.initcap("adj"), F.lit("  "), "noun")).otherwise(F.concat(F.initcap("adj"), "noun", "noun"))
+    genera = p.select(F.initcap("adj").alias("genus")).unionByName(p.select(F.lit("Io").alias("genus"))).unionByName(p.where("adj = 'cold'").select(F.concat(F.initcap("adj"), "noun").alias("genus"))).distinct()
     return parsing.repair_names(p.select("p_partkey", glued.alias("name")), genera)
 
 
 def backbone_merge(spark: SparkSession, sf: str) -> DataFrame:
-    edges = spark.createDataFrame([("blue-rod", "cold-rod"), ("cold-rod", "hot-rod"), ("red-bolt", "hot-bolt"), ("no-such", "hot-bolt")], "absorb_id string, keep_id string")
+    edges = spark.createDataFrame([("blue-rod", "cold-rod", False), ("cold-rod", "hot-rod", False), ("red-bolt", "hot-bolt", False), ("no-such", "hot-bolt", False), ("red-gear", "hot-gear", True)], "absorb_id string, keep_id string, drop_name boolean")
     m = backbone.merge_records(c.identities(spark, sf), edges)
     return m.select("canonical_id", "accepted_name", "n_absorbed", F.array_join("scientific_synonyms", ",").alias("synonyms"), F.size("common_names").cast("long").alias("n_commons"))
 
@@ -113,26 +113,15 @@ def converged_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def backbone_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    d = c.titles(spark, sf).where("p_partkey % 6 = 0 and p_size <= 10").select(F.when(F.col("p_size") > 5, F.initcap("p_name")).otherwise(F.col("title")).alias("accepted_name"), F.array("p_type").alias("common_names"))
+    d = c.titles(spark, sf).where(F.col("title").rlike("^[A-Z][a-z]+ [a-z]+$")).select(F.when(F.col("p_size") > 5, F.initcap("p_name")).otherwise(F.col("title")).alias("accepted_name"), F.array("p_type").alias("common_names"))
     return backbone.upsert(c.identities(spark, sf), d).select("canonical_id", "inserted", F.col("n_added").cast("long").alias("n_added"), F.size("common_names").cast("long").alias("n_commons"))
 
 
 def slug_ids(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "part").select(F.concat(F.col("p_name"), F.when(F.col("p_size") > 25, F.lit("!")).otherwise("")).alias("group_key")).distinct()
+    n = table(spark, sf, "part").select(F.concat(F.col("p_name"), F.when(F.col("p_size") > 40, F.lit(" subsp. f. × forma")).when(F.col("p_size") > 25, F.lit("!")).otherwise("")).alias("group_key")).distinct()
     return backbone.with_ids(n)
 
 
-def authority_classes(spark: SparkSession, sf: str) -> DataFrame:
-    n = c.names(spark, sf)
-    cap = F.initcap("noun")
-    matches = n.select(F.col("p_name").alias("name"), F.when(F.col("adj").isin("blue", "cold"), "EXACT").when(F.col("adj") == "hot", "FUZZY").otherwise("NONE").alias("match_type"), F.when(F.col("adj") == "blue", "ACCEPTED").otherwise("SYNONYM").alias("status"), F.concat("p_name", F.lit("a")).alias("canonical"))
-    usages = n.where("adj in ('cold', 'new')").select(F.col("p_name").alias("name"), cap.alias("accepted")).unionByName(n.where("adj = 'new'").select(F.col("p_name").alias("name"), F.concat(cap, F.lit(" alba")).alias("accepted")))
-    done = backbone.classify_authority(n.select(F.col("p_name").alias("name")), matches, usages)
-    decisions = spark.createDataFrame([("red bolt", "exclude", None), ("red gear", "accept", "Gear")], "name string, action string, target string")
-    g = backbone.group_records(backbone.dispose(done, decisions))
-    return g.select("group_key", "accepted_name", "resolution_status", "ambiguity_flag", F.array_join("original_parsed_names", ",").alias("names"), "n_names", F.array_join("candidates", ",").alias("candidates"))
-
-
 def delta_examples(spark: SparkSession, sf: str) -> DataFrame:
     return graph.first_examples(c.titles(spark, sf).select("p_brand", "p_partkey", "title"), "p_brand", "p_partkey", "title").select("p_brand", F.array_join("examples", "|").alias("examples"))
 
@@ -150,7 +139,7 @@ def percentile_stat(spark: SparkSession, sf: str) -> DataFrame:
     return graph.percentile_floor(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", {"median": 0.5, "p95": 0.95})
 
 
-QUERIES = {f.__name__: f for f in (scan_catalogue, latin_key_groups, near_duplicates, type_map_split, supplier_gate, form_graph_long, corroboration_two_levels, dedup_collapsed, nested_graph, conflict_detection, format_normalise, assay_parse, ocr_repair, backbone_merge, converged_dedup, backbone_upsert, slug_ids, authority_classes, delta_examples, delta_type_promotion, topk_cohort, percentile_stat)}
+QUERIES = {f.__name__: f for f in (scan_catalogue, latin_key_groups, near_duplicates, type_map_split, supplier_gate, form_graph_long, corroboration_two_levels, dedup_collapsed, nested_graph, conflict_detection, format_normalise, assay_parse, ocr_repair, backbone_merge, converged_dedup, backbone_upsert, slug_ids, delta_examples, delta_type_promotion, topk_cohort, percentile_stat)}
 
 _OBS = f"{q.CATALOGUE}, obs AS (SELECT g.*, supplier_id AS entity_id, coalesce('n' || s_nationkey, 's' || supplier_id) AS fam FROM gated g LEFT JOIN supplier ON s_suppkey = supplier_id)"
 _LONG = f"{_OBS}, gl AS (SELECT canonical_id, part, base, overlays, count(*) AS n_observations, count(DISTINCT entity_id) AS n_entities, count(DISTINCT fam) AS n_families FROM obs GROUP BY ALL)"
@@ -164,7 +153,7 @@ ORACLE_SQL = {
     "form_graph_long": f"WITH {_LONG} SELECT * FROM gl",
     "corroboration_two_levels": f"WITH {_LONG} SELECT count(*) AS n_identities, count(*) FILTER (WHERE e >= 2) AS by_entities, count(*) FILTER (WHERE f >= 2) AS by_families FROM (SELECT canonical_id, max(n_entities) AS e, max(n_families) AS f FROM gl GROUP BY 1)",
     "dedup_collapsed": f"WITH {_OBS} SELECT entity_id AS supplier_id, count(*) AS n_forms, sum(n - 1)::BIGINT AS dup_collapsed FROM (SELECT entity_id, canonical_id, part, base, overlays, count(*) AS n FROM obs GROUP BY ALL) GROUP BY 1",
-    "nested_graph": f"WITH {_LONG} SELECT canonical_id, count(DISTINCT part) AS n_parts, count(*) AS n_forms FROM gl GROUP BY 1",
+    "nested_graph": f"WITH {_LONG}, f AS (SELECT canonical_id, part, base || CASE WHEN overlays <> '' THEN '+' || overlays ELSE '' END AS sig, n_entities, n_families FROM gl), p AS (SELECT canonical_id, part || ':' || string_agg(sig || '=' || n_entities || '/' || n_families, ',' ORDER BY sig) AS s FROM f GROUP BY canonical_id, part) SELECT canonical_id, string_agg(s, ';' ORDER BY s) AS forms FROM p GROUP BY 1",
     "conflict_detection": f"WITH {q.CATALOGUE} SELECT type AS raw, count(DISTINCT canonical_id) AS n_ids FROM cat WHERE canonical_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT canonical_id) > 1",
     "format_normalise": f"""WITH {q.TYPES}, t AS (SELECT p_partkey, base, overlays, CASE p_size % 5 WHEN 0 THEN 's' WHEN 1 THEN 'f' WHEN 2 THEN 'i' ELSE '' END AS k FROM part LEFT JOIN tmap ON p_type = map_type)
       SELECT p_partkey, CASE WHEN k = 'f' AND base IN ('MP', 'WD') THEN 'FD' ELSE base END AS base, CASE WHEN base IS NULL THEN NULL WHEN k = 's' OR overlays = 'SE' THEN 'SE' ELSE '' END AS overlays,
@@ -173,19 +162,19 @@ ORACLE_SQL = {
     "assay_parse": f"""WITH r AS (SELECT p_partkey, p_name, p_size, {_RAW} AS raw FROM part)
       SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN p_size || ':1' WHEN 1 THEN p_size || ':1' END AS ratio, CASE p_size % 6 WHEN 2 THEN p_size::DOUBLE WHEN 3 THEN p_size + 0.5::DOUBLE WHEN 4 THEN 95.0::DOUBLE END AS percent,
       CASE p_size % 6 WHEN 2 THEN 'HPLC' WHEN 3 THEN 'Gravimetric' END AS method, CASE p_size % 6 WHEN 2 THEN 'HPLC Solarin' WHEN 3 THEN 'Gr' END AS marker, CASE WHEN p_partkey % 3 = 0 THEN 'SD' ELSE 'RE' END AS base, CASE WHEN p_size % 6 IN (2, 3) THEN 'SE' ELSE '' END AS overlays FROM r""",
-    "ocr_repair": """WITH p AS (SELECT p_partkey, p_partkey % 3 AS k, upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] AS a, split_part(p_name, ' ', 2) AS n FROM part)
-      SELECT p_partkey, CASE k WHEN 0 THEN a || upper(n[1]) || n[2:] WHEN 1 THEN a || n ELSE a END AS name, CASE k WHEN 0 THEN a || ' ' || upper(n[1]) || n[2:] WHEN 1 THEN a || ' ' || n ELSE a END AS repaired, CASE k WHEN 0 THEN 'case_split' WHEN 1 THEN 'glued_genus_split' ELSE 'none' END AS repair FROM p""",
-    "backbone_merge": f"""WITH {q.IDENTITIES}, moved AS (SELECT *, CASE WHEN canonical_id IN ('blue-rod', 'cold-rod') THEN 'hot-rod' WHEN canonical_id = 'red-bolt' THEN 'hot-bolt' ELSE canonical_id END AS dest FROM ident),
-      syn AS (SELECT dest, unnest(CASE WHEN dest <> canonical_id THEN list_append(scientific_synonyms, accepted_name) ELSE scientific_synonyms END) AS s FROM moved), keep AS (SELECT canonical_id AS dest, accepted_name FROM moved WHERE dest = canonical_id)
+    "ocr_repair": r"""WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS n, upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] AS a FROM part),
+      g AS (SELECT DISTINCT a AS genus FROM p UNION SELECT 'Io' UNION SELECT a || n FROM p WHERE adj = 'cold'), nm AS (SELECT p_partkey, CASE k WHEN 0 THEN a || upper(n[1]) || n[2:] WHEN 1 THEN a || n WHEN 2 THEN a || '1' || n || n WHEN 3 THEN 'Io' || adj || n WHEN 4 THEN ' ' || a || '  ' || n ELSE a || n || n END AS name FROM p),
+      sp AS (SELECT p_partkey, name, trim(regexp_replace(name, ' +', ' ', 'g')) AS sq FROM nm), cs AS (SELECT *, regexp_replace(sq, '([a-z])([A-Z])', '\1 \2', 'g') AS c FROM sp),
+      best AS (SELECT p_partkey, max_by(genus, length(genus)) AS genus FROM cs JOIN g ON starts_with(lower(c), lower(genus)) AND length(c) - length(genus) >= 3 WHERE regexp_full_match(c, '[A-Za-z]{9,}') GROUP BY 1)
+      SELECT p_partkey, name, CASE WHEN genus IS NOT NULL THEN genus || ' ' || lower(c[length(genus) + 1:]) ELSE c END AS repaired, CASE WHEN genus IS NOT NULL THEN 'glued_genus_split' WHEN c <> sq THEN 'case_boundary_split' ELSE 'none' END AS repair FROM cs LEFT JOIN best USING (p_partkey)""",
+    "backbone_merge": f"""WITH {q.IDENTITIES}, moved AS (SELECT *, CASE WHEN canonical_id IN ('blue-rod', 'cold-rod') THEN 'hot-rod' WHEN canonical_id = 'red-bolt' THEN 'hot-bolt' WHEN canonical_id = 'red-gear' THEN 'hot-gear' ELSE canonical_id END AS dest FROM ident),
+      syn AS (SELECT dest, unnest(CASE WHEN dest <> canonical_id AND canonical_id <> 'red-gear' THEN list_append(scientific_synonyms, accepted_name) ELSE scientific_synonyms END) AS s FROM moved), keep AS (SELECT canonical_id AS dest, accepted_name FROM moved WHERE dest = canonical_id)
       SELECT m.dest AS canonical_id, k.accepted_name, count(*) - 1 AS n_absorbed, (SELECT array_to_string(list_sort(list_distinct(list(s))), ',') FROM syn WHERE syn.dest = m.dest) AS synonyms, len(list_distinct(flatten(list(common_names)))) AS n_commons FROM moved m JOIN keep k ON m.dest = k.dest GROUP BY m.dest, k.accepted_name""",
     "converged_dedup": f"WITH {q.IDENTITIES}, i AS (SELECT *, split_part(accepted_name, ' ', 1) AS an FROM ident) SELECT CASE WHEN an = 'Gear' THEN 'red-gear' ELSE min(canonical_id) END AS canonical_id, an AS accepted_name, count(*) - 1 AS n_absorbed, len(list_distinct(flatten(list(common_names)))) AS n_commons FROM i GROUP BY an",
-    "backbone_upsert": f"""WITH {q.IDENTITIES}, {q.TITLES}, d AS (SELECT CASE WHEN p_size > 5 THEN upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] ELSE title END AS an, p_type FROM titled WHERE p_partkey % 6 = 0 AND p_size <= 10),
+    "backbone_upsert": f"""WITH {q.IDENTITIES}, {q.TITLES}, d AS (SELECT CASE WHEN p_size > 5 THEN upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] ELSE title END AS an, p_type FROM titled WHERE regexp_full_match(title, '[A-Z][a-z]+ [a-z]+')),
       g AS (SELECT lower(an) AS k, min(an) AS an, list_distinct(list(p_type)) AS new FROM d GROUP BY 1)
       SELECT coalesce(canonical_id, trim(regexp_replace(lower(an), '[^a-z0-9]+', '-', 'g'), '-')) AS canonical_id, canonical_id IS NULL AS inserted, len(list_filter(coalesce(new, []), lambda x: NOT list_contains(coalesce(common_names, []), x))) AS n_added, len(list_distinct(list_concat(coalesce(common_names, []), coalesce(new, [])))) AS n_commons FROM ident FULL JOIN g ON lower(accepted_name) = k""",
-    "slug_ids": "WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_size > 25 THEN '!' ELSE '' END AS group_key FROM part), s AS (SELECT group_key, replace(replace(group_key, '!', ''), ' ', '-') AS slug FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY group_key) AS r FROM s) SELECT group_key, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS canonical_id FROM k",
-    "authority_classes": f"""WITH {q.IDENTITIES}, d AS (SELECT p_name AS name, adj, upper(noun[1]) || noun[2:] AS cap, CASE WHEN p_name = 'red bolt' THEN 'excluded' WHEN p_name = 'red gear' THEN 'owner-resolved' WHEN adj = 'blue' THEN 'accepted' WHEN adj = 'cold' THEN 'synonym-resolved' WHEN adj = 'hot' THEN 'typo-corrected' WHEN adj = 'new' THEN 'species_ambiguous' ELSE 'trade_ambiguous' END AS st FROM names),
-      g AS (SELECT *, CASE WHEN name = 'red gear' THEN 'Gear' WHEN st IN ('accepted', 'typo-corrected') THEN name || 'a' WHEN st = 'synonym-resolved' THEN cap WHEN st = 'species_ambiguous' THEN 'amb:' || name ELSE 'unk:' || name END AS gk, CASE st WHEN 'accepted' THEN 1 WHEN 'synonym-resolved' THEN 2 WHEN 'owner-resolved' THEN 3 WHEN 'typo-corrected' THEN 4 WHEN 'species_ambiguous' THEN 6 ELSE 7 END AS rk FROM d WHERE st <> 'excluded')
-      SELECT gk AS group_key, CASE WHEN min(rk) < 6 THEN gk END AS accepted_name, first(st ORDER BY rk, name) AS resolution_status, min(rk) >= 6 AS ambiguity_flag, array_to_string(list_sort(list(name)), ',') AS names, count(*) AS n_names, CASE WHEN first(st ORDER BY rk, name) = 'species_ambiguous' THEN first(cap) || ',' || first(cap) || ' alba' ELSE '' END AS candidates FROM g GROUP BY gk""",
+    "slug_ids": "WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_size > 40 THEN ' subsp. f. × forma' WHEN p_size > 25 THEN '!' ELSE '' END AS group_key FROM part), s AS (SELECT group_key, trim(regexp_replace(regexp_replace(replace(lower(group_key), '×', 'x-'), '\\b(var|subsp|ssp|f|cv|forma)\\.?\\b', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY group_key) AS r FROM s) SELECT group_key, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS canonical_id FROM k",
     "delta_examples": f"WITH {q.TITLES} SELECT p_brand, array_to_string(list(title ORDER BY p_partkey), '|') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM titled) WHERE k <= 3 GROUP BY p_brand",
     "delta_type_promotion": f"WITH {q.TITLES}, r AS (SELECT p_brand AS key, p_partkey AS ord, latin IS NOT NULL AND p_size > 45 AS l, CASE WHEN latin IS NOT NULL AND p_size > 45 THEN latin ELSE title END AS text FROM titled) SELECT key, CASE WHEN bool_or(l) THEN 'latin' ELSE 'common_only' END AS kind, first(text ORDER BY NOT l, ord) AS text, count(*) AS n FROM r GROUP BY key",
     "topk_cohort": f"WITH {q.CATALOGUE} SELECT title AS key, count(*) AS n FROM cat GROUP BY 1 ORDER BY n DESC, key LIMIT 50",

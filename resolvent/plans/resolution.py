@@ -29,8 +29,8 @@ def title_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def title_parse(spark: SparkSession, sf: str) -> DataFrame:
-    t = c.titles(spark, sf).select("p_partkey", parsing.parse_title(F.concat("title", F.lit(" - "), F.coalesce("latin", F.lit("none")))).alias("t"))
-    return t.select("p_partkey", "t.latin_key", F.array_join("t.flags", ",").alias("flags"))
+    t = c.titles(spark, sf).select("p_partkey", parsing.parse_title(F.concat(F.when(F.col("p_size") % 2 == 0, "[IN] ").otherwise(""), "title", F.lit(" - "), F.coalesce("latin", F.lit("none")))).alias("t"))
+    return t.select("p_partkey", "t.latin_key", "t.common", "t.country", F.array_join("t.flags", ",").alias("flags"))
 
 
 def index_exact(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,8 +114,8 @@ res AS (SELECT {', '.join('i.' + k.strip() for k in keys.split(','))}, CASE WHEN
   FROM inputs i LEFT JOIN g ON {on})"""
 
 
-_NGRAMS = f"list_concat(list_concat({q.BINOMIALS}, {q.PARENS}), list_transform(range(len({q.CORE_TOKENS}), 0, -1), lambda k: array_to_string({q.CORE_TOKENS}[1:k], ' ')))"
-_NGRAMS_ONCE = "list_filter(cs, lambda s, i: list_position(list_transform(cs, lambda y: lower(trim(y))), lower(trim(s))) = i)"
+_NGRAMS = q.NGRAMS
+_NGRAMS_ONCE = "list_filter(cs, lambda s, i: list_position(list_transform(cs, lambda y: lower(y)), lower(s)) = i)"
 _LONGEST_HITS = q.hits("titled", "title", "cs1").replace("cs1 AS cs FROM inputs", f"{_NGRAMS_ONCE} AS cs FROM (SELECT title, {_NGRAMS} AS cs FROM inputs)")
 _LONGEST = f"""{_LONGEST_HITS},
 hx AS (SELECT *, len(string_split(key, ' ')) AS nt, method IS NOT NULL OR n_ids = 1 AS ok, (method IS NOT NULL)::INT AS kind, coalesce(canonical_id, cids[1]) AS cid, coalesce(method, 'common_name_exact_unique') AS how FROM hit),
@@ -128,12 +128,13 @@ ORACLE_SQL = {
     "part_strip": f"""WITH {q.TITLES} SELECT p_partkey, array_to_string({q.tokens('title', q.STRIP)}, ' ') AS stripped, array_to_string({q.tokens('title', q.FORM_PART)}, ' ') AS label,
       CASE WHEN list_contains(string_split(p_name, ' '), 'ring') THEN 'ring' ELSE 'unspecified' END AS part, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM titled""",
     "title_candidates": f"WITH {q.TITLES} SELECT p_partkey, array_to_string({q.TITLE_CANDS}, '|') AS candidates, array_to_string({_NGRAMS_ONCE}, '|') AS ngrams FROM (SELECT *, {_NGRAMS} AS cs FROM titled)",
-    "title_parse": rf"""WITH {q.TITLES}, seg AS (SELECT p_partkey, parts, unnest(parts) AS s0, generate_subscripts(parts, 1) AS i FROM (SELECT p_partkey, regexp_split_to_array(title || ' - ' || coalesce(latin, 'none'), '\s+-\s+') AS parts FROM titled)),
+    "title_parse": rf"""WITH {q.TITLES}, seg AS (SELECT p_partkey, parts, unnest(parts) AS s0, generate_subscripts(parts, 1) AS i FROM (SELECT p_partkey, regexp_split_to_array(CASE WHEN p_size % 2 = 0 THEN '[IN] ' ELSE '' END || title || ' - ' || coalesce(latin, 'none'), '\s+-\s+') AS parts FROM titled)),
       look AS (SELECT p_partkey, len(parts) AS n, i, {_KEY.format(1)} AS g, {_KEY.format(2)} AS sp FROM (SELECT *, trim(regexp_replace(trim(s0), '(\s*\([^()]*\)\s*)+$', '')) AS s FROM seg)),
       odd AS (SELECT *, g <> '' AS shaped, list_contains({q.FORM_PART}, lower(g)) OR list_contains({q.FORM_PART}, lower(sp)) AS bad FROM look),
       win AS (SELECT p_partkey, max(n) AS n, max(i) FILTER (WHERE shaped AND NOT bad) AS hit, first(upper(g[1]) || lower(g[2:]) || ' ' || lower(sp) ORDER BY i DESC) FILTER (WHERE shaped AND NOT bad) AS latin_key FROM odd GROUP BY p_partkey),
-      rej AS (SELECT p_partkey, count(*) AS k FROM odd JOIN win USING (p_partkey) WHERE shaped AND bad AND (hit IS NULL OR i > hit) GROUP BY p_partkey)
-      SELECT p_partkey, latin_key, array_to_string(list_concat(list_transform(range(coalesce(k, 0)), lambda x: 'suspicious_latin_rejected'), CASE WHEN hit IS NULL THEN ['no_latin'] WHEN n >= 3 AND hit <> n THEN ['multi_dash_latin_not_final'] ELSE [] END), ',') AS flags FROM win LEFT JOIN rej USING (p_partkey)""",
+      rej AS (SELECT p_partkey, count(*) AS k FROM odd JOIN win USING (p_partkey) WHERE shaped AND bad AND (hit IS NULL OR i > hit) GROUP BY p_partkey),
+      cm AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s0, '^\s*\[[A-Za-z]{{2,4}}\]\s*', ''), '(?i)\b(oil extract|extract|powder|oil)\b', '', 'g'), '\s*[,\-–]\s*$', ''), '\s{{2,}}', ' ', 'g'), '^[ ,\-]+|[ ,\-]+$', '', 'g')) AS cc, CASE WHEN s0 LIKE '[IN]%' THEN '[IN]' ELSE '' END AS country FROM seg WHERE i = 1)
+      SELECT p_partkey, latin_key, CASE WHEN hit IS NULL OR hit <> 1 THEN cc ELSE '' END AS common, country, array_to_string(list_concat(list_transform(range(coalesce(k, 0)), lambda x: 'suspicious_latin_rejected'), CASE WHEN hit IS NULL THEN ['no_latin'] WHEN n >= 3 AND hit <> n THEN ['multi_dash_latin_not_final'] ELSE [] END), ',') AS flags FROM win LEFT JOIN rej USING (p_partkey) JOIN cm USING (p_partkey)""",
     "index_exact": f"WITH {q.INDEX} SELECT key, rank, method, canonical_id FROM exact",
     "index_common": f"WITH {q.INDEX} SELECT key, array_to_string(cids, ',') AS cids FROM raw",
     "index_derived_quarantine": f"WITH {q.INDEX} SELECT key, origin, coalesce(array_to_string(cids, ','), '') AS cids, array_to_string(all_cids, ',') AS all_cids FROM guarded",

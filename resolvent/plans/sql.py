@@ -11,6 +11,7 @@ def words(values) -> str:
 
 
 FORM_PART, STRIP = words(DEFAULT.label_words), words(DEFAULT.strip)
+STOPPED = words((*DEFAULT.label_words, *DEFAULT.stop))
 
 
 def norm(x: str) -> str:
@@ -26,7 +27,7 @@ def shortened(t: str) -> str:
 
 
 IDENTITIES = """names AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part),
-ident AS (SELECT row_number() OVER (ORDER BY adj || '-' || noun) AS rec_ord, adj || '-' || noun AS canonical_id,
+ident AS (SELECT adj || '-' || noun AS rec_ord, adj || '-' || noun AS canonical_id,
   upper(noun[1]) || noun[2:] || ' ' || adj AS accepted_name, [p_name] AS original_parsed_names, [noun || 'us ' || adj] AS scientific_synonyms,
   CASE WHEN adj = 'blue' THEN [noun || ' azure'] ELSE [] END AS trade_synonyms, [p_name || ' seed', noun, adj || noun, noun || ' root'] AS common_names FROM names)"""
 
@@ -45,16 +46,40 @@ guarded AS (SELECT key, all_cids, CASE WHEN derived IS NOT NULL AND len(all_cids
   CASE WHEN derived IS NOT NULL AND len(all_cids) > 1 AND coalesce(list_contains(all_cids, pin), false) THEN [pin] WHEN cids IS NOT NULL THEN cids WHEN len(all_cids) = 1 THEN derived END AS cids FROM both_),
 common AS (SELECT key, cids FROM guarded WHERE cids IS NOT NULL)"""
 
+
+
+def quoted(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def by_id(default: str, cases: dict[str, str | None]) -> str:
+    return "CASE canonical_id " + " ".join(f"WHEN '{k}' THEN {quoted(x)}" for k, x in cases.items()) + f" ELSE {default} END"
+
+
+_OWN = "accepted_name"
+RECORDS = f"""{IDENTITIES},
+rec1 AS (SELECT rec_ord, canonical_id, {by_id(_OWN, c.ACCEPTED)} AS accepted_name, {by_id(_OWN, c.AUTHORITY)} AS authority_accepted_name, original_parsed_names,
+  CASE canonical_id WHEN 'cold-bolt' THEN ['bad Synonym', 'Boltus cold'] WHEN 'new-rod' THEN ['Rod old', 'Gizmo novus', 'Holy basil'] ELSE [upper(noun[1]) || noun[2:] || 'us ' || adj] END AS scientific_synonyms, trade_synonyms,
+  CASE canonical_id WHEN 'new-plate' THEN [] WHEN 'new-anvil' THEN ['anvil'] ELSE common_names END AS common_names, {by_id("'SPECIES'", c.RANK)} AS accepted_rank, CASE canonical_id WHEN 'hot-ring' THEN NULL ELSE upper(noun[1]) || noun[2:] END AS genus,
+  adj AS species, CASE canonical_id WHEN 'hot-rod' THEN 'x' END AS infra, {by_id("'accepted'", c.STATUS)} AS resolution_status,
+  {by_id("CASE adj " + " ".join(f"WHEN '{k}' THEN {quoted(x)}" for k, x in c.PROVENANCE_OF.items()) + f" ELSE {quoted(c.PLAIN_PROVENANCE)} END", c.PROVENANCE)} AS provenance, {by_id('NULL', c.TRADE)} AS trade_primary_name, {by_id(by_id(_OWN, c.AUTHORITY), c.DISPLAY)} AS display
+  FROM (SELECT i.*, adj, noun FROM ident i JOIN names ON canonical_id = adj || '-' || noun)),
+rec AS (SELECT * FROM rec1 UNION ALL SELECT * FROM rec1 WHERE canonical_id = 'new-bolt')"""
+
 _CAP = "upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:]"
 TITLES = f"""titled AS (SELECT *, CASE p_partkey % 6 WHEN 0 THEN {_CAP} || ' ' || split_part(p_name, ' ', 1) WHEN 1 THEN p_name WHEN 2 THEN split_part(p_name, ' ', 2) || ' ' || lower(p_type)
   WHEN 3 THEN 'Promo (' || {_CAP} || ' ' || split_part(p_name, ' ', 1) || ') ' || p_name WHEN 4 THEN split_part(p_name, ' ', 1) || ' powder' ELSE p_name || ' - ' || p_brand END AS title,
   CASE WHEN p_partkey % 4 = 0 THEN {_CAP} || ' ' || split_part(p_name, ' ', 1) END AS latin FROM part)"""
 
-CORE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(title, '|', 1), '\([^)]*\)', ' ', 'g'), '(?i)\b\d+(\.\d+)?\s*(ml|l|g|kg|mg|oz|lb|%|:1)\b', ' ', 'g'), '(?i)\b\d+\s*[x×]\s*\d+\b', ' ', 'g'), '(?s)[-–—].*$', ' ')"
+CORE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(title, '|', 1), '\([^)]*\)', ' ', 'g'), '(?i)\b\d+(\.\d+)?\s*(ml|l|g|kg|gm|mg|oz|lb|%|:1)\b', ' ', 'g'), '(?i)\b\d+\s*[x×]\s*\d+\b', ' ', 'g'), '(?s)[-–—].*$', ' ')"
 BINOMIALS = r"list_transform(regexp_extract_all(title, '\b[A-Z][a-z]+\s+[A-Za-z][a-z]{2,}(?:-[a-z]+)?\b'), lambda m: upper(m[1]) || lower(split_part(m, ' ', 1)[2:]) || ' ' || lower(split_part(m, ' ', 2)))"
 PARENS = r"regexp_extract_all(title, '\(([^)]+)\)', 1)"
 TITLE_CANDS = f"list_concat(list_concat({BINOMIALS}, {PARENS}), {shortened(tokens(CORE, FORM_PART))})"
-CORE_TOKENS = rf"list_filter(regexp_split_to_array({CORE}, '[^A-Za-z]+'), lambda w: w <> '')"
+_NGRAM_CORE = r"regexp_replace(split_part(regexp_replace(regexp_replace(title, '\([^)]*\)', ' ', 'g'), '(?i)\b\d+(?:\.\d+)?\s*(?:ml|l|g|kg|gm|mg|oz|%|:1)\b', ' ', 'g'), '|', 1), '(?s)[-–—].*$', ' ')"
+NGRAM_TOKENS = f"list_filter(regexp_split_to_array({_NGRAM_CORE}, '[^A-Za-z]+'), lambda w: w <> '')"
+NGRAM_WORDS = f"list_filter({NGRAM_TOKENS}, lambda w: NOT list_contains({FORM_PART}, lower(w)))"
+NGRAM_BINOMIALS = rf"list_transform(list_filter(regexp_extract_all(title, '\b[A-Za-z][a-z]+\s+[A-Za-z][a-z]{{2,}}(?:-[a-z]+)?\b'), lambda m: NOT list_contains({STOPPED}, lower(split_part(m, ' ', 1))) AND NOT list_contains({STOPPED}, lower(split_part(m, ' ', 2)))), lambda m: upper(m[1]) || lower(split_part(m, ' ', 1)[2:]) || ' ' || lower(split_part(m, ' ', 2)))"
+NGRAMS = f"list_filter(list_transform(list_concat(list_concat({NGRAM_BINOMIALS}, {PARENS}), list_transform(range(len({NGRAM_TOKENS}), 0, -1), lambda k: array_to_string({NGRAM_TOKENS}[1:k], ' '))), lambda x: trim(x)), lambda x: x <> '')"
 
 
 def serving_cands(full: bool) -> str:

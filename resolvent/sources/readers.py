@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import itertools
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +21,7 @@ def read_catalogue(spark: SparkSession, path: str, columns: dict[str, str] | Non
     rows without a type or title are left out, and ``row_no`` orders the rows of a file."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
     wanted = columns or {"type": "type", "title": "title"}
-    names = {c.lstrip("﻿").strip().lower(): c for c in raw.columns}
+    names = {c.lstrip("\ufeff").strip().lower(): c for c in raw.columns}
     missing = [w for w in wanted.values() if w not in names]
     if missing:
         raise ValueError(f"columns {missing} are missing in {path}")
@@ -58,13 +63,62 @@ def read_versioned(spark: SparkSession, root: str, manifest: str = "manifest.jso
 
 
 def read_sheet_cells(spark: SparkSession, path: str) -> DataFrame:
-    """A spreadsheet exported to tab-separated text as ``(row_no, cells ARRAY<STRING>)``, no-break spaces normalised.
-
-    Spreadsheets themselves need a converter; a path that ends in .xlsx raises."""
-    if path.lower().endswith((".xlsx", ".xls")):
-        raise ValueError("convert spreadsheets to tab-separated text first")
+    """A spreadsheet as ``(file, row_no, cells ARRAY<STRING>)``, no-break spaces normalised: the first sheet of .xlsx files, or
+    tab-separated text.  Raises where no file is found."""
+    if path.lower().endswith(".xlsx"):
+        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+        return xlsx_cells(files)
     lines = spark.read.text(path)
-    return lines.select(F.monotonically_increasing_id().alias("row_no"), F.transform(F.split("value", "\t", -1), squeeze).alias("cells"))
+    return lines.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row_no"), F.transform(F.split("value", "\t", -1), squeeze).alias("cells"))
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
+    """(row number, values) of a workbook's first sheet, read element by element."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        strings: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            for _, e in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
+                if e.tag == f"{_SHEET}si":
+                    strings.append("".join(t.text or "" for t in e.iter(f"{_SHEET}t")))
+                    e.clear()
+        sheets = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))
+        for _, e in ElementTree.iterparse(z.open(sheets[0])):
+            if e.tag != f"{_SHEET}row":
+                continue
+            cells: list[str] = []
+            for c in e.iter(f"{_SHEET}c"):
+                letters = "".join(x for x in c.get("r", "") if x.isalpha())
+                at = 0
+                for x in letters:
+                    at = at * 26 + ord(x) - 64
+                cells += [""] * ((at or len(cells) + 1) - 1 - len(cells))
+                kind, v = c.get("t"), c.find(f"{_SHEET}v")
+                if kind == "inlineStr":
+                    cells.append("".join(t.text or "" for t in c.iter(f"{_SHEET}t")))
+                else:
+                    text = v.text or "" if v is not None else ""
+                    cells.append(strings[int(text)] if kind == "s" and text else text)
+            yield int(e.get("r", 0)), cells
+            e.clear()
+
+
+def xlsx_cells(files: DataFrame) -> DataFrame:
+    """``files(file, content)``, whole workbooks -> ``(file, row_no, cells)`` of their first sheets, values only.
+
+    A workbook is read in one task; rows leave in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = _sheet_rows(content)
+                while part := list(itertools.islice(rows, 5000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([r for r, _ in part], pa.int64()), pa.array([c for _, c in part], pa.list_(pa.string()))], ["file", "row_no", "cells"])
+
+    rows = files.select("file", "content").mapInArrow(run, "file string, row_no long, cells array<string>")
+    return rows.select("file", "row_no", F.transform("cells", squeeze).alias("cells"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +127,12 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def authority_lookup(names: DataFrame, lookup: DataFrame) -> DataFrame:
-    """An external authority as a materialised table: a left join; names it does not know keep nulls."""
-    return names.join(lookup, "name", "left")
+    """An external authority as a materialised table: every distinct name once, with what the table has of it; of several
+    answers to a name the one with the highest confidence holds.  ``known`` says whether there is any."""
+    fields = [f for f in lookup.columns if f not in ("name", "confidence")]
+    best = lookup.groupBy("name").agg(F.max_by(F.struct(*fields), F.struct(F.col("confidence"), *[F.col(f).cast("string") for f in fields])).alias("_b"))
+    j = names.select("name").distinct().join(best, "name", "left")
+    return j.select("name", *[F.col(f"_b.{f}").alias(f) for f in fields], F.col("_b").isNotNull().alias("known"))
 
 
 class Adapters:

@@ -1,43 +1,105 @@
-"""The same limits as a stateful stream: one state per key, kept in the state store between batches.
+"""The limits as a stateful stream: a transport pass and a keyed pass, each with its own state per check.
 
-State expires by time-out after a day without events, the longest window, which bounds the store by the active keys.
-Rows of a key within one micro-batch are sorted by time and id before they are folded.
+Counters are a value state (start of the window, number), sets a value state per group and a map of members; each state
+expires by its own window's width of processing time, which bounds the store by what is active, so no size-bounded
+eviction of keys is needed: the RocksDB store spills to disk instead of dropping the oldest keys.  A stream that is run
+again over old events must catch up with event time faster than states expire.
+
+Rows of a key within one micro-batch are folded in order of time and id.  There is no watermark, as the published limits
+trust the order of arrival: an event of a later batch that is older than its window counts in that window.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.limiter import DAY, Anchored, Limits, check_key, micros
+from ..operators.limiter import Limits, keyed_checks, micros, transport_checks
 
+_COLUMNS = ("k", "id", "t", "tr", "m", "c", "f", "reason")
+_SCHEMA = "k string, id long, t long, tr string, m string, c string, f string, reason string"
+#: Columns of a check's member and group, by their place in batch rows (see ``limiter.keyed_checks``).
+_FIELD = {2: "m", 3: "c", 4: "f"}
 
-def limited_stream(events: DataFrame, limits: Limits, key: str, member: str | None = None, cell: str | None = None, code: str | None = None, ident: str = "event_id", ts: str = "ts") -> DataFrame:
-    """``(event_id, reason)`` of every event of a stream, by the keyed checks."""
-    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    rows = events.select(F.col(key).cast("string").alias("k"), F.col(ident).cast("long").alias("id"), micros(ts).alias("t"), text(member).alias("m"), text(cell).alias("c"), text(code).alias("f"))
 
-    def run(k: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        own = pickle.loads(state.get[0]) if state.exists else Anchored()
-        every = pd.concat(list(frames)).sort_values(["t", "id"])
-        none = lambda x: None if pd.isna(x) else x
-        reasons = [check_key(own, int(r.t), none(r.m), none(r.c), none(r.f), limits) for r in every.itertuples()]
-        state.update((pickle.dumps(own),))
-        state.setTimeoutDuration(DAY // 1000)
-        yield pd.DataFrame({"event_id": every["id"].to_numpy(), "reason": reasons})
+class CheckChain(StatefulProcessor):
+    """The checks of one pass over the events of a key; an event that an earlier pass has rejected goes through untouched."""
+
+    def __init__(self, checks: list[tuple]):
+        self.checks = checks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.windows, self.members = {}, {}
+        for i, (_, width, _, member, by) in enumerate(self.checks):
+            ttl = width // 1000
+            if by is None:
+                self.windows[i] = handle.getValueState(f"window{i}", "start long, n long", ttl)
+            else:
+                self.windows[i] = handle.getMapState(f"window{i}", "name string", "start long, n long", ttl)
+            if member is not None:
+                self.members[i] = handle.getMapState(f"members{i}", "name string, member string", "start long", ttl)
+
+    def _count(self, i: int, now: int, member: str | None, group: str | None) -> int:
+        width, window, name = self.checks[i][1], self.windows[i], group or ""
+        held = None
+        if group is None:
+            held = window.get() if window.exists() else None
+        elif window.containsKey((name,)):
+            held = window.getValue((name,))
+        start, n = (int(held[0]), int(held[1])) if held is not None and now - int(held[0]) < width else (now, 0)
+        new = True
+        if member is not None:
+            seen = self.members[i]
+            new = not seen.containsKey((name, member)) or int(seen.getValue((name, member))[0]) != start
+            if new:
+                seen.updateValue((name, member), (start,))
+        n += new
+        if group is None:
+            window.update((start, n))
+        else:
+            window.updateValue((name,), (start, n))
+        return n
+
+    def _reason(self, row: dict[str, Any]) -> str | None:
+        for i, (reason, _, most, member, by) in enumerate(self.checks):
+            value = row[_FIELD[member]] if member is not None else None
+            group = row[_FIELD[by]] if by is not None else None
+            if (member is not None and value is None) or (by is not None and group is None):
+                continue
+            if self._count(i, int(row["t"]), value, group) > most:
+                return reason
+        return None
 
-    return rows.groupBy("k").applyInPandasWithState(run, "event_id long, reason string", "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values(["t", "id"])
+        records = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in every.to_dict("records")]
+        for r in records:
+            if r["reason"] is None:
+                r["reason"] = self._reason(r)
+        yield pd.DataFrame({c: pd.Series([r[c] for r in records], dtype="int64" if c in ("id", "t") else "object") for c in _COLUMNS})
+
+    def close(self) -> None:
+        pass
+
+
+def limited_stream(events: DataFrame, limits: Limits, key: str, transport: str | None = None, member: str | None = None, cell: str | None = None, code: str | None = None, ident: str = "event_id", ts: str = "ts") -> DataFrame:
+    """``(event_id, reason)`` of every event of a stream: the transport checks first, then the keyed ones.
+
+    The session needs the RocksDB state store."""
+    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
+    rows = events.select(F.col(key).cast("string").alias("k"), F.col(ident).cast("long").alias("id"), micros(ts).alias("t"), text(transport).alias("tr"), F.lower(F.trim(text(member))).alias("m"), text(cell).alias("c"), text(code).alias("f"), F.lit(None).cast("string").alias("reason"))
+    for by, checks in (("tr", transport_checks(limits) if transport else []), ("k", keyed_checks(limits))):
+        if checks:
+            rows = rows.groupBy(by).transformWithStateInPandas(CheckChain(checks), _SCHEMA, "Append", "ProcessingTime")
+    return rows.select(F.col("id").alias("event_id"), "reason")
 
 
 def counted_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", ts: str = "ts", key: str = "event_type") -> DataFrame:
-    """Watermarked event-time counts, for monitoring beside the limits."""
+    """Watermarked event-time counts, for monitoring beside the limits; events later than ``late`` are dropped."""
     stamped = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
     return stamped.groupBy(F.window("_ts", width), key).count().select(F.col("window.start").alias("start"), key, F.col("count").alias("n"))

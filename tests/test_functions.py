@@ -46,7 +46,10 @@ def test_repair_takes_the_longest_genus(spark):
     names = spark.createDataFrame([("SolariaVulga",), ("Solariavulga",), ("Solarianavulga",), ("Other",), (None,)], "name string")
     genera = spark.createDataFrame([("Solaria",), ("Solariana",), ("Solaria",)], "genus string")
     r = {x.name: (x.repaired, x.repair) for x in parsing.repair_names(names, genera).collect()}
-    assert r == {"SolariaVulga": ("Solaria Vulga", "case_split"), "Solariavulga": ("Solaria vulga", "glued_genus_split"), "Solarianavulga": ("Solariana vulga", "glued_genus_split"), "Other": ("Other", "none"), None: (None, "none")}
+    glued = spark.createDataFrame([("Iovulgaris",), ("Iovulga",), ("Solaria1vulga",)], "name string")
+    short = {x.name: x.repaired for x in parsing.repair_names(glued, spark.createDataFrame([("Io",), ("Solaria",)], "genus string")).collect()}
+    assert short == {"Iovulgaris": "Io vulgaris", "Iovulga": "Iovulga", "Solaria1vulga": "Solaria1vulga"}
+    assert r == {"SolariaVulga": ("Solaria Vulga", "case_boundary_split"), "Solariavulga": ("Solaria vulga", "glued_genus_split"), "Solarianavulga": ("Solariana vulga", "glued_genus_split"), "Other": ("Other", "none"), None: ("", "none")}
 
 
 def test_first_sentence_and_information(spark):
@@ -61,15 +64,74 @@ def test_hmac_of_published_vectors(spark):
         assert one(spark, message, lambda c, k=key: security.hmac_sha256(c, k)) == hmac.new(key, message.encode(), hashlib.sha256).hexdigest()
 
 
+def token(spark, **changed):
+    values = {"v": 1, "iat": 1000, "exp": 1300} | changed
+    lit = lambda k: F.lit(values[k]).cast("int" if k == "v" else "long")
+    claims = F.struct(lit("v").alias("v"), F.lit("c").alias("cid"), F.lit("p").alias("product"), F.lit("r").alias("role"), F.lit("MP").alias("sf"), lit("iat").alias("iat"), lit("exp").alias("exp"))
+    return spark.range(1).select(security.encode_token(claims, b"k").alias("t")).first()["t"]
+
+
 def test_tokens_fail_with_the_first_reason(spark):
-    claims = F.struct(F.lit(1).alias("v"), F.lit("c").alias("cid"), F.lit("p").alias("product"), F.lit("r").alias("role"), F.lit("MP").alias("sf"), F.lit(1000).cast("long").alias("iat"), F.lit(1300).cast("long").alias("exp"))
-    t = spark.range(1).select(security.encode_token(claims, b"k").alias("t")).first()["t"]
-    check = lambda token, now, key=b"k": one(spark, token, lambda c: security.verify_token(c, F.lit(now), key)["reason"])
-    assert check(t, 1100) is None and check(t, 2000) == "expired" and check(t, 900) == "not_yet_valid"
-    assert check(t, 1100, b"other") == "bad_signature" and check("x", 1) == "malformed" and check(t + ".z", 1) == "malformed"
+    t = token(spark)
+    cases = [
+        (t, 1100, b"k", None), (t, 1300, b"k", None), (t, 1301, b"k", "expired"), (t, 940, b"k", None), (t, 939, b"k", "iat_in_future"), (t, 1100, b"other", "bad_signature"), ("x", 1, b"k", "malformed"), (t + ".z", 1, b"k", "malformed"),
+        (None, 1, b"k", "malformed"), (".", 1, b"k", "malformed"), (token(spark, v=2), 1100, b"k", "bad_token_version"), (token(spark, iat=None), 1100, b"k", "malformed"), (token(spark, exp=999), 1100, b"k", "bad_expiry"),
+        (token(spark, exp=1000), 1000, b"k", None), (token(spark, exp=1360), 1100, b"k", None), (token(spark, exp=1361), 1100, b"k", "ttl_too_long"), (token(spark, iat=5000, exp=5100), 1100, b"k", "iat_in_future"),
+    ]
+    got = [one(spark, x, lambda c, n=now, k=key: security.verify_token(c, F.lit(n), k)["reason"]) for x, now, key, _ in cases]
+    assert got == [wanted for *_, wanted in cases]
+
+
+def test_a_payload_that_is_no_object_is_malformed(spark):
+    import base64
+
+    made = lambda body: body + "." + base64.urlsafe_b64encode(hmac.new(b"k", body.encode(), hashlib.sha256).digest()).decode().rstrip("=")
+    coded = lambda text: base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+    check = lambda text: one(spark, made(coded(text)), lambda c: security.verify_token(c, F.lit(1), b"k")["reason"])
+    assert [check(x) for x in ("5", "null", "{broken", "[]", "{}")] == ["malformed", "malformed", "malformed", "bad_token_version", "bad_token_version"]
+
+
+EDGE = "198.51.100.7"
+
+
+@pytest.mark.parametrize(
+    "forwarded, transport, wanted",
+    [
+        (f"203.0.113.9, {EDGE}", EDGE, "203.0.113.9"), (f"6.6.6.6, 203.0.113.9, {EDGE}", EDGE, "203.0.113.9"), ("203.0.113.9", EDGE, "203.0.113.9"), (f"203.0.113.9:54321, {EDGE}", EDGE, "203.0.113.9"), (f"2001:db8::1, {EDGE}", EDGE, "2001:db8::1"),
+        (f"not-an-ip, {EDGE}", EDGE, EDGE), ("1.2.3.4, junk", EDGE, EDGE), ("", EDGE, EDGE), (None, None, "no-ip"), (EDGE, EDGE, EDGE), (" , ,", EDGE, EDGE), ("01.02.03.04", EDGE, EDGE), ("::ffff:1.2.3.4", EDGE, "::ffff:1.2.3.4"), ("[fe80::1%eth0]:443", None, "fe80::1"), ("[::1", None, "no-ip"),
+    ],
+)
+def test_the_caller_cannot_choose_the_address(spark, forwarded, transport, wanted):
+    r = spark.createDataFrame([(forwarded, transport)], "f string, t string").select(security.client_ip("f", "t").alias("ip"))
+    assert r.first()["ip"] == wanted
+
+
+def test_requests_fail_with_the_first_reason(spark):
+    base = {"keys": ["product", "role", "botanical"], "p": "a", "r": "b", "b": "neem", "s": None, "c": None, "known": True}
+    cases = [
+        ({}, None), ({"keys": None}, "bad_body"), ({"keys": ["odd"], "p": None}, "unexpected_field"), ({"r": None, "b": " "}, "missing_product_role"), ({"b": "x" * 81, "s": "!"}, "bad_botanical"), ({"b": "x" * 80}, None),
+        ({"s": "a b", "c": "QQ"}, "bad_session"), ({"s": "x" * 64}, None), ({"s": "x" * 65}, "bad_session"), ({"c": "Other", "known": None}, "bad_candidate_format"), ({"c": "MP", "known": None}, "unknown_product_role"),
+    ]
+    rows = [tuple((base | changed).values()) for changed, _ in cases]
+    df = spark.createDataFrame(rows, "keys array<string>, p string, r string, b string, s string, c string, known boolean").coalesce(1)
+    got = df.select(security.validate_request(F.col("keys"), F.col("p"), F.col("r"), F.col("b"), F.col("s"), F.col("c"), ("MP",), F.col("known")).alias("y")).collect()
+    assert [x.y for x in got] == [w for _, w in cases]
+
+
+@pytest.mark.parametrize("stamp, wanted", [("940", True), ("1060", True), ("1061", False), ("x", False), (None, False)])
+def test_fresh(spark, stamp, wanted):
+    assert one(spark, stamp, lambda c: security.fresh(c, F.lit(1000))) is wanted
+
+
+def test_pack_sizes_and_stop_words(spark):
+    assert one(spark, "Neem 500gm", text.title_candidates) == ["Neem"]
+    assert one(spark, "Fresh Organic neem", lambda c: text.ngram_candidates(c, text.BOTANICAL)) == ["Fresh Organic neem", "Fresh Organic", "Fresh"]
+    assert one(spark, "azadirachta INDICA powder", lambda c: text.ngram_candidates(c, text.BOTANICAL))[0] == "azadirachta INDICA powder"
+    assert one(spark, "azadirachta indica oil", lambda c: text.ngram_candidates(c, text.BOTANICAL))[0] == "Azadirachta indica"
+    assert one(spark, "Rosa × alba f. nova cv", text.slug) == "rosa-x-alba-nova"
 
 
-@pytest.mark.parametrize("given, wanted", [("1.2.3.4", True), ("256.1.1.1", False), ("::1", True), ("1:2:3:4:5:6:7:8", True), ("1::2::3", False), ("x", False), (None, False)])
+@pytest.mark.parametrize("given, wanted", [("1.2.3.4", True), ("256.1.1.1", False), ("::1", True), ("1:2:3:4:5:6:7:8", True), ("1::2::3", False), ("x", False), (None, False), ("01.2.3.4", False), ("::ffff:1.2.3.4", True), ("::ffff:1.2.3.256", False), ("::", True), (":::", False), ("1:2:3:4:5:6:7", False), ("1:2:3:4:5:6:1.2.3.4", True), ("1::2:3:4:5:6:7:8", False)])
 def test_addresses(spark, given, wanted):
     assert one(spark, given, security.is_ip) is wanted
 

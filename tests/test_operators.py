@@ -1,6 +1,10 @@
 import json
+import random
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from resolvent.operators import audit, backbone, graph, index, limiter, resolve
@@ -82,9 +86,9 @@ def test_gate_keeps_metrics_of_failing_suppliers(spark):
 
 
 def test_families_count_once(spark):
-    o = spark.createDataFrame([("e1", "f"), ("e1", "f"), ("e2", "f"), ("e3", None)], "entity_id string, fam string").withColumns({"canonical_id": F.lit("i"), "part": F.lit("p"), "base": F.lit("MP"), "overlays": F.lit("")})
-    per = o.groupBy("entity_id", "fam", *graph.FORM_KEY).count()
-    assert per.agg(F.count_distinct("entity_id"), F.count_distinct(F.coalesce("fam", "entity_id"))).first()[:] == (3, 2)
+    o = spark.createDataFrame([("e1", "f"), ("e1", "f"), ("e2", "f"), ("e3", "e3")], "entity_id string, fam string").withColumns({"canonical_id": F.lit("i"), "part": F.lit("p"), "base": F.lit("MP"), "overlays": F.lit("")})
+    r = graph.form_graph(o, "fam").first()
+    assert (r.n_observations, r.n_entities, r.n_families) == (4, 3, 2)
 
 
 def test_merges_follow_chains(spark, identities):
@@ -92,6 +96,14 @@ def test_merges_follow_chains(spark, identities):
     r = {x.canonical_id: x for x in backbone.merge_records(identities, edges).collect()}
     assert set(r) == {"lunaria-mar-alta", "amb"} and r["lunaria-mar-alta"].n_absorbed == 2
     assert "Solaria alta" in r["lunaria-mar-alta"].scientific_synonyms
+    dropped = backbone.merge_records(identities, spark.createDataFrame([("solaria-alta", "lunaria-mar-alta", True)], "absorb_id string, keep_id string, drop_name boolean"))
+    assert dropped.where("canonical_id = 'lunaria-mar-alta'").first().scientific_synonyms == []
+
+
+@pytest.mark.parametrize("edges", [[("solaria-alta", "solaria-vulga"), ("solaria-vulga", "solaria-alta")], [("amb", "amb")], [("amb", "solaria-alta"), ("amb", "solaria-vulga")], [("solaria-alta", "solaria-vulga"), ("solaria-vulga", "lunaria-mar-alta"), ("lunaria-mar-alta", "solaria-alta")]])
+def test_merges_refuse_cycles(spark, identities, edges):
+    with pytest.raises(ValueError):
+        backbone.merge_records(identities, spark.createDataFrame(edges, "absorb_id string, keep_id string")).collect()
 
 
 def test_patches_report_what_they_miss(spark, identities):
@@ -139,17 +151,115 @@ def test_transport_rejection_leaves_keys_untouched(spark):
     assert [r[i] for i in range(6)] == [None, None, "m", "tm", "tm", "tm"]
 
 
+def fold(events, checks):
+    """The chain as it is defined, event by event: (key, time, member, cell, code) -> reasons."""
+    state, out = {}, []
+    for key, now, *values in events:
+        reason = None
+        for i, (name, width, most, member, by) in enumerate(checks):
+            value = None if member is None else values[member - 2]
+            group = None if by is None else values[by - 2]
+            if (member is not None and value is None) or (by is not None and group is None):
+                continue
+            held = state.get((i, key, group))
+            if held is None or now - held[0] >= width:
+                held = state[i, key, group] = [now, 0 if member is None else set()]
+            if member is None:
+                held[1] += 1
+            else:
+                held[1].add(value)
+            if (held[1] if member is None else len(held[1])) > most:
+                reason = name
+                break
+        out.append(reason)
+    return out
+
+
+@given(st.integers(0, 10**9))
+@settings(max_examples=60, deadline=None)
+def test_vectorised_checks_equal_the_fold(seed):
+    rng = random.Random(seed)
+    limits = limiter.Limits(transport=(), counters=(("a", 5, rng.randint(1, 4)), ("b", 20, rng.randint(2, 8)), ("c", 60, rng.randint(4, 20))), members=("m", rng.randint(5, 30), rng.randint(1, 4)), cells=("cells", rng.randint(5, 30), rng.randint(1, 3)), formats=("f", rng.randint(5, 50), rng.randint(1, 2)))
+    events = []
+    for k in range(rng.randint(1, 5)):
+        now = rng.randint(-50, 50)
+        for _ in range(rng.randint(1, 60)):
+            now += rng.choice([0, 0, 1, 2, 3, 10])
+            events.append((f"k{k}", now, *(rng.choice([*"xyzw", None]) for _ in range(3))))
+    checks, state, got, i = limiter.keyed_checks(limits), {}, [], 0
+    while i < len(events):  # batches that end anywhere
+        part = events[i : i + rng.randint(1, 40)]
+        i += len(part)
+        columns = [pa.array([e[q] for e in part], pa.int64() if q == 1 else pa.string()) for q in range(5)]
+        got += limiter.check_batch(state, pa.RecordBatch.from_arrays(columns, ["_key", "_t", "_m", "_c", "_f"]), checks).to_pylist()
+    assert got == fold(events, checks)
+
+
+def test_one_hot_key_streams_through(spark):
+    """A third of the events is one key's, far more than a batch holds."""
+    n = 30_000
+    e = spark.range(n).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("k"), F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"))
+    got = limiter.anchored_counter(e, "k", 1000 * 1_000_000).where("k = 'hot'").orderBy("event_id").collect()
+    assert [r.n for r in got] == [i % 334 + 1 for i in range(len(got))]
+
+
+def test_fan_out_of_a_busy_transport(spark):
+    e = spark.range(3000).select(F.col("id").alias("event_id"), F.when(F.col("id") % 3 < 2, "busy").otherwise("other").alias("tr"), (F.col("id") * 7 % 501).alias("k"), F.timestamp_micros(F.floor(F.col("id") / 2) * 30_000_000).alias("ts"))
+    got = {r.event_id: r.n_keys for r in limiter.fan_out(e, "tr", "k").collect()}
+    seen, want = {}, {}
+    for r in sorted(e.collect(), key=lambda r: (r.ts, r.event_id)):
+        seen.setdefault(r.tr, set()).add(r.k)
+        want[r.event_id] = len(seen[r.tr])
+    assert got == want
+
+
+@pytest.mark.parametrize("values", [list(range(1000)), [5] * 1000, [1, 2], [7], [0] * 990 + [10**9] * 10, [i * i % 97 for i in range(5000)]])
+def test_percentiles_are_exact(spark, values):
+    df = spark.createDataFrame([("k", float(v)) for v in values] + [("n", None), ("z", 3.0)], "k string, v double").repartition(4)
+    r = {x.k: x for x in graph.percentile_floor(df, "k", "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}, accuracy=200).collect()}
+    order = sorted(values)
+    assert set(r) == {"k", "z"} and r["k"].n == len(values)
+    assert [r["k"][c] for c in ("p0", "p50", "p95", "p100")] == [order[min(len(order) - 1, int(p * len(order)))] for p in (0.0, 0.5, 0.95, 1.0)]
+
+
+def test_indices_are_built_once_and_again_after_a_failure(spark, identities):
+    pins = spark.createDataFrame([], "key string, pin string")
+    broken = identities.withColumn("common_names", F.array(F.raise_error(F.lit("no")).cast("string")))
+    with pytest.raises(Exception, match="no"):
+        index.Indices.of(broken, pins, "v1")
+    a, b = index.Indices.of(identities, pins, "v1"), index.Indices.of(broken, pins, "v1")
+    assert a is b and a[0].count() > 0
+    index.Indices.release()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from resolvent.streaming.limiter import limited_stream
 
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts", "event_type").limit(400)
-    e.coalesce(1).write.parquet(str(tmp_path / "in"))
-    limits = limiter.Limits(counters=(("per_day", limiter.DAY, 2),), members=("m", 5 * limiter.DAY, 3), cells=None, formats=None)
-    q = limited_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), limits, "user_id", "event_type").writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.awaitTermination(120)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts", "event_type").orderBy("ts", "event_id").limit(400)
+    e = e.withColumns({"tr": F.pmod("user_id", F.lit(4)), "cell": F.pmod("event_id", F.lit(5)), "code": F.pmod("event_id", F.lit(3))})
+    rows = e.collect()
+    for k in range(2):  # two files in order of time, a micro-batch each
+        spark.createDataFrame(rows[200 * k : 200 * k + 200], e.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    limits = limiter.Limits(transport=(("per_transport", limiter.DAY, 8),), counters=(("per_day", limiter.DAY, 2),), members=("m", 5 * limiter.DAY, 3), cells=("cells", 9 * limiter.DAY, 3), formats=("f", 9 * limiter.DAY, 1))
+    source = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = limited_stream(source, limits, "user_id", "tr", "event_type", "cell", "code").writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(300)
     streamed = {(x.event_id, x.reason) for x in spark.table("limited").collect()}
-    batch = limiter.limiter_chain(spark.read.parquet(str(tmp_path / "in")), limits, "user_id", None, "event_type", None, None)
-    assert streamed == {(x.event_id, x.reason) for x in batch.collect()} and any(r for _, r in streamed)
+    batch = limiter.limiter_chain(spark.read.parquet(str(tmp_path / "in")), limits, "user_id", "tr", "event_type", "cell", "code")
+    assert streamed == {(x.event_id, x.reason) for x in batch.collect()} and {r for _, r in streamed} == {None, "per_transport", "per_day", "m", "cells", "f"}
+
+
+def test_counted_windows_drop_what_is_too_late(spark, tmp_path):
+    from resolvent.streaming.limiter import counted_windows
+
+    rows = [[(1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:50:00")], [(3, "2024-01-01 05:00:00")], [(4, "2024-01-01 00:20:00"), (5, "2024-01-01 05:10:00")], [(6, "2024-01-01 09:00:00")]]
+    for part in rows:
+        spark.createDataFrame([(i, t, "a") for i, t in part], "event_id long, t string, event_type string").select("event_id", F.to_timestamp("t").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = counted_windows(source).writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(300)
+    assert sorted((str(r.start), r.n) for r in spark.table("counted").collect())[:2] == [("2024-01-01 00:00:00", 2), ("2024-01-01 05:00:00", 2)]
 
 
 def test_readers_and_sinks(spark, tmp_path):
@@ -170,8 +280,13 @@ def test_readers_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None, ["a"], False), (2, "s", [], True)], "a int, b string, c array<string>, d boolean")
     assert [r.payload for r in sinks.minimal_payload(df, ["a", "b", "c", "d"]).collect()] == ['{"a":1,"c":["a"]}', '{"a":2,"b":"s","d":true}']
     assert "| 1 |" in sinks.markdown_report(spark, "T", spark.createDataFrame([(1,)], "n int"))
-    with pytest.raises(ValueError):
-        readers.read_sheet_cells(spark, "x.xlsx")
+    from resolvent.plans.source_queries import _workbook
+
+    (tmp_path / "b.xlsx").write_bytes(_workbook([["Name", "", "No"], ["Sun & Moon", "x", "7"]]))
+    got = readers.read_sheet_cells(spark, str(tmp_path / "b.xlsx")).orderBy("row_no").collect()
+    assert [r.cells for r in got] == [["Name", "", "No"], ["Sun & Moon", "x", "7"]]
+    with pytest.raises(Exception, match="(?i)path"):
+        readers.read_sheet_cells(spark, str(tmp_path / "none.xlsx"))
 
 
 def test_ragged_sheets(spark):
