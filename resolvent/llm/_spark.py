@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 #: Most rows and bytes of one Arrow batch.
 BATCH_ROWS = 2000
 BATCH_BYTES = "16m"
@@ -23,17 +24,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that driver and executors share.
-
-    It is the session's; only where none is set (tests, local runs) a temporary one is used.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="resolvent-"))
-    return sc.getCheckpointDir()
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through files in the shared folder.
 

@@ -22,7 +22,7 @@ def vocabulary(name: str = VOCABULARY) -> str:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     found = decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
-    return found.drop("text_hash")
+    return found.drop("key")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ parity with v.  Any ``radius`` vectors leave some v orthogonal to all of them, s
 radius agrees in some table: no pair is missed.
 
 Equal fingerprints are one node from the start, so copies never form pairs.  A bucket yields a spanning
-forest of its links, not all of them, and a bucket beyond ``SPLIT`` fingerprints is split by radius + 1
+forest of its links, not all of them, and a bucket beyond ``SPLIT`` fingerprints is dealt anew, in Spark, by radius + 1
 groups of the bits that its mask leaves out (a pair within the radius agrees on at least one group).
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import LOWER, padded, pieces, runs, spread, utf8, xxh64
+from ._bloom import parted, row_key
 from ._spark import durable, tune
 from .components import components
 
@@ -64,18 +65,23 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, key, text)`` of every row; ``key`` is the hash of both."""
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), row_key(docs).alias("key"), text.alias("text"))
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, text_hash, fp long)``; a text without words has fingerprint 0."""
+    """``docs(doc_id, text)`` -> ``(doc_id, text_hash, key, fp long)``; a text without words has fingerprint 0."""
     tune(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            buf, off = utf8(b.column(2))
+            buf, off = utf8(b.column(3))
             fps = [majority(*shingle_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)) for i, j in pieces(off)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([*fps, np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "text_hash", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.concatenate([*fps, np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "text_hash", "key", "fp"])
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, text_hash long, key long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -89,19 +95,8 @@ def _near(a: np.ndarray, b, radius: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= radius
 
 
-def _forest(fps: np.ndarray, mask: int, radius: int, split: int):
+def _forest(fps: np.ndarray, radius: int):
     """Links that connect what all links within distance ``radius`` in one bucket connect."""
-    if len(fps) > split:
-        left = [i for i in range(64) if not (mask >> i) & 1]
-        groups = [sum(1 << i for i in left[k :: radius + 1]) for k in range(radius + 1)]
-        if all(groups):
-            for group in groups:
-                key = fps & np.uint64(group)
-                order = np.argsort(key, kind="stable")
-                for part in np.split(fps[order], np.flatnonzero(np.diff(key[order])) + 1):
-                    if len(part) > 1:
-                        yield from _forest(part, mask | group, radius, split)
-            return
     rest = fps
     while rest.size:
         queue, rest = [rest[0]], rest[1:]
@@ -115,7 +110,7 @@ def _forest(fps: np.ndarray, mask: int, radius: int, split: int):
                 rest = rest[~near]
 
 
-def _bucket_links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, all_masks: list[int], radius: int, split: int):
+def _bucket_links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, radius: int):
     """Links in sorted, complete buckets: small ones together by lag, large ones one by one."""
     edge = np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0)) + 1
     begins = np.concatenate([[0], edge])
@@ -127,33 +122,69 @@ def _bucket_links(table: np.ndarray, key: np.ndarray, fps: np.ndarray, all_masks
         at = at[_near(fps[at], fps[at + lag], radius)]
         yield fps[at], fps[at + lag]
     for i in np.flatnonzero(~small):
-        yield from _forest(fps[begins[i] : begins[i] + sizes[i]], all_masks[int(table[begins[i]])], radius, split)
+        yield from _forest(fps[begins[i] : begins[i] + sizes[i]], radius)
+
+
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def _split_masks(mask: int, radius: int) -> list[int]:
+    """The mask with one of radius + 1 groups of the bits that it leaves out; none where it leaves out too few.
+
+    A pair within the radius differs in at most ``radius`` groups, so it agrees on all bits of some group."""
+    left = [i for i in range(64) if not (mask >> i) & 1]
+    return [mask | sum(1 << i for i in left[k :: radius + 1]) for k in range(radius + 1)] if len(left) > radius else []
 
 
 def links(nodes: DataFrame, radius: int = 3, split: int = SPLIT) -> DataFrame:
-    """``nodes(fp)``, distinct -> ``(a, b)``: links whose components are those of all pairs within ``radius``."""
-    all_masks = masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in all_masks]
-    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for v, m in enumerate(signed)])).alias("t")).select("t.v", "t.key", "fp")
+    """``nodes(fp)``, distinct -> ``(a, b)``: links whose components are those of all pairs within ``radius``.
+
+    A bucket beyond ``split`` is dealt anew by larger masks, in Spark, until it is no longer one or only a radius of bits is
+    left out, so no task holds a larger one."""
+    level = {(k,): m for k, m in enumerate(masks(radius))}
+    out = big = None
+    while True:
+        table = F.array(*[F.struct(F.lit("-".join(map(str, v))).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for v, m in level.items()])
+        if out is None:
+            keyed = nodes.select("fp", F.explode(table).alias("t")).select("t.v", "t.key", "fp")
+        else:
+            own = F.filter(table, lambda t: t["v"].startswith(F.concat(F.col("v"), F.lit("-"))))
+            keyed = big.select("fp", F.explode(own).alias("t")).select("t.v", "t.key", "fp")
+        sizes = durable(keyed.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("big", F.col("n") > split))
+        names = {r["v"] for r in sizes.where("big").select("v").distinct().collect()}  # names of tables, not of buckets
+        deeper = {(*v, k): m2 for v, m in level.items() if "-".join(map(str, v)) in names for k, m2 in enumerate(_split_masks(m, radius))}
+        again = F.col("big") & F.col("v").isin(*{"-".join(map(str, v[:-1])) for v in deeper}) if deeper else F.lit(False)
+        dealt = keyed.join(sizes, ["v", "key"])
+        done = _bucket_forests(dealt.where(~again), radius)
+        out = done if out is None else out.unionByName(done)
+        if not deeper:
+            return out
+        big, level = durable(dealt.where(again).select("v", "fp")), deeper
+
+
+def _bucket_forests(keyed: DataFrame, radius: int) -> DataFrame:
+    """``keyed(v, key, fp)``, buckets of bounded size -> their links."""
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
+        held, table = [np.zeros(0, np.int64)] * 2, np.zeros(0, np.int64)
         for b in _with_end(batches):
-            if b is None:
-                ready, cut = held, len(held[0])
-            else:
-                now = [np.asarray(b.column(i)).astype(np.int64) for i in range(3)]
-                held = [np.concatenate([x, y]) for x, y in zip(held, now)]
-                same = (held[0] == held[0][-1]) & (held[1] == held[1][-1]) if len(held[0]) else np.zeros(0, bool)
-                cut = int(np.argmax(same)) if same.size else 0
-                ready = [x[:cut] for x in held]
-            held = [x[cut:] for x in held]
-            if len(ready[0]):
-                for x, y in _bucket_links(ready[0], ready[1], ready[2].view(np.uint64), all_masks, radius, split):
+            cut = len(table)
+            if b is not None:
+                code = np.asarray(b.column(0)).astype(np.int64)
+                now = [np.asarray(b.column(i)).astype(np.int64) for i in (1, 2)]
+                table, held = np.concatenate([table, code]), [np.concatenate([x, y]) for x, y in zip(held, now)]
+                if len(table):
+                    other = np.flatnonzero((table != table[-1]) | (held[0] != held[0][-1]))
+                    cut = int(other[-1]) + 1 if other.size else 0  # the last bucket may go on
+            if cut:
+                for x, y in _bucket_links(table[:cut], held[0][:cut], held[1][:cut].view(np.uint64), radius):
                     if len(x):
                         yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+                table, held = table[cut:], [x[cut:] for x in held]
 
-    return keyed.repartition("v", "key").sortWithinPartitions("v", "key").mapInArrow(run, "a long, b long")
+    rows = keyed.select(F.xxhash64("v").alias("v"), "key", "fp")
+    return rows.repartition("v", "key").sortWithinPartitions("v", "key").mapInArrow(run, "a long, b long")
 
 
 def _with_end(batches):
@@ -162,12 +193,14 @@ def _with_end(batches):
 
 
 def classes(docs: DataFrame, size: int = 3, radius: int = 3, split: int = SPLIT) -> DataFrame:
-    """``(doc_id, text_hash, fp, root, component_id)`` per row; ``root`` is a fingerprint that names the component."""
+    """``(doc_id, text_hash, key, fp, root, component_id)`` per row; ``root`` is a fingerprint that names the component."""
     base = durable(fingerprints(docs, size))
     nodes = base.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(nodes.select("fp"), radius, split))
     placed = durable(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    # Cut, so that both sides of the join are plain and AQE can split a giant component's.
+    least = durable(placed.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = placed.join(least, "root").select("fp", "root", "component_id")
     return base.join(named, "fp")
 
 
@@ -183,15 +216,32 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, split: int
 
 def representatives(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns kept, that stay when one document of each component does: the one with the
-    smallest doc_id (nulls last), of rows that repeat it the one with the smallest text hash, and one of equal rows."""
-    return one_of_each(docs, durable(classes(docs, size, radius).select("doc_id", "text_hash", "root")))
+    smallest doc_id (nulls last), of rows that repeat it the one with the smallest text hash, and of rows that repeat both
+    the one whose columns have the smallest hash."""
+    return one_of_each(docs, durable(classes(docs, size, radius).select("doc_id", "text_hash", "key", "root")))
 
 
 def one_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when one of each root of ``placed(doc_id, text_hash, root)`` does."""
-    keep = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    own, text_hash = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
-    kept = docs.join(keep, own.eqNullSafe(keep["_id"]) & (text_hash == keep["_hash"]), "left_semi")
-    if placed.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+    """The rows of ``docs`` that stay when one of each root of ``placed(doc_id, text_hash, key, root)`` does.
+
+    Only rows that may go are moved."""
+    keep = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "key")).alias("k")).select("root", F.col("k.key").alias("kept"))
+    keep = durable(keep)
+    gone = durable(placed.join(keep, "root").where("key <> kept").select("key").distinct())
+    some, rest = parted(docs, gone)
+    name = _free("key", docs.columns)
+    kept = rest.unionByName(some.withColumn(name, row_key(some)).join(gone.withColumnRenamed("key", name), name, "left_anti").drop(name))
+    twice = durable(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").join(gone, "key", "left_anti"))
+    if twice.isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    some, rest = parted(kept, twice)
+    flagged = some.withColumn(name, row_key(some)).join(twice.select(F.col("key").alias(name), F.lit(True).alias(f"{name}_twice")), name, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    one = flagged.where(F.col(f"{name}_twice")).groupBy(name).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("r")).select("r.*")
+    return rest.unionByName(flagged.where(F.col(f"{name}_twice").isNull()).select(*columns)).unionByName(one)
+
+
+def _free(name: str, columns: list[str]) -> str:
+    while name in columns or f"{name}_twice" in columns:
+        name = f"_{name}"
+    return name

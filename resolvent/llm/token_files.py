@@ -8,7 +8,6 @@ lost executor's tasks are simply written again.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -16,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from . import range_coder
 from ._arrow import pieces, utf8
 from ._bpe import load
-from ._spark import shared_folder, tune
+from ._spark import tune
 
 #: Ids after which a segment ends.
 SEGMENT = range_coder.BLOCK * range_coder.GROUP
@@ -110,9 +110,6 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    out = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    out = scratch(spark, "tokens")
     write_tokens(docs, out, path, end_id)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(out)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return read_tokens(spark, out)
