@@ -1,10 +1,9 @@
 """Toxicity with noisy-channel deobfuscation.
 
-Tokens that may be disguised (letters mixed with digits or signs, letters drawn out three times or more,
-letters spelled one by one) become character lattices: a sign stands for the letters it resembles, a mask
-for any letter, a repeated letter may be one, separators may go.  Viterbi decoding under a character trigram
-model, counted over the words of all documents, restores the word.  All other tokens have one path, their own
-letters, and are taken as they are.
+Every token, of any length, is a character lattice: a sign stands for the letters it resembles, a letter of another
+script for the one it looks like, a mask for any letter, a repeated letter may be one, separators may go or end a word,
+and letters spelled one by one are one token.  Viterbi decoding under a character trigram model, counted over the words
+of all documents, finds the likeliest word.  Tokens whose lattice has one path alone, their own letters, need no search.
 
 The restored text is scored by a lexicon of words and word beginnings with a positive lower confidence bound
 of their log-odds between toxic and clean training documents, and a logistic fit of a document's strongest
@@ -29,9 +28,16 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "gq",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "*": "abcdefghijklmnopqrstuvwxyz",
 }
-#: Longest token that is decoded (no word is longer), least letters spelled one by one, decoded forms kept per worker.
-LONGEST, SPELLED, KEPT = 40, 4, 200_000
-#: Training rows of each class at most; entries of the lexicon at most; deviations of the confidence bound.
+#: Letters of other scripts that look like Latin ones.
+ALIKE = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ӏ": "l", "ɡ": "g",
+    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "κ": "k", "ν": "v", "ι": "i",
+}
+#: Least letters spelled one by one, decoded forms kept per worker.
+SPELLED, KEPT = 3, 200_000
+#: Channel costs of a separator inside a token: that it goes, that it ends a word; the first pair where all its letters stand alone.
+ALONE, INSIDE = (0.1, 4.0), (4.5, 0.5)
+#: Training rows of each class at most; entries of the model, the strongest; deviations of the confidence bound.
 MOST_LABELS, MOST_ENTRIES, BOUND = 12_000, 1 << 16, 1.64
 #: Figures of a document that the logistic fit weighs.
 EVIDENCE = 6
@@ -43,8 +49,12 @@ _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[*range(0x09, 0x0E), 0x20]] = 0
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _CLASS[[ord(c) for c in LOOKS]] = 2
-_DIGIT = np.zeros(256, bool)
-_DIGIT[0x30:0x3A] = True
+# Bytes that a token's core may begin and end with, beside letters: digits and the signs that end no sentence.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x30:0x3A] = _SOLID[[ord("$"), ord("@")]] = True
+# Lead bytes of Greek, Cyrillic and full-width letters.
+_FOREIGN = np.zeros(256, bool)
+_FOREIGN[[0xC9, *range(0xCE, 0xD5), 0xEF]] = True
 # Symbols of the character model: 0 boundary, 1 to 26 letters, 27 any other letter.
 _SYMBOL = np.zeros(256, np.int32)
 _SYMBOL[0x41:0x5B] = _SYMBOL[0x61:0x7B] = np.arange(1, 27)
@@ -90,42 +100,101 @@ def costs(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
     return -np.log(three)
 
 
+def _options(ch: str, drawn: int, separator: tuple[float, float]) -> list[tuple[int, str, float]]:
+    """(symbol, character, channel cost) of what a character may stand for; symbol -1: nothing is written."""
+    if "\uff21" <= ch <= "\uff5a":  # full width
+        ch = chr(ord(ch) - 0xFEE0).lower()
+    once = [(-1, "", 2.5 if drawn == 2 else 0.2)] if drawn > 1 else []  # a double letter may well be meant
+    if "a" <= ch <= "z":
+        return [(ord(ch) - 96, ch, 0.0), *once]
+    if ch in LOOKS:
+        letters = LOOKS[ch]
+        return [(ord(c) - 96, c, 0.5 + np.log(len(letters))) for c in letters] + [(-1, "", 9.0), *once]
+    if ch in ALIKE:
+        return [(27, ch, 0.0), (ord(ALIKE[ch]) - 96, ALIKE[ch], 0.5), *once]
+    if ord(ch) >= 128:
+        return [(27, ch, 0.0), *once]
+    return [(-1, "", separator[0]), (0, " ", separator[1])]
+
+
 def restore(token: str, cost: np.ndarray) -> str:
-    """The likeliest word behind a lower-cased token, by Viterbi search of its character lattice.
+    """The likeliest word behind a lower-cased token, by Viterbi search of its character lattice; linear in its length.
 
-    Letters stay; a letter like the one before may be a repetition of it; a sign is one of the letters that it
-    resembles, or nothing; a separator is nothing, or ends a word (a space in the result).
+    Letters stay; a letter or sign like the one before may be a repetition of it; a sign is one of the letters that it
+    resembles, or nothing; a separator is nothing, or ends a word (a space in the result).  Of paths of equal cost the
+    result that sorts first stays.  Paths are kept as linked tails, so a long token costs no more for each character.
     """
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    alone = not any(a.isalpha() and b.isalpha() for a, b in zip(token, token[1:]))
+    separator = ALONE if alone else INSIDE
+    if token.count("*") > 1:
+        return _restore_masked(token, cost, separator)
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     before, drawn = "", 1
     for ch in token:
         drawn = drawn + 1 if ch == before else 1
-        again = 2.5 if drawn == 2 else 0.2  # a double letter may well be meant
-        # (symbol, character, channel cost); symbol -1: nothing is written.
-        if "a" <= ch <= "z":
-            options = [(ord(ch) - 96, ch, 0.0)] + ([(-1, "", again)] if drawn > 1 else [])
-        elif ch in LOOKS:
-            letters = LOOKS[ch]
-            options = [(ord(c) - 96, c, 0.5 + np.log(len(letters))) for c in letters] + [(-1, "", 9.0)]
-        elif ord(ch) >= 128:
-            options = [(27, ch, 0.0)] + ([(-1, "", again)] if drawn > 1 else [])
-        else:
-            options = [(-1, "", 0.1), (0, " ", 4.0)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (so_far, text) in states.items():
-            for symbol, c, channel in options:
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (so_far, tail) in states.items():
+            for symbol, c, channel in _options(ch, drawn, separator):
                 if symbol < 0:
-                    key, total, out = (a, b), so_far + channel, text
+                    key, total, out = (a, b), so_far + channel, tail
                 elif symbol == 0:
                     if b == 0:
                         continue
-                    key, total, out = (0, 0), so_far + channel + cost[a, b, 0], text + c
+                    key, total, out = (0, 0), so_far + channel + cost[a, b, 0], (tail, c)
                 else:
-                    key, total, out = (b, symbol), so_far + channel + cost[a, b, symbol], text + c
-                if key not in new or (total, out) < new[key]:
+                    key, total, out = (b, symbol), so_far + channel + cost[a, b, symbol], (tail, c)
+                held = new.get(key)
+                if held is None or total < held[0] or (total == held[0] and _text(out) < _text(held[1])):
                     new[key] = (total, out)
         states, before = new, ch
-    return min((total + cost[a, b, 0], text) for (a, b), (total, text) in states.items())[1].strip()
+    return min((total + cost[a, b, 0], _text(tail)) for (a, b), (total, tail) in states.items())[1].strip()
+
+
+def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float]) -> str:
+    """The same search over all pairs of symbols at once, for tokens with several masks."""
+    dist = np.full((_N, _N), np.inf)
+    dist[0, 0] = 0.0
+    steps, before, drawn = [], "", 1
+    for ch in token:
+        drawn = drawn + 1 if ch == before else 1
+        # From (a, b) to (b, symbol): the best a, and what is written; or (a, b) stays and nothing is written.
+        new, back, written = np.full((_N, _N), np.inf), np.full((_N, _N), -2), {}
+        through = dist[:, :, None] + cost
+        for symbol, c, channel in _options(ch, drawn, separator):
+            if symbol < 0:
+                better = dist + channel < new
+                new[better], back[better] = (dist + channel)[better], -1
+                continue
+            best = through[:, :, symbol].argmin(0)
+            total = through[best, np.arange(_N), symbol] + channel
+            written[symbol] = c
+            if symbol == 0:  # a word ends: all of them meet in (0, 0)
+                b = int(total[1:].argmin()) + 1
+                if total[b] < new[0, 0]:
+                    new[0, 0], back[0, 0] = total[b], _N * (b + 1) + best[b]
+                continue
+            better = total < new[:, symbol]
+            new[better, symbol], back[better, symbol] = total[better], best[better]
+        steps.append((back, written))
+        dist, before = new, ch
+    final = dist + cost[:, :, 0]
+    a, b = divmod(int(final.argmin()), _N)
+    out = []
+    for back, written in reversed(steps):
+        k = int(back[a, b])
+        if k == -1:
+            continue
+        out.append(written[b])
+        a, b = (k % _N, k // _N - 1) if k >= _N else (k, a)
+    return "".join(reversed(out)).strip()
+
+
+def _text(tail: tuple) -> str:
+    out = []
+    while tail:
+        tail, c = tail
+        out.append(c)
+    return "".join(reversed(out))
 
 
 # -- words ---------------------------------------------------------------------------------------
@@ -153,8 +222,8 @@ class Restorer:
         low[up + 1] += 0x20
         starts, ends, _, first = runs((kind > 0).astype(np.uint8), off)
         letter = kind == 1
-        # The core of a token: from its first to its last letter or digit, with one sign before it.
-        solid = letter | _DIGIT[buf]
+        # The core of a token: from its first to its last letter, digit, $ or @, with one sign before it.
+        solid = letter | _SOLID[buf]
         place = np.arange(n)
         last = np.maximum.accumulate(np.where(solid, place, -1)) if n else place
         head = np.minimum.accumulate(np.where(solid, place, n)[::-1])[::-1] if n else place
@@ -166,15 +235,11 @@ class Restorer:
         begin = begin - sign
         count = lambda flags: np.concatenate([[0], np.cumsum(flags)])
         inside = lambda c: c[end] - c[begin]
-        letters, looks = inside(count(letter)), inside(count(kind == 2))
-        starts_run = letter.copy()
-        starts_run[1:] &= ~letter[:-1]
-        single = inside(count(starts_run)) == letters
-        triple = np.zeros(n, bool)
-        if n > 2:
-            triple[2:] = (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]
-        size = end - begin
-        odd = some & (size <= LONGEST) & (((letters >= 2) & (looks > 0)) | ((letters >= 3) & single & (size > letters)) | (inside(count(triple)) > 0))
+        double = np.zeros(n, bool)
+        if n > 1:
+            double[1:] = (low[1:] == low[:-1]) & letter[1:]
+        # More than one path: signs or separators, letters twice in a row, letters of other scripts.
+        odd = some & (inside(count(~letter | double | (_FOREIGN[buf] & letter))) > 0)
         # Letters spelled one by one: several tokens of one character in a row.
         lone = some & (ends - starts == 1)
         spelled = np.zeros(len(starts), bool)
@@ -183,8 +248,7 @@ class Restorer:
             s, e, _, _ = runs(lone.astype(np.uint8), first)
             for i, j in zip(s.tolist(), e.tolist()):
                 if j - i >= SPELLED:
-                    for k in range(i, j, LONGEST):
-                        sequences.append((k, min(j, k + LONGEST)))
+                    sequences.append((i, j))
                     spelled[i:j] = True
         odd &= ~spelled
         hidden = np.flatnonzero(odd | spelled)
@@ -193,19 +257,25 @@ class Restorer:
             kind[spread(starts[hidden], ends[hidden] - starts[hidden])] = 0
         ws, we, _, wfirst = runs((kind == 1).astype(np.uint8), off)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(wfirst))
-        found: list[tuple[int, bytes]] = []
-        token_doc = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
-        for k in np.flatnonzero(odd).tolist():
-            found += [(int(token_doc[k]), w) for w in self._restored(low[begin[k] : end[k]].tobytes().decode("utf-8", "replace"))]
-        for i, j in sequences:
-            found += [(int(token_doc[i]), w) for w in self._restored(" ".join(low[starts[k] : ends[k]].tobytes().decode("utf-8", "replace") for k in range(i, j)))]
-        if not found:
+        if not len(hidden):
             return padded(low), ws, we, doc
-        extra = b"".join(w for _, w in found)
-        lens = np.array([len(w) for _, w in found])
+        # Each distinct token once.
+        token_doc = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
+        at = np.flatnonzero(odd)
+        _, one, which = np.unique(hash_spans(padded(low), begin[at], end[at]), return_index=True, return_inverse=True)
+        data = low.tobytes()
+        forms = [self._restored(data[i:j].decode("utf-8", "replace")) for i, j in zip(begin[at[one]].tolist(), end[at[one]].tolist())]
+        forms += [self._restored(" ".join(data[starts[k] : ends[k]].decode("utf-8", "replace") for k in range(i, j))) for i, j in sequences]
+        which = np.concatenate([which, len(one) + np.arange(len(sequences))])
+        of = np.concatenate([token_doc[at], token_doc[np.array([i for i, _ in sequences], np.int64)]])
+        lens = np.array([len(w) for f in forms for w in f], np.int64)
+        n_words = np.array([len(f) for f in forms], np.int64)
+        extra = np.frombuffer(b"".join(w for f in forms for w in f), np.uint8)
+        pick = spread((np.cumsum(n_words) - n_words)[which], n_words[which])
         e = np.cumsum(lens) + n
-        order = np.argsort(np.concatenate([doc, [d for d, _ in found]]), kind="stable")
-        return padded(np.concatenate([low, np.frombuffer(extra, np.uint8)])), np.concatenate([ws, e - lens])[order], np.concatenate([we, e])[order], np.concatenate([doc, np.array([d for d, _ in found], np.int64)])[order]
+        owner = np.concatenate([doc, np.repeat(of, n_words[which])])
+        order = np.argsort(owner, kind="stable")
+        return padded(np.concatenate([low, extra])), np.concatenate([ws, (e - lens)[pick]])[order], np.concatenate([we, e[pick]])[order], owner[order]
 
 
 _RESTORERS: dict[str, Restorer] = {}
