@@ -8,6 +8,7 @@ come from the library's BPE model, once per distinct pre-token and worker.
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 import numpy as np
@@ -71,11 +72,13 @@ def _contractions(low: np.ndarray, starts, ends, kinds, first):
 class WordBPE:
     """The tokenizer file at ``path`` with a bounded cache of pre-token ids per worker process."""
 
-    #: Distinct pre-tokens held before the cache starts anew.
+    #: Distinct pre-tokens held before the cache starts anew, and how often it has.
     CACHE = 1_500_000
+    generation = 0
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
+        self._check()
         self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special_bytes = {name.encode(): i for name, i in self.special.items()}
         self.model, alphabet = self.tok.model, byte_alphabet()
@@ -83,9 +86,20 @@ class WordBPE:
         self.from_level = {ord(c): b for b, c in alphabet.items()}
         self.reset()
 
+    def _check(self) -> None:
+        """Raise unless the file splits texts as this module does: probes of each rule, against the library's own split."""
+        given = "Ab cÉ\t12 3x it's WE'LL ''s --- a_b  $5.0\n\u00d7z\u00df!?"
+        kind = json.loads(self.tok.to_str())
+        if (kind.get("model") or {}).get("type") != "BPE" or self.tok.normalizer is None or self.tok.pre_tokenizer is None:
+            raise ValueError("the tokenizer file is no word-level BPE with a normaliser and a pre-tokenizer")
+        wanted = ["ab", "cé", "1", "2", "3", "x", "it", "'s", "we", "'ll", "''", "s", "---", "a", "_", "b", "$", "5", ".", "0", "×", "zß", "!?"]
+        if [x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(given))] != ["".join(byte_alphabet()[b] for b in w.encode()) for w in wanted]:
+            raise ValueError("the tokenizer file splits texts by other rules")
+
     def reset(self) -> None:
         self.table, self.first, self.flat, self.used = Table(16), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint16), 0
-        self.counts = np.zeros(1 << 12, np.int32)
+        self.counts, self.names = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.uint64)
+        self.generation += 1
 
     # -- pre-tokens ---------------------------------------------------------------------------
 
@@ -169,13 +183,13 @@ class WordBPE:
             ids = [self.ids_of(data[i:j]) for i, j in zip(p.starts[places].tolist(), p.ends[places].tolist())]
             n, base = np.array([len(x) for x in ids], np.int32), self.table.n
             while base + len(ids) > len(self.first):
-                self.first, self.counts = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.counts, np.zeros_like(self.counts)])
+                self.first, self.counts, self.names = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.counts, self.names))
             total = int(n.sum())
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.used : self.used + total] = list(chain.from_iterable(ids))
             self.first[base : base + len(ids)] = self.used + np.cumsum(n) - n
-            self.counts[base : base + len(ids)] = n
+            self.counts[base : base + len(ids)], self.names[base : base + len(ids)] = n, fresh
             self.used += total
             self.table.add(fresh, np.arange(base, base + len(ids)))
             at[new] = self.table.find(h[new])

@@ -9,8 +9,8 @@ up to its last line, and deleting every later window deletes every later run.
 
 Winnowing keeps this cheap: each window selects the smallest line hash in it as its fingerprint.  Equal windows select
 equal fingerprints, so only windows whose fingerprint was selected more than once anywhere are compared.  A Bloom filter
-tells them where the repeated fingerprints are few enough for one of 8 MB; beyond that an exact join does.  Of equal
-windows the first by (doc_id, position) stays; its later occurrences are found by an aggregate and an equi-join, never
+tells them where the repeated fingerprints are few enough for one of 8 MB; beyond that an exact join does.  Their hashes
+are counted first, so that only windows that occur twice are moved with their places.  Of equal windows the first by (doc_id, position) stays; its later occurrences are found by an aggregate and an equi-join, never
 in pairs.  Texts are moved only for documents that lose something.
 """
 
@@ -158,7 +158,7 @@ def _selected(h, words, first, min_words):
 def _candidates(rows: np.ndarray, ids: pa.Array, h, words, first, min_words, wanted) -> pa.RecordBatch:
     """The windows whose fingerprint is wanted; ``at`` is a window's first line, times 2^32, and its number of lines."""
     doc, s, e, fp, ha, hb = windows(h, words, first, min_words)
-    keep = np.flatnonzero(wanted(doc, fp))
+    keep = np.flatnonzero(wanted(doc, fp, ha))
     doc, s, e = doc[keep], s[keep], e[keep]
     cols = [pa.array(rows[doc]), ids.take(pa.array(doc)), pa.array((s - first[doc] << 32) | (e - s)), pa.array(ha[keep].view(np.int64)), pa.array(hb[keep].view(np.int64))]
     return pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "at", "ha", "hb"])
@@ -186,10 +186,26 @@ def repeated_lines(named: DataFrame, min_words: int = MIN_WORDS, filtered: int =
     if n_often <= filtered:
         held = spark.sparkContext.broadcast(_bloom.build(often, _bloom.bits_for(n_often)))
 
+        def tally(batches):
+            for b in batches:
+                h, words, first = _read_lines(b, 0, 1)
+                _, _, _, fp, ha, _ = windows(h, words, first, min_words)
+                own, n = np.unique(ha[_bloom.passes(held.value, fp)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["ha", "n"])
+
+        # Only windows whose hash occurs twice are worth their places.
+        twice = durable(named.select("h", "words").mapInArrow(tally, "ha long, n long").groupBy("ha").agg(F.sum("n").alias("n")).where("n > 1").select("ha"))
+        n_twice = twice.count()
+        again = spark.sparkContext.broadcast(_bloom.build(twice, _bloom.bits_for(n_twice)) if n_twice <= filtered else None)
+
         def compare(batches):
+            def wanted(_, fp, ha):
+                ok = _bloom.passes(held.value, fp)
+                return ok if again.value is None else ok & _bloom.passes(again.value, ha)
+
             for b in batches:
                 h, words, first = _read_lines(b, 2, 3)
-                yield _candidates(np.asarray(b.column(0)), b.column(1), h, words, first, min_words, lambda _, fp: _bloom.passes(held.value, fp))
+                yield _candidates(np.asarray(b.column(0)), b.column(1), h, words, first, min_words, wanted)
 
         found = named.select("row", "doc_id", "h", "words").mapInArrow(compare, _CANDIDATE)
     else:
@@ -204,7 +220,7 @@ def repeated_lines(named: DataFrame, min_words: int = MIN_WORDS, filtered: int =
                 h, words, first = _read_lines(b, 2, 3)
                 allow, _, allow_first = _read_lines(b, 4, 4)
                 allowed = _pair(np.repeat(np.arange(b.num_rows), np.diff(allow_first)), allow)
-                yield _candidates(np.asarray(b.column(0)), b.column(1), h, words, first, min_words, lambda doc, fp: np.isin(_pair(doc, fp), allowed))
+                yield _candidates(np.asarray(b.column(0)), b.column(1), h, words, first, min_words, lambda doc, fp, _: np.isin(_pair(doc, fp), allowed))
 
         chosen = named.select("row", "h", "words").mapInArrow(select, "row long, fp long")
         wanted = chosen.join(often, "fp").groupBy("row").agg(F.collect_set("fp").alias("fps"))

@@ -101,6 +101,8 @@ class Media:
 
 def _vint(data: bytes, at: int, keep: bool) -> tuple[int | None, int]:
     """A variable-length number at ``at`` and the offset behind it; None for the reserved unknown size."""
+    if at >= len(data):
+        raise ValueError(f"the file ends at byte {at}, inside an element")
     first = data[at]
     width = 9 - first.bit_length()
     if width > 8 or at + width > len(data):
@@ -164,6 +166,13 @@ def _sizes(data: bytes, p: int, end: int, lacing: int) -> tuple[list[int], int]:
 
 def demux(data: bytes) -> Media:
     """Parse a file; raises ValueError where it is broken."""
+    try:
+        return _demux(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("the file ends inside an element") from e
+
+
+def _demux(data: bytes) -> Media:
     out = Media()
     value = lambda a, b: int.from_bytes(data[a:b], "big")
     real = lambda a, b: struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0]
@@ -263,7 +272,10 @@ def to_media(docs: DataFrame, frame: int = FRAME, lacing: str = "fixed") -> Data
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """``media(doc_id, media)`` -> one row per packet: ``doc_id, packet, track, ns, key, offset, size``."""
+    """``media(doc_id, media)`` -> one row per packet: ``doc_id, packet, track, ns, key, offset, size``.
+
+    Null and empty media have no packets, broken ones raise ValueError; repeated rows give repeated packets, other columns
+    are ignored, an empty table gives no rows."""
 
     def run(batches):
         for b in batches:
@@ -275,12 +287,18 @@ def packet_table(media: DataFrame) -> DataFrame:
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """``media(doc_id, n_bytes, media)`` -> payload and container digests and features, read from the stored bytes."""
+    """``media(doc_id, n_bytes, media)`` -> payload and container digests and features, read from the stored bytes.
+
+    Null media have null figures, broken ones raise ValueError; repeated rows give repeated results, other columns are
+    ignored, an empty table gives no rows."""
 
     def run(batches):
         for b in batches:
             rows = []
             for data in b.column(2).to_pylist():
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
                 got = demux(data)
                 payload = b"".join([data[p : p + n] for _, _, _, p, n in got.packets])
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(np.frombuffer(payload, np.uint8), got)))

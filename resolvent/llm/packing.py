@@ -1,13 +1,13 @@
 """Lexical retrieval packing: windows filled with the BM25 neighbours of a seed document.
 
 Documents lie in shards of bounded size, one after the other within each input partition.  Corpus statistics
-(number of documents, mean length, document frequency of every term) are counted over all documents first;
-terms are 64-bit hashes of pre-tokens.  The frequencies of the terms that two documents or more have are broadcast, 12
-bytes a term: they grow with the vocabulary.  A term that is not among them occurs in one document.  Each
-shard then builds an inverted index with BM25 impacts.  A seed document's strongest terms are the query; its
-unused neighbours fill the seed's window greedily by score, and the best one that is too long is cut to fill
-the rest.  What is left when a shard has no unused document becomes sequences whose lengths are powers of two,
-which need no padding.
+(number of documents, mean length, document frequency of every term) are counted over all documents first; terms are
+64-bit hashes of pre-tokens.  The frequencies of at most ``MOST_TERMS`` terms are broadcast, 12 bytes a term: the most
+frequent ones where there are more.  A term that is not among them has the mean frequency of all such terms; where there
+are fewer, that is 1.  Each shard then builds an inverted index with BM25 impacts.  All terms of a seed document are the
+query; its unused neighbours fill the seed's window greedily by score, and the best one that is too long is cut to fill
+the rest.  What is left when a shard has no unused document becomes sequences whose lengths are powers of two, which
+need no padding.
 """
 
 from __future__ import annotations
@@ -23,85 +23,101 @@ from ._arrow import pieces, spread, utf8
 from ._bpe import load
 from ._spark import durable, row_base, tune
 
-#: Ids and documents of one shard, terms of a query, BM25's two constants.
-SHARD_IDS, SHARD_DOCS, QUERY_TERMS, K1, B = 3_000_000, 8192, 24, 1.2, 0.75
-#: Terms that a counting task holds before it passes their counts on.
-HELD_TERMS = 1 << 20
+#: Ids and documents of one shard, BM25's two constants, terms whose own frequencies are broadcast.
+SHARD_IDS, SHARD_DOCS, K1, B, MOST_TERMS = 3_000_000, 8192, 1.2, 0.75, 1 << 23
+#: Terms in more than one in so many documents of a shard are a row of impacts each, instead of a posting list.
+DENSE = 12
 
 
-def _doc_terms(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, frequency), sorted by document, of hashed pre-tokens."""
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(np.append(at, len(h)))
+def _doc_terms(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, frequency), sorted, of the pre-tokens' numbers (below 2^32)."""
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first))
+    key = np.sort(doc << 32 | at)
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[new] >> 32, key[new] & 0xFFFFFFFF, np.diff(np.append(new, len(key)))
 
 
-def corpus_statistics(docs: DataFrame, path: str) -> tuple[int, float, np.ndarray, np.ndarray]:
-    """Documents, their mean number of pre-tokens, and the sorted terms that occur in two documents or more with the
-    number of those."""
+def corpus_statistics(docs: DataFrame, path: str, most: int = MOST_TERMS) -> tuple[int, float, np.ndarray, np.ndarray, float]:
+    """Documents, their mean number of pre-tokens, the sorted terms whose frequency is kept with the numbers of documents
+    that have them, and the mean such number of all other terms."""
 
     def run(batches):
-        bpe, held, seen = load(path), [], 0
+        bpe, state = load(path), {}
         n_docs = n_words = 0
 
         def flush():
-            term, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(term), np.int32)), pa.array(term.view(np.int64)), pa.array(n)], ["kind", "term", "n"])
+            seen, own = state.pop("seen"), state.pop("names")
+            at = np.flatnonzero(seen)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(own[at].view(np.int64)), pa.array(seen[at])], ["kind", "term", "n"])
 
         for b in batches:
             buf, off = utf8(b.column(0))
             for i, j in pieces(off):
                 p = bpe.split(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                held.append(_doc_terms(p.hashes(), p.first)[1])
-                seen += len(held[-1])
-                n_docs, n_words = n_docs + j - i, n_words + len(p.starts)
-                if seen >= HELD_TERMS:
+                held = bpe.generation
+                if state and bpe.table.n > bpe.CACHE:
                     yield flush()
-                    held.clear()
-                    seen = 0
-        if held:
+                at = bpe.index(p)
+                if state and bpe.generation != held:
+                    raise RuntimeError("the cache began anew under its counts")
+                n = np.bincount(_doc_terms(at, p.first)[1], minlength=bpe.table.n)
+                if state:
+                    n[: len(state["seen"])] += state["seen"]
+                state.update(seen=n, names=bpe.names)
+                n_docs, n_words = n_docs + j - i, n_words + len(p.starts)
+        if state:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([0, 0]), pa.array([n_docs, n_words])], ["kind", "term", "n"])
 
-    counted = durable(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")).where("kind > 0 or n > 1"))
+    counted = durable(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r["n"] for r in counted.where("kind > 0").collect()}  # two rows
-    rows = counted.where("kind = 0").select("term", F.col("n").cast("int").alias("n")).toArrow()
-    term, df = rows["term"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int32)
+    # The least frequency from which on at most ``most`` terms are left, by a histogram in powers of the eighth root of 2.
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int").alias("level")
+    taken, floor, rest, docs_of_rest = 0, 1, 0, 0
+    for r in sorted(counted.where("kind = 0").groupBy(level).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect(), key=lambda r: -r["level"]):  # at most 8 x 63 rows
+        if r["level"] > 0 and not rest and taken + r["k"] <= most:
+            taken, floor = taken + r["k"], r["level"]
+        else:
+            rest, docs_of_rest = rest + r["k"], docs_of_rest + r["n"]
+    rows = counted.where((F.col("kind") == 0) & (level >= max(floor, 1))).select("term", F.col("n").cast("int").alias("n")).toArrow() if taken else None
+    term = rows["term"].to_numpy().astype(np.int64).view(np.uint64) if taken else np.zeros(0, np.uint64)
+    df = rows["n"].to_numpy().astype(np.int32) if taken else np.zeros(0, np.int32)
     order = np.argsort(term)
     n_docs = total.get(1, 0)
-    return n_docs, total.get(2, 0) / max(1, n_docs), term[order], df[order]
+    return n_docs, total.get(2, 0) / max(1, n_docs), term[order], df[order], docs_of_rest / max(1, rest)
 
 
 class Shard:
-    """An inverted index with BM25 impacts over some documents."""
+    """An inverted index with BM25 impacts over some documents; ``term`` numbers the terms from 0."""
 
-    def __init__(self, doc, term, tf, n_docs: int, lengths, idf, mean: float, bits: int):
+    def __init__(self, doc, term, tf, n_docs: int, lengths, idf, mean: float, dense: int = DENSE):
         self.n = n_docs
         impact = idf[term] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1e-9)))).astype(np.float32)
         self.doc_first = np.searchsorted(doc, np.arange(n_docs + 1))
-        self.doc_term, self.doc_impact = term, impact
-        order = np.argsort(term, kind="stable")
-        self.post_doc, self.post_impact = doc[order], impact[order]
-        self.terms, begins = np.unique(term[order], return_index=True)
-        self.post_first = np.append(begins, len(term))
-        self.slot = np.searchsorted(self.terms, term)
-
-    def scores(self, seed: int, query_terms: int) -> np.ndarray:
-        """BM25 score of every document of the shard for the seed's strongest terms."""
-        a, b = self.doc_first[seed], self.doc_first[seed + 1]
-        slot, weight = self.slot[a:b], self.doc_impact[a:b]
-        if len(slot) > query_terms:
-            slot = slot[np.argpartition(-weight, query_terms)[:query_terms]]
-        begins, counts = self.post_first[slot], self.post_first[slot + 1] - self.post_first[slot]
-        at = spread(begins, counts)
-        return np.bincount(self.post_doc[at], weights=self.post_impact[at], minlength=self.n)
-
-
-def pack_shard(lengths: np.ndarray, shard: Shard, window: int, query_terms: int = QUERY_TERMS):
+        df = np.bincount(term, minlength=len(idf))
+        wide = np.flatnonzero(df * dense > n_docs)
+        self.row = np.full(len(idf), -1)
+        self.row[wide] = np.arange(len(wide))
+        self.impacts = np.zeros((len(wide), n_docs), np.float32)
+        own = self.row[term]
+        self.impacts[own[own >= 0], doc[own >= 0]] = impact[own >= 0]
+        self.term = term
+        thin = np.flatnonzero(own < 0)
+        thin = thin[np.argsort(term[thin], kind="stable")]
+        self.post_doc, self.post_impact = doc[thin], impact[thin]
+        self.post_first = np.concatenate([[0], np.cumsum(np.where(self.row < 0, df, 0))])
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of every document of the shard for all terms of the seed."""
+        query = self.term[self.doc_first[seed] : self.doc_first[seed + 1]]
+        rows = self.row[query]
+        rare = query[rows < 0]
+        begins = self.post_first[rare]
+        at = spread(begins, self.post_first[rare + 1] - begins)
+        return np.bincount(self.post_doc[at], weights=self.post_impact[at], minlength=self.n) + np.add.reduce(self.impacts[rows[rows >= 0]], axis=0)
+
+
+def pack_shard(lengths: np.ndarray, shard: Shard, window: int):
     """Yield sequences, each a list of (document, start, length), that hold every id of the shard once."""
     n = len(lengths)
     start = np.zeros(n, np.int64)
@@ -120,7 +136,7 @@ def pack_shard(lengths: np.ndarray, shard: Shard, window: int, query_terms: int
         filled, space = [(seed, int(start[seed]), int(left[seed]))], window - int(left[seed])
         unused[seed] = False
         if space:
-            score = shard.scores(seed, query_terms)
+            score = shard.scores(seed)
             score[~unused] = -1.0
             near = np.flatnonzero(score >= 0)
             want = min(len(near), 64)
@@ -173,9 +189,10 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
     are ignored; an empty table gives no rows.
     """
     tune(docs.sparkSession)
-    n_docs, mean, common, df = corpus_statistics(docs, path)
-    # The last place is for the terms of one document.
-    idf = np.log1p((n_docs - np.append(df, 1) + 0.5) / (np.append(df, 1) + 0.5)).astype(np.float32)
+    n_docs, mean, common, df, rest = corpus_statistics(docs, path)
+    # The last place is for all other terms.
+    df = np.append(df, max(1.0, rest))
+    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
     held = docs.sparkSession.sparkContext.broadcast((common, idf))
 
     def run(batches):
@@ -198,7 +215,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
             at = np.searchsorted(common, own)
             if len(common):
                 at[common[np.minimum(at, len(common) - 1)] != own] = len(common)
-            shard = Shard(doc, term, tf, len(n_ids), lengths_words, idf[at], mean, 0)
+            shard = Shard(doc, term, tf, len(n_ids), lengths_words, idf[at], mean)
             rows, pay = [], []
             for sequence in pack_shard(n_ids, shard, window):
                 at = 0
@@ -225,13 +242,13 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
             buf, off = utf8(b.column(1))
             for i, j in pieces(off):
                 p = bpe.split(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                h = p.hashes()
                 at = bpe.index(p)
                 k = bpe.counts[at].astype(np.int64)
                 begins = np.concatenate([[0], np.cumsum(k)])[p.first]
                 flat = bpe.flat[spread(bpe.first[at], k)]
                 ids = np.insert(flat, begins[1:], np.uint16(end_id))
-                doc, term, tf = _doc_terms(h, p.first)
+                doc, term, tf = _doc_terms(at, p.first)
+                term = bpe.names[term]
                 names.append(b.column(0)[i:j])
                 parts.append((np.diff(begins) + 1, ids, np.diff(p.first), doc, term, tf))
                 count[0] += j - i

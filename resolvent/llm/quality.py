@@ -18,7 +18,7 @@ from ._labels import fold, isotonic, training_labels
 from ._spark import durable, tune
 
 #: Random features, kernel width in deviations, ridge per row, labelled rows of each class at most, calibration bins.
-FEATURES, WIDTH, RIDGE, MOST_LABELS, BINS = 192, 4.0, 1e-3, 100_000, 2000
+FEATURES, WIDTH, RIDGE, MOST_LABELS, BINS = 192, 4.0, 1e-4, 100_000, 2000
 NAMES = ["log_bytes", "log_words", "word_len", "upper", "digit", "mark", "symbol", "bar", "bang", "line", "capital", "beyond_ascii", "distinct", "stop", "long", "top"]
 
 _SPACE, _ALPHA, _UPPER, _DIGIT, _MARK, _SYMBOL = (np.zeros(256, bool) for _ in range(6))
@@ -109,6 +109,11 @@ def normal_equations(rows: DataFrame, phi: Fourier) -> tuple[np.ndarray, np.ndar
     return out[:, :d], out[:, d]
 
 
+def ridge_solution(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weights of the ridge regression; the last feature is the constant, so its entry is the rows' weight."""
+    return np.linalg.solve(a + np.eye(len(a)) * RIDGE * max(1.0, a[-1, -1]), b)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, column: str = "quality", threshold: float = 0.5, most: int = MOST_LABELS) -> DataFrame:
     """``docs(doc_id, text, ...)`` and ``labels(doc_id, quality)`` -> ``(doc_id, held_out, score, predicted)``, one row per
     row of ``docs``.
@@ -131,8 +136,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: i
     train = durable(base.join(chosen, "doc_id").select("doc_id", "f", F.col("y").cast("double").alias("y"), w.cast("double").alias("w")))
     apart = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0  # a quarter calibrates
     a, b = normal_equations(train.where(~apart).select("f", "y", "w").repartition(16), phi)
-    n = max(1.0, a[-1, -1])
-    beta = np.linalg.solve(a + np.eye(len(a)) * RIDGE * n / 10, b)
+    beta = ridge_solution(a, b)
 
     def ridge(f: np.ndarray) -> np.ndarray:
         return np.clip(phi(f) @ beta, -0.5, 1.5)

@@ -2,7 +2,8 @@
 
 The rules' verdicts label the URLs they fit.  Variable-order Markov models (orders 0 to ``ORDER``, each order
 smoothed by the one below) of accepted and of rejected URLs are counted over every labelled URL outside the
-calibration fold, under 64-bit keys in a table of all distinct ones, which is broadcast: 16 bytes a key.  A URL's score is the difference of its two mean
+calibration fold, under 64-bit keys in a table of all distinct ones: up to ``MOST_KEYS`` of them are broadcast, 16 bytes a
+key, and more are joined to the keys of the URLs that need a score.  A URL's score is the difference of its two mean
 log-likelihoods per byte, calibrated to a probability by a logistic fit on the fold that the models have not seen.
 """
 
@@ -22,6 +23,8 @@ from ._spark import durable, row_base, tune
 ORDER, BACKOFF = 5, 2.0
 #: One URL in so many calibrates the scores; bins of the calibration histogram and the range they cover.
 FOLD, BINS, REACH = 5, 2048, 8.0
+#: Most keys of a table that is broadcast: 128 MB.
+MOST_KEYS = 1 << 23
 
 
 class Rule(NamedTuple):
@@ -76,8 +79,8 @@ def _keys(buf: np.ndarray, off: np.ndarray, order: int):
     return out, np.concatenate([[0], np.cumsum(lens)])
 
 
-def count_models(labelled: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """``labelled(url, accepted)`` -> sorted distinct keys, and their counts [2, keys] in rejected and accepted URLs."""
+def count_models(labelled: DataFrame, order: int) -> DataFrame:
+    """``labelled(url, accepted)`` -> ``(key, rejected, accepted)``: each distinct key and how often either kind has it."""
 
     def run(batches):
         for b in batches:
@@ -91,7 +94,12 @@ def count_models(labelled: DataFrame, order: int) -> tuple[np.ndarray, np.ndarra
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n if c == 0 else n * 0), pa.array(n if c else n * 0)], ["key", "rejected", "accepted"])
 
     counted = labelled.select("url", F.col("accepted").cast("int").alias("accepted")).mapInArrow(run, "key long, rejected long, accepted long")
-    rows = counted.groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")).toArrow()  # one row a distinct key
+    return counted.groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted"))
+
+
+def gathered(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A counted table of bounded size as sorted keys and their counts [2, keys] in rejected and accepted URLs."""
+    rows = counted.toArrow()
     key = rows["key"].to_numpy().astype(np.int64).view(np.uint64)
     order_of = np.argsort(key)
     return key[order_of], np.stack([rows[c].to_numpy().astype(np.int64)[order_of] for c in ("rejected", "accepted")])
@@ -107,10 +115,8 @@ def _counts_of(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.nda
     return (counts[:, at] * (held[at] == own))[:, back]
 
 
-def log_ratio(buf: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndarray], order: int, backoff: float) -> np.ndarray:
-    """Mean log-likelihood of each URL under the accepted model less that under the rejected one; 0 for an empty URL."""
-    keys, first = _keys(buf, off, order)
-    seen = [(_counts_of(context, table), _counts_of(full, table)) for context, full in keys]
+def _ratio(seen: list[tuple[np.ndarray, np.ndarray]], first: np.ndarray, backoff: float) -> np.ndarray:
+    """Mean log-likelihood ratio of URLs from the counts [2, bytes] of each order's contexts and contexts with the byte."""
     score = np.zeros(int(first[-1]))
     for c, sign in ((1, 1.0), (0, -1.0)):
         p = np.full(len(score), 1 / 256)
@@ -118,8 +124,49 @@ def log_ratio(buf: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndar
             p = (full[c] + backoff * p) / (np.maximum(context[c], full[c]) + backoff)
         score += sign * np.log(p)
     total = np.concatenate([[0.0], np.cumsum(score)])
-    n = np.diff(first)
-    return (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
+    return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
+
+
+def log_ratio(buf: np.ndarray, off: np.ndarray, table: tuple[np.ndarray, np.ndarray], order: int, backoff: float) -> np.ndarray:
+    """Mean log-likelihood of each URL under the accepted model less that under the rejected one; 0 for an empty URL."""
+    keys, first = _keys(buf, off, order)
+    return _ratio([(_counts_of(context, table), _counts_of(full, table)) for context, full in keys], first, backoff)
+
+
+def joined_ratios(urls: DataFrame, counted: DataFrame, order: int, backoff: float) -> DataFrame:
+    """``urls(row, url)`` -> ``(row, z)`` by a join of their keys with the counted table, for tables of any size.
+
+    A key is 24 bytes and a URL has 2 (order + 1) for each byte; a URL's own keys meet again in one row."""
+
+    def explode(batches):
+        for b in batches:
+            rows = np.asarray(b.column(0))
+            buf, off = utf8(b.column(1))
+            for i, j in pieces(off, 1 << 14):
+                keys, first = _keys(buf[off[i] : off[j]], off[i : j + 1] - off[i], order)
+                n = np.diff(first)
+                place = spread(np.zeros(len(n), np.int64), n)
+                every = [x for pair in keys for x in pair]
+                cols = [np.tile(np.repeat(rows[i:j], n), len(every)), np.concatenate([place * len(every) + k for k in range(len(every))]), np.concatenate(every).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", "at", "key"])
+
+    def score(batches):
+        for b in batches:
+            offsets = np.asarray(b.column(1).offsets).astype(np.int64)
+            flat = b.column(1).values.slice(offsets[0], offsets[-1] - offsets[0])
+            at, rejected, accepted = (np.asarray(flat.field(k)).astype(np.int64) for k in range(3))
+            per = 2 * (order + 1)
+            n = np.diff(offsets) // per
+            own = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+            sorted_at = np.lexsort((at, own))
+            grid = np.stack([rejected, accepted])[:, sorted_at].reshape(2, -1, per)
+            first = np.concatenate([[0], np.cumsum(n)])
+            z = _ratio([(grid[:, :, 2 * k], grid[:, :, 2 * k + 1]) for k in range(order + 1)], first, backoff)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z)], ["row", "z"])
+
+    found = urls.select("row", "url").mapInArrow(explode, "row long, at long, key long").join(counted, "key", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.groupBy("row").agg(F.collect_list(F.struct("at", count("rejected"), count("accepted"))).alias("k")).mapInArrow(score, "row long, z double")
 
 
 def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -138,7 +185,7 @@ def _platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     return (max(float(a), 1e-6), float(b))
 
 
-def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = ORDER, backoff: float = BACKOFF, most_keys: int = MOST_KEYS) -> DataFrame:
     """``pages(page_id, url, ...)`` -> ``(page_id, host, path, rule, verdict, score)``, one row per input row.
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest wins.  Where no
@@ -160,16 +207,23 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = ORDER, backof
     base = durable(named.select("row", "page_id", "url", host.alias("host"), path.alias("path")))
     ruled = durable(base.join(matched_rules(base.select("row", "host", "path"), rules), "row", "left"))
     fold = F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(FOLD)) == 0
-    keys, counts = count_models(ruled.where(F.col("rule").isNotNull() & ~fold).select("url", (F.col("verdict") == "allow").alias("accepted")), order)
-    held = spark.sparkContext.broadcast((keys, counts.astype(np.float32)))
-
-    def scores(batches):
-        for b in batches:
-            buf, off = utf8(b.column(b.schema.get_field_index("url")))
-            z = [log_ratio(buf[off[i] : off[j]], off[i : j + 1] - off[i], held.value, order, backoff) for i, j in pieces(off)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(np.concatenate([*z, np.zeros(0)]))], ["page_id", "host", "path", "rule", "verdict", "fold", "z"])
-
-    scored = durable(ruled.select("page_id", "url", "host", "path", "rule", "verdict", fold.alias("fold")).mapInArrow(scores, "page_id long, host string, path string, rule string, verdict string, fold boolean, z double"))
+    counted = durable(count_models(ruled.where(F.col("rule").isNotNull() & ~fold).select("url", (F.col("verdict") == "allow").alias("accepted")), order))
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    if counted.count() <= most_keys:
+        keys, counts = gathered(counted)
+        held = spark.sparkContext.broadcast((keys, counts.astype(np.float32)))
+
+        def scores(batches):
+            for b in batches:
+                buf, off = utf8(b.column(b.schema.get_field_index("url")))
+                z = [log_ratio(buf[off[i] : off[j]], off[i : j + 1] - off[i], held.value, order, backoff) for i, j in pieces(off)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(np.concatenate([*z, np.zeros(0)]))], [*columns, "fold", "z"])
+
+        scored = ruled.select("page_id", "url", *columns[1:], fold.alias("fold")).mapInArrow(scores, "page_id long, host string, path string, rule string, verdict string, fold boolean, z double")
+    else:
+        ratios = joined_ratios(ruled, counted, order, backoff)
+        scored = ruled.join(ratios, "row", "left").select(*columns, fold.alias("fold"), F.coalesce("z", F.lit(0.0)).alias("z"))
+    scored = durable(scored)
     bin_of = F.floor((F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("z"))) + REACH) * (BINS / (2 * REACH)))
     seen = scored.where("fold and rule is not null").groupBy(bin_of.alias("bin"), (F.col("verdict") == "allow").alias("ok")).count().collect()  # at most 2 x (BINS + 1) rows
     if len({r["ok"] for r in seen}) == 2:

@@ -132,11 +132,106 @@ def test_url_model_tells_its_classes_apart(spark):
     assert got == {5000: "block", 5001: "allow"}
 
 
+def plain_ratio(url, counts, order, backoff):
+    """The ratio of one URL by dictionaries of context counts: (order, context) -> {byte: [rejected, accepted]}."""
+    data = url.encode()
+    total = 0.0
+    for c, sign in ((1, 1.0), (0, -1.0)):
+        for i in range(len(data)):
+            p = 1 / 256
+            for k in range(order + 1):
+                seen = counts.get((k, (b"\0" * order + data)[i + order - k : i + order]), {})
+                p = (seen.get(data[i], [0, 0])[c] + backoff * p) / (sum(v[c] for v in seen.values()) + backoff)
+            total += sign * np.log(p)
+    return total / max(1, len(data))
+
+
+def test_ratio_equals_plain_counting(spark):
+    rng = random.Random(2)
+    urls = ["http://" + "".join(rng.choice("abcé.-/") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    labelled = [(u, k % 3 == 0) for k, u in enumerate(urls)]
+    counts: dict = {}
+    for u, good in labelled:
+        data = u.encode()
+        for i in range(len(data)):
+            for k in range(4):
+                own = counts.setdefault((k, (b"\0" * 3 + data)[i + 3 - k : i + 3]), {})
+                own.setdefault(data[i], [0, 0])[int(good)] += 1
+    counted = url_filter.count_models(spark.createDataFrame(labelled, "url string, accepted boolean"), 3)
+    asked = [*urls[:20], "", "x", "http://zzz/" + "ab" * 3000]
+    raw = [u.encode() for u in asked]
+    off = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = url_filter.log_ratio(np.frombuffer(b"".join(raw), np.uint8), off, url_filter.gathered(counted), 3, 2.0)
+    want = [plain_ratio(u, counts, 3, 2.0) for u in asked]
+    assert np.allclose(got, want)
+    joined = {r.row: r.z for r in url_filter.joined_ratios(spark.createDataFrame(list(enumerate(asked)), "row long, url string"), counted, 3, 2.0).collect()}
+    assert np.allclose([joined.get(k, 0.0) for k in range(len(asked))], want)
+
+
+def test_url_verdicts_are_the_same_by_broadcast_and_join(spark):
+    pages = table(spark, "pages").select("page_id", "url").unionByName(spark.createDataFrame([(None, "http://a.org/fr/x"), (7, None), (8, "x://" + "q" * 50_000)], "page_id long, url string"))
+    a, b = (sorted(map(tuple, url_filter.url_verdicts(pages, queries.RULES, most_keys=n).collect()), key=repr) for n in (1 << 23, 0))
+    assert a == b
+
+
+def test_quality_equals_a_direct_solve(spark):
+    """The distributed normal equations and their solution, against numpy on all rows at once."""
+    rng = np.random.default_rng(8)
+    k = len(quality.NAMES)
+    f, y, w = rng.normal(size=(300, k)), (rng.random(300) < 0.4).astype(float), rng.random(300) + 0.5
+    phi = quality.Fourier(f.mean(0), f.std(0))
+    rows = spark.createDataFrame([(x.tolist(), float(a), float(b)) for x, a, b in zip(f, y, w)], "f array<double>, y double, w double").repartition(5)
+    a, b = quality.normal_equations(rows, phi)
+    z = phi(f)
+    assert np.allclose(a, (z * w[:, None]).T @ z) and np.allclose(b, (z * w[:, None]).T @ y)
+    beta = quality.ridge_solution(a, b)
+    lam = quality.RIDGE * max(1.0, w.sum())
+    direct = np.linalg.lstsq(np.vstack([z * np.sqrt(w)[:, None], np.sqrt(lam) * np.eye(z.shape[1])]), np.concatenate([y * np.sqrt(w), np.zeros(z.shape[1])]), rcond=None)[0]
+    assert np.allclose(z @ beta, z @ direct, atol=1e-6)
+
+
+def test_fourier_features_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, len(quality.NAMES)))
+    phi = quality.Fourier(np.zeros(x.shape[1]), np.ones(x.shape[1]), features=20_000, width=4.0)
+    z = phi(x)[:, :20_000]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 4.0**2))
+    assert np.abs(z @ z.T - kernel).max() < 0.05
+
+
+def test_isotonic_equals_brute_force():
+    """The pooled fit has the least weighted squares of all non-decreasing step functions on a small grid."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        y, w = rng.integers(0, 4, 5) / 3, rng.integers(1, 4, 5).astype(float)
+        x, fit = _labels.isotonic(np.arange(5.0), y, w)
+        got = np.interp(np.arange(5), x, fit)
+        best = min(((w * (np.array(v) - y) ** 2).sum() for v in itertools.combinations_with_replacement(np.linspace(0, 1, 31), 5)))
+        assert (np.diff(got) >= -1e-12).all() and (w * (got - y) ** 2).sum() <= best + 1e-9
+
+
+@pytest.mark.parametrize("which", ["quality", "toxic"])
+def test_ties_repeats_and_very_long_texts(spark, which):
+    run = quality.quality_scores if which == "quality" else toxicity.toxicity_scores
+    long = "Plain words of a long text. " * 20_000
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in [(k, ("good plain text " if k % 2 else "stupid trash idiot ") * 5) for k in range(40)] + [(100, long), (100, long), (101, None), (None, ""), (102, "x" * 200_000)]], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(k, k % 2 if which == "quality" else 1 - k % 2) for k in range(40)] * 2 + [(0, None), (None, 1)], f"doc_id long, {which} int")
+    rows = run(docs, labels).collect()
+    assert len(rows) == 45 and all(0 <= r.score <= 1 for r in rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert len(by[100]) == 1 and len({s for k in range(0, 40, 2) for s in by[k]}) == 1
+    assert max(by[1]) != max(by[0])
+
+
 def test_url_counts_are_exact(spark):
     """Every n-gram has its own count, however many there are: 2 million keys, more than the former tables had slots."""
     rng = np.random.default_rng(3)
     urls = ["".join(map(chr, rng.integers(33, 127, 80))) for _ in range(4000)]
-    key, counts = url_filter.count_models(spark.createDataFrame([(u, k % 2 == 0) for k, u in enumerate(urls)], "url string, accepted boolean"), 5)
+    key, counts = url_filter.gathered(url_filter.count_models(spark.createDataFrame([(u, k % 2 == 0) for k, u in enumerate(urls)], "url string, accepted boolean"), 5))
     want = set()
     for u in urls:
         for k in range(6):

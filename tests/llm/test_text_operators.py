@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from resolvent.llm import _arrow, components, decontam, line_dedup, near_copies, simhash
@@ -48,6 +49,48 @@ def test_decontamination(spark, edge_docs, bits):
     assert got == brute_contamination(docs, [x for x in items if x[0] is not None], 10)
 
 
+def test_fingerprints_are_fewer_than_windows_and_lose_no_span(spark):
+    """Winnowing keeps some positions, and every span of 10 words or more that a document shares is hit, wherever it lies."""
+    rng = random.Random(12)
+    item = [f"i{k}" for k in range(200)]
+    docs = []
+    for d in range(60):
+        a, n = rng.randrange(190), rng.randint(9, 40)
+        own = item[a : a + n]
+        if d % 5 == 0:  # one changed word in the middle
+            own[len(own) // 2] = "changed"
+        docs.append((d, " ".join([f"o{rng.random()}" for _ in range(rng.randint(0, 30))] + own + [f"p{rng.random()}" for _ in range(rng.randint(0, 30))])))
+    items = [(1, " ".join(item)), (2, " ".join(item[50:90])), (3, " ".join(item[:9])), (4, " ".join(["a"] * 30))]
+    docs.append((100, " ".join(["a"] * 50)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()), key=repr)
+    assert got == brute_contamination(docs, items, 10)
+    prints = decontam.benchmark_fingerprints(bench.where("item_id = 1"), 10, 5).count()
+    assert prints < 0.5 * 191
+
+
+def test_near_copies_of_one_large_group(spark):
+    """A third of all rows are near copies of one text, and a chain that only some pairs link; blocks are small."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(200)]
+    docs = [(k, " ".join([*base[: (p := rng.randrange(200))], f"x{k}", *base[p:]])) for k in range(150)] + [(1000 + k, " ".join(f"u{rng.random()}" for _ in range(50))) for k in range(200)]
+    chain = [f"c{k}" for k in range(100)]
+    for k in range(12):
+        docs.append((2000 + k, " ".join(chain)))
+        chain = [*chain[4:], *(f"d{k}{j}" for j in range(4))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    base_rows = simhash.keyed_texts(frame)
+    sets = near_copies._sets_of(base_rows.select(F.col("doc_id").alias("node"), "text"), 5)
+    keyed = base_rows.select(F.col("doc_id").alias("node"), F.explode(F.array(F.lit(1), F.pmod("doc_id", F.lit(7)).cast("int") + 2)).cast("long").alias("key"))
+    roots = {r.node: r.root for r in components.components(near_copies.node_links(keyed, sets, 0.8, block=16)).collect()}
+    assert {roots.get(k) for k in range(150)} == {0} and not any(roots.get(1000 + k) for k in range(200))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    near = [(a, b) for a, x in docs[-12:] for b, y in docs[-12:] if a < b and len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y))]
+    assert near and all(roots[a] == roots[b] for a, b in near)
+    kept = near_copies.representatives(frame).where("doc_id < 150").collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
 def test_decontamination_of_nothing(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in decontam.report(edge_docs, bench).collect()} == {False}
@@ -159,7 +202,16 @@ def test_line_dedup(spark, edge_docs, no_docs):
     have = sorted(((r.doc_id, tuple(split(r.text)), r.n_deleted) for r in got), key=repr)
     assert have == sorted(((d, tuple(want[(d, t)]), len(split(t)) - len(want[(d, t)])) for d, t in docs), key=repr)
     assert any(x[2] for x in have)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    named = line_dedup._hashed(frame)
+    spans = lambda n: sorted((r.key, sorted(r.spans)) for r in line_dedup.repeated_lines(named, 25, filtered=n).collect())
+    assert spans(1 << 23) == spans(0)  # by filter and by join
+    assert sorted((r.doc_id is None, r.doc_id, r.n_deleted, r.text_sha256) for r in line_dedup.report(frame, 25).collect()) == sorted((r.doc_id is None, r.doc_id, r.n_deleted, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got)
     assert line_dedup.report(no_docs).collect() == []
+    clash = edge_docs.withColumns({c: F.lit(1) for c in ("_lines", "spans", "key", "n_lines", "words_deleted", "h")})
+    same = line_dedup.clean(clash, length="n_chars")
+    assert same.columns == clash.columns and same.count() == clash.count()
+    assert {r.doc_id for r in same.where("n_chars <> length(text)").collect()} <= {10, 1, 2, 3, 4, 7}
     kept = line_dedup.dedup_lines(edge_docs)
     assert kept.columns == [*edge_docs.columns, "n_lines", "n_deleted", "words_deleted"] and kept.count() == edge_docs.count()
 

@@ -106,7 +106,7 @@ def test_packing_repeats_and_nothing(edge_docs, no_docs, path, encode):
 def test_neighbours_are_lexical():
     """A window takes the document that shares rare terms with its seed before any other."""
     doc, term = np.array([0, 0, 1, 1, 2, 2, 3, 3]), np.array([1, 9, 2, 8, 1, 7, 2, 6])
-    shard = packing.Shard(doc, term, np.ones(8), 4, np.full(4, 2), np.ones(16, np.float32), 2.0, 4)
+    shard = packing.Shard(doc, term, np.ones(8), 4, np.full(4, 2), np.ones(16, np.float32), 2.0)
     first = list(packing.pack_shard(np.array([5, 5, 5, 5]), shard, 10))
     assert [sorted(d for d, _, _ in s) for s in first] == [[0, 2], [1, 3]]
 
@@ -157,7 +157,48 @@ def test_packing_terms_are_exact(spark, path):
     """Every word has its own document frequency, however many words there are, and none matches another word."""
     words = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(300_000)]
     texts = [(i, " ".join(words[i::10])) for i in range(10)] * 2 + [(99, "lone")]
-    n_docs, mean, term, df = packing.corpus_statistics(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), path)
-    assert (n_docs, mean) == (21, 600_001 / 21) and len(term) == 300_000 and (df == 2).all() and (term[1:] > term[:-1]).all()
-    doc, at, tf = packing._doc_terms(np.array([5 << 40, (5 << 40) + 1, 5 << 40, 7], np.uint64), np.array([0, 3, 4]))
-    assert list(zip(doc, at, tf)) == [(0, 5 << 40, 2), (0, (5 << 40) + 1, 1), (1, 7, 1)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    n_docs, mean, term, df, rest = packing.corpus_statistics(frame, path)
+    assert (n_docs, mean, rest) == (21, 600_001 / 21, 1.0) and len(term) == 300_000 and (df == 2).all() and (term[1:] > term[:-1]).all()
+    n_docs, mean, term, df, rest = packing.corpus_statistics(frame, path, most=1000)  # the others share their mean
+    assert len(term) == 0 and rest == 600_001 / 300_001
+    doc, at, tf = packing._doc_terms(np.array([5, 6, 5, 7]), np.array([0, 3, 4]))
+    assert list(zip(doc, at, tf)) == [(0, 5, 2), (0, 6, 1), (1, 7, 1)]
+
+
+@pytest.mark.parametrize("dense", [1, 12, 10**9])
+def test_scores_are_those_of_bm25(dense):
+    """Every document's score for every seed, against the plain formula; so the neighbours are the best ones, all of them."""
+    rng = np.random.default_rng(4)
+    texts = [rng.zipf(1.3, rng.integers(1, 120)) % 60 for _ in range(50)]
+    doc, term, tf = packing._doc_terms(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    lengths, n = np.array([len(t) for t in texts]), len(texts)
+    df = np.array([sum(k in t for t in texts) for k in range(60)])
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    shard = packing.Shard(doc, term, tf, n, lengths, idf, lengths.mean(), dense)
+    for seed in range(n):
+        want = [sum(idf[k] * (f := (t == k).sum()) * (packing.K1 + 1) / (f + packing.K1 * (1 - packing.B + packing.B * len(t) / lengths.mean())) for k in set(texts[seed].tolist()) if (t == k).any()) for t in texts]
+        assert np.allclose(shard.scores(seed), want, rtol=1e-4)
+
+
+def test_another_tokenizer_is_refused(path):
+    from public_tokenizers import path as of
+
+    from resolvent.llm._bpe import WordBPE
+
+    WordBPE(path)
+    with pytest.raises(ValueError):
+        WordBPE(of("byte_bpe_50k.json"))
+
+
+def test_broken_media_raise_and_null_media_have_no_figures(spark):
+    data = matroska.mux(bytes(range(256)) * 9)
+    for end in (1, 4, 5, 30, 60, len(data) // 2, len(data) - 1):
+        with pytest.raises(ValueError):
+            matroska.demux(data[:end])
+    rows = spark.createDataFrame([(1, 3, None), (2, 2304, data), (2, 2304, data)], "doc_id long, n_bytes long, media binary")
+    got = sorted(((r.doc_id, r.payload_bytes, r.feature is None) for r in matroska.digests(rows).collect()))
+    assert got == [(1, None, True), (2, 2304, False), (2, 2304, False)]
+    packets = matroska.packet_table(rows).collect()
+    assert len(packets) == 8 and all(data[r.offset : r.offset + r.size] == (bytes(range(256)) * 9)[576 * r.packet : 576 * r.packet + 576] for r in packets)
+    assert sorted((r.packet, r.ns, r.track, r.key) for r in packets[:4]) == [(k, k * 72_000_000, 1, True) for k in range(4)]
