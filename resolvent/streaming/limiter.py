@@ -1,9 +1,11 @@
-"""The limits as a stateful stream: a transport pass and a keyed pass, each with its own state per check.
+"""The limits as stateful streams: a transport pass and a keyed pass, one state per key and pass.
 
-Counters are a value state (start of the window, number), sets a value state per group and a map of members; each state
-expires by its own window's width of processing time, which bounds the store by what is active, so no size-bounded
-eviction of keys is needed: the RocksDB store spills to disk instead of dropping the oldest keys.  A stream that is run
-again over old events must catch up with event time faster than states expire.
+A query has one such pass: the transport pass writes its result, a table or files, and the keyed pass is a stream of it.
+
+A state holds what is open of each check, as JSON text: counters as start and number, sets as start and members.  What is
+older than its own window's width goes whenever the key is seen, and the whole state by time-out after the longest window
+of its checks without events.  That bounds the store by the active keys, so no size-bounded eviction of keys is needed:
+a state store spills to disk instead of dropping the oldest keys.
 
 Rows of a key within one micro-batch are folded in order of time and id.  There is no watermark, as the published limits
 trust the order of arrival: an event of a later batch that is older than its window counts in that window.
@@ -11,92 +13,83 @@ trust the order of arrival: an event of a later batch that is older than its win
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+import json
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.limiter import Limits, keyed_checks, micros, transport_checks
 
-_COLUMNS = ("k", "id", "t", "tr", "m", "c", "f", "reason")
-_SCHEMA = "k string, id long, t long, tr string, m string, c string, f string, reason string"
 #: Columns of a check's member and group, by their place in batch rows (see ``limiter.keyed_checks``).
 _FIELD = {2: "m", 3: "c", 4: "f"}
 
 
-class CheckChain(StatefulProcessor):
-    """The checks of one pass over the events of a key; an event that an earlier pass has rejected goes through untouched."""
+class Open:
+    """What is open of each check of one key: ``[check][group] -> [start, number or members]``."""
 
-    def __init__(self, checks: list[tuple]):
-        self.checks = checks
+    def __init__(self, checks: list[tuple], text: str | None):
+        self.checks, self.held = checks, json.loads(text) if text else {}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.windows, self.members = {}, {}
-        for i, (_, width, _, member, by) in enumerate(self.checks):
-            ttl = width // 1000
-            if by is None:
-                self.windows[i] = handle.getValueState(f"window{i}", "start long, n long", ttl)
-            else:
-                self.windows[i] = handle.getMapState(f"window{i}", "name string", "start long, n long", ttl)
-            if member is not None:
-                self.members[i] = handle.getMapState(f"members{i}", "name string, member string", "start long", ttl)
-
-    def _count(self, i: int, now: int, member: str | None, group: str | None) -> int:
-        width, window, name = self.checks[i][1], self.windows[i], group or ""
-        held = None
-        if group is None:
-            held = window.get() if window.exists() else None
-        elif window.containsKey((name,)):
-            held = window.getValue((name,))
-        start, n = (int(held[0]), int(held[1])) if held is not None and now - int(held[0]) < width else (now, 0)
-        new = True
-        if member is not None:
-            seen = self.members[i]
-            new = not seen.containsKey((name, member)) or int(seen.getValue((name, member))[0]) != start
-            if new:
-                seen.updateValue((name, member), (start,))
-        n += new
-        if group is None:
-            window.update((start, n))
-        else:
-            window.updateValue((name,), (start, n))
-        return n
-
-    def _reason(self, row: dict[str, Any]) -> str | None:
-        for i, (reason, _, most, member, by) in enumerate(self.checks):
+    def reason(self, row: dict) -> str | None:
+        """The first check that fails, in order; later ones are not touched."""
+        for i, (name, width, most, member, by) in enumerate(self.checks):
             value = row[_FIELD[member]] if member is not None else None
-            group = row[_FIELD[by]] if by is not None else None
-            if (member is not None and value is None) or (by is not None and group is None):
+            group = row[_FIELD[by]] if by is not None else ""
+            if (member is not None and value is None) or group is None:
                 continue
-            if self._count(i, int(row["t"]), value, group) > most:
-                return reason
+            own = self.held.setdefault(str(i), {})
+            window = own.get(group)
+            if window is None or row["t"] - window[0] >= width:
+                window = own[group] = [row["t"], 0 if member is None else {}]
+            if member is None:
+                window[1] += 1
+            else:
+                window[1][value] = 1
+            if (window[1] if member is None else len(window[1])) > most:
+                return name
         return None
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values(["t", "id"])
+    def text(self, now: int) -> str:
+        """The state without windows that are over at ``now``."""
+        return json.dumps({i: {g: w for g, w in own.items() if now - w[0] < self.checks[int(i)][1]} for i, own in self.held.items()})
+
+
+def _passed(events: DataFrame, by: str, checks: list[tuple], member: str | None, cell: str | None, code: str | None, reason: str | None, ident: str, ts: str) -> DataFrame:
+    """``(ident, reason)`` and the other columns of the events after one pass; what has a reason already touches no state."""
+    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
+    rows = events.select(F.col(by).cast("string").alias("k"), F.col(ident).cast("long").alias("id"), micros(ts).alias("t"), F.lower(F.trim(text(member))).alias("m"), text(cell).alias("c"), text(code).alias("f"), text(reason).alias("reason"), F.to_json(F.struct(*events.columns)).alias("event"))
+
+    def run(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = Open(checks, state.get[0] if state.exists else None)
+        every = pd.concat(list(frames)).sort_values(["t", "id"])
         records = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in every.to_dict("records")]
         for r in records:
             if r["reason"] is None:
-                r["reason"] = self._reason(r)
-        yield pd.DataFrame({c: pd.Series([r[c] for r in records], dtype="int64" if c in ("id", "t") else "object") for c in _COLUMNS})
+                r["reason"] = own.reason(r | {"t": int(r["t"])})
+        state.update((own.text(int(every["t"].max())),))
+        state.setTimeoutDuration(max(width for _, width, *_ in checks) // 1000)
+        yield pd.DataFrame({"event": pd.Series([r["event"] for r in records], dtype="object"), "reason": pd.Series([r["reason"] for r in records], dtype="object")})
 
-    def close(self) -> None:
-        pass
+    out = rows.groupBy("k").applyInPandasWithState(run, "event string, reason string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = [c for c in events.columns if c != reason]
+    return out.select(F.from_json("event", events.schema).alias("e"), "reason").select(*[F.col(f"e.{c}").alias(c) for c in kept], "reason")
 
 
-def limited_stream(events: DataFrame, limits: Limits, key: str, transport: str | None = None, member: str | None = None, cell: str | None = None, code: str | None = None, ident: str = "event_id", ts: str = "ts") -> DataFrame:
-    """``(event_id, reason)`` of every event of a stream: the transport checks first, then the keyed ones.
+def transport_stream(events: DataFrame, limits: Limits, transport: str, ident: str = "event_id", ts: str = "ts") -> DataFrame:
+    """The events with the ``reason`` of the transport checks (null: admitted)."""
+    return _passed(events, transport, transport_checks(limits), None, None, None, None, ident, ts)
 
-    The session needs the RocksDB state store."""
-    text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    rows = events.select(F.col(key).cast("string").alias("k"), F.col(ident).cast("long").alias("id"), micros(ts).alias("t"), text(transport).alias("tr"), F.lower(F.trim(text(member))).alias("m"), text(cell).alias("c"), text(code).alias("f"), F.lit(None).cast("string").alias("reason"))
-    for by, checks in (("tr", transport_checks(limits) if transport else []), ("k", keyed_checks(limits))):
-        if checks:
-            rows = rows.groupBy(by).transformWithStateInPandas(CheckChain(checks), _SCHEMA, "Append", "ProcessingTime")
-    return rows.select(F.col("id").alias("event_id"), "reason")
+
+def limited_stream(events: DataFrame, limits: Limits, key: str, member: str | None = None, cell: str | None = None, code: str | None = None, reason: str | None = None, ident: str = "event_id", ts: str = "ts") -> DataFrame:
+    """The events with the ``reason`` of the keyed checks, by key; those that the column ``reason`` of an earlier pass rejects
+    keep theirs and leave the key's state untouched."""
+    return _passed(events, key, keyed_checks(limits), member, cell, code, reason, ident, ts)
 
 
 def counted_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", ts: str = "ts", key: str = "event_type") -> DataFrame:
