@@ -18,8 +18,8 @@ from ._arrow import Table, pieces, spread, sums, utf8
 from ._bpe import Pieces, load
 from ._spark import durable, row_base, tune
 
-#: Most pre-tokens that are joined by a broadcast: 12 bytes each, 1.5 MB in all.
-HOT = 1 << 17
+#: Most pre-tokens that are joined by a broadcast, and their most bytes: 76 bytes each with their counts, 10 MB in all.
+HOT, HOT_BYTES = 1 << 17, 64
 #: Distinct pre-tokens that one task gathers before it passes them on.
 FLUSH = 400_000
 
@@ -82,6 +82,7 @@ def pre_token_counts(docs: DataFrame, path: str, flush: int = FLUSH) -> DataFram
 
 def _hot(counted: DataFrame, most: int) -> list:
     """At most ``most`` of the most frequent pre-tokens with their numbers of ids."""
+    counted = counted.where(F.octet_length("piece") <= HOT_BYTES)
     level = F.floor(F.log2(F.col("freq").cast("double")) * 8).cast("int")
     taken, floor = 0, None
     for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # at most 8 x 63 rows

@@ -67,7 +67,10 @@ def encode_segments(docs: DataFrame, path: str, end_id: int = 2, segment: int =
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, segment: int = SEGMENT) -> str:
-    """Write the token files of ``docs`` under ``out``, a folder that all executors share."""
+    """Write the token files of ``docs`` under ``out``, a folder that all executors share.
+
+    A null or empty text is the end id alone, repeated rows are written each, other columns are ignored, and an empty table
+    leaves no segments."""
     encode_segments(docs, path, end_id, segment).write.mode("overwrite").option("compression", "none").parquet(out)
     return out
 
@@ -75,7 +78,8 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int = 2, segment:
 def read_tokens(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFrame:
     """Read token files: ``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids`` of every document.
 
-    ``start`` counts the ids of all documents before.  Raises where a block's checksum or a segment's count fails.
+    ``start`` counts the ids of all documents before.  Raises where a block's checksum or a segment's count fails; files
+    without segments give no rows.
     """
     tune(spark)
     files = spark.read.schema(_SCHEMA).parquet(out)

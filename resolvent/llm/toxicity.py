@@ -382,7 +382,7 @@ def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, costs(trigram_counts(rows))))
     picked = durable(chosen)  # at most 2 x most rows of two numbers
     apart = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) == 0  # a fifth fits the logistic part
-    train = durable(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y", apart.alias("apart")))
+    train = durable(rows.join(F.broadcast(picked) if most <= MOST_LABELS else picked, "doc_id").select("doc_id", "text", "y", apart.alias("apart")))
     totals = {r["y"]: r["count"] for r in train.where("not apart").groupBy("y").count().collect()}
     entries, strengths = lexicon(train.where("not apart"), model, {0: totals.get(0, 0), 1: totals.get(1, 0)})
     lex = spark.sparkContext.broadcast((entries, strengths))
@@ -440,5 +440,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose score is below ``threshold``."""
+    """The rows of ``docs``, all columns kept, whose score is below ``threshold``.
+
+    Null and empty texts have no words and stay; repeated rows share their score; an empty table gives no rows, and without
+    labels of both classes the share of label 1 is every score."""
     return annotated(docs, labels).where(F.col(_SCORE) < threshold).drop(_SCORE)
