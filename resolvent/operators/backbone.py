@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT, Vocabulary, canonical_of, folded_distance, is_scientific, norm, slug
+from ..session import shared_folder
 
 #: Fixed order of statuses when a group picks its representative.
 STATUS_ORDER = ("accepted", "synonym-resolved", "owner-resolved", "typo-corrected", "genus_level", "species_ambiguous", "trade_ambiguous")
@@ -133,11 +134,12 @@ def _arrays(prefix: str = "") -> list:
     return out
 
 
-def merge_records(identities: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def merge_records(identities: DataFrame, edges: DataFrame) -> DataFrame:
     """``edges(absorb_id, keep_id, drop_name)``: the absorbed record's names join the kept record's, its accepted one as a
     synonym if it is scientific and not dropped; an edge with a missing end is skipped.
 
-    Chains end at their last keeper; a round doubles the length of chains followed.  Raises on a cycle, or if one id is
+    Chains end at their last keeper.  A round doubles the length of chains followed, and its result is cut from its lineage;
+    a chain that has not ended when its length is the number of edges is a cycle, which raises, as does an id that is
     absorbed by several.
     """
     ids = identities.select("canonical_id")
@@ -145,8 +147,8 @@ def merge_records(identities: DataFrame, edges: DataFrame, rounds: int = 40) ->
     live = edges.join(ids, edges["absorb_id"] == ids["canonical_id"], "left_semi").join(ids, edges["keep_id"] == ids["canonical_id"], "left_semi").select("absorb_id", "keep_id", F.coalesce("drop_name", F.lit(False)).alias("drop_name"))
     if not live.groupBy("absorb_id").count().where("count > 1").isEmpty():
         raise ValueError("an id is absorbed by several")
-    target = live
-    for _ in range(rounds):
+    target = live = _cut(live)
+    for _ in range(live.count().bit_length() + 1):
         if not target.where("absorb_id = keep_id").isEmpty():
             raise ValueError("the merges have a cycle")
         nxt = target.select(F.col("absorb_id").alias("keep_id"), F.col("keep_id").alias("_far"))
@@ -164,8 +166,9 @@ def merge_records(identities: DataFrame, edges: DataFrame, rounds: int = 40) ->
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The frame without its lineage where the session has a folder for checkpoints, else as it is."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """The frame without its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def merge_converged(identities: DataFrame, pinned: DataFrame) -> DataFrame:
