@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pyarrow as pa
 import pytest
@@ -266,14 +267,16 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_counted_windows_drop_what_is_too_late(spark, tmp_path):
     from resolvent.streaming.limiter import counted_windows
 
-    rows = [[(1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:50:00")], [(3, "2024-01-01 05:00:00")], [(4, "2024-01-01 00:20:00"), (5, "2024-01-01 05:10:00")], [(6, "2024-01-01 09:00:00")]]
+    # What is late is judged by the watermark that the batch before began with.
+    rows = [[(1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:50:00")], [(3, "2024-01-01 05:00:00")], [(7, "2024-01-01 05:05:00")], [(4, "2024-01-01 00:20:00"), (5, "2024-01-01 05:10:00")], [(6, "2024-01-01 09:00:00")]]
     for part in rows:
+        time.sleep(1.1)  # files are taken in order of their times
         spark.createDataFrame([(i, t, "a") for i, t in part], "event_id long, t string, event_type string").select("event_id", F.to_timestamp("t").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = counted_windows(source).writeStream.format("memory").queryName("counted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(120)
     q.stop()
-    assert sorted((str(r.start), r.n) for r in spark.table("counted").collect())[:2] == [("2024-01-01 00:00:00", 2), ("2024-01-01 05:00:00", 2)]
+    assert sorted((str(r.start), r.n) for r in spark.table("counted").collect())[:2] == [("2024-01-01 00:00:00", 2), ("2024-01-01 05:00:00", 3)]
 
 
 def test_readers_and_sinks(spark, tmp_path):
