@@ -102,32 +102,6 @@ def hash_spans(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
-def grams(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of each k consecutive values of h (len(h) - k + 1 of them)."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    g = h[:n] + np.uint64(seed)
-    base = np.uint64(0xD6E8FEB86659FD93)
-    for j in range(1, k):
-        g = g * base
-        g += h[j : j + n]
-    return mix(g)
-
-
-def sliding(values: np.ndarray, w: int, op) -> np.ndarray:
-    """op over each w consecutive values (np.minimum or np.maximum)."""
-    n = len(values) - w + 1
-    if n <= 0:
-        return values[:0].copy()
-    out, have = values, 1
-    while have < w:
-        step = min(have, w - have)
-        out = op(out[: len(out) - step], out[step:])
-        have += step
-    return out
-
-
 class Table:
     """Open-addressing map from non-zero uint64 hashes to int32, in numpy arrays."""
 
