@@ -22,9 +22,9 @@ def build(keys: DataFrame, bits: int) -> np.ndarray:
     mask = (1 << bits) - 1
     k = F.col(keys.columns[0])
     probe = keys.select(F.explode(F.array(k.bitwiseAND(mask), F.shiftrightunsigned(k, 32).bitwiseAND(mask))).alias("p"))
-    words = probe.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toPandas()
+    words = probe.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
     return out.view(np.uint64)
 
 

@@ -81,7 +81,7 @@ def test_near_copies_of_one_large_group(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
     base_rows = simhash.keyed_texts(frame)
     sets = near_copies._sets_of(base_rows.select(F.col("doc_id").alias("node"), "text"), 5)
-    keyed = base_rows.select(F.col("doc_id").alias("node"), F.explode(F.array(F.lit(1), F.pmod("doc_id", F.lit(7)).cast("int") + 2)).cast("long").alias("key"))
+    keyed = base_rows.select(F.col("doc_id").alias("node"), F.explode(F.array(F.lit(1).cast("long"), F.pmod("doc_id", F.lit(7)) + 2)).alias("key"))
     roots = {r.node: r.root for r in components.components(near_copies.node_links(keyed, sets, 0.8, block=16)).collect()}
     assert {roots.get(k) for k in range(150)} == {0} and not any(roots.get(1000 + k) for k in range(200))
     shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
