@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, index
-from ..session import table
 from . import catalogue as c
 from . import sql as q
 
