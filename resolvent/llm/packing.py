@@ -207,7 +207,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
             ids = np.concatenate([x[1] for x in parts])
             lengths_words = np.concatenate([x[2] for x in parts])
             bases = np.cumsum([0, *(len(x[0]) for x in parts)])
-            doc = np.concatenate([x[3] + k for x, k in zip(parts, bases)])
+            doc = np.concatenate([x[3] + np.int32(k) for x, k in zip(parts, bases)])
             term, tf = np.concatenate([x[4] for x in parts]), np.concatenate([x[5] for x in parts])
             begin = np.cumsum(n_ids) - n_ids
             own, term = np.unique(term, return_inverse=True)
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
                 doc, term, tf = _doc_terms(at, p.first)
                 term = bpe.names[term]
                 names.append(b.column(0)[i:j])
-                parts.append((np.diff(begins) + 1, ids, np.diff(p.first), doc, term, tf))
+                parts.append((np.diff(begins) + 1, ids, np.diff(p.first), doc.astype(np.int32), term, tf.astype(np.float32)))
                 count[0] += j - i
                 count[1] += len(ids)
                 if count[0] >= shard_docs or count[1] >= shard_ids:

@@ -34,7 +34,7 @@ ALIKE = {
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "κ": "k", "ν": "v", "ι": "i",
 }
 #: Least letters spelled one by one, decoded forms kept per worker.
-SPELLED, KEPT = 3, 200_000
+SPELLED, KEPT = 3, 60_000
 #: Channel costs of a separator inside a token: that it goes, that it ends a word; the first pair where all its letters stand alone.
 ALONE, INSIDE = (0.1, 4.0), (4.5, 0.5)
 #: Training rows of each class at most; entries of the model, the strongest; deviations of the confidence bound.
