@@ -7,7 +7,7 @@ import gc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder
+from ..session import scratch, shared_folder
 
 #: Most rows and bytes of one Arrow batch.
 BATCH_ROWS = 2000
@@ -33,6 +33,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder, compressed, and read it from there; its path, for ``discard``."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``written`` made and nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files and checkpoints of data frames that are no longer referenced."""
     gc.collect()

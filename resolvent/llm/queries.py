@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable, table
-from . import decontam, line_dedup, matroska, packing, quality, simhash, token_count, token_files, toxicity, url_filter
+from . import ball_tree, decontam, filter_audit, line_dedup, matroska, packing, quality, simhash, substring_dedup, token_count, token_files, toxicity, url_filter
+from .oracles import ORACLE_SQL
 
 
 #: Vocabulary file of the token operators, a name that ``public_tokenizers.path`` resolves.
@@ -67,6 +68,18 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(table(importable(spark), sf_dir, "documents"), frame=576)
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.clusters(table(importable(spark), sf_dir, "embeddings"), dims=64, k=16, rounds=3)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(importable(spark), sf_dir, "documents"), window=13)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(importable(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -78,15 +91,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
     "op10_matroska": op10_matroska,
+    "op11_ball_tree": op11_ball_tree,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
-_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-#: Queries that SQL can express; the others are held against brute force in the tests.
-ORACLE_SQL: dict[str, str] = {
-    "op1_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
-bw AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
-dw AS (SELECT rid, s, m, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
-hit AS (SELECT dw.rid, dw.s, dw.m, bw.item_id FROM dw JOIN bw USING (m, g)),
-cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(s, s + m)) AS p FROM hit) GROUP BY rid),
-own AS (SELECT rid, count(DISTINCT item_id) AS n, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids FROM hit GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(own.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (rid) LEFT JOIN own USING (rid)""",
-}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
