@@ -16,23 +16,15 @@ own AS (SELECT rid, count(DISTINCT item_id) AS n, array_to_string(list_sort(list
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(own.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (rid) LEFT JOIN own USING (rid)"""
 
 
-def substring_dedup(window: int = 13, doublings: int = 11) -> str:
-    """Windows joined as texts; longer levels by the classes of their halves, up to ``window * 2 ** doublings`` words."""
-    place = "min(a.rid * 1000000 + a.s)"
-    level = [f"l0 AS (SELECT rid, doc_id, s, {place.replace('a.', '')} OVER (PARTITION BY g) AS c, min(doc_id) OVER (PARTITION BY g) AS m FROM g)"]
-    for k in range(1, doublings + 1):
-        half = window << (k - 1)
-        level.append(f"l{k} AS (SELECT a.rid, a.doc_id, a.s, {place} OVER (PARTITION BY a.c, b.c) AS c, min(a.doc_id) OVER (PARTITION BY a.c, b.c) AS m FROM l{k - 1} a JOIN l{k - 1} b ON a.rid = b.rid AND b.s = a.s + {half})")
-    longest = " UNION ALL ".join(f"SELECT rid, {window << k} AS size FROM l{k} WHERE doc_id > m" for k in range(doublings + 1))
+def substring_dedup(window: int = 13) -> str:
+    """Windows joined as texts."""
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN} AS w FROM documents),
 g AS (SELECT rid, doc_id, s, array_to_string(w[s:s + {window - 1}], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {window - 2})) AS s FROM d WHERE len(w) >= {window})),
-{(',' + chr(10)).join(level)},
-longest AS (SELECT rid, max(size)::BIGINT AS size FROM ({longest}) GROUP BY rid),
-gone AS (SELECT DISTINCT rid, unnest(range(s, s + {window})) AS p FROM l0 WHERE doc_id > m),
+m AS (SELECT g, min(doc_id) AS m FROM g GROUP BY g),
+gone AS (SELECT DISTINCT rid, unnest(range(s, s + {window})) AS p FROM g JOIN m USING (g) WHERE doc_id > m),
 n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
 k AS (SELECT rid, string_agg(word, ' ' ORDER BY p) AS k FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256, coalesce(size, 0)::BIGINT AS longest
-FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid) LEFT JOIN longest USING (rid)"""
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)"""
 
 
 def ball_tree(k: int = 16, rounds: int = 3, dims: int = 64) -> str:

@@ -1,13 +1,14 @@
 """Substring dedup by level-wise doubling.
 
-A window of ``window`` words repeats only if each shorter window inside it does.  The first level counts windows of half that
-length, the next one those of ``window`` words whose half survived, and each further level the windows of twice the length
-whose two halves both survived, until none is left.  A window survives a level if its words start in two documents.  So each
-level moves only what the one before left over.
+A window of ``window`` words repeats only if each shorter window inside it does.  So short windows are counted first, about
+``SHORTEST`` words long; those that two documents have are alone extended to twice the length (a word less where the wanted
+length is odd), counted again, and so on, until none survives or the wanted length is reached.  Each level counts only what the
+one before left over, and only the windows that survive the last one are moved with their places.
 
-Of the halves inside a window only the one of smallest hash is counted: equal windows choose the same half, so none is missed,
-and about a quarter of the positions are counted.  A Bloom filter tells the next level which halves survived where they are
-few enough for one of 8 MB; beyond that an exact join does.  Windows are compared by 128-bit hashes of their words.
+At the first level only the short window of smallest hash inside each longer one is counted: equal windows choose the same one,
+so none is missed, and about a quarter of the positions are counted.  A Bloom filter tells the next level which windows survived;
+where the first level's survivors are too many for one of 8 MB, an exact join does, and beyond that size the filters of later
+levels let more pass, which the last level sorts out.  Windows are compared by 96-bit hashes of their words.
 
 Copies of a whole text are settled before: all but those of smallest doc_id lose all words, and only one row of each text
 takes part in the levels, however many copies it has.
@@ -16,8 +17,6 @@ takes part in the levels, however many copies it has.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,14 +24,16 @@ from pyspark.sql import functions as F
 
 from . import _bloom, _copies
 from ._arrow import hash_spans, mix, padded, pieces, runs, spread, utf8
-from ._spark import discard, release, tune, written
+from ._spark import release, tune, written
 
-#: Most surviving halves that a filter holds; beyond, they are joined.
+#: Most surviving windows of the first level that a filter holds; beyond, they are joined.
 FILTERED = 1 << 23
+#: Shortest length, in words, of the first level.
+SHORTEST = 5
 _SPACES = np.ones(256, np.uint8)
 _SPACES[[*range(0x09, 0x0E), 0x20]] = 0
 #: Odd multipliers of the polynomial hashes, fixed values.
-_A, _B, _HALF = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
+_A, _B, _PART = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 
 
 def _hashes(h: np.ndarray, at: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -72,13 +73,27 @@ class _Text:
         n = max(0, len(self.h) - size + 1)
         return np.flatnonzero(self.doc[:n] == self.doc[size - 1 : size - 1 + n])
 
-    def halves(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, chosen half) of every window."""
-        at, half = self.inside(window), (window + 1) // 2
+    def chosen(self, size: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, smallest hash of the windows of ``part`` words inside) of every window of ``size`` words."""
+        at = self.inside(size)
         if not len(at):
             return at, np.zeros(0, np.uint64)
-        each = _hashes(self.h, np.arange(len(self.h) - half + 1), half, _HALF)
-        return at, _smallest(each, window - half + 1)[at]
+        each = _hashes(self.h, np.arange(len(self.h) - part + 1), part, _PART)
+        return at, _smallest(each, size - part + 1)[at]
+
+    def extended(self, sizes: list[int], blooms: list[np.ndarray], wanted) -> np.ndarray:
+        """Begins of the windows of the last of ``sizes`` whose parts survived all levels before; ``wanted(doc, hash)`` says it of
+        the first level, ``blooms`` of the later ones."""
+        if len(sizes) == 1:
+            return self.inside(sizes[0])
+        at, part = self.chosen(sizes[1], sizes[0])
+        at = at[wanted(self.doc[at], part)]
+        for size, double, bloom in zip(sizes[1:], sizes[2:], blooms):
+            ok = np.zeros(len(self.h) + 1, bool)
+            ok[at[_bloom.passes(bloom, _hashes(self.h, at, size, _A))]] = True
+            inside = self.inside(double)
+            at = inside[ok[inside] & ok[inside + double - size]]
+        return at
 
 
 def _joined(buf: np.ndarray, t: _Text, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -132,131 +147,131 @@ def _chosen(b: pa.RecordBatch, held, text: int):
     return some, *utf8(some.column(text))
 
 
-def repeated_halves(rows: DataFrame, held, window: int) -> DataFrame:
-    """``(half)``: the chosen halves that two documents have, counted once a document."""
-
-    def run(batches):
-        for b in batches:
-            _, buf, off = _chosen(b, held, 4)
-            for i, j in pieces(off):
-                t = _Text(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                at, half = t.halves(window)
-                _, once = np.unique(_once(t.doc[at], half), return_index=True)
-                own, n = np.unique(half[once], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int32))], ["half", "n"])
-
-    counted = rows.mapInArrow(run, "half long, n int").groupBy("half").agg(F.sum("n").alias("n"))
-    return written(counted.where("n > 1").select("half"), "halves")[0]
-
-
-_WINDOW = "doc_id long, h1 long, at int, a long, b long"
-
-
-def _candidates(rows: DataFrame, held, window: int, halves: DataFrame, filtered: int) -> DataFrame:
-    """The windows whose chosen half survived, as ``(doc_id, h1, at, a, b)``."""
+def sizes_of(window: int) -> list[int]:
+    """Lengths of the levels, up to ``window``: each is half of the next, rounded up, and the first has ``SHORTEST`` words at least."""
+    out = [window]
+    while (out[0] + 1) // 2 >= SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
-    def emit(b: pa.RecordBatch, wanted: Callable[[_Text, np.ndarray, np.ndarray], np.ndarray], i: int, t: _Text):
-        at, half = t.halves(window)
-        at = at[wanted(t, at, half)]
-        doc = pa.array(t.doc[at] + i)
-        hashes = [pa.array(_hashes(t.h, at, window, base).view(np.int64)) for base in (_A, _B)]
-        return pa.RecordBatch.from_arrays([*(b.column(k).take(doc) for k in range(2)), pa.array((at - t.first[t.doc[at]]).astype(np.int32)), *hashes], ["doc_id", "h1", "at", "a", "b"])
-
-    n = halves.count()
-    if n <= filtered:
-        bloom = rows.sparkSession.sparkContext.broadcast(_bloom.build(halves, _bloom.bits_for(n)))
 
-        def compare(batches):
-            for b in batches:
-                some, buf, off = _chosen(b, held, 4)
-                for i, j in pieces(off):
-                    yield emit(some, lambda t, at, half: _bloom.passes(bloom.value, half), i, _Text(buf[off[i] : off[j]], off[i : j + 1] - off[i]))
+def _texts(b: pa.RecordBatch, held, text: int):
+    """(rows of the batch that may be first rows of their text, number of the first row, documents) a piece at a time."""
+    some = b.filter(pa.array(_copies.maybe_first(held, b.column(3).to_numpy(zero_copy_only=False)) & b.column(0).is_valid().to_numpy(zero_copy_only=False)))
+    buf, off = utf8(some.column(text))
+    for i, j in pieces(off):
+        yield some, i, _Text(buf[off[i] : off[j]], off[i : j + 1] - off[i])
 
-        return rows.mapInArrow(compare, _WINDOW)
 
-    def select(batches):
-        for b in batches:
-            some, buf, off = _chosen(b, held, 4)
-            for i, j in pieces(off):
-                t = _Text(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                at, half = t.halves(window)
-                _, once = np.unique(_once(t.doc[at], half), return_index=True)
-                doc = pa.array(t.doc[at[once]] + i)
-                yield pa.RecordBatch.from_arrays([*(some.column(k).take(doc) for k in range(2)), pa.array(half[once].view(np.int64))], ["doc_id", "h1", "half"])
+def _short_repeats(rows: DataFrame, held, size: int, part: int) -> DataFrame:
+    """``(part)``: the chosen short windows that two documents have, counted once a document."""
 
-    def listed(batches):
+    def run(batches):
         for b in batches:
-            buf, off = utf8(b.column(2))
-            first = np.asarray(b.column(3).offsets).astype(np.int64)
-            allowed = np.asarray(b.column(3).values).astype(np.int64).view(np.uint64)
-            for i, j in pieces(off):
-                t = _Text(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                row = np.repeat(np.arange(j - i), np.diff(first[i : j + 1]))
-                pair = _once(row, allowed[first[i] : first[j]])
-                yield emit(b, lambda t, at, half: np.isin(_once(t.doc[at], half), pair), i, t)
+            for _, _, t in _texts(b, held, 4):
+                at, part_ = t.chosen(size, part)
+                _, once = np.unique(_once(t.doc[at], part_), return_index=True)
+                own, n = np.unique(part_[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int32))], ["part", "n"])
 
-    name = ["doc_id", "h1"]
-    wanted = rows.mapInArrow(select, "doc_id long, h1 long, half long").join(halves, "half").groupBy(*name).agg(F.collect_set("half").alias("halves"))
-    return rows.join(wanted, name).select(*name, "text", "halves").mapInArrow(listed, _WINDOW)
+    counted = rows.mapInArrow(run, "part long, n int").groupBy("part").agg(F.sum("n").alias("n"))
+    return written(counted.where("n > 1").select("part"), "parts")[0]
 
 
-def _survivors(candidates: DataFrame, size: int) -> DataFrame:
-    """``candidates(doc_id, h1, at, a, b)`` -> per document its windows that two documents have:
-    ``(doc_id, h1, found array<struct<at, a, b, again>>)``; ``again`` says that an earlier document has the window.
-
-    A window that very many documents share is one row after the partial aggregate; the join back is split by AQE."""
-    rows, path = written(candidates, f"windows-{size}")
-    ranges = rows.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("a", "b", "least")
-    window = F.struct("at", "a", "b", (F.col("doc_id") > F.col("least")).alias("again"))
-    level, _ = written(rows.join(ranges, ["a", "b"]).select("doc_id", "h1", window.alias("w")).groupBy("doc_id", "h1").agg(F.collect_list("w").alias("found")), f"level-{size}")
-    discard(candidates.sparkSession, path)
-    del rows, ranges
-    release(candidates.sparkSession)
-    return level
-
-
-def _doubled(level: DataFrame, size: int) -> DataFrame:
-    """Windows of twice the length: those whose halves both survived in their document."""
-
-    def run(batches):
-        for b in batches:
-            w = b.column(2)
-            first = np.asarray(w.offsets).astype(np.int64)
-            at, a, c = (np.asarray(w.values.field(k)).astype(np.int64) for k in range(3))
-            doc = np.repeat(np.arange(b.num_rows), np.diff(first))
-            at, a, c = (x[first[0] : first[-1]] for x in (at, a, c))
-            place, once = np.unique((doc << 32) | at, return_index=True)
-            a, c = a[once].view(np.uint64), c[once].view(np.uint64)
-            other = np.searchsorted(place, place + size)
-            both = np.flatnonzero((other < len(place)) & (place[np.minimum(other, len(place) - 1)] == place + size)) if len(place) else other
-            other, row = other[both], pa.array(place[both] >> 32)
-            pair = [pa.array(mix(x[both] * np.uint64(3) ^ mix(x[other])).view(np.int64)) for x in (a, c)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(2)), pa.array((place[both] & 0x7FFFFFFF).astype(np.int32)), *pair], ["doc_id", "h1", "at", "a", "b"])
-
-    return level.select("doc_id", "h1", "found").mapInArrow(run, _WINDOW)
-
-
-def levels(docs: DataFrame, marked: DataFrame, window: int, filtered: int = FILTERED) -> tuple[DataFrame, DataFrame]:
-    """Per first row of a text, what an earlier document has too: ``(doc_id, h1, starts array<int>)``, the begins of its
-    windows of ``window`` words, and ``(doc_id, h1, longest)``, the longest level at which it has one.
-    """
-    rows = _rows(docs)
-    held = _copies.first_filter(marked)
-    halves = repeated_halves(rows, held, window)
-    again = F.filter("found", lambda w: w["again"])
-    size, level = window, _survivors(_candidates(rows, held, window, halves, filtered), window)
-    removed = level.select("doc_id", "h1", F.transform(again, lambda w: w["at"]).alias("starts")).where(F.size("starts") > 0)
-    reached = []
-    while True:
-        own = level.where(F.exists("found", lambda w: w["again"])).select("doc_id", "h1", F.lit(size).cast("long").alias("longest"))
-        if own.isEmpty():
-            break
-        reached.append(own)
-        size, level = size * 2, _survivors(_doubled(level, size), size * 2)
-    every = reached[0] if reached else own
-    for own in reached[1:]:
-        every = every.unionByName(own)
-    return removed, every.groupBy("doc_id", "h1").agg(F.max("longest").alias("longest"))
+def _emit(some: pa.RecordBatch, i: int, t: _Text, at: np.ndarray, size: int, places: bool) -> pa.RecordBatch:
+    """Windows as ``(a, b, doc_id)``, once for each piece, or with places as ``(doc_id, h1, at, a, b)``."""
+    a, b = _hashes(t.h, at, size, _A).view(np.int64), (_hashes(t.h, at, size, _B) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    if places:
+        doc = pa.array(t.doc[at] + i)
+        return pa.RecordBatch.from_arrays([some.column(0).take(doc), some.column(1).take(doc), pa.array((at - t.first[t.doc[at]]).astype(np.int32)), pa.array(a), pa.array(b)], ["doc_id", "h1", "at", "a", "b"])
+    own = some.column(0).to_numpy(zero_copy_only=False)[t.doc[at] + i]
+    order = np.lexsort((own, b, a))
+    a, b, own = a[order], b[order], own[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    last = np.append(first[1:], True) if len(a) else first
+    return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(own[first]), pa.array(own[last])], ["a", "b", "least", "most"])
+
+
+_COUNTED, _PLACED = "a long, b int, least long, most long", "doc_id long, h1 long, at int, a long, b int"
+
+
+class _Levels:
+    """The levels over the rows of one table: which windows survived so far."""
+
+    def __init__(self, rows: DataFrame, held, sizes: list[int], filtered: int):
+        self.rows, self.held, self.sizes, self.blooms, self.short = rows, held, sizes, [], None
+        if len(sizes) > 1:
+            parts = _short_repeats(rows, held, sizes[1], sizes[0])
+            self.n = parts.count()
+            spark = rows.sparkSession
+            if self.n <= filtered:
+                self.short = spark.sparkContext.broadcast(_bloom.build(parts, _bloom.bits_for(self.n)))
+            else:
+                self.listed = self._listed(parts)
+            release(spark)
+
+    def _listed(self, parts: DataFrame) -> DataFrame:
+        """The rows with the chosen short windows of theirs that survived, by an exact join."""
+        held, (part, size) = self.held, self.sizes[:2]
+
+        def select(batches):
+            for b in batches:
+                for some, i, t in _texts(b, held, 4):
+                    at, own = t.chosen(size, part)
+                    _, once = np.unique(_once(t.doc[at], own), return_index=True)
+                    doc = pa.array(t.doc[at[once]] + i)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(doc), some.column(1).take(doc), pa.array(own[once].view(np.int64))], ["doc_id", "h1", "part"])
+
+        chosen = self.rows.mapInArrow(select, "doc_id long, h1 long, part long").join(parts, "part")
+        lists = chosen.groupBy("doc_id", "h1").agg(F.collect_set("part").alias("parts"))
+        return written(self.rows.join(lists, ["doc_id", "h1"]).select("doc_id", "h1", "h2", "key", "text", "parts"), "listed")[0]
+
+    def windows(self, level: int, places: bool, kept: np.ndarray | None = None) -> DataFrame:
+        """The windows of a level whose parts survived; with ``kept``, a filter, only those it may hold."""
+        held, short, sizes, blooms = self.held, self.short, self.sizes[: level + 1], self.rows.sparkSession.sparkContext.broadcast((list(self.blooms), kept))
+
+        def run(batches):
+            earlier, last = blooms.value
+            for b in batches:
+                for some, i, t in _texts(b, held, 4):
+                    if short is not None or len(sizes) == 1:
+                        wanted = lambda doc, own: _bloom.passes(short.value, own)
+                    else:
+                        lists = some.column(5).slice(i, int(t.doc[-1]) + 1 if len(t.doc) else 0)
+                        row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+                        allowed = _once(row, np.asarray(lists.flatten()).astype(np.int64).view(np.uint64))
+                        wanted = lambda doc, own, allowed=allowed: np.isin(_once(doc, own), allowed)
+                    at = t.extended(sizes, earlier, wanted)
+                    if last is not None:
+                        at = at[_bloom.passes(last, _hashes(t.h, at, sizes[-1], _A))]
+                    yield _emit(some, i, t, at, sizes[-1], places)
+
+        source = self.rows if short is not None or len(sizes) == 1 else self.listed
+        return source.mapInArrow(run, _PLACED if places else _COUNTED)
+
+    def survivors(self, level: int) -> DataFrame:
+        """``(a, b, least)``: the windows of a level that two documents have, with the smallest doc_id."""
+        counted = self.windows(level, False).groupBy("a", "b").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+        return written(counted.where("least < most").select("a", "b", "least"), f"level-{self.sizes[level]}")[0]
+
+
+
+def repeats(docs: DataFrame, marked: DataFrame, window: int, filtered: int = FILTERED) -> DataFrame:
+    """``(doc_id, h1, starts array<int>)`` of first rows of a text: where their windows begin that an earlier document has too."""
+    spark, rows, sizes = docs.sparkSession, _rows(docs), sizes_of(window)
+    levels = _Levels(rows, _copies.first_filter(marked), sizes, filtered)
+    level = min(1, len(sizes) - 1)
+    found = levels.survivors(level)
+    while level < len(sizes) - 1 and not found.isEmpty():
+        levels.blooms.append(_bloom.build(found.select("a"), _bloom.bits_for(found.count())))
+        level += 1
+        found = levels.survivors(level)
+        release(spark)
+    kept = _bloom.build(found.select("a"), _bloom.bits_for(found.count()))
+    # A window that very many documents share is one row of ``found``; AQE splits the join.
+    later = levels.windows(level, True, kept).join(found, ["a", "b"]).where("doc_id > least")
+    return written(later.groupBy("doc_id", "h1").agg(F.collect_list("at").alias("starts")), "starts")[0]
 
 
 def _covered(t: _Text, row: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -293,31 +308,48 @@ def _shortened(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
     keys = removed.select(key)
     held = docs.sparkSession.sparkContext.broadcast(_bloom.build(keys, _bloom.bits_for(keys.count())))
     some = rows.where(_bloom.likely(held)(F.col("key"))).join(removed, name).select(*name, "text", "starts")
-    return some.mapInArrow(run, "doc_id long, h1 long, n_removed long, kept string, text string")
+    return some.mapInArrow(run, "doc_id long, h1 long, n_removed long, kept string, text string").dropDuplicates(name)
 
 
 def report(docs: DataFrame, window: int = 13, filtered: int = FILTERED) -> DataFrame:
-    """Per row of ``docs(doc_id, text, ...)``: ``doc_id, n_words, n_removed, kept_sha256, longest``.
+    """Per row of ``docs(doc_id, text, ...)``: ``doc_id, n_words, n_removed, kept_sha256``.
 
     A word goes if it lies in a window of ``window`` words that starts in a document of smaller doc_id too; ``kept_sha256`` is
-    the digest of the words that stay, joined by one space, and ``longest`` the longest level (``window`` times a power of two)
-    at which the document has a window of an earlier one, 0 where it has none.  Null and empty texts have no words.  Equal
-    doc_ids are not earlier than each other, and rows that repeat doc_id and text get one result each; a null doc_id is neither
-    earlier nor later than another, so such rows keep their words.  Texts of fewer words than a window stay, copies too.
+    the digest of the words that stay, joined by one space.  Null and empty texts have no words.  Equal doc_ids are not earlier
+    than each other, and rows that repeat doc_id and text get one result each; a null doc_id is neither earlier nor later than
+    another, so such rows keep their words.  Texts of fewer words than a window stay, copies too.  Columns other than the two
+    are ignored; an empty table gives no rows.
     """
-    tune(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    marked = _measured(docs)
-    removed, longest = levels(docs, marked.select("key", "later"), window, filtered)
-    name = ["doc_id", "h1"]
-    changed = _shortened(docs, removed, window).drop("text").dropDuplicates(name).join(longest, name, "left")
-    own = marked.join(changed, name, "left")
+    marked, changed = _decided(docs, window, filtered)
+    own = marked.join(changed.drop("text"), ["doc_id", "h1"], "left")
     whole = F.col("later") & (F.col("n_words") >= window)
-    level = F.lit(window) * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_words") / F.lit(window)) + F.lit(1e-12)))
     return own.select(
         "doc_id",
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        F.when(whole, level.cast("long")).otherwise(F.coalesce("longest", F.lit(0).cast("long"))).alias("longest"),
     )
+
+
+def _decided(docs: DataFrame, window: int, filtered: int) -> tuple[DataFrame, DataFrame]:
+    """The measured rows, and of the documents that lose some words what is left."""
+    tune(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    marked = _measured(docs)
+    removed = repeats(docs, marked.select("key", "later"), window, filtered)
+    return marked, _shortened(docs, removed, window)
+
+
+def clean(docs: DataFrame, window: int = 13, filtered: int = FILTERED) -> DataFrame:
+    """All rows and columns of ``docs(doc_id, text, ...)``; texts that lose words become the words that stay, joined by one
+    space, empty if none does, and the others stay byte for byte.  See ``report`` for what goes and for the edges."""
+    marked, changed = _decided(docs, window, filtered)
+    gone = marked.where("later").where(F.col("n_words") >= window).select("doc_id", "h1", F.lit("").alias("left_"))
+    left = changed.select("doc_id", "h1", F.col("text").alias("left_")).unionByName(gone.distinct())
+    h1, _ = _copies.text_hashes(docs["text"])
+    names = {c: f"__{c}" for c in ("doc_id", "h1", "left_")}
+    while set(names.values()) & set(docs.columns):
+        names = {c: f"_{n}" for c, n in names.items()}
+    keyed = docs.withColumns({names["doc_id"]: docs["doc_id"].cast("long"), names["h1"]: h1})
+    out = keyed.join(left.select(*[F.col(c).alias(n) for c, n in names.items()]), [names["doc_id"], names["h1"]], "left")
+    return out.withColumn("text", F.coalesce(names["left_"], F.col("text").cast("string"))).select(*docs.columns)
