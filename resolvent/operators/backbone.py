@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT, Vocabulary, canonical_of, folded_distance, is_scientific, norm, slug
-from ..session import shared_folder
+from ..session import cut_lineage
 
 #: Fixed order of statuses when a group picks its representative.
 STATUS_ORDER = ("accepted", "synonym-resolved", "owner-resolved", "typo-corrected", "genus_level", "species_ambiguous", "trade_ambiguous")
@@ -147,7 +147,7 @@ def merge_records(identities: DataFrame, edges: DataFrame) -> DataFrame:
     live = edges.join(ids, edges["absorb_id"] == ids["canonical_id"], "left_semi").join(ids, edges["keep_id"] == ids["canonical_id"], "left_semi").select("absorb_id", "keep_id", F.coalesce("drop_name", F.lit(False)).alias("drop_name"))
     if not live.groupBy("absorb_id").count().where("count > 1").isEmpty():
         raise ValueError("an id is absorbed by several")
-    target = live = _cut(live)
+    target = live = cut_lineage(live)
     for _ in range(live.count().bit_length() + 1):
         if not target.where("absorb_id = keep_id").isEmpty():
             raise ValueError("the merges have a cycle")
@@ -155,7 +155,7 @@ def merge_records(identities: DataFrame, edges: DataFrame) -> DataFrame:
         step = target.join(nxt, "keep_id", "left")
         if step.where("_far is not null").isEmpty():
             break
-        target = _cut(step.select("absorb_id", F.coalesce("_far", "keep_id").alias("keep_id"), "drop_name"))
+        target = cut_lineage(step.select("absorb_id", F.coalesce("_far", "keep_id").alias("keep_id"), "drop_name"))
     else:
         raise ValueError("the merges have a cycle")
     moved = identities.join(target, identities["canonical_id"] == target["absorb_id"], "left").withColumn("_to", F.coalesce("keep_id", "canonical_id"))
@@ -165,12 +165,6 @@ def merge_records(identities: DataFrame, edges: DataFrame) -> DataFrame:
     return merged.withColumnRenamed("_to", "canonical_id").withColumn("scientific_synonyms", F.array_except("scientific_synonyms", F.array("accepted_name")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The frame without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def merge_converged(identities: DataFrame, pinned: DataFrame) -> DataFrame:
     """Records that share an accepted name become one: the survivor is an owner-mapped record if any, then the smallest id.
 

@@ -2,9 +2,10 @@
 that comes a whole width later.  Each key's events are folded once, in order of time and id.
 
 ``window()`` and session windows are something else (aligned to the epoch, or closed by gaps).  A key's events must meet
-in order; they stream through sorted partitions in Arrow batches, and only the state of a batch's last key is carried to
-the next, so a hot key is never collected.  Within a batch all keys are folded together in numpy: a round of the loop
-jumps every key to its next window's first event.  A check that comes later sees only the events that earlier ones admit.
+in order.  Keys of up to ``busy`` events stream through sorted partitions in Arrow batches, and only the state of a batch's last
+key is carried to the next.  Within a batch all keys are folded together in numpy: a round of the loop jumps every key to its
+next window's first event.  Busier keys are folded in many tasks each (``anchored``), with the same result.  A check that comes
+later sees only the events that earlier ones admit.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import anchored
+
 MINUTE, HOUR, DAY = 60_000_000, 3_600_000_000, 86_400_000_000
 #: Start of a window that is not open.
 _NONE = -(1 << 62)
@@ -200,7 +203,13 @@ def micros(c: str = "ts"):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def anchored_counter(events: DataFrame, key: str, width: int, ident: str = "event_id", ts: str = "ts") -> DataFrame:
+def _both_ways(rows: DataFrame, key: str, busy: int, calm, hot) -> DataFrame:
+    """``calm`` over the rows of keys with at most ``busy`` rows, ``hot`` over the others, as one table."""
+    few, many = anchored.split_busy(rows, key, busy)
+    return calm(few) if many is None else calm(few).unionByName(hot(many))
+
+
+def anchored_counter(events: DataFrame, key: str, width: int, ident: str = "event_id", ts: str = "ts", busy: int = anchored.BUSY) -> DataFrame:
     """Adds ``n``: how many events the key's current window has had, this one included (rejected ones count too)."""
     columns = ["_t", *events.columns]
 
@@ -215,10 +224,12 @@ def anchored_counter(events: DataFrame, key: str, width: int, ident: str = "even
 
         return one
 
-    return _mapped(_sorted_by(events.withColumn("_t", micros(ts)), key, ("_t", ident), columns), columns, "n long", folded).drop("_t")
+    rows = events.withColumn("_t", micros(ts)).select(*columns)
+    calm = lambda few: _mapped(_sorted_by(few, key, ("_t", ident), columns), columns, "n long", folded)
+    return _both_ways(rows, key, busy, calm, lambda many: anchored.counted(many, key, width, (ident,), "n", busy)).drop("_t")
 
 
-def anchored_set(events: DataFrame, key: str, member: str, width: int, ident: str = "event_id", ts: str = "ts") -> DataFrame:
+def anchored_set(events: DataFrame, key: str, member: str, width: int, ident: str = "event_id", ts: str = "ts", busy: int = anchored.BUSY) -> DataFrame:
     """Adds ``size``: how many different members the key's current window has had; a null member is one of them."""
     columns = ["_t", "_m", *events.columns]
 
@@ -234,19 +245,21 @@ def anchored_set(events: DataFrame, key: str, member: str, width: int, ident: st
 
         return one
 
-    rows = events.withColumn("_t", micros(ts)).withColumn("_m", F.col(member).cast("string"))
-    return _mapped(_sorted_by(rows, key, ("_t", ident), columns), columns, "size long", folded).drop("_t", "_m")
+    rows = events.withColumn("_t", micros(ts)).withColumn("_m", F.col(member).cast("string")).select(*columns)
+    calm = lambda few: _mapped(_sorted_by(few, key, ("_t", ident), columns), columns, "size long", folded)
+    return _both_ways(rows, key, busy, calm, lambda many: anchored.distinct(many, key, "_m", width, (ident,), "size", busy)).drop("_t", "_m")
 
 
-def _checked(rows: DataFrame, key: str, ident: str, columns: list[str], checks: list[tuple]) -> DataFrame:
+def _checked(rows: DataFrame, key: str, ident: str, columns: list[str], checks: list[tuple], busy: int) -> DataFrame:
     def folded():
         state: dict = {}
         return lambda b: check_batch(state, b, checks)
 
-    return _mapped(_sorted_by(rows, key, ("_t", ident), columns), columns, "reason string", folded)
+    calm = lambda few: _mapped(_sorted_by(few, key, ("_t", ident), columns), columns, "reason string", folded)
+    return _both_ways(rows.select(*columns), key, busy, calm, lambda many: anchored.checked(many, key, (ident,), checks, ("_m", "_c", "_f"), busy))
 
 
-def limiter_chain(events: DataFrame, limits: Limits, key: str, transport: str | None, member: str | None, cell: str | None, code: str | None, ident: str = "event_id", ts: str = "ts") -> DataFrame:
+def limiter_chain(events: DataFrame, limits: Limits, key: str, transport: str | None, member: str | None, cell: str | None, code: str | None, ident: str = "event_id", ts: str = "ts", busy: int = anchored.BUSY) -> DataFrame:
     """Adds ``reason`` (null: admitted).  Transport checks run first, by transport; only what they admit reaches the keyed
     checks, by key, so a transport rejection leaves the key's state untouched."""
     text = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
@@ -254,10 +267,10 @@ def limiter_chain(events: DataFrame, limits: Limits, key: str, transport: str |
     own = ["_t", "_m", "_c", "_f", *events.columns]
     rejected = None
     if transport and limits.transport:
-        first = _checked(rows, transport, ident, own, transport_checks(limits))
+        first = _checked(rows, transport, ident, own, transport_checks(limits), busy)
         rejected = first.where("reason is not null")
         rows = first.where("reason is null").drop("reason")
-    out = _checked(rows, key, ident, own, keyed_checks(limits))
+    out = _checked(rows, key, ident, own, keyed_checks(limits), busy)
     out = out if rejected is None else out.unionByName(rejected)
     return out.drop("_t", "_m", "_c", "_f").withColumn("challenge", F.col("reason").eqNullSafe(limits.cells[0] if limits.cells else None))
 

@@ -44,6 +44,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame as files in the shared folder: its partitions and their order stay, whatever executors are lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -233,37 +233,6 @@ def test_indices_are_built_once_and_again_after_a_failure(spark, identities):
     index.Indices.release()
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from resolvent.streaming.limiter import limited_stream, transport_stream
-
-    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", "ts", "event_type").orderBy("ts", "event_id").limit(400)
-    e = e.withColumns({"tr": F.pmod("user_id", F.lit(4)), "cell": F.pmod("event_id", F.lit(5)), "code": F.pmod("event_id", F.lit(3))})
-    rows = e.collect()
-    for k in range(2):  # two files in order of time, a micro-batch each
-        spark.createDataFrame(rows[200 * k : 200 * k + 200], e.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    limits = limiter.Limits(transport=(("per_transport", limiter.DAY, 8),), counters=(("per_day", limiter.DAY, 2),), members=("m", 5 * limiter.DAY, 3), cells=("cells", 9 * limiter.DAY, 3), formats=("f", 9 * limiter.DAY, 1))
-
-    def written(at):
-        """Rows that the sink has committed."""
-        return spark.read.parquet(str(tmp_path / at)).collect() if list((tmp_path / at).glob("_spark_metadata/*")) else []
-
-    def run(df, at):
-        """Until all files are taken in; time-outs would keep such a query going for ever."""
-        q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", str(tmp_path / f"ck{at}")).start(str(tmp_path / at))
-        for _ in range(60):
-            if q.awaitTermination(1) or len(written(at)) >= 400:
-                break
-        q.stop()
-
-    read = lambda at, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / at))
-    run(transport_stream(read("in", e.schema), limits, "tr").coalesce(1), "passed")
-    schema = spark.read.parquet(str(tmp_path / "passed")).schema
-    run(limited_stream(read("passed", schema), limits, "user_id", "event_type", "cell", "code", "reason"), "out")
-    streamed = {(x.event_id, x.reason) for x in written("out")}
-    batch = limiter.limiter_chain(spark.read.parquet(str(tmp_path / "in")), limits, "user_id", "tr", "event_type", "cell", "code")
-    assert streamed == {(x.event_id, x.reason) for x in batch.collect()} and {r for _, r in streamed} == {None, "per_transport", "per_day", "m", "cells", "f"}
-
-
 def test_counted_windows_drop_what_is_too_late(spark, tmp_path):
     from resolvent.streaming.limiter import counted_windows
 
