@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import durable
+from ._spark import durable, tidy
 
 #: Edges that one task finishes alone: 16 bytes each.
 FINISH = 1_000_000
@@ -59,7 +59,7 @@ def _finish(edges: DataFrame) -> DataFrame:
             node, root = hook(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
-    return edges.coalesce(1).mapInArrow(run, "a long, b long")
+    return edges.coalesce(1).mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame, finish: int = FINISH) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import _bloom
 from ._arrow import LOWER, hash_spans, mix, padded, pieces, runs, utf8
-from ._spark import durable, row_base, tune
+from ._spark import durable, row_base, tidy, tune
 
 _WORD = np.zeros(256, np.uint8)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
@@ -108,7 +108,7 @@ def benchmark_fingerprints(benchmark: DataFrame, size: int, gram: int) -> DataFr
                     sizes.append(int(m))
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], _as_column(h, found, sizes, first, size, gram)], ["item_id", "w"])
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"item_id long, w {_FOUND}")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"item_id long, w {_FOUND}")
     return rows.select("item_id", F.inline("w"))
 
 
@@ -127,7 +127,7 @@ def document_fingerprints(docs: DataFrame, bloom: np.ndarray, sizes: list[int],
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + j - i)), b.column(0)[i:j], b.column(1)[i:j], pa.array(np.diff(first)), w], ["row", "doc_id", "key", "n_words", "w"])
                 row += j - i
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _bloom.row_key(docs).alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"row long, doc_id long, key long, n_words long, w {_FOUND}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _bloom.row_key(docs).alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"row long, doc_id long, key long, n_words long, w {_FOUND}")
 
 
 def extended(joined: DataFrame, size: int, gram: int) -> DataFrame:
@@ -153,7 +153,7 @@ def extended(joined: DataFrame, size: int, gram: int) -> DataFrame:
             cols = [b.column(0), pa.array((pos - left).astype(np.int32)), pa.array((pos + middle + right).astype(np.int32)), b.column(5)]
             yield pa.RecordBatch.from_arrays(cols, ["row", "start", "stop", "cls"]).filter(pa.array(keep))
 
-    return joined.select("row", "pos", "len", "words", "words2", "cls").mapInArrow(run, "row long, start int, stop int, cls long")
+    return joined.select("row", "pos", "len", "words", "words2", "cls").mapInArrow(tidy(run), "row long, start int, stop int, cls long")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, size: int = 10, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import _bloom
 from ._arrow import hash_spans, mix, padded, pieces, runs, spread, utf8
-from ._spark import durable, release, tune
+from ._spark import durable, release, tidy, tune
 
 #: Words of the shortest run that is deleted when it repeats.
 MIN_WORDS = 25
@@ -136,7 +136,7 @@ def line_hashes(docs: DataFrame, digest: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "sha", "h", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _bloom.row_key(docs).alias("key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, sha string, h array<long>, words array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, key long, sha string, h array<long>, words array<int>")
 
 
 def _read_lines(b: pa.RecordBatch, h: int, words: int):
@@ -180,7 +180,7 @@ def repeated_lines(named: DataFrame, min_words: int = MIN_WORDS, filtered: int =
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(back, weights=n, minlength=len(own)).astype(np.int64))], ["fp", "n"])
 
     # A fingerprint that one document alone selects matters only if that document repeats it itself.
-    counted = named.select("h", "words").mapInArrow(count, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
+    counted = named.select("h", "words").mapInArrow(tidy(count), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
     often = durable(counted.where("n > 1").select("fp"))  # cut, so that AQE can split a join with it
     n_often = often.count()
     if n_often <= filtered:
@@ -194,7 +194,7 @@ def repeated_lines(named: DataFrame, min_words: int = MIN_WORDS, filtered: int =
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["ha", "n"])
 
         # Only windows whose hash occurs twice are worth their places.
-        twice = durable(named.select("h", "words").mapInArrow(tally, "ha long, n long").groupBy("ha").agg(F.sum("n").alias("n")).where("n > 1").select("ha"))
+        twice = durable(named.select("h", "words").mapInArrow(tidy(tally), "ha long, n long").groupBy("ha").agg(F.sum("n").alias("n")).where("n > 1").select("ha"))
         n_twice = twice.count()
         again = spark.sparkContext.broadcast(_bloom.build(twice, _bloom.bits_for(n_twice)) if n_twice <= filtered else None)
 
@@ -207,7 +207,7 @@ def repeated_lines(named: DataFrame, min_words: int = MIN_WORDS, filtered: int =
                 h, words, first = _read_lines(b, 2, 3)
                 yield _candidates(np.asarray(b.column(0)), b.column(1), h, words, first, min_words, wanted)
 
-        found = named.select("row", "doc_id", "h", "words").mapInArrow(compare, _CANDIDATE)
+        found = named.select("row", "doc_id", "h", "words").mapInArrow(tidy(compare), _CANDIDATE)
     else:
 
         def select(batches):
@@ -222,9 +222,9 @@ def repeated_lines(named: DataFrame, min_words: int = MIN_WORDS, filtered: int =
                 allowed = _pair(np.repeat(np.arange(b.num_rows), np.diff(allow_first)), allow)
                 yield _candidates(np.asarray(b.column(0)), b.column(1), h, words, first, min_words, lambda doc, fp, _: np.isin(_pair(doc, fp), allowed))
 
-        chosen = named.select("row", "h", "words").mapInArrow(select, "row long, fp long")
+        chosen = named.select("row", "h", "words").mapInArrow(tidy(select), "row long, fp long")
         wanted = chosen.join(often, "fp").groupBy("row").agg(F.collect_set("fp").alias("fps"))
-        found = named.join(wanted, "row").select("row", "doc_id", "h", "words", "fps").mapInArrow(compare_listed, _CANDIDATE)
+        found = named.join(wanted, "row").select("row", "doc_id", "h", "words", "fps").mapInArrow(tidy(compare_listed), _CANDIDATE)
     candidates = durable(found)
     del often
     release(spark)
@@ -305,7 +305,7 @@ def _shortened(docs: DataFrame, found: DataFrame, figures: bool) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if c == at else b.column(c) for c in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([c[k] for c in counts], pa.int64()) for k in range(len(added)))], [*columns, *added])
 
-    return joined.mapInArrow(run, joined.drop(spans).withColumns({c: F.lit(0).cast("long") for c in added}).schema)
+    return joined.mapInArrow(tidy(run), joined.drop(spans).withColumns({c: F.lit(0).cast("long") for c in added}).schema)
 
 
 def _hashed(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -352,7 +352,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64)), none, none], [*b.schema.names, *FIGURES])
 
     schema = same.withColumns({c: F.lit(0).cast("long") for c in FIGURES}).schema
-    return same.mapInArrow(run, schema).unionByName(changed)
+    return same.mapInArrow(tidy(run), schema).unionByName(changed)
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import pieces, spread, utf8
 from ._bpe import load
-from ._spark import durable, row_base, tune
+from ._spark import durable, row_base, tidy, tune
 
 #: Ids and documents of one shard, BM25's two constants, terms whose own frequencies are broadcast.
 SHARD_IDS, SHARD_DOCS, K1, B, MOST_TERMS = 3_000_000, 8192, 1.2, 0.75, 1 << 23
@@ -69,7 +69,7 @@ def corpus_statistics(docs: DataFrame, path: str, most: int = MOST_TERMS) -> tup
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([0, 0]), pa.array([n_docs, n_words])], ["kind", "term", "n"])
 
-    counted = durable(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
+    counted = durable(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r["n"] for r in counted.where("kind > 0").collect()}  # two rows
     # The least frequency from which on at most ``most`` terms are left, by a histogram in powers of the eighth root of 2.
     level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int").alias("level")
@@ -262,4 +262,4 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
             yield from flush()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import LOWER, padded, pieces, runs, spread, utf8, xxh64
 from ._bloom import parted, row_key
-from ._spark import durable, tune
+from ._spark import durable, tidy, tune
 from .components import components
 
 #: Word separators of the contract: space and the controls 9 to 13.
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             fps = [majority(*shingle_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)) for i, j in pieces(off)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.concatenate([*fps, np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "text_hash", "key", "fp"])
 
-    return keyed_texts(docs).mapInArrow(run, "doc_id long, text_hash long, key long, fp long")
+    return keyed_texts(docs).mapInArrow(tidy(run), "doc_id long, text_hash long, key long, fp long")
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -184,7 +184,7 @@ def _bucket_forests(keyed: DataFrame, radius: int) -> DataFrame:
                 table, held = table[cut:], [x[cut:] for x in held]
 
     rows = keyed.select(F.xxhash64("v").alias("v"), "key", "fp")
-    return rows.repartition("v", "key").sortWithinPartitions("v", "key").mapInArrow(run, "a long, b long")
+    return rows.repartition("v", "key").sortWithinPartitions("v", "key").mapInArrow(tidy(run), "a long, b long")
 
 
 def _with_end(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import LOWER, Table, hash_spans, padded, pieces, runs, spread, utf8
 from ._labels import fold, logistic, training_labels
-from ._spark import durable, tune
+from ._spark import durable, tidy, tune
 
 #: Letters that a sign may stand for.
 LOOKS = {
@@ -83,7 +83,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 28^3 rows
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()  # at most 28^3 rows
     out = np.zeros(_N**3, np.int64)
     for r in rows:
         out[r["code"]] = r["n"]
@@ -326,7 +326,7 @@ def lexicon(train: DataFrame, held, totals: dict[int, int]) -> tuple[np.ndarray,
                 n = np.diff(np.append(cut, len(h)))
                 yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(toxic), pa.array(n - toxic)], ["entry", "toxic", "clean"])
 
-    counts = train.select("text", "y").mapInArrow(run, "entry long, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counts = train.select("text", "y").mapInArrow(tidy(run), "entry long, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
     bound = F.log(a / (totals[1] + 1.0)) - F.log(b / (totals[0] + 1.0)) - BOUND * F.sqrt(1 / a + 1 / b)
     top = counts.where("a > 1").select("entry", bound.alias("weight")).where("weight > 0.2").orderBy(F.desc("weight"), "entry").limit(MOST_ENTRIES).collect()  # bounded
@@ -409,7 +409,7 @@ def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
     fit_rows = train.where("apart")
     if fit_rows.select("y").distinct().count() < 2:
         fit_rows = train
-    seen = fit_rows.select("text", "y").mapInArrow(measure, "y int, x array<double>").groupBy("y", "x").count().collect()  # at most 2 x most rows
+    seen = fit_rows.select("text", "y").mapInArrow(tidy(measure), "y int, x array<double>").groupBy("y", "x").count().collect()  # at most 2 x most rows
     if not seen:  # no labelled document is in the table
         return docs.withColumn(_SCORE, F.lit(0.0))
     x = np.array([r["x"] for r in seen])
@@ -423,7 +423,7 @@ def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.round(s, 6))], [*b.schema.names[:-1], _SCORE])
 
     schema = docs.withColumn(_SCORE, F.lit(0.0)).schema
-    return docs.withColumn(_SCORE, F.col("text").cast("string")).mapInArrow(score, schema)
+    return docs.withColumn(_SCORE, F.col("text").cast("string")).mapInArrow(tidy(score), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, column: str = "toxic", threshold: float = 0.3, most: int = MOST_LABELS) -> DataFrame:
