@@ -142,9 +142,14 @@ def canonical_of(c: Column | str) -> Column:
     return F.regexp_extract(squeeze(c), "^([A-Z][a-zA-Z-]+ ×?[a-z][a-zA-Z-]+)", 1)
 
 
-def name_parts(c: Column | str, markers: tuple[str, ...] = ("var.", "subsp.", "ssp.", "f.")) -> Column:
-    """Struct of genus, species, infra and rank, guessed from the number of tokens that are no rank markers."""
-    t = F.filter(F.split(squeeze(c), " "), lambda x: (x != "") & ~F.array_contains(_words(markers), x))
+#: Tokens of a name that are not part of it.
+RANK_MARKERS = ("var.", "subsp.", "ssp.", "f.", "forma", "cv.")
+
+
+def name_parts(c: Column | str, markers: tuple[str, ...] = RANK_MARKERS) -> Column:
+    """Struct of genus, species, infra and rank, guessed from the number of tokens that are no rank markers; a hybrid sign
+    separates tokens and is none."""
+    t = F.filter(F.split(squeeze(F.replace(_col(c), F.lit("×"), F.lit(" "))), " "), lambda x: (x != "") & ~F.array_contains(_words(markers), x))
     n = F.size(t)
     return F.struct(
         F.get(t, F.lit(0)).alias("genus"), F.get(t, F.lit(1)).alias("species"), F.get(t, F.lit(2)).alias("infra"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -327,37 +327,69 @@ def changed_cells(old: DataFrame, new: DataFrame, keys: Iterable[str]) -> DataFr
     return old.join(n, same, "left_anti").select(*keys)
 
 
-def leaks(df: DataFrame, forbidden: set[str], pattern: str) -> list[str]:
-    """Paths of forbidden keys anywhere in the schema, and of string leaves with a value that matches the pattern."""
-    found: list[str] = []
-    leaves: list[tuple[str, object]] = []
-
-    def walk(kind: T.DataType, path: str, column) -> None:
-        if isinstance(kind, T.StructType):
-            for f in kind.fields:
-                here = f"{path}.{f.name}".lstrip(".")
-                if f.name.lower() in forbidden:
-                    found.append(here)
-                walk(f.dataType, here, F.col(f"`{f.name}`") if column is None else column[f.name])
-        elif isinstance(kind, T.ArrayType):
-            if isinstance(kind.elementType, T.StringType):
-                leaves.append((f"{path}[]", F.array_join(column, "\n")))
-            elif isinstance(kind.elementType, T.StructType):
-                for f in kind.elementType.fields:
-                    here = f"{path}[].{f.name}"
-                    if f.name.lower() in forbidden:
-                        found.append(here)
-                    if isinstance(f.dataType, T.StringType):
-                        leaves.append((here, F.array_join(column[f.name], "\n")))
-        elif isinstance(kind, T.MapType):
-            leaves.append((f"{path}{{}}", F.array_join(F.map_keys(column), "\n")))
-            if isinstance(kind.valueType, T.StringType):
-                leaves.append((f"{path}{{}}", F.array_join(F.map_values(column), "\n")))
-        elif isinstance(kind, T.StringType):
-            leaves.append((path, column))
-
-    walk(df.schema, "", None)
-    if leaves:
-        row = df.agg(*[F.coalesce(F.max(c.rlike(pattern)), F.lit(False)) for _, c in leaves]).first()
-        found += [path for (path, _), bad in zip(leaves, row) if bad]
-    return sorted(set(found))
+Test = Callable[[Column], Column]
+
+
+def _any(of: Test, test: Test) -> Test:
+    """Whether the test holds of some element of what ``of`` makes of a value."""
+    return lambda x: F.exists(of(x), lambda y: test(y))
+
+
+def _field(name: str, test: Test) -> Test:
+    return lambda x: test(x[name])
+
+
+def _named(name: str) -> Test:
+    return lambda key: F.lower(key) == name
+
+
+def _walk(kind: T.DataType, path: str, forbidden: frozenset[str], pattern: str) -> Iterator[tuple[str, str, Test]]:
+    """(path, what, test) of everything below a value of this type that may leak; ``test`` tells it of such a value.
+
+    Arrays add ``[]`` to a path and maps ``.*``; a test below them is an ``exists`` over the elements, however deep they nest."""
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            here = f"{path}.{f.name}".lstrip(".")
+            if f.name.lower() in forbidden:
+                yield here, "key", lambda x: x.isNotNull()
+            for below, what, test in _walk(f.dataType, here, forbidden, pattern):
+                yield below, what, _field(f.name, test)
+    elif isinstance(kind, T.ArrayType):
+        for below, what, test in _walk(kind.elementType, f"{path}[]", forbidden, pattern):
+            yield below, what, _any(lambda x: x, test)
+    elif isinstance(kind, T.MapType):
+        if isinstance(kind.keyType, T.StringType):
+            for name in sorted(forbidden):
+                yield f"{path}.{name}", "key", _any(F.map_keys, _named(name))
+        for side, where, of in ((kind.keyType, f"{path}.*key", F.map_keys), (kind.valueType, f"{path}.*", F.map_values)):
+            for below, what, test in _walk(side, where, forbidden, pattern):
+                yield below, what, _any(of, test)
+    elif isinstance(kind, T.StringType):
+        yield path, "value", lambda x: x.rlike(pattern)
+
+
+def leaks(df: DataFrame, forbidden: set[str], pattern: str) -> DataFrame:
+    """``(path, what, n)``: where ``df`` holds a forbidden key, or a text that matches the pattern, and in how many rows.
+
+    The walk over the schema enters structs, arrays and maps in any nesting, map keys too; each place is one condition on a row,
+    so one pass over the data with one partial aggregate answers all.  A field of a struct is a key wherever the struct is not
+    null, a key of a map only where a map has it.  Names are compared without case.  Nothing found, or no rows, gives no rows.
+    """
+    names = frozenset(x.lower() for x in forbidden)
+    found: list[tuple[str, str, Column]] = []
+    for f in df.schema.fields:
+        if f.name.lower() in names:
+            found.append((f.name, "key", F.lit(True)))
+        found += [(path, what, test(F.col(f"`{f.name}`"))) for path, what, test in _walk(f.dataType, f.name, names, pattern)]
+    if not found:
+        return df.sparkSession.createDataFrame([], "path string, what string, n long")
+    counted = df.agg(*[F.count_if(F.coalesce(test, F.lit(False))).alias(f"n{i}") for i, (_, _, test) in enumerate(found)])
+    rows = F.array(*[F.struct(F.lit(path).alias("path"), F.lit(what).alias("what"), F.col(f"n{i}").alias("n")) for i, (path, what, _) in enumerate(found)])
+    return counted.select(F.inline(rows)).where("n > 0")
+
+
+def check_no_leaks(df: DataFrame, forbidden: set[str], pattern: str) -> None:
+    """Fail closed if ``leaks`` finds anything; the error names at most twenty places."""
+    found = leaks(df, forbidden, pattern).orderBy("path", "what").limit(20).collect()
+    if found:
+        raise ValueError("leaks at " + ", ".join(f"{r['path']} ({r['what']}, {r['n']} rows)" for r in found))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT, Vocabulary, canonical_of, folded_distance, is_scientific, norm, slug
+from ..functions.text import DEFAULT, Vocabulary, canonical_of, folded_distance, is_scientific, name_parts, norm, slug
 from ..session import cut_lineage
+from . import scan
 
 #: Fixed order of statuses when a group picks its representative.
 STATUS_ORDER = ("accepted", "synonym-resolved", "owner-resolved", "typo-corrected", "genus_level", "species_ambiguous", "trade_ambiguous")
@@ -115,16 +116,36 @@ def group_records(disposed: DataFrame) -> DataFrame:
     return g.select("group_key", F.when(~ambiguous, F.col("group_key")).alias("accepted_name"), "resolution_status", ambiguous.alias("ambiguity_flag"), "original_parsed_names", "n_names", "candidates")
 
 
-def with_ids(records: DataFrame, name: str = "group_key") -> DataFrame:
-    """Adds ``canonical_id``: the slug, and ``-2``, ``-3`` ... for later records of one slug in order of name.
+def allot_ids(names: DataFrame, used: DataFrame, name: str = "name") -> DataFrame:
+    """Adds ``canonical_id``, which no other row gets and ``used(canonical_id)`` does not have.
+
+    A name's base is its slug.  The first name of a free base, by name, takes it as it is; the others of a base take the smallest
+    numbers from 2 up that are free, in order of name.  Which numbers are taken before is a running sum over the base's used
+    ones, so neither many names of one base nor many used ids meet in one task.  ``names`` has different values in ``name``;
+    other columns go along.
+    """
+    based = names.withColumn("_base", slug(name))
+    ids = used.select("canonical_id").distinct()
+    firsts = based.groupBy(F.col("_base").alias("_of")).agg(F.min(name).alias("_first")).join(ids.select(F.col("canonical_id").alias("_of")), "_of", "left_anti")
+    rows = based.join(firsts, (F.col("_base") == F.col("_of")) & (F.col(name) == F.col("_first")), "left").drop("_of")
+    own = rows.where("_first is not null").drop("_first").withColumn("canonical_id", F.col("_base"))
+    rest = rows.where("_first is null").drop("_first")
+    # Numbers of the bases in question that are taken, by the used ids and by what was given just now.
+    taken = ids.unionByName(own.select("canonical_id")).select(F.regexp_extract("canonical_id", "^(.*)-([1-9][0-9]*)$", 1).alias("_base"), F.regexp_extract("canonical_id", "^(.*)-([1-9][0-9]*)$", 2).try_cast("long").alias("u"))
+    taken = taken.where("u >= 2").distinct().join(rest.select("_base").distinct(), "_base", "left_semi")
+    # Of the free numbers from 2 up the i-th is i + 1 plus the taken ones u_j, the j-th, with u_j - j - 1 < i.
+    gaps = scan.carried(scan.ordered(taken, ["_base"], ["u"]), ["_base"], F.lit(1), "j", "sum").select("_base", (F.col("u") - F.col("j") - 1).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("n"))
+    asked = scan.carried(scan.ordered(rest.select("_base", F.col(name).alias("n")), ["_base"], ["n"]), ["_base"], F.lit(1), "at", "sum").select("_base", "at", F.lit(0).alias("kind"), "n")
+    both = scan.carried(scan.ordered(gaps.unionByName(asked), ["_base"], ["at", "kind", "n"]), ["_base"], "kind", "before", "sum").where("kind = 0")
+    given = both.select(F.col("n").alias("_n"), F.concat("_base", F.lit("-"), (F.col("at") + 1 + F.col("before")).cast("string")).alias("canonical_id"))
+    numbered = rest.join(given, rest[name] == given["_n"]).drop("_n")
+    return own.unionByName(numbered).drop("_base")
+
 
-    Raises if a suffixed id is another record's slug, since ids never change."""
-    base = records.withColumn("_slug", slug(name)).withColumn("_k", F.row_number().over(Window.partitionBy("_slug").orderBy(name)))
-    out = base.withColumn("canonical_id", F.when(F.col("_k") == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), F.col("_k").cast("string"))))
-    taken = out.where("_k > 1").select("canonical_id").join(out.where("_k = 1").select(F.col("canonical_id").alias("_first")), F.col("canonical_id") == F.col("_first"), "left_semi")
-    if not taken.isEmpty():
-        raise ValueError("a suffixed id collides with another record's slug")
-    return out.drop("_slug", "_k")
+def with_ids(records: DataFrame, name: str = "group_key") -> DataFrame:
+    """Adds ``canonical_id`` to records without ids: the slug, and ``-2``, ``-3`` ... for later records of one slug in order of
+    name; a number that is another record's slug is passed over."""
+    return allot_ids(records, records.sparkSession.createDataFrame([], "canonical_id string"), name)
 
 
 def _arrays(prefix: str = "") -> list:
@@ -178,25 +199,147 @@ def merge_converged(identities: DataFrame, pinned: DataFrame) -> DataFrame:
     return out.withColumn("scientific_synonyms", F.array_except("scientific_synonyms", F.array("accepted_name")))
 
 
-def upsert(identities: DataFrame, delta: DataFrame) -> DataFrame:
-    """``delta(accepted_name, common_names)``: known names get the new common names, unknown ones become records."""
-    d = delta.groupBy(F.lower("accepted_name").alias("_k")).agg(F.min("accepted_name").alias("_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("common_names")))).alias("_new"))
-    j = identities.withColumn("_k", F.lower("accepted_name")).join(d, "_k", "full_outer")
+def upsert(identities: DataFrame, delta: DataFrame, ledger: DataFrame | None = None, v: Vocabulary = DEFAULT) -> DataFrame:
+    """``delta(accepted_name, parsed_names, common_names)`` merged into ``identities``, compared by accepted name without case.
+
+    A known record gets the parsed names it lacks, the scientific ones of them as synonyms too, and the common names; an unknown
+    name becomes a record with a new id (see ``allot_ids``), which is none of ``identities`` or of ``ledger(canonical_id)``, the
+    ids ever given.  Adds ``inserted``, ``n_added`` (common names) and ``n_parsed`` (parsed names).  A name that occurs twice in
+    the delta, also in other case, is one; a null name is ignored.
+    """
     empty = F.array().cast("array<string>")
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, empty)))))
+    d = delta.where("accepted_name is not null").groupBy(F.lower("accepted_name").alias("_k")).agg(F.min("accepted_name").alias("_name"), every(F.col("parsed_names")).alias("_parsed"), every(F.col("common_names")).alias("_common"))
+    d = cut_lineage(d)
+    keyed = identities.withColumn("_k", F.lower("accepted_name"))
+    new = d.join(keyed.select("_k"), "_k", "left_anti")
+    ids = identities.select("canonical_id")
+    new = allot_ids(new.withColumnRenamed("_name", "accepted_name"), ids if ledger is None else ids.unionByName(ledger.select("canonical_id")), "accepted_name")
+    blank = {c: empty for c in NAME_ARRAYS}
+    both = keyed.select("_k", "canonical_id", "accepted_name", *NAME_ARRAYS).withColumn("inserted", F.lit(False)).unionByName(new.select("_k", "canonical_id", "accepted_name").withColumns(blank).withColumn("inserted", F.lit(True)))
+    j = both.join(d.select("_k", F.col("_parsed").alias("_p"), F.col("_common").alias("_c")), "_k", "left").withColumns({c: F.coalesce(c, empty) for c in (*NAME_ARRAYS, "_p", "_c")})
+    fresh = F.array_except("_p", "original_parsed_names")
+    names = F.filter(fresh, lambda x: is_scientific(x, v.vernacular) & (x != F.col("accepted_name")))
+    grown = lambda c, more: F.array_sort(F.array_union(c, more))
     return j.select(
-        F.coalesce("canonical_id", slug("_name")).alias("canonical_id"), F.coalesce("accepted_name", "_name").alias("accepted_name"), F.col("canonical_id").isNull().alias("inserted"),
-        F.size(F.array_except(F.coalesce("_new", empty), F.coalesce("common_names", empty))).alias("n_added"), F.array_sort(F.array_union(F.coalesce("common_names", empty), F.coalesce("_new", empty))).alias("common_names"),
+        "canonical_id", "accepted_name", "inserted", F.size(F.array_except("_c", "common_names")).cast("long").alias("n_added"), F.size(fresh).cast("long").alias("n_parsed"),
+        grown("original_parsed_names", fresh).alias("original_parsed_names"), grown("scientific_synonyms", names).alias("scientific_synonyms"), "trade_synonyms", grown("common_names", F.col("_c")).alias("common_names"),
     )
 
 
-def patch(identities: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``patches(canonical_id, adopt_name, mark_ambiguous, add_common, remove_common)`` applied, and patches without a record."""
-    empty = F.array().cast("array<string>")
-    j = identities.join(patches, "canonical_id", "left")
-    out = j.withColumn("scientific_synonyms", F.when(F.col("adopt_name").isNotNull() & F.col("accepted_name").isNotNull(), F.array_sort(F.array_union("scientific_synonyms", F.array("accepted_name")))).otherwise(F.col("scientific_synonyms")))
-    out = out.withColumn("accepted_name", F.when(F.col("mark_ambiguous"), None).otherwise(F.coalesce("adopt_name", "accepted_name")))
-    out = out.withColumn("common_names", F.array_sort(F.array_except(F.array_union("common_names", F.coalesce("add_common", empty)), F.coalesce("remove_common", empty))))
-    return out.drop("adopt_name", "add_common", "remove_common").withColumn("ambiguity_flag", F.coalesce("mark_ambiguous", F.lit(False))).drop("mark_ambiguous"), patches.join(identities, "canonical_id", "left_anti")
+def merge_report(identities: DataFrame, edges: DataFrame) -> DataFrame:
+    """What becomes of each of the ``edges`` of ``merge_records``: ``(absorb_id, keep_id, absorbed_name, kept_name, status)``, the
+    status being ``merged`` or ``skipped`` where one of the two records is missing."""
+    name = lambda c: identities.select(F.col("canonical_id").alias(c), F.col("accepted_name").alias(f"{c}_name"), F.lit(True).alias(f"{c}_there"))
+    j = edges.select("absorb_id", "keep_id").join(name("absorb_id"), "absorb_id", "left").join(name("keep_id"), "keep_id", "left")
+    status = F.when(F.col("absorb_id_there") & F.col("keep_id_there"), "merged").otherwise("skipped")
+    return j.select("absorb_id", "keep_id", F.col("absorb_id_name").alias("absorbed_name"), F.col("keep_id_name").alias("kept_name"), status.alias("status"))
+
+
+#: What a patch sets, beside names: columns of a patched record.
+_STATE = (
+    ("accepted_name", "string"), ("genus", "string"), ("species", "string"), ("infra", "string"), ("accepted_rank", "string"), ("usage_key", "string"), ("scientific_synonyms", "array<string>"), ("common_names", "array<string>"),
+    ("resolution_status", "string"), ("ambiguity_flag", "boolean"), ("candidates", "array<string>"), ("authority_synonym", "string"), ("adjudication", "string"), ("note", "string"), ("review_date", "string"),
+)
+_OUTCOMES = "array<struct<place: bigint, outcome: string>>"
+PATCH_SCHEMA = "place long, action string, by string, target string, value string, names array<string>, note string, date string"
+
+
+def _applied(state: Column, p: Column) -> Column:
+    """A record's state after one patch."""
+    is_ = lambda a: p["action"] == a
+    old = {c: state[c] for c, _ in _STATE}
+    empty, none = F.array().cast("array<string>"), F.lit(None)
+    names = F.coalesce(p["names"], empty)
+    parts = name_parts(p["value"])
+    with_synonym = lambda x: F.when(x.isNull() | F.array_contains(old["scientific_synonyms"], F.coalesce(x, F.lit(""))), old["scientific_synonyms"]).otherwise(F.array_sort(F.array_append(old["scientific_synonyms"], x)))
+    adopts = is_("adopt") & ~old["accepted_name"].eqNullSafe(p["value"])
+    keeps = is_("keep_synonym") & ~old["accepted_name"].eqNullSafe(p["value"])
+    adds, removes = is_("add_common"), is_("remove_common")
+    commons = F.when(adds, F.array_sort(F.array_union(old["common_names"], names))).when(removes, F.array_except(old["common_names"], names)).otherwise(old["common_names"])
+    pick = lambda c, adopted, unsure: F.when(is_("adopt"), adopted).when(is_("ambiguous"), unsure).otherwise(old[c])
+    new = old | {
+        "accepted_name": pick("accepted_name", p["value"], none), "genus": pick("genus", parts["genus"], none), "species": pick("species", parts["species"], none), "infra": pick("infra", parts["infra"], none),
+        "accepted_rank": pick("accepted_rank", parts["rank"], none), "usage_key": pick("usage_key", none, none), "scientific_synonyms": F.when(adopts, with_synonym(old["accepted_name"])).when(keeps, with_synonym(p["value"])).otherwise(old["scientific_synonyms"]),
+        "common_names": commons, "resolution_status": F.when(is_("ambiguous"), "trade_ambiguous").otherwise(old["resolution_status"]), "ambiguity_flag": old["ambiguity_flag"] | is_("ambiguous"),
+        "candidates": F.when(is_("ambiguous"), names).otherwise(old["candidates"]), "authority_synonym": F.when(is_("keep_synonym"), p["value"]).otherwise(old["authority_synonym"]),
+        "adjudication": F.when(p["action"].isin("adopt", "keep_synonym", "ambiguous"), p["action"]).otherwise(old["adjudication"]), "note": F.coalesce(p["note"], old["note"]), "review_date": F.coalesce(p["date"], old["review_date"]),
+    }
+    same = F.when(is_("adopt"), ~adopts).when(adds, F.size(F.array_except(names, old["common_names"])) == 0).when(removes, ~F.arrays_overlap(names, old["common_names"])).when(is_("note"), F.lit(True)).otherwise(F.lit(False))
+    idle = same & (p["note"].isNull() | old["note"].eqNullSafe(p["note"])) & (p["date"].isNull() | old["review_date"].eqNullSafe(p["date"])) & ~p["created"]
+    done = F.array_append(state["outcomes"], F.struct(p["place"].alias("place"), F.when(p["created"], "created").when(idle, "skipped").otherwise("applied").alias("outcome")))
+    return F.struct(*[F.when(idle, old[c]).otherwise(new[c].cast(kind)).alias(c) for c, kind in _STATE], done.cast(_OUTCOMES).alias("outcomes"))
+
+
+def _targets(identities: DataFrame, patches: DataFrame, ledger: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``(place, id)`` of the patches that have a record, and ``(canonical_id, accepted_name, since)`` of the records to create.
+
+    A name means the record that got it last before the patch: as its accepted name at first, by an adoption or by being created.
+    Adoptions may aim at names that earlier ones gave, so names are found round by round until they no longer change."""
+    by_name = patches.where("by = 'name'").withColumn("k", F.lower("target"))
+    ids = identities.select("canonical_id")
+    used = ids if ledger is None else ids.unionByName(ledger.select("canonical_id"))
+    at_id = patches.where("by = 'id'").join(ids, patches["target"] == ids["canonical_id"], "left_semi").select("place", "action", "value", F.col("target").alias("id"))
+    gives = lambda found: found.where("id is not null and action = 'adopt'").select(F.lower("value").alias("k"), "id", F.col("place").alias("since"))
+    first = identities.where("accepted_name is not null").groupBy(F.lower("accepted_name").alias("k")).agg(F.max("canonical_id").alias("id")).withColumn("since", F.lit(-1).cast("long"))
+
+    def resolve(known: DataFrame) -> DataFrame:
+        at = known.select(F.col("k").alias("_k"), "id", "since")
+        seen = by_name.join(at, (F.col("k") == F.col("_k")) & (F.col("since") < F.col("place")), "left")
+        return cut_lineage(seen.groupBy("place", "action", "k", "target", "value").agg(F.max_by("id", "since").alias("id")))
+
+    adopted = cut_lineage(gives(at_id))
+    for _ in range(patches.count() + 2):
+        known = first.unionByName(adopted)
+        lost = resolve(known).where("id is null and action = 'add_common'").groupBy("k").agg((F.min("place") - 1).alias("since"), F.min_by("target", "place").alias("accepted_name"))
+        created = cut_lineage(allot_ids(lost, used, "accepted_name"))
+        found = resolve(known.unionByName(created.select("k", F.col("canonical_id").alias("id"), "since")))
+        now = cut_lineage(gives(at_id).unionByName(gives(found)))
+        if now.exceptAll(adopted).isEmpty() and adopted.exceptAll(now).isEmpty():
+            break
+        adopted = now
+    else:
+        raise ValueError("the patches' names do not settle")
+    return found.where("id is not null").select("place", "id").unionByName(at_id.select("place", "id")), created
+
+
+def patch(identities: DataFrame, patches: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A log of patches (``PATCH_SCHEMA``; ``place`` tells them apart and orders them) over ``identities``: the records, and a
+    report ``(place, action, target, canonical_id, outcome)``.
+
+    Actions: ``adopt`` (``value`` becomes the accepted name, the old one a synonym; name parts and rank follow it, the authority's
+    key goes), ``keep_synonym`` (``value`` is the authority's name and a synonym), ``ambiguous`` (the name and all that follows
+    it go, ``names`` are the candidates), ``add_common`` and ``remove_common`` (``names``) and ``note``; a note and a date are
+    stamped by each.  A target is an accepted name (``by`` = ``name``, without case) or an id (``id``); ``add_common`` on a name
+    that no record has creates one with a new id.  A record's patches are folded in order by one aggregate, so a later one sees
+    what an earlier one did.  Outcomes: ``applied``, ``created``, ``skipped`` (nothing to change) and ``not_found``.  Records
+    without patches stay as they are; columns of ``_STATE`` that ``identities`` lacks are added as nulls, the flag as false.
+    """
+    patches = cut_lineage(patches.select(*[F.col(x.split()[0]) for x in PATCH_SCHEMA.split(", ")]))
+    found, created = _targets(identities, patches, ledger)
+    found = cut_lineage(found)
+    kept = [c for c in identities.columns if c not in dict(_STATE)]
+    state = {c: F.col(c).cast(kind) if c in identities.columns else F.lit(None).cast(kind) for c, kind in _STATE}
+    state |= {c: F.coalesce(state[c], F.array().cast("array<string>")) for c in ("scientific_synonyms", "common_names")}
+    state["ambiguity_flag"] = F.coalesce(state["ambiguity_flag"], F.lit(False))
+    records = identities.select(*kept, F.struct(*[x.alias(c) for c, x in state.items()], F.array().cast(_OUTCOMES).alias("outcomes")).alias("_state"))
+    parts = name_parts("accepted_name")
+    born = {c: F.lit(None) for c, _ in _STATE} | {
+        "accepted_name": F.col("accepted_name"), "genus": parts["genus"], "species": parts["species"], "infra": parts["infra"], "accepted_rank": parts["rank"], "scientific_synonyms": F.array(), "common_names": F.array(),
+        "resolution_status": F.lit("owner-common-mapped"), "ambiguity_flag": F.lit(False),
+    }
+    extra = {c: F.col("canonical_id") if c == "canonical_id" else F.array("accepted_name") if c == "original_parsed_names" else F.array() if c in NAME_ARRAYS else F.lit(None) for c in kept}
+    types = dict(identities.dtypes)
+    new = created.select(*[x.cast(types[c]).alias(c) for c, x in extra.items()], F.struct(*[born[c].cast(kind).alias(c) for c, kind in _STATE], F.array().cast(_OUTCOMES).alias("outcomes")).alias("_state"))
+    makes = created.select(F.col("since") + 1).toDF("_made")
+    logged = patches.join(found, "place").join(makes, F.col("place") == F.col("_made"), "left")
+    each = F.struct("place", "action", "value", "names", "note", "date", F.col("_made").isNotNull().alias("created"))
+    logs = logged.groupBy(F.col("id").alias("canonical_id")).agg(F.array_sort(F.collect_list(each)).alias("_log"))
+    folded = records.unionByName(new).join(logs, "canonical_id", "left").withColumn("_state", F.when(F.col("_log").isNull(), F.col("_state")).otherwise(F.aggregate("_log", F.col("_state"), _applied)))
+    folded = cut_lineage(folded.drop("_log"))
+    outcomes = folded.select("canonical_id", F.inline("_state.outcomes"))
+    report = patches.select("place", "action", "target").join(outcomes, "place", "left").select("place", "action", "target", "canonical_id", F.coalesce("outcome", F.lit("not_found")).alias("outcome"))
+    return folded.select(*kept, *[F.col(f"_state.{c}").alias(c) for c, _ in _STATE]), report
 
 
 def check_accounting(kept: int, excluded: int, total: int) -> None:

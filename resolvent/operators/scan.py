@@ -13,23 +13,22 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Names of the helper columns.
-_VALUE, _PART = "__value", "__part"
+#: Names of the helper columns; ``PART`` stays in the frames of ``ordered`` and says which partition a row was dealt to.
+_VALUE, PART = "__value", "__part"
 
 
 def ordered(df: DataFrame, keys: Sequence[str], order: Sequence, partitions: int | None = None) -> DataFrame:
     """``df`` range-partitioned and sorted by keys and order, and cut from its lineage, so that its partitions stay what they are.
 
-    The order should tell rows apart, since equal rows are never split."""
+    The order should tell rows apart, since equal rows are never split.  Adds ``PART``, which ``carried`` needs."""
     by = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     dealt = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
-    return cut_lineage(dealt.sortWithinPartitions(*by))
+    return cut_lineage(dealt.sortWithinPartitions(*by).withColumn(PART, F.spark_partition_id()))
 
 
 def _segments(columns: Sequence[pa.Array], n: int) -> np.ndarray:
@@ -137,29 +136,28 @@ def carried(rows: DataFrame, keys: Sequence[str], value, name: str, kind: str =
     if kind == "sum":
         source = source.withColumn(_VALUE, F.col(_VALUE).cast("long"))
     columns = rows.columns
-    at = [columns.index(k) for k in keys]
+    at, part = [columns.index(k) for k in keys], columns.index(PART)
     types = {f.name: f.dataType for f in source.schema}
     ddl = [f"__f{i} {types[k].simpleString()}, __l{i} {types[k].simpleString()}" for i, k in enumerate(keys)]
     carries = types[_VALUE].simpleString()
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, kind_ = _Run(kind), None
-        schema = None
+        run, last = _Run(kind), None
         for b in batches:
             if b.num_rows:
                 run.step([b.column(i) for i in range(len(at))], b.column(len(at)))
-                schema, kind_ = b.schema, b.column(len(at)).type
-        if schema is not None:
-            cols = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([run.single]), pa.array([run.carried], kind_)]
-            names = [_PART, "__single", _VALUE]
+                last = b
+        if last is not None:
+            cols = [last.column(len(at) + 1)[:1], pa.array([run.single]), pa.array([run.carried], last.column(len(at)).type)]
+            names = [PART, "__single", _VALUE]
             for i in range(len(at)):
-                cols += [pa.array([run.first_key[i]], schema.field(i).type), pa.array([run.key[i]], schema.field(i).type)]
+                cols += [pa.array([run.first_key[i]], last.schema.field(i).type), pa.array([run.key[i]], last.schema.field(i).type)]
                 names += [f"__f{i}", f"__l{i}"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    told = source.select(*keys, _VALUE).mapInArrow(ends, ", ".join([f"{_PART} int, __single boolean, {_VALUE} {carries}", *ddl])).collect()
+    told = source.select(*keys, _VALUE, PART).mapInArrow(ends, ", ".join([f"{PART} int, __single boolean, {_VALUE} {carries}", *ddl])).collect()
     k = len(keys)
-    gathered = [(r[_PART], tuple(r[f"__f{i}"] for i in range(k)), tuple(r[f"__l{i}"] for i in range(k)), r["__single"], r[_VALUE]) for r in told]
+    gathered = [(r[PART], tuple(r[f"__f{i}"] for i in range(k)), tuple(r[f"__l{i}"] for i in range(k)), r["__single"], r[_VALUE]) for r in told]
     enters = rows.sparkSession.sparkContext.broadcast(_entering(gathered, kind, 1 + max((g[0] for g in gathered), default=0)))
     width = len(columns)
 
@@ -167,7 +165,7 @@ def carried(rows: DataFrame, keys: Sequence[str], value, name: str, kind: str =
         run = None
         for b in batches:
             if b.num_rows:
-                run = run or _Run(kind, enters.value[TaskContext.get().partitionId()], True)
+                run = run or _Run(kind, enters.value[b.column(part)[0].as_py()], True)
                 out = run.step([b.column(i) for i in at], b.column(width))
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], out], [*columns, name])
 
@@ -176,4 +174,4 @@ def carried(rows: DataFrame, keys: Sequence[str], value, name: str, kind: str =
 
 def numbered(df: DataFrame, order: Sequence, name: str = "place", partitions: int | None = None) -> DataFrame:
     """Adds each row's place, from 1, in the order of the whole table: no task sees more than its own range."""
-    return carried(ordered(df, [], order, partitions), [], F.lit(1), name, "sum")
+    return carried(ordered(df, [], order, partitions), [], F.lit(1), name, "sum").drop(PART)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import backbone, decide, graph, index, ingest
+from ..operators import backbone, decide, graph, index, ingest, scan
 from ..session import table
 from . import catalogue as c
 from . import sql as q
@@ -182,16 +182,42 @@ def adopted_names(spark: SparkSession, sf: str) -> DataFrame:
     return backbone.adopt(n.select(F.col("p_name").alias("name"), F.initcap("p_name").alias("accepted_name")), new, new.count())
 
 
+def _patch_log(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Identities and a log of patches in twelve steps; later ones aim at names that earlier ones gave."""
+    i = c.identities(spark, sf).withColumns({"adj": F.split("canonical_id", "-")[0], "noun": F.split("canonical_id", "-")[1]})
+    n = scan.numbered(i, ["canonical_id"], "nr")
+    none = F.lit(None).cast("string")
+    new_name = F.concat(F.initcap("noun"), F.lit(" antiqua"))
+
+    def step(k: int, where: str, action: str, by: str, target, value=None, names=None, note=None, date=None) -> DataFrame:
+        as_list = F.lit(None).cast("array<string>") if names is None else F.array(names if not isinstance(names, str) else F.lit(names))
+        text_ = lambda x: none if x is None else F.lit(x) if isinstance(x, str) else x
+        return n.where(where).select((F.col("nr") + k * 1_000_000).alias("place"), F.lit(action).alias("action"), F.lit(by).alias("by"), text_(target).alias("target"), text_(value).alias("value"), as_list.alias("names"), text_(note).alias("note"), text_(date).alias("date"))
+
+    old = "adj = 'old'"
+    name, ident = F.col("accepted_name"), F.col("canonical_id")
+    steps = [
+        step(1, old, "add_common", "name", F.upper("accepted_name"), names="new common", note="n1", date="2024-01-01"), step(2, f"{old} and noun in ('rod', 'bolt')", "adopt", "name", name, value=new_name),
+        step(3, f"{old} and noun in ('rod', 'bolt')", "note", "name", new_name, note="renamed"), step(4, old, "remove_common", "id", ident, names=F.col("noun")), step(5, f"{old} and noun in ('ring', 'gear')", "ambiguous", "id", ident, names="A b"),
+        step(6, f"{old} and noun = 'ring'", "note", "name", name, note="was a ring"), step(7, "adj = 'cold'", "keep_synonym", "name", name, value="Frigida nova"), step(8, "nr = 1", "add_common", "name", "Nova absens", names="New one"),
+        step(9, "nr = 1", "note", "name", "nova ABSENS", note="later"), step(10, "nr = 1", "note", "name", "Nobody", note="x"), step(11, "adj = 'hot'", "remove_common", "id", ident, names="zz"), step(12, "canonical_id = 'cold-rod'", "adopt", "name", name, value=name),
+    ]
+    log = steps[0]
+    for x in steps[1:]:
+        log = log.unionByName(x)
+    return i.drop("adj", "noun"), log
+
+
 def adjudication_patches(spark: SparkSession, sf: str) -> DataFrame:
-    i = c.identities(spark, sf)
-    one = F.col("canonical_id")
-    p = i.where("canonical_id like 'old-%'").select(
-        "canonical_id", F.when(one.endswith("-rod"), "Rod antiqua").alias("adopt_name"), one.endswith("-ring").alias("mark_ambiguous"), F.array(F.lit("new common")).alias("add_common"), F.array(F.split(one, "-")[1]).alias("remove_common"),
+    done, _ = backbone.patch(*_patch_log(spark, sf))
+    return done.select(
+        "canonical_id", "accepted_name", "genus", "species", "accepted_rank", "ambiguity_flag", "resolution_status", "adjudication", "note", "review_date", F.array_join("candidates", "|").alias("candidates"),
+        F.array_join("scientific_synonyms", "|").alias("synonyms"), F.array_join(F.array_sort("common_names"), "|").alias("commons"),
     )
-    missing = spark.createDataFrame([("no-such", "Nulla", False, None, None)], "canonical_id string, adopt_name string, mark_ambiguous boolean, add_common array<string>, remove_common array<string>")
-    done, lost = backbone.patch(i, p.unionByName(missing))
-    out = done.select("canonical_id", "accepted_name", "ambiguity_flag", F.array_join("scientific_synonyms", "|").alias("synonyms"), F.array_join("common_names", "|").alias("commons"))
-    return out.unionByName(lost.select("canonical_id", F.lit("not found").alias("accepted_name"), F.lit(False).alias("ambiguity_flag"), F.lit("").alias("synonyms"), F.lit("").alias("commons")))
+
+
+def adjudication_report(spark: SparkSession, sf: str) -> DataFrame:
+    return backbone.patch(*_patch_log(spark, sf))[1]
 
 
 def set_assertions(spark: SparkSession, sf: str) -> DataFrame:
@@ -216,13 +242,17 @@ def truncation_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentinel_sort(spark: SparkSession, sf: str) -> DataFrame:
-    """Records in order of accepted name, those without one last by id, with their place; the order is binary, not a locale's."""
-    from pyspark.sql import Window
-
+    """Records in order of accepted name, those without one last by id, with their place in the whole table."""
     i = c.identities(spark, sf).withColumn("accepted_name", F.when(~F.col("canonical_id").startswith("old-"), F.col("accepted_name")))
     key = F.coalesce("accepted_name", F.concat(F.lit("~"), "canonical_id"))
-    per = Window.partitionBy(F.split("canonical_id", "-")[1]).orderBy(key)
-    return i.select("canonical_id", F.row_number().over(per).alias("place"))
+    return scan.numbered(i.select("canonical_id", key.alias("key")), ["key"], "place").select("canonical_id", "place")
+
+
+def locale_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Names with accents and capitals in a locale's order, with their place: letters first, then accents, then case."""
+    n = c.names(spark, sf)
+    shown = F.when(F.col("adj") == "cold", F.translate("p_name", "o", "ö")).when(F.col("adj") == "large", F.initcap("p_name")).when(F.col("adj") == "hot", F.translate("p_name", "oe", "óé")).when(F.col("adj") == "new", F.upper("p_name")).otherwise(F.col("p_name"))
+    return scan.numbered(n.select(shown.alias("name")), [F.collate("name", "UNICODE"), "name"], "place").select("name", "place")
 
 
 def map_references(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,7 +281,7 @@ def caveats(spark: SparkSession, sf: str) -> DataFrame:
     return sel.join(f, ["product", "role", "selected"], "left").select("product", "role", decide.one_caveat(status, F.col("selected"), F.col("note")).alias("caveat"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_rows, ingest_queues, ingest_supplier_metrics, ingest_distribution, delta_extract, delta_recovered, worklist_keep, family_difference, review_cost, ladder_observed, storefront_graph, alias_pools, name_flip, authority_classes, authority_recheck, identity_groups, triage_overlay, enrichment_set, mapping_round, adopted_names, adjudication_patches, set_assertions, truncation_report, sentinel_sort, map_references, text_functions, caveats)}
+QUERIES = {f.__name__: f for f in (ingest_rows, ingest_queues, ingest_supplier_metrics, ingest_distribution, delta_extract, delta_recovered, worklist_keep, family_difference, review_cost, ladder_observed, storefront_graph, alias_pools, name_flip, authority_classes, authority_recheck, identity_groups, triage_overlay, enrichment_set, mapping_round, adopted_names, adjudication_patches, adjudication_report, set_assertions, truncation_report, sentinel_sort, locale_sort, map_references, text_functions, caveats)}
 
 
 def _list(xs) -> str:
@@ -275,6 +305,7 @@ _NAUTH = f"n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS adj, split_part(p
 _CLASS = f"""{_NAUTH}, cl AS (SELECT *, CASE adj WHEN 'blue' THEN 'accepted' WHEN 'old' THEN 'accepted' WHEN 'cold' THEN 'synonym' WHEN 'new' THEN 'synonym' WHEN 'large' THEN 'synonym' WHEN 'hot' THEN 'typo' ELSE 'unknown' END AS disposition,
   CASE adj WHEN 'blue' THEN name WHEN 'old' THEN upper(name) WHEN 'cold' THEN CASE WHEN noun = 'rod' THEN name ELSE 'Frigida nova' END WHEN 'new' THEN CASE WHEN noun NOT IN ('rod', 'ring') THEN 'Alba prima' END WHEN 'large' THEN 'Magna sola' END AS accepted, adj = 'new' AND noun IN ('rod', 'ring') AS ambiguous FROM nn)"""
 _DEC = "dec(name, action, target) AS (VALUES " + ", ".join(f"({q.quoted(a)}, {q.quoted(b)}, {q.quoted(d)})" for a, b, d in DECISIONS) + ")"
+_PATCHED = f"{q.IDENTITIES}, i AS (SELECT ident.*, adj, noun, row_number() OVER (ORDER BY canonical_id) AS nr, adj = 'old' AS old, adj = 'old' AND noun IN ('ring', 'gear') AS unsure, {_CAPN} || ' antiqua' AS newname FROM ident JOIN names ON canonical_id = adj || '-' || noun)"
 ORACLE_SQL = {
     "ingest_rows": f"""WITH {_INGEST} SELECT row_no, label, name, canonical_id, match_method, part, base, array_to_string(flags, ',') AS flags, CASE WHEN p_size % 3 = 0 THEN p_size || ':1' END AS ratio, CASE WHEN p_size % 3 = 1 THEN p_size::DOUBLE END AS percent, repair FROM rows_""",
     "ingest_queues": f"""WITH {_INGEST} SELECT row_no, 'ambiguous_common_name' AS type, candidates AS detail FROM rows_ WHERE match_method = 'ambiguous' UNION ALL SELECT row_no, 'form_normalization_disagreement', array_to_string(flags, ',') FROM rows_ WHERE len(flags) > 0
@@ -311,13 +342,21 @@ ORACLE_SQL = {
     "mapping_round": f"""WITH n AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part), m AS (SELECT adj, noun, unnest([' ' || upper(p_name), p_name]) AS cn FROM n)
       SELECT CASE WHEN adj = 'hot' THEN 'Calida nova' ELSE {_CAPN} END AS accepted, array_to_string(list_sort(list(cn)), '|') AS common_names, count(*) FILTER (WHERE adj = 'hot') AS n_corrected FROM m WHERE adj <> 'old' GROUP BY 1 UNION ALL SELECT 'excluded', array_to_string(list_sort(list(cn)), '|'), 0 FROM m WHERE adj = 'old' HAVING count(*) > 0""",
     "adopted_names": f"WITH n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part) SELECT name, CASE WHEN adj = 'cold' THEN {_CAPN} || ' frigida' ELSE {_CAPA} || ' ' || {_CAPN} END AS accepted_name, adj = 'cold' AS adopted FROM n",
-    "adjudication_patches": f"""WITH {q.IDENTITIES}, i AS (SELECT ident.*, adj, noun FROM ident JOIN names ON canonical_id = adj || '-' || noun)
-      SELECT canonical_id, CASE WHEN canonical_id = 'old-ring' THEN NULL WHEN canonical_id = 'old-rod' THEN 'Rod antiqua' ELSE accepted_name END AS accepted_name, canonical_id = 'old-ring' AS ambiguity_flag, array_to_string(CASE WHEN canonical_id = 'old-rod' THEN list_sort(list_append(scientific_synonyms, accepted_name)) ELSE scientific_synonyms END, '|') AS synonyms,
-      array_to_string(list_sort(CASE WHEN adj = 'old' THEN list_append(list_filter(common_names, lambda x: x <> noun), 'new common') ELSE common_names END), '|') AS commons FROM i UNION ALL SELECT 'no-such', 'not found', false, '', ''""",
+    "adjudication_patches": f"""WITH {_PATCHED}, r AS (SELECT canonical_id, CASE WHEN old AND noun IN ('rod', 'bolt') THEN newname WHEN unsure THEN NULL ELSE accepted_name END AS accepted_name, old AND noun IN ('rod', 'bolt') AS renamed, * EXCLUDE (canonical_id, accepted_name), accepted_name AS was FROM i)
+      SELECT canonical_id, accepted_name, CASE WHEN renamed THEN split_part(newname, ' ', 1) END AS genus, CASE WHEN renamed THEN 'antiqua' END AS species, CASE WHEN renamed THEN 'species' END AS accepted_rank, unsure AS ambiguity_flag, CASE WHEN unsure THEN 'trade_ambiguous' END AS resolution_status,
+      CASE WHEN renamed THEN 'adopt' WHEN unsure THEN 'ambiguous' WHEN adj = 'cold' THEN 'keep_synonym' END AS adjudication, CASE WHEN renamed THEN 'renamed' WHEN old AND noun = 'ring' THEN 'was a ring' WHEN old THEN 'n1' END AS note, CASE WHEN old THEN '2024-01-01' END AS review_date, CASE WHEN unsure THEN 'A b' END AS candidates,
+      array_to_string(list_sort(CASE WHEN renamed THEN list_append(scientific_synonyms, was) WHEN adj = 'cold' THEN list_append(scientific_synonyms, 'Frigida nova') ELSE scientific_synonyms END), '|') AS synonyms, array_to_string(list_sort(CASE WHEN old THEN list_append(list_filter(common_names, lambda x: x <> noun), 'new common') ELSE common_names END), '|') AS commons FROM r
+      UNION ALL SELECT 'nova-absens', 'Nova absens', 'Nova', 'absens', 'species', false, 'owner-common-mapped', NULL, 'later', NULL, NULL, '', 'New one'""",
+    "adjudication_report": f"""WITH {_PATCHED} SELECT nr + 1000000 AS place, 'add_common' AS action, upper(accepted_name) AS target, canonical_id, 'applied' AS outcome FROM i WHERE old UNION ALL SELECT nr + 2000000, 'adopt', accepted_name, canonical_id, 'applied' FROM i WHERE old AND noun IN ('rod', 'bolt')
+      UNION ALL SELECT nr + 3000000, 'note', newname, canonical_id, 'applied' FROM i WHERE old AND noun IN ('rod', 'bolt') UNION ALL SELECT nr + 4000000, 'remove_common', canonical_id, canonical_id, 'applied' FROM i WHERE old UNION ALL SELECT nr + 5000000, 'ambiguous', canonical_id, canonical_id, 'applied' FROM i WHERE unsure
+      UNION ALL SELECT nr + 6000000, 'note', accepted_name, canonical_id, 'applied' FROM i WHERE old AND noun = 'ring' UNION ALL SELECT nr + 7000000, 'keep_synonym', accepted_name, canonical_id, 'applied' FROM i WHERE adj = 'cold' UNION ALL SELECT 8000001, 'add_common', 'Nova absens', 'nova-absens', 'created'
+      UNION ALL SELECT 9000001, 'note', 'nova ABSENS', 'nova-absens', 'applied' UNION ALL SELECT 10000001, 'note', 'Nobody', NULL, 'not_found' UNION ALL SELECT nr + 11000000, 'remove_common', canonical_id, canonical_id, 'skipped' FROM i WHERE adj = 'hot' UNION ALL SELECT nr + 12000000, 'adopt', accepted_name, canonical_id, 'skipped' FROM i WHERE canonical_id = 'cold-rod'""",
     "set_assertions": """SELECT * FROM (VALUES ('same', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) + (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) = 0), ('subset', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) = 0),
       ('superset', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) = 0), ('accounts', true), ('lost', false)) AS t(name, holds)""",
     "truncation_report": "SELECT count(*) AS total, array_to_string(list_sort(list(n_name))[1:5], ',') AS shown, count(*) > 5 AS truncated FROM nation",
-    "sentinel_sort": f"WITH {q.IDENTITIES} SELECT canonical_id, (row_number() OVER (PARTITION BY split_part(canonical_id, '-', 2) ORDER BY CASE WHEN canonical_id LIKE 'old-%' THEN '~' || canonical_id ELSE accepted_name END))::INT AS place FROM ident",
+    "sentinel_sort": f"WITH {q.IDENTITIES} SELECT canonical_id, row_number() OVER (ORDER BY CASE WHEN canonical_id LIKE 'old-%' THEN '~' || canonical_id ELSE accepted_name END) AS place FROM ident",
+    "locale_sort": f"""WITH {_NAUTH}, s AS (SELECT CASE adj WHEN 'cold' THEN translate(adj || ' ' || noun, 'o', 'ö') WHEN 'large' THEN {_CAPA} || ' ' || {_CAPN} WHEN 'hot' THEN translate(adj || ' ' || noun, 'oe', 'óé') WHEN 'new' THEN upper(adj || ' ' || noun) ELSE adj || ' ' || noun END AS name FROM nn)
+      SELECT name, row_number() OVER (ORDER BY name COLLATE en_US) AS place FROM s""",
     "map_references": "SELECT p_type AS type, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "text_functions": rf"""WITH p AS (SELECT *, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part), w AS (SELECT *, {_CAPA} || ' ' || {_CAPN} AS cap FROM p)
       SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '[IN] ' ELSE '' END || cap || ' powder' || CASE WHEN p_size % 3 = 0 THEN ' (a) ( b )' ELSE '' END AS squeezed, CASE WHEN p_size % 2 = 0 THEN '[IN] ' ELSE '' END || cap || ' powder' AS bare, CASE WHEN p_size % 3 = 0 THEN 'b,a' ELSE '' END AS groups,

@@ -168,12 +168,27 @@ def version_check(spark: SparkSession, sf: str) -> DataFrame:
     return audit.version_mismatch(n)
 
 
+#: Keys and values that a payload must not hold, in the query over nested payloads.
+FORBIDDEN, PRIVATE = {"supplier_id", "margin", "provenance"}, "(?i)azure|\\bent_[a-z0-9]"
+
+
 def leakage_scan(spark: SparkSession, sf: str) -> DataFrame:
-    paths = audit.leaks(c.identities(spark, sf).withColumn("inner", F.struct(F.lit("k").alias("supplier_id"), F.lit("x").alias("ok"))), {"supplier_id", "margin"}, "azure")
-    return spark.createDataFrame([(p,) for p in paths], "path string")
+    """Records as nested payloads: forbidden keys and values in maps of arrays of structs, structs in structs and map keys."""
+    i = c.identities(spark, sf).withColumns({"adj": F.split("canonical_id", "-")[0], "noun": F.split("canonical_id", "-")[1]})
+    value = F.struct(F.lit("s").alias("supplier_id"), F.when(F.col("adj") == "hot", F.concat(F.lit("see ent_"), "noun")).otherwise(F.col("noun")).alias("note"))
+    forms = F.map_from_arrays(F.array("adj"), F.array(F.array(F.struct(F.lit("base").alias("key"), F.when(F.col("noun") != "ring", value).alias("value")))))
+    kept = F.array(F.struct(F.struct(F.length("noun").alias("margin"), F.array("trade_synonyms").alias("tags")).alias("inner")))
+    plain = F.map_from_arrays(F.array(F.when(F.col("noun") == "gear", "provenance").otherwise(F.col("noun"))), F.array("canonical_id"))
+    return audit.leaks(i.select("canonical_id", "common_names", forms.alias("forms"), kept.alias("rows"), plain.alias("plain")), FORBIDDEN, PRIVATE)
+
+
+def limiter_busy_counter(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten transports, each with more events than one task is to fold: their windows are found by the way of busy keys."""
+    e = table(spark, sf, "events").select("event_id", "ts", F.pmod("user_id", F.lit(10)).alias("transport"))
+    return limiter.anchored_counter(e, "transport", limiter.HOUR, busy=100).select("event_id", "transport", "n")
 
 
-QUERIES = {f.__name__: f for f in (ladder_select, reason_rules, message_build, candidate_assess, procurement_match, completeness_full_join, response_minimise, limiter_counter_anchored, limiter_distinct_set, limiter_chain, limiter_published, limiter_precheck, fanout_gauge, freshness_filter, canonical_message, request_signing, client_address, request_validation, procurement_validation, parity_guard, version_check, leakage_scan)}
+QUERIES = {f.__name__: f for f in (ladder_select, reason_rules, message_build, candidate_assess, procurement_match, completeness_full_join, response_minimise, limiter_counter_anchored, limiter_distinct_set, limiter_chain, limiter_published, limiter_precheck, fanout_gauge, freshness_filter, canonical_message, request_signing, client_address, request_validation, procurement_validation, parity_guard, version_check, leakage_scan, limiter_busy_counter)}
 
 # CRC-32 is no SQL function of the other engine: the cells' number comes from a table of the part brands and types.
 _PH = "[" + ", ".join(f"'{p}'" for p in c.PHASES) + "]"
@@ -263,6 +278,14 @@ ORACLE_SQL = {
     "limiter_published": _chain(limiter.Limits(), _SQUEEZED, "botanical", "wide_cell", "wide_code"),
     "limiter_precheck": _chain(limiter.PRE_CHECK, _SQUEEZED, "botanical", None, None, challenge=False),
     "fanout_gauge": "WITH f AS (SELECT event_id, user_id % 10 AS transport, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS first_ FROM events) SELECT event_id, transport, sum(first_::INT) OVER (PARTITION BY transport ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS n_keys FROM f",
+    "limiter_busy_counter": f"WITH RECURSIVE {_ORDERED.replace('PARTITION BY user_id', 'PARTITION BY user_id % 10')}, r AS (SELECT transport, k, event_id, t AS s, 1::BIGINT AS n FROM o WHERE k = 1 UNION ALL SELECT o.transport, o.k, o.event_id, CASE WHEN o.t - s >= {limiter.HOUR} THEN o.t ELSE s END, CASE WHEN o.t - s >= {limiter.HOUR} THEN 1 ELSE n + 1 END FROM r JOIN o ON o.transport = r.transport AND o.k = r.k + 1) SELECT event_id, transport, n FROM r",
+    "leakage_scan": f"""WITH {q.IDENTITIES}, i AS (SELECT ident.*, adj, noun FROM ident JOIN names ON canonical_id = adj || '-' || noun),
+      p AS (SELECT canonical_id, json_object('canonical_id', canonical_id, 'common_names', common_names, 'forms', json_object(adj, json_array(json_object('key', 'base', 'value', CASE WHEN noun <> 'ring' THEN json_object('supplier_id', 's', 'note', CASE WHEN adj = 'hot' THEN 'see ent_' || noun ELSE noun END) END))),
+        'rows', json_array(json_object('inner', json_object('margin', length(noun), 'tags', [trade_synonyms]))), 'plain', json_object(CASE WHEN noun = 'gear' THEN 'provenance' ELSE noun END, canonical_id)) AS j FROM i),
+      t AS (SELECT canonical_id, x.key, x.type, x.atom, regexp_replace(x.fullkey[3:], '\\[[0-9]+\\]', '[]', 'g') AS fk FROM p, json_tree(p.j) AS x),
+      h AS (SELECT canonical_id, regexp_replace(fk, '^forms\\.[a-z]+', 'forms.*') AS path, 'key' AS what FROM t WHERE key IN ('supplier_id', 'margin', 'provenance')
+        UNION ALL SELECT canonical_id, regexp_replace(fk, '^(forms|plain)\\.[a-z]+', '\\1.*'), 'value' FROM t WHERE type = 'VARCHAR' AND regexp_matches(atom::VARCHAR, '(?i)azure|\\bent_[a-z0-9]'))
+      SELECT path, what, count(DISTINCT canonical_id) AS n FROM h GROUP BY path, what""",
     "freshness_filter": "SELECT event_id FROM events WHERE abs(event_id % 200 - 100) <= 60",
     "canonical_message": "SELECT event_id, 'kind=' || event_type || ',xuser=' || user_id AS message FROM events",
     "client_address": r"""WITH e AS (SELECT event_id, event_id % 300 AS n, event_id % 9 AS k FROM events), h AS (SELECT event_id, CASE k WHEN 0 THEN '10.0.0.' || n WHEN 1 THEN '10.0.1.' || n WHEN 3 THEN '::ffff:1.2.3.' || n WHEN 4 THEN '2001:db8::' || lower(to_hex(n)) WHEN 5 THEN '01.02.03.04' WHEN 6 THEN 'junk' WHEN 7 THEN '192.168.0.9' WHEN 8 THEN '1:2:3:4:5:6:7' || CASE WHEN event_id % 2 = 0 THEN ':8' ELSE '' END END AS hop FROM e),

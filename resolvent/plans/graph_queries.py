@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parsing
+from ..functions import parsing, text
 from ..operators import backbone, graph
 from ..session import table
 from . import catalogue as c
@@ -112,9 +112,19 @@ def converged_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("canonical_id", "accepted_name", "n_absorbed", F.size("common_names").cast("long").alias("n_commons"))
 
 
+def merge_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Merges of every third noun's records into the next one's, some of which are missing."""
+    i = c.identities(spark, sf)
+    e = i.where("canonical_id like 'blue-%'").select(F.col("canonical_id").alias("absorb_id"), F.replace("canonical_id", F.lit("blue"), F.when(F.length("canonical_id") % 2 == 0, "no").otherwise("hot")).alias("keep_id"))
+    return backbone.merge_report(i, e.unionByName(e.select(F.concat(F.lit("x"), "absorb_id").alias("absorb_id"), "keep_id")))
+
+
 def backbone_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    d = c.titles(spark, sf).where(F.col("title").rlike("^[A-Z][a-z]+ [a-z]+$")).select(F.when(F.col("p_size") > 5, F.initcap("p_name")).otherwise(F.col("title")).alias("accepted_name"), F.array("p_type").alias("common_names"))
-    return backbone.upsert(c.identities(spark, sf), d).select("canonical_id", "inserted", F.col("n_added").cast("long").alias("n_added"), F.size("common_names").cast("long").alias("n_commons"))
+    """Titles of the shape of a name, taken as discovered names: some are known, others have the slug of a record or of each other."""
+    name = F.when(F.col("p_size") > 25, F.replace(F.initcap("p_name"), F.lit(" "), F.lit("-"))).when(F.col("p_size") > 5, F.initcap("p_name")).otherwise(F.col("title"))
+    d = c.titles(spark, sf).where(F.col("title").rlike("^[A-Z][a-z]+ [a-z]+$")).select(name.alias("accepted_name"), F.array("title").alias("parsed_names"), F.array("p_type").alias("common_names"))
+    u = backbone.upsert(c.identities(spark, sf), d)
+    return u.select("canonical_id", "accepted_name", "inserted", "n_added", "n_parsed", F.array_join("scientific_synonyms", "|").alias("synonyms"), F.size("common_names").cast("long").alias("n_commons"))
 
 
 def slug_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,7 +149,7 @@ def percentile_stat(spark: SparkSession, sf: str) -> DataFrame:
     return graph.percentile_floor(table(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice", {"median": 0.5, "p95": 0.95})
 
 
-QUERIES = {f.__name__: f for f in (scan_catalogue, latin_key_groups, near_duplicates, type_map_split, supplier_gate, form_graph_long, corroboration_two_levels, dedup_collapsed, nested_graph, conflict_detection, format_normalise, assay_parse, ocr_repair, backbone_merge, converged_dedup, backbone_upsert, slug_ids, delta_examples, delta_type_promotion, topk_cohort, percentile_stat)}
+QUERIES = {f.__name__: f for f in (scan_catalogue, latin_key_groups, near_duplicates, type_map_split, supplier_gate, form_graph_long, corroboration_two_levels, dedup_collapsed, nested_graph, conflict_detection, format_normalise, assay_parse, ocr_repair, backbone_merge, converged_dedup, merge_report, backbone_upsert, slug_ids, delta_examples, delta_type_promotion, topk_cohort, percentile_stat)}
 
 _OBS = f"{q.CATALOGUE}, obs AS (SELECT g.*, supplier_id AS entity_id, coalesce('n' || s_nationkey, 's' || supplier_id) AS fam FROM gated g LEFT JOIN supplier ON s_suppkey = supplier_id)"
 _LONG = f"{_OBS}, gl AS (SELECT canonical_id, part, base, overlays, count(*) AS n_observations, count(DISTINCT entity_id) AS n_entities, count(DISTINCT fam) AS n_families FROM obs GROUP BY ALL)"
@@ -171,9 +181,14 @@ ORACLE_SQL = {
       syn AS (SELECT dest, unnest(CASE WHEN dest <> canonical_id AND canonical_id <> 'red-gear' THEN list_append(scientific_synonyms, accepted_name) ELSE scientific_synonyms END) AS s FROM moved), keep AS (SELECT canonical_id AS dest, accepted_name FROM moved WHERE dest = canonical_id)
       SELECT m.dest AS canonical_id, k.accepted_name, count(*) - 1 AS n_absorbed, (SELECT array_to_string(list_sort(list_distinct(list(s))), ',') FROM syn WHERE syn.dest = m.dest) AS synonyms, len(list_distinct(flatten(list(common_names)))) AS n_commons FROM moved m JOIN keep k ON m.dest = k.dest GROUP BY m.dest, k.accepted_name""",
     "converged_dedup": f"WITH {q.IDENTITIES}, i AS (SELECT *, split_part(accepted_name, ' ', 1) AS an FROM ident) SELECT CASE WHEN an = 'Gear' THEN 'red-gear' ELSE min(canonical_id) END AS canonical_id, an AS accepted_name, count(*) - 1 AS n_absorbed, len(list_distinct(flatten(list(common_names)))) AS n_commons FROM i GROUP BY an",
-    "backbone_upsert": f"""WITH {q.IDENTITIES}, {q.TITLES}, d AS (SELECT CASE WHEN p_size > 5 THEN upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] ELSE title END AS an, p_type FROM titled WHERE regexp_full_match(title, '[A-Z][a-z]+ [a-z]+')),
-      g AS (SELECT lower(an) AS k, min(an) AS an, list_distinct(list(p_type)) AS new FROM d GROUP BY 1)
-      SELECT coalesce(canonical_id, trim(regexp_replace(lower(an), '[^a-z0-9]+', '-', 'g'), '-')) AS canonical_id, canonical_id IS NULL AS inserted, len(list_filter(coalesce(new, []), lambda x: NOT list_contains(coalesce(common_names, []), x))) AS n_added, len(list_distinct(list_concat(coalesce(common_names, []), coalesce(new, [])))) AS n_commons FROM ident FULL JOIN g ON lower(accepted_name) = k""",
+    "merge_report": f"""WITH {q.IDENTITIES}, e AS (SELECT canonical_id AS a, replace(canonical_id, 'blue', CASE WHEN length(canonical_id) % 2 = 0 THEN 'no' ELSE 'hot' END) AS k FROM ident WHERE canonical_id LIKE 'blue-%'), x AS (SELECT a, k FROM e UNION ALL SELECT 'x' || a, k FROM e)
+      SELECT a AS absorb_id, k AS keep_id, i.accepted_name AS absorbed_name, j.accepted_name AS kept_name, CASE WHEN i.canonical_id IS NOT NULL AND j.canonical_id IS NOT NULL THEN 'merged' ELSE 'skipped' END AS status FROM x LEFT JOIN ident i ON a = i.canonical_id LEFT JOIN ident j ON k = j.canonical_id""",
+    "backbone_upsert": f"""WITH {q.IDENTITIES}, {q.TITLES}, up AS (SELECT *, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] AS u1, upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS u2 FROM titled WHERE regexp_full_match(title, '[A-Z][a-z]+ [a-z]+')),
+      d AS (SELECT CASE WHEN p_size > 25 THEN u1 || '-' || u2 WHEN p_size > 5 THEN u1 || ' ' || u2 ELSE title END AS an, title, p_type FROM up), g AS (SELECT lower(an) AS k, min(an) AS an, list_distinct(list(p_type)) AS c, list_distinct(list(title)) AS p FROM d GROUP BY 1),
+      j AS (SELECT canonical_id, coalesce(accepted_name, an) AS an, canonical_id IS NULL AS inserted, coalesce(c, []) AS c, list_filter(coalesce(p, []), lambda x: NOT list_contains(coalesce(original_parsed_names, []), x)) AS p, coalesce(scientific_synonyms, []) AS s, coalesce(common_names, []) AS cn FROM ident FULL JOIN g ON lower(accepted_name) = k),
+      b AS (SELECT *, trim(regexp_replace(lower(an), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM j), n AS (SELECT *, row_number() OVER (PARTITION BY inserted, base ORDER BY an) + (base IN (SELECT canonical_id FROM ident))::INT AS r FROM b)
+      SELECT CASE WHEN NOT inserted THEN canonical_id WHEN r = 1 THEN base ELSE base || '-' || r END AS canonical_id, an AS accepted_name, inserted, len(list_filter(c, lambda x: NOT list_contains(cn, x))) AS n_added, len(p) AS n_parsed,
+      array_to_string(list_sort(list_distinct(list_concat(s, list_filter(p, lambda x: x <> an AND NOT list_contains([{', '.join(f"'{w}'" for w in text.DEFAULT.vernacular)}], split_part(x, ' ', 2)))))), '|') AS synonyms, len(list_distinct(list_concat(cn, c))) AS n_commons FROM n""",
     "slug_ids": "WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_size > 40 THEN ' subsp. f. × forma' WHEN p_size > 25 THEN '!' ELSE '' END AS group_key FROM part), s AS (SELECT group_key, trim(regexp_replace(regexp_replace(replace(lower(group_key), '×', 'x-'), '\\b(var|subsp|ssp|f|cv|forma)\\.?\\b', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY group_key) AS r FROM s) SELECT group_key, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS canonical_id FROM k",
     "delta_examples": f"WITH {q.TITLES} SELECT p_brand, array_to_string(list(title ORDER BY p_partkey), '|') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM titled) WHERE k <= 3 GROUP BY p_brand",
     "delta_type_promotion": f"WITH {q.TITLES}, r AS (SELECT p_brand AS key, p_partkey AS ord, latin IS NOT NULL AND p_size > 45 AS l, CASE WHEN latin IS NOT NULL AND p_size > 45 THEN latin ELSE title END AS text FROM titled) SELECT key, CASE WHEN bool_or(l) THEN 'latin' ELSE 'common_only' END AS kind, first(text ORDER BY NOT l, ord) AS text, count(*) AS n FROM r GROUP BY key",

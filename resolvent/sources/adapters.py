@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import scan
+
 
 def cell(i: int | Column) -> Column:
     return F.trim(F.coalesce(F.get("cells", F.lit(i) if isinstance(i, int) else i), F.lit("")))
@@ -26,13 +28,15 @@ def keyword_columns(cells: Column, keywords: dict[str, str]) -> Column:
     return F.struct(*[where(w).cast("int").alias(k) for k, w in keywords.items()])
 
 
-def under_headers(sheet: DataFrame, marker: str, keywords: dict[str, str]) -> DataFrame:
-    """Every row that contains ``marker`` is a header and maps the columns of the rows behind it, within its file."""
+def under_headers(sheet: DataFrame, marker: str, keywords: dict[str, str], partitions: int | None = None) -> DataFrame:
+    """Every row that contains ``marker`` is a header and maps the columns of the rows behind it, within its file.
+
+    The last header is carried forward over a file's rows wherever they lie, so a large sheet is many tasks."""
     is_header = F.exists("cells", lambda c: F.contains(F.lower(c), F.lit(marker.lower())))
-    tagged = sheet.withColumn("_h", F.when(is_header, keyword_columns(F.col("cells"), keywords))).withColumn("_is", is_header)
-    w = Window.partitionBy("file").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = tagged.withColumn("_m", F.last("_h", ignorenulls=True).over(w)).where(~F.col("_is") & F.col("_m").isNotNull())
-    return rows.select("file", "row_no", *[cell(F.col(f"_m.{k}")).alias(k) for k in keywords]).where(" or ".join(f"{k} <> ''" for k in keywords))
+    where = keyword_columns(F.col("cells"), keywords)
+    tagged = sheet.select("file", "row_no", "cells", is_header.alias("_is"), F.when(is_header, F.array(*[where[k] for k in keywords])).alias("_h"))
+    rows = scan.carried(scan.ordered(tagged, ["file"], ["row_no"], partitions), ["file"], "_h", "_m").where(~F.col("_is") & F.col("_m").isNotNull())
+    return rows.select("file", "row_no", *[cell(F.get("_m", F.lit(i))).alias(k) for i, k in enumerate(keywords)]).where(" or ".join(f"{k} <> ''" for k in keywords))
 
 
 def side_by_side(sheet: DataFrame, blocks: list[dict[str, int]], stop: str, start: int = 0) -> DataFrame:

@@ -134,8 +134,16 @@ def test_closed_checks_raise(spark):
 
 
 def test_leaks_are_found_at_any_depth(spark):
-    df = spark.createDataFrame([(1, [("a", "mail@x.org")], {"k": "v"})], "id int, rows array<struct<margin:string,note:string>>, m map<string,string>")
-    assert audit.leaks(df, {"margin"}, "@") == ["rows[].margin", "rows[].note"]
+    kind = "m map<string, array<struct<key: string, value: struct<supplier_id: string, note: string>>>>, a array<struct<inner: struct<Supplier_ID: string, ok: string>>>, deep array<array<map<string, array<string>>>>, p map<string, string>"
+    rows = [({"k": [("x", ("s", "an azure one"))]}, [(("s", "fine"),)], [[{"z": ["no", "AZURE"]}]], {"margin": "1"}), ({}, [None], None, {"azure": "2"}), (None, None, None, None)]
+    df = spark.createDataFrame(rows, kind)
+    got = {(r.path, r.what): r.n for r in audit.leaks(df, {"supplier_id", "margin"}, "(?i)azure").collect()}
+    assert got == {("m.*[].value.supplier_id", "key"): 1, ("m.*[].value.note", "value"): 1, ("a[].inner.Supplier_ID", "key"): 1, ("deep[][].*[]", "value"): 1, ("p.margin", "key"): 1, ("p.*key", "value"): 1}
+    assert audit.leaks(df.limit(0), {"supplier_id"}, "azure").count() == 0
+    assert audit.leaks(df.select(F.lit(1).alias("Margin")), {"margin"}, "x").collect()[0].n == 3
+    audit.check_no_leaks(df.select("p"), {"other"}, "never")
+    with pytest.raises(ValueError, match="p.margin"):
+        audit.check_no_leaks(df, {"margin"}, "never")
 
 
 def test_rejected_events_still_count(spark):
