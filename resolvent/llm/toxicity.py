@@ -33,8 +33,9 @@ ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ӏ": "l", "ɡ": "g",
     "α": "a", "ε": "e", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "κ": "k", "ν": "v", "ι": "i",
 }
-#: Least letters spelled one by one, decoded forms kept per worker.
-SPELLED, KEPT = 3, 60_000
+#: Letters spelled one by one that are read as one word alone, and that may be part of one; bytes of a token that may be the
+#: rest of it; decoded forms kept per worker.
+SPELLED, FEW, REST, KEPT = 3, 2, 3, 60_000
 #: Channel costs of a separator inside a token: that it goes, that it ends a word; the first pair where all its letters stand alone.
 ALONE, INSIDE = (0.1, 4.0), (4.5, 0.5)
 #: Training rows of each class at most; entries of the model, the strongest; deviations of the confidence bound.
@@ -49,7 +50,7 @@ _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[*range(0x09, 0x0E), 0x20]] = 0
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 _CLASS[[ord(c) for c in LOOKS]] = 2
-# Bytes that a token's core may begin and end with, beside letters: digits and the signs that end no sentence.
+# Bytes that a token's core begins and ends with, beside letters: digits and the signs that end no sentence.
 _SOLID = np.zeros(256, bool)
 _SOLID[0x30:0x3A] = _SOLID[[ord("$"), ord("@")]] = True
 # Lead bytes of Greek, Cyrillic and full-width letters.
@@ -122,7 +123,8 @@ def restore(token: str, cost: np.ndarray) -> str:
 
     Letters stay; a letter or sign like the one before may be a repetition of it; a sign is one of the letters that it
     resembles, or nothing; a separator is nothing, or ends a word (a space in the result).  Of paths of equal cost the
-    result that sorts first stays.  Paths are kept as linked tails, so a long token costs no more for each character.
+    result that sorts first stays; in a token with several masks, which is searched over all pairs of symbols at once, one of
+    them stays, always the same.  Paths are kept as linked tails, so a long token costs no more for each character.
     """
     alone = not any(a.isalpha() and b.isalpha() for a, b in zip(token, token[1:]))
     separator = ALONE if alone else INSIDE
@@ -214,42 +216,50 @@ class Restorer:
         return self.kept[token]
 
     def words(self, buf: np.ndarray, off: np.ndarray):
-        """(padded buffer, starts, ends, document) of all words: letter runs of plain tokens, and restored words."""
+        """(padded buffer, starts, ends, document) of all words.
+
+        Letter runs of plain tokens are words.  A token's core, from its first to its last letter, digit, $ or @, is replaced by
+        what it restores to if it has more than one path.  A token with further signs around its core (``**iot``, ``idio*``) may
+        be a word with its ends masked or one in punctuation, so it gives the word restored from all of it beside the core's.
+        Letters spelled one by one are a word; of two of them, or with a short token before or behind, the joined forms are
+        words beside the tokens.
+        """
         kind, n = _CLASS[buf], len(buf)
         low = LOWER[buf]
         at = np.flatnonzero((buf == 0xC3)[:-1]) if n else np.zeros(0, np.int64)
         up = at[(buf[at + 1] >= 0x80) & (buf[at + 1] < 0x9F) & (buf[at + 1] != 0x97)] if len(at) else at
         low[up + 1] += 0x20
         starts, ends, _, first = runs((kind > 0).astype(np.uint8), off)
+        token_doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
         letter = kind == 1
-        # The core of a token: from its first to its last letter, digit, $ or @, with one sign before it.
-        solid = letter | _SOLID[buf]
-        place = np.arange(n)
-        last = np.maximum.accumulate(np.where(solid, place, -1)) if n else place
-        head = np.minimum.accumulate(np.where(solid, place, n)[::-1])[::-1] if n else place
-        begin, end = (head[starts], last[ends - 1] + 1) if len(starts) else (starts, ends)
-        some = begin < end
-        some &= begin < ends
-        begin, end = np.where(some, begin, starts), np.where(some, end, starts)
-        sign = some & (begin == starts + 1) & (kind[starts] == 2) if len(starts) else some
-        begin = begin - sign
+        begin, end, some = _between(letter | _SOLID[buf], starts, ends)
         count = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-        inside = lambda c: c[end] - c[begin]
         double = np.zeros(n, bool)
         if n > 1:
             double[1:] = (low[1:] == low[:-1]) & letter[1:]
         # More than one path: signs or separators, letters twice in a row, letters of other scripts.
-        odd = some & (inside(count(~letter | double | (_FOREIGN[buf] & letter))) > 0)
+        paths = count(~letter | double | (_FOREIGN[buf] & letter))
+        odd = some & (paths[end] - paths[begin] > 0)
+        # Signs that look like letters around a core.
+        wide, behind, _ = _between(kind < 3, starts, ends) if n else (starts, ends, some)
+        masked = np.flatnonzero(some & ((wide < begin) | (behind > end)))
         # Letters spelled one by one: several tokens of one character in a row.
         lone = some & (ends - starts == 1)
         spelled = np.zeros(len(starts), bool)
-        sequences: list[tuple[int, int]] = []
+        data = low.tobytes()
+        written = lambda k: data[starts[k] : ends[k]].decode("utf-8", "replace")
+        joined: list[tuple[int, str]] = []
         if lone.any():
             s, e, _, _ = runs(lone.astype(np.uint8), first)
             for i, j in zip(s.tolist(), e.tolist()):
                 if j - i >= SPELLED:
-                    sequences.append((i, j))
+                    joined.append((i, " ".join(map(written, range(i, j)))))
                     spelled[i:j] = True
+                if j - i >= FEW:
+                    own = "".join(map(written, range(i, j)))
+                    left = written(i - 1) if i > first[token_doc[i]] and ends[i - 1] - starts[i - 1] <= REST else ""
+                    right = written(j) if j < first[token_doc[i] + 1] and ends[j] - starts[j] <= REST else ""
+                    joined += [(i, x) for x in sorted({own, left + own, own + right, left + own + right} - ({own} if j - i >= SPELLED else set()))]
         odd &= ~spelled
         hidden = np.flatnonzero(odd | spelled)
         if len(hidden):
@@ -257,17 +267,16 @@ class Restorer:
             kind[spread(starts[hidden], ends[hidden] - starts[hidden])] = 0
         ws, we, _, wfirst = runs((kind == 1).astype(np.uint8), off)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(wfirst))
-        if not len(hidden):
-            return padded(low), ws, we, doc
-        # Each distinct token once.
-        token_doc = np.searchsorted(first, np.arange(len(starts)), side="right") - 1
         at = np.flatnonzero(odd)
-        _, one, which = np.unique(hash_spans(padded(low), begin[at], end[at]), return_index=True, return_inverse=True)
-        data = low.tobytes()
-        forms = [self._restored(data[i:j].decode("utf-8", "replace")) for i, j in zip(begin[at[one]].tolist(), end[at[one]].tolist())]
-        forms += [self._restored(" ".join(data[starts[k] : ends[k]].decode("utf-8", "replace") for k in range(i, j))) for i, j in sequences]
-        which = np.concatenate([which, len(one) + np.arange(len(sequences))])
-        of = np.concatenate([token_doc[at], token_doc[np.array([i for i, _ in sequences], np.int64)]])
+        b, e = np.concatenate([begin[at], wide[masked]]), np.concatenate([end[at], behind[masked]])
+        if not len(b) and not joined:
+            return padded(low), ws, we, doc
+        # Each distinct form once.
+        _, one, which = np.unique(hash_spans(padded(low), b, e), return_index=True, return_inverse=True)
+        forms = [self._restored(data[i:j].decode("utf-8", "replace")) for i, j in zip(b[one].tolist(), e[one].tolist())]
+        forms += [self._restored(x) for _, x in joined]
+        which = np.concatenate([which, len(one) + np.arange(len(joined))])
+        of = np.concatenate([token_doc[at], token_doc[masked], token_doc[np.array([i for i, _ in joined], np.int64)]])
         lens = np.array([len(w) for f in forms for w in f], np.int64)
         n_words = np.array([len(f) for f in forms], np.int64)
         extra = np.frombuffer(b"".join(w for f in forms for w in f), np.uint8)
@@ -278,6 +287,19 @@ class Restorer:
         return padded(np.concatenate([low, extra])), np.concatenate([ws, (e - lens)[pick]])[order], np.concatenate([we, e[pick]])[order], owner[order]
 
 
+def _between(good: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the first to behind the last good byte of each token, and whether it has one; empty where it has none."""
+    n = len(good)
+    if not len(starts):
+        return starts, ends, np.zeros(0, bool)
+    place = np.arange(n)
+    last = np.maximum.accumulate(np.where(good, place, -1))
+    head = np.minimum.accumulate(np.where(good, place, n)[::-1])[::-1]
+    begin, end = head[starts], last[ends - 1] + 1
+    some = (begin < end) & (begin < ends)
+    return np.where(some, begin, starts), np.where(some, end, starts), some
+
+
 _RESTORERS: dict[str, Restorer] = {}
 
 
@@ -368,8 +390,8 @@ def evidence(buf: np.ndarray, off: np.ndarray, restorer: Restorer, table: Table,
 _SCORE = "__toxicity_score"
 
 
-def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, column: str = "toxic", most: int = MOST_LABELS) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)`` with their score in a column named ``__toxicity_score``.
+def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, column: str = "toxic", most: int = MOST_LABELS, name: str = _SCORE) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` with their score in the column ``name``, which ``docs`` does not have.
 
     Only labels whose fold is not ``held`` are learnt, at most ``most`` of each class.
     """
@@ -378,7 +400,7 @@ def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen, weight = training_labels(labels, column, modulus, held, most)
     if len(weight) < 2:
-        return docs.withColumn(_SCORE, F.lit(float(next(iter(weight))) if weight else 0.0))
+        return docs.withColumn(name, F.lit(float(next(iter(weight))) if weight else 0.0))
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, costs(trigram_counts(rows))))
     picked = durable(chosen)  # at most 2 x most rows of two numbers
     apart = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) == 0  # a fifth fits the logistic part
@@ -411,7 +433,7 @@ def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
         fit_rows = train
     seen = fit_rows.select("text", "y").mapInArrow(tidy(measure), "y int, x array<double>").groupBy("y", "x").count().collect()  # at most 2 x most rows
     if not seen:  # no labelled document is in the table
-        return docs.withColumn(_SCORE, F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     x = np.array([r["x"] for r in seen])
     scale = np.maximum(np.abs(x).max(0), 1e-9)
     beta = logistic(x / scale, np.array([float(r["y"]) for r in seen]), np.array([r["count"] * weight[r["y"]] for r in seen]), ridge=0.1)
@@ -420,10 +442,10 @@ def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
         read = reader()
         for b in batches:
             s = 1 / (1 + np.exp(-np.clip((read(b.column(b.num_columns - 1)) / scale) @ beta[:-1] + beta[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.round(s, 6))], [*b.schema.names[:-1], _SCORE])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.round(s, 6))], [*b.schema.names[:-1], name])
 
-    schema = docs.withColumn(_SCORE, F.lit(0.0)).schema
-    return docs.withColumn(_SCORE, F.col("text").cast("string")).mapInArrow(tidy(score), schema)
+    schema = docs.withColumn(name, F.lit(0.0)).schema
+    return docs.withColumn(name, F.col("text").cast("string")).mapInArrow(tidy(score), schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, column: str = "toxic", threshold: float = 0.3, most: int = MOST_LABELS) -> DataFrame:
@@ -444,4 +466,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
     Null and empty texts have no words and stay; repeated rows share their score; an empty table gives no rows, and without
     labels of both classes the share of label 1 is every score."""
-    return annotated(docs, labels).where(F.col(_SCORE) < threshold).drop(_SCORE)
+    name = _SCORE
+    while name in docs.columns:
+        name = f"_{name}"
+    return annotated(docs, labels, name=name).where(F.col(name) < threshold).drop(name)

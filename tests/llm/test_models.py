@@ -89,15 +89,32 @@ def test_no_length_hides_a_word(spark, token, wanted):
 
 def test_words_of_plain_text_stay(spark):
     cost = toxicity.costs(np.ones((28, 28, 28), np.int64))
-    text = "Plain Wörds, and it's l'été!! *** x\nNew"
+    text = "Plain Wörds, and it's l'été: *** x\nNew"
     raw = np.frombuffer(text.encode(), np.uint8)
     pad, s, e, doc = toxicity.Restorer(cost).words(raw, np.array([0, 6, len(raw)]))
     assert sorted(bytes(pad[a:b]).decode() for a, b in zip(s, e)) == sorted(["plain", "wörds", "and", "it", "s", "l", "été", "x", "new"])
     assert doc.tolist() == [0, 1, 1, 1, 1, 1, 1, 1, 1]
 
 
+@pytest.mark.parametrize("token, core, more", [("**iot", "iot", "**iot"), ("!!diot", "diot", "!!diot"), ("++upid", "upid", "++upid"), ("idio*", "idio", "idio*"), ("a**", "a", "a**"), ("idio|", "idio", "idio|"), ("(dull!)", "dull", "(dull!")])
+def test_signs_around_a_core_reach_the_lattice(spark, token, core, more):
+    cost = toxicity.costs(toxicity.trigram_counts(table(spark, "documents")))
+    raw = np.frombuffer(f"Plain {token} text".encode(), np.uint8)
+    pad, s, e, _ = toxicity.Restorer(cost).words(raw, np.array([0, len(raw)]))
+    words = sorted(bytes(pad[a:b]).decode() for a, b in zip(s, e))
+    assert words == sorted(["plain", "text", toxicity.restore(core, cost) if core == "dull" else core, *(all_paths(more, cost)[1].split() if more.count("*") < 2 else toxicity.restore(more, cost).split())])
+
+
+def test_a_word_spelled_in_two_letters_and_a_rest_is_joined(spark):
+    cost = toxicity.costs(toxicity.trigram_counts(table(spark, "documents")))
+    for text, wanted in (("go f u ck now", {"fu", "fuck", "gofu", "gofuck"}), ("plain f u", {"fu"}), ("a\nplain b c longer", {"bc"})):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        pad, s, e, _ = toxicity.Restorer(cost).words(raw, np.array([0, len(raw)]))
+        assert {bytes(pad[a:b]).decode() for a, b in zip(s, e)} == wanted | set(text.split())
+
+
 def test_accepted_keeps_columns_and_clean_rows(spark):
-    docs = table(spark, "documents")
+    docs = table(spark, "documents").withColumn("__toxicity_score", F.lit("own"))
     kept = toxicity.accepted(docs, table(spark, "labels"))
     assert kept.columns == docs.columns
     clean = kept.join(table(spark, "labels").where("toxic = 0"), "doc_id", "left_semi").count()
