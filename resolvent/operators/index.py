@@ -6,7 +6,11 @@ trade_synonyms, common_names``; the last four are arrays of strings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT, Vocabulary, norm, part_strip
@@ -59,32 +63,82 @@ def serving_common(identities: DataFrame, pins: DataFrame, v: Vocabulary = DEFAU
     return guarded_common_index(identities, pins, v).where("cids is not null").select("key", "cids")
 
 
-class Indices:
-    """The exact and common index of one identity table, built and persisted once per session.
+#: Columns of an identity table that the indices are made of.
+SOURCE = ("rec_ord", "canonical_id", "accepted_name", "original_parsed_names", "scientific_synonyms", "trade_synonyms", "common_names")
+#: Raised when the indices of the same records come out otherwise, so that older artifacts are not read.
+FORMAT = 1
 
-    A build that fails leaves nothing behind, so the next call builds anew; ``release`` frees what is kept.
-    """
 
-    _kept: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+def version_of(identities: DataFrame, pins: DataFrame, v: Vocabulary = DEFAULT) -> str:
+    """A digest of the records, pins and vocabulary: sums of row hashes, so one pass and no order."""
+    sums = lambda df, cols: df.agg(*[F.sum(F.xxhash64(F.lit(seed), *cols).cast("decimal(38,0)")).alias(f"s{seed}") for seed in (1, 2)], F.count(F.lit(1)).alias("n")).first()
+    told = (FORMAT, tuple(sums(identities, SOURCE)), tuple(sums(pins, ("key", "pin"))), repr(v))
+    return hashlib.md5(repr(told).encode()).hexdigest()
 
-    @classmethod
-    def of(cls, identities: DataFrame, pins: DataFrame, version: str, v: Vocabulary = DEFAULT) -> tuple[DataFrame, DataFrame]:
-        key = (id(identities.sparkSession), version, repr(v))
-        if key not in cls._kept:
-            built = exact_index(identities).persist(), serving_common(identities, pins, v).persist()
-            try:
-                for x in built:
-                    x.count()
-            except Exception:
-                for x in built:
-                    x.unpersist()
+
+class IndexStore:
+    """Versioned artifacts of the exact and common index under a shared folder, made once for each state of the records.
+
+    A version is a digest of what the indices are made of, so a wrong or stale index cannot be opened.  Its tables are bucketed and
+    sorted by key: a resolver shuffles its names by key to the same buckets and reads the index where it lies.  A build writes to
+    a folder of its own and publishes it last, by creating a manifest that must not exist; a build that fails publishes nothing,
+    so the next one starts anew, and of two at once the first to publish is read by both.
+    """
+
+    #: Kinds of artifact, with their columns.
+    TABLES = {"exact": "key STRING, rank INT, method STRING, canonical_id STRING", "common": "key STRING, cids ARRAY<STRING>"}
+    _known: dict[tuple[str, str], str] = {}
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def published(self, version: str) -> tuple[str, int] | None:
+        """Folder and number of buckets of a version, if there is one."""
+        at, fs = self._fs(f"{self.root}/{version}/manifest.json")
+        if not fs.exists(at):
+            return None
+        told = json.loads(self.spark.read.text(at.toString(), wholetext=True).first()[0])
+        return told["folder"], told["buckets"]
+
+    def _publish(self, version: str, folder: str, buckets: int) -> None:
+        at, fs = self._fs(f"{self.root}/{version}/manifest.json")
+        try:
+            out = fs.create(at, False)
+        except Exception:
+            if not fs.exists(at):
                 raise
-            cls._kept[key] = built
-        return cls._kept[key]
-
-    @classmethod
-    def release(cls) -> None:
-        for built in cls._kept.values():
-            for x in built:
-                x.unpersist()
-        cls._kept.clear()
+            return  # another build was first
+        out.write(bytearray(json.dumps({"folder": folder, "buckets": buckets}).encode()))
+        out.close()
+
+    def build(self, identities: DataFrame, pins: DataFrame, version: str, v: Vocabulary = DEFAULT) -> None:
+        """Write and publish a version."""
+        folder = f"{self.root}/{version}/{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        for kind, df in (("exact", exact_index(identities)), ("common", serving_common(identities, pins, v))):
+            name = f"building_{uuid.uuid4().hex}"
+            try:
+                df.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").format("parquet").option("path", f"{folder}/{kind}").saveAsTable(name)
+            finally:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # the files stay
+        self._publish(version, folder, buckets)
+
+    def open(self, identities: DataFrame, pins: DataFrame, v: Vocabulary = DEFAULT) -> tuple[DataFrame, DataFrame]:
+        """The exact and common index of these records, built if this version was never published."""
+        version = version_of(identities, pins, v)
+        if self.published(version) is None:
+            self.build(identities, pins, version, v)
+        folder, buckets = self.published(version)
+        return self._table("exact", version, folder, buckets), self._table("common", version, folder, buckets)
+
+    def _table(self, kind: str, version: str, folder: str, buckets: int) -> DataFrame:
+        name, place = f"resolvent_{kind}_{version}", (self.spark.sparkContext.applicationId, f"{folder}/{kind}")
+        if self._known.get(place) != name or not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.spark.sql(f"CREATE TABLE {name} ({self.TABLES[kind]}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{place[1]}'")
+            self._known[place] = name
+        return self.spark.table(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, index
+from ..operators import audit
 from . import catalogue as c
 from . import sql as q
 
@@ -29,13 +29,8 @@ def audit_normalisation(spark: SparkSession, sf: str) -> DataFrame:
     return audit.normalisation_audit(i.withColumn("common_names", F.coalesce(odd("old-anvil", "a b"), F.col("common_names"))))
 
 
-def _indices(spark: SparkSession, sf: str):
-    i = c.identities(spark, sf)
-    return i, index.exact_index(i), index.serving_common(i, c.pins(spark))
-
-
 def audit_resolver_self(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.resolver_self_test(*_indices(spark, sf))
+    return audit.resolver_self_test(c.identities(spark, sf), *c.indices(spark, sf))
 
 
 def _versions(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +60,7 @@ def coverage_merged_species(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_unresolved(spark: SparkSession, sf: str) -> DataFrame:
-    i, exact, common = _indices(spark, sf)
+    i, (exact, common) = c.identities(spark, sf), c.indices(spark, sf)
     commons = c.titles(spark, sf).select(F.concat(F.lit("Fancy "), "title").alias("name"), F.col("p_name").alias("source"))
     excluded = c.names(spark, sf).where("adj in ('old', 'new')").select(F.upper("p_name").alias("parsed_name"))
     return audit.unresolved_commons(commons, excluded, exact, common)
@@ -84,7 +79,7 @@ def coverage_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus_regression(spark: SparkSession, sf: str) -> DataFrame:
-    i, exact, common = _indices(spark, sf)
+    i, (exact, common) = c.identities(spark, sf), c.indices(spark, sf)
     noun = F.split("canonical_id", "-")[1]
     status = F.element_at(F.create_map(*[F.lit(x) for kv in CORPUS_STATUS.items() for x in kv]), noun)
     identity = F.when(noun == "rod", "blue-rod").when(noun == "ring", F.upper("accepted_name")).when(noun == "bolt", F.col("canonical_id"))

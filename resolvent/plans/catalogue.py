@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..operators import index
+from ..session import for_application, table
 
 #: Small dimension tables of the queries, as rows.
 TYPE_MAP = [("STANDARD", "MP", ""), ("MEDIUM", "RE", ""), ("LARGE", "WD", "SE"), ("SMALL", "OE", "")]
@@ -34,6 +35,11 @@ def identities(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def indices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The exact and common index of the identities, from the application's artifacts."""
+    return index.IndexStore(spark, for_application(spark, "indices")).open(identities(spark, sf), pins(spark))
+
+
 def _case(default, cases: dict[str, object]):
     """A value per record, by its id."""
     out = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import backbone, decide, graph, index, ingest, scan
+from ..operators import backbone, decide, graph, ingest, scan
 from ..session import table
 from . import catalogue as c
 from . import sql as q
@@ -15,11 +15,6 @@ from .graph_queries import _LONG
 from .resolution import _LONGEST, _grouped
 
 
-def _indices(spark: SparkSession, sf: str):
-    i = c.identities(spark, sf)
-    return index.exact_index(i), index.serving_common(i, c.pins(spark))
-
-
 def supplier_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Parts as raw supplier rows: the brand is the supplier, names come whole, glued, in joined case or not at all."""
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", F.split("p_name", " ")[0].alias("adj"), F.split("p_name", " ")[1].alias("noun"))
@@ -36,7 +31,7 @@ def supplier_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def _ingest(spark: SparkSession, sf: str) -> ingest.Ingest:
     genera = c.names(spark, sf).select(F.initcap("noun").alias("genus")).distinct()
-    return ingest.ingest(supplier_rows(spark, sf), *_indices(spark, sf), genera)
+    return ingest.ingest(supplier_rows(spark, sf), *c.indices(spark, sf), genera)
 
 
 def ingest_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,12 +62,12 @@ def _titles_beside(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delta_extract(spark: SparkSession, sf: str) -> DataFrame:
-    d = ingest.extract_delta(_titles_beside(spark, sf), *_indices(spark, sf)).candidates
+    d = ingest.extract_delta(_titles_beside(spark, sf), *c.indices(spark, sf)).candidates
     return d.select("key", "candidate", "type", "n_listings", F.size("suppliers").cast("long").alias("n_suppliers"), F.array_join("examples", "|").alias("examples"))
 
 
 def delta_recovered(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.extract_delta(_titles_beside(spark, sf), *_indices(spark, sf)).recovered.select("ord", "canonical_id", "match_method", "tiebreak")
+    return ingest.extract_delta(_titles_beside(spark, sf), *c.indices(spark, sf)).recovered.select("ord", "canonical_id", "match_method", "tiebreak")
 
 
 def worklist_keep(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,33 +45,28 @@ def index_derived_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return index.guarded_common_index(c.identities(spark, sf), c.pins(spark)).select("key", "origin", _joined("cids"), _joined("all_cids"))
 
 
-def _indices(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    i = c.identities(spark, sf)
-    return index.exact_index(i), index.serving_common(i, c.pins(spark))
-
-
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return c.titles(spark, sf).select("latin", F.col("title").alias("label"))
 
 
 def resolve_serving(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.resolve_serving(_labels(spark, sf), *_indices(spark, sf)).select("latin", "label", "canonical_id", "match_method", _joined("candidates"), resolve.status_of(F.col("canonical_id"), F.col("match_method")).alias("status"))
+    return resolve.resolve_serving(_labels(spark, sf), *c.indices(spark, sf)).select("latin", "label", "canonical_id", "match_method", _joined("candidates"), resolve.status_of(F.col("canonical_id"), F.col("match_method")).alias("status"))
 
 
 def resolve_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.resolve_catalogue(c.titles(spark, sf).select("title"), *_indices(spark, sf)).select("title", "canonical_id", "match_method", _joined("candidates"))
+    return resolve.resolve_catalogue(c.titles(spark, sf).select("title"), *c.indices(spark, sf)).select("title", "canonical_id", "match_method", _joined("candidates"))
 
 
 def resolve_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.resolve_ingest(_labels(spark, sf), *_indices(spark, sf)).select("latin", "label", "canonical_id", "match_method", _joined("candidates"))
+    return resolve.resolve_ingest(_labels(spark, sf), *c.indices(spark, sf)).select("latin", "label", "canonical_id", "match_method", _joined("candidates"))
 
 
 def resolve_longest(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.resolve_longest(c.titles(spark, sf).select("title"), *_indices(spark, sf)).select("title", "canonical_id", "match_method", _joined("candidates"), "shortest")
+    return resolve.resolve_longest(c.titles(spark, sf).select("title"), *c.indices(spark, sf)).select("title", "canonical_id", "match_method", _joined("candidates"), "shortest")
 
 
 def resolver_disagreement(spark: SparkSession, sf: str) -> DataFrame:
-    exact, common = _indices(spark, sf)
+    exact, common = c.indices(spark, sf)
     a = resolve.resolve_serving(c.titles(spark, sf).select(F.lit(None).cast("string").alias("latin"), F.col("title").alias("label")), exact, common).select(F.col("label").alias("title"), F.col("canonical_id").alias("serving"))
     b = resolve.resolve_catalogue(c.titles(spark, sf).select("title"), exact, common).select("title", F.col("canonical_id").alias("catalogue"))
     d = resolve.resolve_longest(c.titles(spark, sf).select("title"), exact, common).select("title", F.col("canonical_id").alias("longest"))
@@ -81,7 +76,7 @@ def resolver_disagreement(spark: SparkSession, sf: str) -> DataFrame:
 
 def resolve_volume(spark: SparkSession, sf: str) -> DataFrame:
     """Every catalogue row resolved: names are resolved once each and joined back."""
-    got = resolve.resolve_serving(_labels(spark, sf), *_indices(spark, sf)).select(F.col("latin").alias("_latin"), F.col("label").alias("_label"), "canonical_id", "match_method")
+    got = resolve.resolve_serving(_labels(spark, sf), *c.indices(spark, sf)).select(F.col("latin").alias("_latin"), F.col("label").alias("_label"), "canonical_id", "match_method")
     t = c.titles(spark, sf).select("p_partkey", "latin", "title")
     j = t.join(got, (F.col("title") == F.col("_label")) & F.col("latin").eqNullSafe(F.col("_latin"))).select("p_partkey", "canonical_id", "match_method")
     rows = table(spark, sf, "lineitem").select("l_partkey").join(j, F.col("l_partkey") == F.col("p_partkey"))

@@ -36,6 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def for_application(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that is the same for all of an application's jobs, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm)
+    fs.deleteOnExit(jvm)
+    return path
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -107,17 +107,41 @@ def test_merges_refuse_cycles(spark, identities, edges):
         backbone.merge_records(identities, spark.createDataFrame(edges, "absorb_id string, keep_id string")).collect()
 
 
-def test_patches_report_what_they_miss(spark, identities):
-    p = spark.createDataFrame([("solaria-alta", "Solaria nova", False, ["New"], ["Sunleaf"]), ("gone", None, True, None, None)], "canonical_id string, adopt_name string, mark_ambiguous boolean, add_common array<string>, remove_common array<string>")
-    done, missed = backbone.patch(identities, p)
-    r = {x.canonical_id: x for x in done.collect()}["solaria-alta"]
-    assert r.accepted_name == "Solaria nova" and "Solaria alta" in r.scientific_synonyms and r.common_names == ["Glow Bark", "New", "Tall Root"]
-    assert [x.canonical_id for x in missed.collect()] == ["gone"]
-
-
-def test_ids_refuse_a_taken_suffix(spark):
-    with pytest.raises(ValueError):
-        backbone.with_ids(spark.createDataFrame([("a",), ("A",), ("a-2",)], "group_key string"))
+def test_patches_fold_in_order_and_report(spark, identities):
+    log = [
+        (1, "adopt", "name", "solaria ALTA", "Solaria nova", None, None, "d1"), (2, "note", "name", "Solaria nova", None, None, "seen", None), (3, "remove_common", "id", "solaria-alta", None, ["Sunleaf", "zz"], None, None),
+        (4, "add_common", "name", "Nova absens", None, ["New"], "why", "d2"), (5, "note", "name", "nova absens", None, None, "later", None), (6, "note", "name", "nobody", None, None, "n", None),
+        (7, "keep_synonym", "name", "Solaria nova", "Solaria vera", None, None, None), (8, "remove_common", "id", "solaria-alta", None, ["zz"], None, None), (9, "ambiguous", "id", "solaria-vulga", None, ["A b"], None, None), (10, "adopt", "name", "Nova absens", "Stella × nova var. alba", None, None, None),
+    ]
+    flagged = identities.withColumn("ambiguity_flag", F.col("canonical_id") == "amb")
+    done, report = backbone.patch(flagged, spark.createDataFrame(log, backbone.PATCH_SCHEMA))
+    by = {r.canonical_id: r for r in done.collect()}
+    r = by["solaria-alta"]
+    assert (r.accepted_name, r.species, r.note, r.review_date, r.authority_synonym) == ("Solaria nova", "nova", "seen", "d1", "Solaria vera") and {"Solaria alta", "Solaria vera"} <= set(r.scientific_synonyms) and "Sunleaf" not in r.common_names
+    assert by["amb"].ambiguity_flag and by["solaria-vulga"].ambiguity_flag and by["solaria-vulga"].accepted_name is None and not r.ambiguity_flag  # a flag without a patch stays
+    n = by["nova-absens"]
+    assert (n.accepted_name, n.genus, n.species, n.infra, n.note, n.common_names, n.scientific_synonyms) == ("Stella × nova var. alba", "Stella", "nova", "alba", "later", ["New"], ["Nova absens"])
+    assert len(by) == identities.count() + 1
+    assert [(x.place, x.outcome) for x in report.orderBy("place").collect()] == [(1, "applied"), (2, "applied"), (3, "applied"), (4, "created"), (5, "applied"), (6, "not_found"), (7, "applied"), (8, "skipped"), (9, "applied"), (10, "applied")]
+
+
+def test_ids_pass_over_what_is_taken(spark):
+    ids = lambda names, used: {r.name: r.canonical_id for r in backbone.allot_ids(spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([(x,) for x in used], "canonical_id string")).collect()}
+    assert ids(["a", "A", "a-2"], []) == {"A": "a", "a": "a-3", "a-2": "a-2"}
+    assert ids(["a", "A", "A!", "a?", "b", "B", "z"], ["a-3", "b", "b-2", "b-4", "b-x"]) == {"A": "a", "A!": "a-2", "a": "a-4", "a?": "a-5", "B": "b-3", "b": "b-5", "z": "z"}
+
+
+def test_three_upserts_give_no_id_twice(spark, identities):
+    now, ledger = identities, spark.createDataFrame([("solaria-alta-3",)], "canonical_id string")
+    for k in range(3):
+        d = spark.createDataFrame([("Solaria-alta" + "!" * k, ["Sola pura", "x"], ["c"]), (f"Nova {'abc'[k]}", None, None), ("SOLARIA ALTA", ["Solaria altissima"], ["Star"])], "accepted_name string, parsed_names array<string>, common_names array<string>")
+        now = backbone.upsert(now, d, ledger)
+        now = spark.createDataFrame(now.collect(), now.schema)
+    ids = [r.canonical_id for r in now.collect()]
+    assert len(ids) == len(set(ids)) == identities.count() + 6 and "solaria-alta-3" not in ids
+    by = {r.accepted_name: r for r in now.collect()}
+    assert by["Solaria-alta"].canonical_id == "solaria-alta-2" and by["Solaria-alta!"].canonical_id == "solaria-alta-4" and by["Solaria-alta"].scientific_synonyms == ["Sola pura"]
+    assert "Solaria altissima" in by["Solaria alta"].scientific_synonyms and "Star" in by["Solaria alta"].common_names
 
 
 def test_closed_checks_raise(spark):
@@ -231,14 +255,35 @@ def test_percentiles_are_exact(spark, values):
     assert [r["k"][c] for c in ("p0", "p50", "p95", "p100")] == [order[min(len(order) - 1, int(p * len(order)))] for p in (0.0, 0.5, 0.95, 1.0)]
 
 
-def test_indices_are_built_once_and_again_after_a_failure(spark, identities):
+def test_index_artifacts_are_published_whole(spark, identities, tmp_path):
     pins = spark.createDataFrame([], "key string, pin string")
-    broken = identities.withColumn("common_names", F.array(F.raise_error(F.lit("no")).cast("string")))
+    store = index.IndexStore(spark, str(tmp_path / "indices"))
+    version = index.version_of(identities, pins)
+    failing = identities.withColumn("common_names", F.array(F.raise_error(F.lit("no")).cast("string")))
     with pytest.raises(Exception, match="no"):
-        index.Indices.of(broken, pins, "v1")
-    a, b = index.Indices.of(identities, pins, "v1"), index.Indices.of(broken, pins, "v1")
-    assert a is b and a[0].count() > 0
-    index.Indices.release()
+        store.build(failing, pins, version)
+    assert store.published(version) is None  # the failed build left nothing to read
+    exact, common = store.open(identities, pins)
+    folder, _ = store.published(version)
+    same = lambda a, b: a.exceptAll(b.select(a.columns)).isEmpty() and b.select(a.columns).exceptAll(a).isEmpty()
+    assert same(index.exact_index(identities), exact) and same(index.serving_common(identities, pins), common)
+    store.open(identities.orderBy("rec_ord"), pins)
+    store.build(identities, pins, version)  # the first to publish stays
+    assert store.published(version)[0] == folder
+    changed = identities.withColumn("accepted_name", F.concat("accepted_name", F.lit("x")))
+    assert index.version_of(changed, pins) != version and same(index.exact_index(changed), store.open(changed, pins)[0])
+
+
+def test_resolvers_do_not_shuffle_the_index(spark, identities, tmp_path):
+    exact, common = index.IndexStore(spark, str(tmp_path / "indices")).open(identities, spark.createDataFrame([], "key string, pin string"))
+    inputs = spark.createDataFrame([(None, "Sunleaf"), ("Solaria alta", "x")], "latin string, label string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = resolve.resolve_serving(inputs, exact, common)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning(key") == 1
 
 
 def test_counted_windows_drop_what_is_too_late(spark, tmp_path):
