@@ -145,10 +145,15 @@ def well_formed(c: Column | str) -> Column:
     return F.coalesce(F.trim(_col(c)).rlike("^[A-Z][a-zA-Z-]+(\\s+([×x]|×?[a-z][a-zà-ÿ-]*))*$"), F.lit(False))
 
 
+#: Spaces that are not the ordinary one.
+_ODD_SPACE = "[\\x{A0}\\x{202F}\\x{FEFF}\\x{2000}-\\x{200A}]"
+
+
 def name_features(c: Column | str) -> Column:
-    """Struct of audit flags: ``nbsp, padded, non_ascii, author, hyphen_epithet``."""
+    """Struct of audit flags: ``nbsp`` (any space that is not the ordinary one), ``padded, non_ascii, author, hyphen_epithet`` (a
+    hyphen inside any word but the first)."""
     x = F.coalesce(_col(c), F.lit(""))
     return F.struct(
-        F.contains(x, F.lit(" ")).alias("nbsp"), x.rlike("^\\s|\\s$|\\s{2,}").alias("padded"),
-        x.rlike("[^\\x00-\\x7F×]").alias("non_ascii"), x.rlike("\\([A-Z][a-zà-ÿ'.-]*\\.?\\)|\\b[A-Z][a-z]*\\.(\\s|$)").alias("author"), x.rlike("^[A-Z][a-z]+ [a-z]+-[a-z]+").alias("hyphen_epithet"),
+        x.rlike(_ODD_SPACE).alias("nbsp"), x.rlike("^\\s|\\s$|\\s{2,}").alias("padded"),
+        x.rlike("[^\\x00-\\x7F×]").alias("non_ascii"), x.rlike("\\([A-Z][a-zà-ÿ'.-]*\\.?\\)|\\b[A-Z][a-z]*\\.(\\s|$)").alias("author"), x.rlike("^[^ ]* .*\\S-\\S").alias("hyphen_epithet"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rate
+from ..session import cut_lineage
 
 #: Least share of resolved and of mapped rows that lets a supplier's rows into the graph.
 IDENTITY_FLOOR, TAXONOMY_FLOOR = 0.70, 0.80
@@ -115,12 +116,17 @@ def promote_types(rows: DataFrame, key: str = "key") -> DataFrame:
     return g.select(key, F.when(F.col("latin"), "latin").otherwise("common_only").alias("kind"), "text", "n")
 
 
+#: Most brackets of ``percentile_floor`` that are broadcast, some 100 bytes each.
+SENT = 100_000
+
+
 def percentile_floor(rows: DataFrame, key: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Per key the value at sorted index floor(p n), capped at the last: an exact order statistic.
 
     A sketch of fixed size brackets each share by its error bound; only what lies inside the bracket, counted per value, is
-    ranked, about 6 / ``accuracy`` of a key's rows at most, and what lies below is only counted.  Raises if a bracket
-    misses its rank.
+    ranked, about 6 / ``accuracy`` of a key's rows at most, and what lies below is only counted.  The brackets, a row for each
+    key and share, are counted; up to ``SENT`` of them go to every task, which then filters its own rows, and more are joined.
+    Raises if a bracket misses its rank.
     """
     from pyspark.sql import Window
 
@@ -131,8 +137,8 @@ def percentile_floor(rows: DataFrame, key: str, value: str, shares: dict[str, fl
     marks = kept.groupBy(key).agg(F.count("*").alias("n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), at.alias("_q"))
     edge = lambda p, d: F.col("_min" if p + d <= 0 else "_max") if not 0 < p + d < 1 else F.col("_q")[ends.index(p + d)]
     spans = F.array(*[F.struct(F.lit(name).alias("name"), F.least(F.col("n"), F.floor(F.col("n") * p) + 1).alias("rank"), edge(p, -room).alias("lo"), edge(p, room).alias("hi")) for name, p in shares.items()])
-    wanted = marks.select(key, "n", F.inline(spans))
-    j = kept.join(wanted, key).where("_v <= hi")
+    wanted = cut_lineage(marks.select(key, "n", F.inline(spans)))
+    j = kept.join(F.broadcast(wanted) if wanted.count() <= SENT else wanted, key).where("_v <= hi")
     inside = F.when(F.col("_v") >= F.col("lo"), F.col("_v"))
     counts = j.groupBy(key, "n", "name", "rank", inside.alias("v")).agg(F.count("*").alias("c"))
     upto = Window.partitionBy(key, "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)

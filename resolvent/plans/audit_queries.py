@@ -26,7 +26,7 @@ def audit_normalisation(spark: SparkSession, sf: str) -> DataFrame:
     odd = lambda k, x: F.when(F.col("canonical_id") == k, F.array(F.lit(x)))
     i = c.identities(spark, sf).withColumn("trade_synonyms", F.coalesce(odd("old-bolt", "Café  rod"), odd("old-rod", "Café  rod"), F.col("trade_synonyms")))
     i = i.withColumn("scientific_synonyms", F.coalesce(odd("old-ring", "Rod alba (L.)"), odd("old-gear", "Gear alba Mill."), F.col("scientific_synonyms")))
-    return audit.normalisation_audit(i.withColumn("common_names", F.coalesce(odd("old-anvil", "a b"), F.col("common_names"))))
+    return audit.normalisation_audit(i.withColumn("common_names", F.coalesce(odd("old-anvil", "a\u202fb"), odd("old-plate", "a\u00a0b"), F.col("common_names"))))
 
 
 def audit_resolver_self(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,8 +171,8 @@ ORACLE_SQL = {
     "audit_taxonomy": f"WITH {q.RECORDS} {_counted(_TAXONOMY, audit.TAXONOMY_CHECKS, 3)}",
     "audit_provenance": f"WITH {q.RECORDS}, {_PROV} {_counted(_PROVENANCE, audit.PROVENANCE_CHECKS, 2)}",
     "audit_normalisation": rf"""WITH {q.IDENTITIES}, n AS (SELECT canonical_id, 'accepted_name' AS kind, accepted_name AS name FROM ident UNION ALL SELECT canonical_id, 'original_parsed_names', unnest(original_parsed_names) FROM ident UNION ALL SELECT canonical_id, 'scientific_synonyms', unnest(CASE canonical_id WHEN 'old-ring' THEN ['Rod alba (L.)'] WHEN 'old-gear' THEN ['Gear alba Mill.'] ELSE scientific_synonyms END) FROM ident
-      UNION ALL SELECT canonical_id, 'trade_synonyms', unnest(CASE WHEN canonical_id IN ('old-bolt', 'old-rod') THEN ['Café  rod'] ELSE trade_synonyms END) FROM ident UNION ALL SELECT canonical_id, 'common_names', unnest(CASE canonical_id WHEN 'old-anvil' THEN ['a' || chr(160) || 'b'] ELSE common_names END) FROM ident), s AS (SELECT kind, {q.norm('name')} AS key, count(DISTINCT canonical_id) AS c FROM n GROUP BY ALL HAVING count(DISTINCT canonical_id) > 1)
-      SELECT kind, count(*) AS n_names, count(*) FILTER (WHERE contains(name, chr(160))) AS n_nbsp, count(*) FILTER (WHERE name LIKE '%  %' OR name LIKE ' %' OR name LIKE '% ') AS n_padded, count(*) FILTER (WHERE regexp_matches(name, '[^\x00-\x7F×]')) AS n_non_ascii,
+      UNION ALL SELECT canonical_id, 'trade_synonyms', unnest(CASE WHEN canonical_id IN ('old-bolt', 'old-rod') THEN ['Café  rod'] ELSE trade_synonyms END) FROM ident UNION ALL SELECT canonical_id, 'common_names', unnest(CASE canonical_id WHEN 'old-anvil' THEN ['a' || chr(8239) || 'b'] WHEN 'old-plate' THEN ['a' || chr(160) || 'b'] ELSE common_names END) FROM ident), s AS (SELECT kind, {q.norm('name')} AS key, count(DISTINCT canonical_id) AS c FROM n GROUP BY ALL HAVING count(DISTINCT canonical_id) > 1)
+      SELECT kind, count(*) AS n_names, count(*) FILTER (WHERE contains(name, chr(160)) OR contains(name, chr(8239))) AS n_nbsp, count(*) FILTER (WHERE name LIKE '%  %' OR name LIKE ' %' OR name LIKE '% ') AS n_padded, count(*) FILTER (WHERE regexp_matches(name, '[^\x00-\x7F×]')) AS n_non_ascii,
       count(*) FILTER (WHERE regexp_matches(name, '\([A-Z]\S*\)') OR regexp_matches(name, '\b[A-Z][a-z]*\.(\s|$)')) AS n_author, coalesce((SELECT count(*) FROM s WHERE s.kind = n.kind), 0) AS n_shared_keys FROM n GROUP BY kind""",
     "audit_resolver_self": f"WITH {_SELF} SELECT path, count(*) AS n_tried, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS n_failed FROM ev GROUP BY path",
     "audit_schema": f"""WITH {q.RECORDS}, resolved AS (SELECT DISTINCT {q.norm('x')} AS k FROM (SELECT unnest(original_parsed_names) AS x FROM rec)), ex(parsed_name) AS (VALUES ('Blue rod'), ('salt'), ('old bolt'), (' ')), keys AS (SELECT DISTINCT upper(adj[1]) || adj[2:] || ' ' || upper(noun[1]) || noun[2:] AS key FROM names UNION ALL SELECT * FROM (VALUES ('Salt'), ('lost key')))

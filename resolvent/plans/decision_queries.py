@@ -101,6 +101,14 @@ def freshness_filter(spark: SparkSession, sf: str) -> DataFrame:
     return limiter.fresh_events(e, "ts", "arrival").select("event_id")
 
 
+def fresh_stamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Stamps of requests against their arrival: in the window and at its edges, too old, from the future, no number, none."""
+    e = table(spark, sf, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("now"), F.pmod("event_id", F.lit(9)).alias("k"))
+    off = F.get(F.array(*[F.lit(x) for x in (0, 60, -60, 61, -61, 3)]), F.col("k").cast("int"))
+    stamp = F.when(F.col("k") < 6, (F.col("now") + off).cast("string")).when(F.col("k") == 6, "12:00").when(F.col("k") == 7, "")
+    return e.select("event_id", security.fresh(stamp, F.col("now"), 60).alias("fresh"))
+
+
 def canonical_message(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     pair = lambda n, v, k: F.struct(F.lit(n).alias("name"), v.alias("value"), F.lit(k).alias("ord"))
@@ -188,7 +196,7 @@ def limiter_busy_counter(spark: SparkSession, sf: str) -> DataFrame:
     return limiter.anchored_counter(e, "transport", limiter.HOUR, busy=100).select("event_id", "transport", "n")
 
 
-QUERIES = {f.__name__: f for f in (ladder_select, reason_rules, message_build, candidate_assess, procurement_match, completeness_full_join, response_minimise, limiter_counter_anchored, limiter_distinct_set, limiter_chain, limiter_published, limiter_precheck, fanout_gauge, freshness_filter, canonical_message, request_signing, client_address, request_validation, procurement_validation, parity_guard, version_check, leakage_scan, limiter_busy_counter)}
+QUERIES = {f.__name__: f for f in (ladder_select, reason_rules, message_build, candidate_assess, procurement_match, completeness_full_join, response_minimise, limiter_counter_anchored, limiter_distinct_set, limiter_chain, limiter_published, limiter_precheck, fanout_gauge, freshness_filter, fresh_stamps, canonical_message, request_signing, client_address, request_validation, procurement_validation, parity_guard, version_check, leakage_scan, limiter_busy_counter)}
 
 # CRC-32 is no SQL function of the other engine: the cells' number comes from a table of the part brands and types.
 _PH = "[" + ", ".join(f"'{p}'" for p in c.PHASES) + "]"
@@ -287,6 +295,8 @@ ORACLE_SQL = {
         UNION ALL SELECT canonical_id, regexp_replace(fk, '^(forms|plain)\\.[a-z]+', '\\1.*'), 'value' FROM t WHERE type = 'VARCHAR' AND regexp_matches(atom::VARCHAR, '(?i)azure|\\bent_[a-z0-9]'))
       SELECT path, what, count(DISTINCT canonical_id) AS n FROM h GROUP BY path, what""",
     "freshness_filter": "SELECT event_id FROM events WHERE abs(event_id % 200 - 100) <= 60",
+    "fresh_stamps": """WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS now, event_id % 9 AS k FROM events), s AS (SELECT *, CASE WHEN k < 6 THEN (now + [0, 60, -60, 61, -61, 3][k + 1])::VARCHAR WHEN k = 6 THEN '12:00' WHEN k = 7 THEN '' END AS stamp FROM e)
+      SELECT event_id, coalesce(abs(now - try_cast(stamp AS DOUBLE)) <= 60, false) AS fresh FROM s""",
     "canonical_message": "SELECT event_id, 'kind=' || event_type || ',xuser=' || user_id AS message FROM events",
     "client_address": r"""WITH e AS (SELECT event_id, event_id % 300 AS n, event_id % 9 AS k FROM events), h AS (SELECT event_id, CASE k WHEN 0 THEN '10.0.0.' || n WHEN 1 THEN '10.0.1.' || n WHEN 3 THEN '::ffff:1.2.3.' || n WHEN 4 THEN '2001:db8::' || lower(to_hex(n)) WHEN 5 THEN '01.02.03.04' WHEN 6 THEN 'junk' WHEN 7 THEN '192.168.0.9' WHEN 8 THEN '1:2:3:4:5:6:7' || CASE WHEN event_id % 2 = 0 THEN ':8' ELSE '' END END AS hop FROM e),
       o AS (SELECT *, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])' AS q FROM h)

@@ -148,18 +148,24 @@ def sheet_by_pattern(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.by_pattern(s).select(F.col("row_no").alias("p_partkey"), "label", "assay_raw", "marker", "part_text")
 
 
-def _workbook(rows: list[list[str]]) -> bytes:
-    """A minimal workbook: shared strings in the first column, inline ones in the others; empty cells are left out."""
+def _workbook(rows: list[tuple[str, int]]) -> bytes:
+    """A small workbook of names and numbers: shared and inline strings, numbers, booleans and dates; empty cells are left out.  Its
+    list of sheets begins with ``sheet10``, and ``sheet2`` is a decoy."""
     escape = lambda x: x.replace("&", "&amp;").replace("<", "&lt;")
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    lines = []
-    for i, r in enumerate(rows, 1):
-        cells = [f'<c r="A{i}" t="s"><v>{i - 1}</v></c>'] + [f'<c r="{chr(65 + k)}{i}" t="inlineStr"><is><t>{escape(x)}</t></is></c>' if not x.isdigit() else f'<c r="{chr(65 + k)}{i}"><v>{x}</v></c>' for k, x in enumerate(r) if k and x]
-        lines.append(f'<row r="{i}">{"".join(cells)}</row>')
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    ns = f'xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    lines = [
+        f'<row r="{i}"><c r="A{i}" t="s"><v>{i - 1}</v></c><c r="C{i}"><v>{k}</v></c><c r="D{i}" t="inlineStr"><is><t>a\u00a0&lt;b></t></is></c><c r="E{i}" t="b"><v>{k % 2}</v></c><c r="F{i}" s="1"><v>{45292 + k}</v></c></row>'
+        for i, (_, k) in enumerate(rows, 1)
+    ]
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si><t>{escape(r[0])}</t></si>' for r in rows)}</sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Data" sheetId="2" r:id="rId7"/><sheet name="Old" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet2.xml"/><Relationship Id="rId7" Target="worksheets/sheet10.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si><t>{escape(name)}</t></si>' for name, _ in rows)}</sst>")
+        z.writestr("xl/worksheets/sheet10.xml", f"<worksheet {ns}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>0</v></c></row></sheetData></worksheet>')
     return out.getvalue()
 
 
@@ -169,7 +175,7 @@ def sheet_workbook(spark: SparkSession, sf: str) -> DataFrame:
 
     def books(batches):
         for b in batches:
-            made = [_workbook([[r["n_name"], "", str(r["n_nationkey"]), "a\u00a0<b>"] for r in rows]) for rows in b.column(1).to_pylist()]
+            made = [_workbook([(r["n_name"], r["n_nationkey"]) for r in rows]) for rows in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f"region {k}" for k in b.column(0).to_pylist()]), pa.array(made, pa.binary())], ["file", "content"])
 
     got = readers.xlsx_cells(n.mapInArrow(books, "file string, content binary"))
@@ -195,5 +201,5 @@ ORACLE_SQL = {
     "sheet_sections": "WITH h AS (SELECT max(p_partkey) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x, p_partkey, p_name, p_type, max(CASE WHEN p_partkey % 7 = 0 THEN p_partkey END) OVER (ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS hd FROM part) SELECT p_partkey, CASE WHEN (p_partkey // 7) % 2 = (hd // 7) % 2 THEN p_name ELSE p_type END AS label, CASE WHEN (p_partkey // 7) % 2 = (hd // 7) % 2 THEN p_type ELSE p_name END AS part FROM h WHERE p_partkey % 7 <> 0 AND hd IS NOT NULL",
     "sheet_side_by_side": "SELECT p_partkey, 0 AS block, p_name AS label, p_type AS kind FROM part WHERE p_partkey >= 10 AND p_partkey < 150 UNION ALL SELECT p_partkey, 1, p_brand, p_size::VARCHAR FROM part WHERE p_partkey >= 10 AND p_partkey < 150 AND p_partkey % 2 = 0",
     "sheet_by_pattern": "SELECT p_partkey, p_name || ' (' || p_type || ')' AS label, p_size || ' %' AS assay_raw, CASE p_partkey % 3 WHEN 0 THEN 'Solarin' ELSE 'Lunarin B' END AS marker, CASE p_partkey % 3 WHEN 0 THEN 'Leaf' ELSE 'Root' END AS part_text FROM part WHERE p_partkey % 3 < 2",
-    "sheet_workbook": "SELECT 'region ' || n_regionkey AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no, n_name || '||' || n_nationkey || '|a <b>' AS cells FROM nation",
+    "sheet_workbook": "SELECT 'region ' || n_regionkey AS file, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no, n_name || '||' || n_nationkey || '|a <b>|' || CASE WHEN n_nationkey % 2 = 1 THEN 'True' ELSE 'False' END || '|' || strftime(DATE '2024-01-01' + n_nationkey::INT, '%Y-%m-%d 00:00:00') AS cells FROM nation",
 }

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import io
 import itertools
+import posixpath
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -75,6 +78,50 @@ def read_sheet_cells(spark: SparkSession, path: str) -> DataFrame:
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+_RELATED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Numbers of the built-in formats that show dates or times.
+_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """Path of the sheet that the workbook lists first; without such a list the sheet file of the smallest number."""
+    names = set(z.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        first = next(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_SHEET}sheet"), None)
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        target = targets.get(first.get(_RELATED)) if first is not None else None
+        if target:
+            path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+            if path in names:
+                return path
+    sheets = [n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
+    if not sheets:
+        raise ValueError("the workbook has no sheet")
+    return min(sheets, key=lambda n: int(re.sub(r"\D", "", n)))
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates or times."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    plain = lambda code: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code)
+    own = {int(f.get("numFmtId", 0)) for f in root.iter(f"{_SHEET}numFmt") if re.search("[ymdhs]", plain(f.get("formatCode", "")), re.IGNORECASE)}
+    kinds = root.find(f"{_SHEET}cellXfs")
+    return {i for i, x in enumerate(kinds if kinds is not None else ()) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | own}
+
+
+def _shown(kind: str | None, style: int, text: str, strings: list[str], dates: set[int]) -> str:
+    """A cell's value as text: shared strings, booleans by name, dates as ``YYYY-MM-DD HH:MM:SS``, anything else as it is."""
+    if kind == "s" and text:
+        return strings[int(text)]
+    if kind == "b":
+        return "True" if text == "1" else "False"
+    if kind in (None, "n") and style in dates and text:
+        return str(datetime(1899, 12, 30) + timedelta(seconds=round(float(text) * 86_400)))
+    return text
+
+
 def _sheet_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
     """(row number, values) of a workbook's first sheet, read element by element."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -84,8 +131,8 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
                 if e.tag == f"{_SHEET}si":
                     strings.append("".join(t.text or "" for t in e.iter(f"{_SHEET}t")))
                     e.clear()
-        sheets = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))
-        for _, e in ElementTree.iterparse(z.open(sheets[0])):
+        dates = _date_styles(z)
+        for _, e in ElementTree.iterparse(z.open(_first_sheet(z))):
             if e.tag != f"{_SHEET}row":
                 continue
             cells: list[str] = []
@@ -99,14 +146,14 @@ def _sheet_rows(content: bytes) -> Iterator[tuple[int, list[str]]]:
                 if kind == "inlineStr":
                     cells.append("".join(t.text or "" for t in c.iter(f"{_SHEET}t")))
                 else:
-                    text = v.text or "" if v is not None else ""
-                    cells.append(strings[int(text)] if kind == "s" and text else text)
+                    cells.append(_shown(kind, int(c.get("s", 0)), v.text or "" if v is not None else "", strings, dates))
             yield int(e.get("r", 0)), cells
             e.clear()
 
 
 def xlsx_cells(files: DataFrame) -> DataFrame:
-    """``files(file, content)``, whole workbooks -> ``(file, row_no, cells)`` of their first sheets, values only.
+    """``files(file, content)``, whole workbooks -> ``(file, row_no, cells)`` of the sheets that they list first: values, booleans
+    by name and dates as ``YYYY-MM-DD HH:MM:SS``.
 
     A workbook is read in one task; rows leave in batches."""
 

@@ -141,3 +141,18 @@ def test_unknown_format_is_no_verdict(spark):
 
     r = spark.createDataFrame([("MP", None, None), ("MP", "odd text", None), ("SE", "ok", "n")], "c string, t string, n string").select(assess_candidate(F.col("c"), F.col("t"), F.col("n")).alias("a")).collect()
     assert [(x.a.severity, x.a.status) for x in r] == [("neutral", "not_evaluated"), ("avoid", "unsuitable"), ("neutral", "review")]
+
+
+def test_names_with_hybrid_signs_and_markers(spark):
+    names = ["Mentha × piperita", "Salvia cv. Alba", "Rosa canina forma alba", "Rosa", "Rosa ×alba var. nova"]
+    got = spark.createDataFrame([(x,) for x in names], "n string").select("n", text.name_parts("n").alias("p")).collect()
+    assert {r.n: tuple(r.p) for r in got} == {
+        "Mentha × piperita": ("Mentha", "piperita", None, "species"), "Salvia cv. Alba": ("Salvia", "Alba", None, "species"), "Rosa canina forma alba": ("Rosa", "canina", "alba", "infraspecific"),
+        "Rosa": ("Rosa", None, None, "genus"), "Rosa ×alba var. nova": ("Rosa", "alba", "nova", "infraspecific"),
+    }
+
+
+def test_odd_spaces_and_late_hyphens_are_seen(spark):
+    names = ["a b", "a\u00a0b", "a\u2007b", "a\u2009b", "a\u202fb", "\ufeffa", "Aster novi-belgii", "Aster novus var. alba-rosea", "Aster-x novus", "Aster - b"]
+    got = spark.createDataFrame([(x,) for x in names], "n string").select("n", security.name_features("n").alias("f")).collect()
+    assert [r.n for r in got if r.f.nbsp] == names[1:6] and [r.n for r in got if r.f.hyphen_epithet] == names[6:8]
