@@ -2,7 +2,7 @@
 
 The rules' verdicts label the URLs they fit.  Variable-order Markov models (orders 0 to ``ORDER``, each order
 smoothed by the one below) of accepted and of rejected URLs are counted over every labelled URL outside the
-calibration fold, under 64-bit keys in a table of all distinct ones: up to ``MOST_KEYS`` of them are broadcast, 16 bytes a
+calibration fold, under 64-bit keys in a table of all distinct ones: up to ``MOST_KEYS`` of them are broadcast, 24 bytes a
 key, and more are joined to the keys of the URLs that need a score.  A URL's score is the difference of its two mean
 log-likelihoods per byte, calibrated to a probability by a logistic fit on the fold that the models have not seen.
 """
@@ -24,7 +24,7 @@ ORDER, BACKOFF = 5, 2.0
 #: One URL in so many calibrates the scores; bins of the calibration histogram and the range they cover.
 FOLD, BINS, REACH = 5, 2048, 8.0
 #: Most keys of a table that is broadcast: 128 MB.
-MOST_KEYS = 1 << 23
+MOST_KEYS = 5 << 20
 
 
 class Rule(NamedTuple):
@@ -211,7 +211,7 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], order: int = ORDER, backof
     columns = ["page_id", "host", "path", "rule", "verdict"]
     if counted.count() <= most_keys:
         keys, counts = gathered(counted)
-        held = spark.sparkContext.broadcast((keys, counts.astype(np.float32)))
+        held = spark.sparkContext.broadcast((keys, counts.astype(np.float64)))  # exact to 2^53, as the join's
 
         def scores(batches):
             for b in batches:

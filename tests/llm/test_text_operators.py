@@ -91,6 +91,20 @@ def test_near_copies_of_one_large_group(spark):
     assert [r.doc_id for r in kept] == [0]
 
 
+def test_one_unlike_node_costs_no_square_of_its_bucket(spark):
+    n = 20_000
+    placed = spark.range(n + 3).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.greatest(F.col("id") - (n - 1), F.lit(0)).alias("root"))
+    open_ = spark.createDataFrame([(7, 0, n, 3)], "key long, home long, n_home long, n_away long")
+    rows = near_copies.paired_blocks(placed, open_, block=64).collect()
+    assert len(rows) == n + 3 * (1 + -(-n // 64))
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.i, r.j), set()).add(r.node)
+    for away in (n, n + 1, n + 2):  # each of the others meets every node
+        assert set().union(*(g for g in groups.values() if away in g)) == set(range(n + 3))
+    assert max(map(len, groups.values())) < 200
+
+
 def test_decontamination_of_nothing(spark, edge_docs, no_docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r.contaminated for r in decontam.report(edge_docs, bench).collect()} == {False}
