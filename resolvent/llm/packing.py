@@ -2,12 +2,13 @@
 
 Documents lie in shards of bounded size, one after the other within each input partition.  Corpus statistics
 (number of documents, mean length, document frequency of every term) are counted over all documents first; terms are
-64-bit hashes of pre-tokens.  The frequencies of at most ``MOST_TERMS`` terms are broadcast, 12 bytes a term: the most
-frequent ones where there are more.  A term that is not among them has the mean frequency of all such terms; where there
-are fewer, that is 1.  Each shard then builds an inverted index with BM25 impacts.  All terms of a seed document are the
-query; its unused neighbours fill the seed's window greedily by score, and the best one that is too long is cut to fill
-the rest.  What is left when a shard has no unused document becomes sequences whose lengths are powers of two, which
-need no padding.
+64-bit hashes of pre-tokens.  Terms that one document alone has find no neighbour and need no entry; the frequencies of the
+others are broadcast where they are at most ``MOST_TERMS``, 12 bytes a term.  Where there are more, every shard is one group: the
+terms that it has in two documents or more, which are all that its scores depend on, are joined with their frequencies, and
+the shard's documents and its frequencies meet there.  Both ways give the same pieces.  Each shard then builds an inverted
+index with BM25 impacts.  All terms of a seed document are the query; its unused neighbours fill the seed's window greedily by
+score, and the best one that is too long is cut to fill the rest.  What is left when a shard has no unused document becomes
+sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ._arrow import pieces, spread, utf8
 from ._bpe import load
 from ._spark import durable, row_base, tidy, tune
 
-#: Ids and documents of one shard, BM25's two constants, terms whose own frequencies are broadcast.
+#: Ids and documents of one shard, BM25's two constants, most terms whose frequencies are broadcast.
 SHARD_IDS, SHARD_DOCS, K1, B, MOST_TERMS = 3_000_000, 8192, 1.2, 0.75, 1 << 23
 #: Terms in more than one in so many documents of a shard are a row of impacts each, instead of a posting list.
 DENSE = 12
@@ -37,9 +38,8 @@ def _doc_terms(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[new] >> 32, key[new] & 0xFFFFFFFF, np.diff(np.append(new, len(key)))
 
 
-def corpus_statistics(docs: DataFrame, path: str, most: int = MOST_TERMS) -> tuple[int, float, np.ndarray, np.ndarray, float]:
-    """Documents, their mean number of pre-tokens, the sorted terms whose frequency is kept with the numbers of documents
-    that have them, and the mean such number of all other terms."""
+def corpus_statistics(docs: DataFrame, path: str) -> tuple[int, float, DataFrame]:
+    """Documents, their mean number of pre-tokens, and ``(term, n)``: the terms that several documents have, with their number."""
 
     def run(batches):
         bpe, state = load(path), {}
@@ -71,20 +71,29 @@ def corpus_statistics(docs: DataFrame, path: str, most: int = MOST_TERMS) -> tup
 
     counted = durable(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "kind int, term long, n long").groupBy("kind", "term").agg(F.sum("n").alias("n")))
     total = {r["kind"]: r["n"] for r in counted.where("kind > 0").collect()}  # two rows
-    # The least frequency from which on at most ``most`` terms are left, by a histogram in powers of the eighth root of 2.
-    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int").alias("level")
-    taken, floor, rest, docs_of_rest = 0, 1, 0, 0
-    for r in sorted(counted.where("kind = 0").groupBy(level).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect(), key=lambda r: -r["level"]):  # at most 8 x 63 rows
-        if r["level"] > 0 and not rest and taken + r["k"] <= most:
-            taken, floor = taken + r["k"], r["level"]
-        else:
-            rest, docs_of_rest = rest + r["k"], docs_of_rest + r["n"]
-    rows = counted.where((F.col("kind") == 0) & (level >= max(floor, 1))).select("term", F.col("n").cast("int").alias("n")).toArrow() if taken else None
-    term = rows["term"].to_numpy().astype(np.int64).view(np.uint64) if taken else np.zeros(0, np.uint64)
-    df = rows["n"].to_numpy().astype(np.int32) if taken else np.zeros(0, np.int32)
-    order = np.argsort(term)
     n_docs = total.get(1, 0)
-    return n_docs, total.get(2, 0) / max(1, n_docs), term[order], df[order], docs_of_rest / max(1, rest)
+    return n_docs, total.get(2, 0) / max(1, n_docs), counted.where("kind = 0 and n > 1").select("term", "n")
+
+
+def _gathered(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A counted number of terms, sorted, and their frequencies."""
+    rows = terms.select("term", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    term, df = rows["term"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int32)
+    order = np.argsort(term)
+    return term[order], df[order]
+
+
+def _idf(n_docs: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def _looked_up(own: np.ndarray, terms: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Frequency of each term; one that is not in the sorted ``terms`` has one document."""
+    at = np.searchsorted(terms, own)
+    known = (terms[np.minimum(at, len(terms) - 1)] == own) if len(terms) else np.zeros(len(own), bool)
+    out = np.ones(len(own), np.int64)
+    out[known] = df[at[known]]
+    return out
 
 
 class Shard:
@@ -180,7 +189,94 @@ def pack_shard(lengths: np.ndarray, shard: Shard, window: int):
         rest -= size
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS, keep_ids: bool = False) -> DataFrame:
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+class _Open:
+    """The shard that is being gathered: documents with their ids and terms."""
+
+    def __init__(self, path: str, end_id: int, window: int):
+        self.bpe, self.end_id, self.window = load(path), end_id, window
+        self.clear()
+
+    def clear(self) -> None:
+        self.names: list[pa.Array] = []
+        self.parts: list[tuple] = []
+        self.n_docs = self.n_ids = 0
+
+    def add(self, doc_ids: pa.Array, buf: np.ndarray, off: np.ndarray) -> None:
+        bpe, p = self.bpe, self.bpe.split(buf, off)
+        at = bpe.index(p)
+        k = bpe.counts[at].astype(np.int64)
+        begins = np.concatenate([[0], np.cumsum(k)])[p.first]
+        flat = bpe.flat[spread(bpe.first[at], k)]
+        ids = np.insert(flat, begins[1:], np.uint16(self.end_id))
+        doc, term, tf = _doc_terms(at, p.first)
+        self.names.append(doc_ids)
+        self.parts.append((np.diff(begins) + 1, ids, np.diff(p.first), doc.astype(np.int32), bpe.names[term], tf.astype(np.float32)))
+        self.n_docs, self.n_ids = self.n_docs + len(doc_ids), self.n_ids + len(ids)
+
+    @property
+    def room(self) -> int:
+        """No fewer than the sequences that the shard becomes."""
+        return self.n_docs + self.n_ids // self.window + 64
+
+    def repeated(self) -> np.ndarray:
+        """The terms that two documents of the shard have."""
+        own, n = np.unique(np.concatenate([x[4] for x in self.parts]), return_counts=True)
+        return own[n > 1]
+
+    def packed(self, first: int, idf_of, mean: float, keep_ids: bool):
+        """Batches of pieces; sequences are numbered from ``first``."""
+        ident = pa.concat_arrays(self.names)
+        n_ids = np.concatenate([x[0] for x in self.parts])
+        ids = np.concatenate([x[1] for x in self.parts])
+        bases = np.cumsum([0, *(len(x[0]) for x in self.parts)])
+        doc = np.concatenate([x[3] + np.int32(k) for x, k in zip(self.parts, bases)])
+        own, term = np.unique(np.concatenate([x[4] for x in self.parts]), return_inverse=True)
+        shard = Shard(doc, term, np.concatenate([x[5] for x in self.parts]), len(n_ids), np.concatenate([x[2] for x in self.parts]), idf_of(own), mean)
+        begin = np.cumsum(n_ids) - n_ids
+        rows, pay = [], []
+
+        def batch():
+            x = np.array(rows, np.int64)
+            cols = [ident.take(pa.array(x[:, 0])), pa.array(x[:, 1]), pa.array(x[:, 2]), pa.array(x[:, 3]), pa.array(n_ids[x[:, 0]]), pa.array(x[:, 4]), pa.array(x[:, 5])]
+            return pa.RecordBatch.from_arrays(cols + ([pa.array(pay, pa.list_(pa.int32()))] if keep_ids else []), _PIECE + (["ids"] if keep_ids else []))
+
+        for number, sequence in enumerate(pack_shard(n_ids, shard, self.window), first):
+            at = 0
+            for d, s, k in sequence:
+                own_ids = ids[begin[d] + s : begin[d] + s + k].astype("<u4")
+                rows.append((d, s, k, zlib.crc32(own_ids.tobytes()), number, at))
+                if keep_ids:
+                    pay.append(own_ids.astype(np.int32))
+                at += k
+            if len(rows) >= 20_000:
+                yield batch()
+                rows, pay = [], []
+        if rows:
+            yield batch()
+
+
+def _shards(batches, shard: _Open, most_docs: int, most_ids: int):
+    """Fill the shard from the batches; yields (first number of its sequences, the rows that it is made of) when it is full."""
+    number, held = row_base(), []
+
+    for b in batches:
+        buf, off = utf8(b.column(1))
+        for i, j in pieces(off):
+            shard.add(b.column(0)[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            held.append(b.slice(i, j - i))
+            if shard.n_docs >= most_docs or shard.n_ids >= most_ids:
+                yield number, held
+                number += shard.room
+                shard.clear()
+                held = []
+    if held:
+        yield number, held
+
+
+def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS, keep_ids: bool = False, most_terms: int = MOST_TERMS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset`` and, if asked for, ``ids``.
 
@@ -188,78 +284,42 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
     power of two.  A null or empty text is the end id alone.  Rows that repeat a document are packed each; other columns
     are ignored; an empty table gives no rows.
     """
-    tune(docs.sparkSession)
-    n_docs, mean, common, df, rest = corpus_statistics(docs, path)
-    # The last place is for all other terms.
-    df = np.append(df, max(1.0, rest))
-    idf = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32)
-    held = docs.sparkSession.sparkContext.broadcast((common, idf))
+    spark = docs.sparkSession
+    tune(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n_docs, mean, terms = corpus_statistics(rows, path)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if keep_ids else "")
+    if terms.count() <= most_terms:
+        held = spark.sparkContext.broadcast(_gathered(terms))
 
-    def run(batches):
-        bpe, state = load(path), {"sequence": row_base()}
-        names: list[pa.Array] = []
-        parts: list[tuple] = []
-        count = [0, 0]  # documents, ids
+        def run(batches):
+            shard = _Open(path, end_id, window)
+            for number, _ in _shards(batches, shard, shard_docs, shard_ids):
+                yield from shard.packed(number, lambda own: _idf(n_docs, _looked_up(own, *held.value)), mean, keep_ids)
 
-        def flush():
-            ident = pa.concat_arrays(names)
-            n_ids = np.concatenate([x[0] for x in parts])
-            ids = np.concatenate([x[1] for x in parts])
-            lengths_words = np.concatenate([x[2] for x in parts])
-            bases = np.cumsum([0, *(len(x[0]) for x in parts)])
-            doc = np.concatenate([x[3] + np.int32(k) for x, k in zip(parts, bases)])
-            term, tf = np.concatenate([x[4] for x in parts]), np.concatenate([x[5] for x in parts])
-            begin = np.cumsum(n_ids) - n_ids
-            own, term = np.unique(term, return_inverse=True)
-            common, idf = held.value
-            at = np.searchsorted(common, own)
-            if len(common):
-                at[common[np.minimum(at, len(common) - 1)] != own] = len(common)
-            shard = Shard(doc, term, tf, len(n_ids), lengths_words, idf[at], mean)
-            rows, pay = [], []
-            for sequence in pack_shard(n_ids, shard, window):
-                at = 0
-                for d, s, k in sequence:
-                    own = ids[begin[d] + s : begin[d] + s + k].astype("<u4")
-                    rows.append((d, s, k, zlib.crc32(own.tobytes()), state["sequence"], at))
-                    if keep_ids:
-                        pay.append(own.astype(np.int32))
-                    at += k
-                state["sequence"] += 1
-                if len(rows) >= 20_000:
-                    yield batch(ident, n_ids, rows, pay)
-                    rows, pay = [], []
-            if rows:
-                yield batch(ident, n_ids, rows, pay)
-
-        def batch(ident, n_ids, rows, pay):
-            x = np.array(rows, np.int64)
-            cols = [ident.take(pa.array(x[:, 0])), pa.array(x[:, 1]), pa.array(x[:, 2]), pa.array(x[:, 3]), pa.array(n_ids[x[:, 0]]), pa.array(x[:, 4]), pa.array(x[:, 5])]
-            label = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            return pa.RecordBatch.from_arrays(cols + ([pa.array(pay, pa.list_(pa.int32()))] if keep_ids else []), label + (["ids"] if keep_ids else []))
+        return rows.mapInArrow(tidy(run), schema)
 
-        for b in batches:
-            buf, off = utf8(b.column(1))
+    def members(batches):
+        for number, held in _shards(batches, _Open(path, end_id, window), shard_docs, shard_ids):
+            for b in held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number)), *b.columns], ["shard", "doc_id", "text"])
+
+    def repeated(batches):
+        shard = _Open(path, end_id, window)
+        for number, _ in _shards(batches, shard, shard_docs, shard_ids):
+            own = shard.repeated()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), number)), pa.array(own.view(np.int64))], ["shard", "term"])
+
+    def one(own: pa.Table, known: pa.Table) -> pa.Table:
+        shard = _Open(path, end_id, window)
+        for b in own.sort_by("at").combine_chunks().to_batches():  # in the order of the other way
+            buf, off = utf8(b.column(2))
             for i, j in pieces(off):
-                p = bpe.split(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                at = bpe.index(p)
-                k = bpe.counts[at].astype(np.int64)
-                begins = np.concatenate([[0], np.cumsum(k)])[p.first]
-                flat = bpe.flat[spread(bpe.first[at], k)]
-                ids = np.insert(flat, begins[1:], np.uint16(end_id))
-                doc, term, tf = _doc_terms(at, p.first)
-                term = bpe.names[term]
-                names.append(b.column(0)[i:j])
-                parts.append((np.diff(begins) + 1, ids, np.diff(p.first), doc.astype(np.int32), term, tf.astype(np.float32)))
-                count[0] += j - i
-                count[1] += len(ids)
-                if count[0] >= shard_docs or count[1] >= shard_ids:
-                    yield from flush()
-                    names.clear()
-                    parts.clear()
-                    count[:] = [0, 0]
-        if parts:
-            yield from flush()
+                shard.add(b.column(1)[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        term, df = known["term"].to_numpy().astype(np.int64).view(np.uint64), known["n"].to_numpy().astype(np.int64)
+        order = np.argsort(term)
+        return pa.Table.from_batches(shard.packed(own["shard"][0].as_py(), lambda x: _idf(n_docs, _looked_up(x, term[order], df[order])), mean, keep_ids))
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), schema)
+    placed = rows.mapInArrow(tidy(members), "shard long, doc_id long, text string").withColumn("at", F.monotonically_increasing_id())
+    known = rows.mapInArrow(tidy(repeated), "shard long, term long").join(terms, "term")
+    return placed.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(one, schema)

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from resolvent.llm import matroska, packing, range_coder, token_count, token_files
 from resolvent.llm.queries import vocabulary
@@ -158,14 +159,25 @@ def test_packing_terms_are_exact(spark, path):
     words = ["q" + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(300_000)]
     texts = [(i, " ".join(words[i::10])) for i in range(10)] * 2 + [(99, "lone")]
     frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
-    n_docs, mean, term, df, rest = packing.corpus_statistics(frame, path)
-    assert (n_docs, mean, rest) == (21, 600_001 / 21, 1.0) and len(term) == 300_000 and (df == 2).all() and (term[1:] > term[:-1]).all()
-    n_docs, mean, term, df, rest = packing.corpus_statistics(frame, path, most=1000)  # the others share their mean
-    assert len(term) == 0 and rest == 600_001 / 300_001
+    n_docs, mean, terms = packing.corpus_statistics(frame, path)
+    term, df = packing._gathered(terms)
+    assert (n_docs, mean) == (21, 600_001 / 21) and len(term) == 300_000 and (df == 2).all() and (term[1:] > term[:-1]).all()
+    assert packing._looked_up(np.append(term[:2], np.uint64(5)), term, df).tolist() == [2, 2, 1]
     doc, at, tf = packing._doc_terms(np.array([5, 6, 5, 7]), np.array([0, 3, 4]))
     assert list(zip(doc, at, tf)) == [(0, 5, 2), (0, 6, 1), (1, 7, 1)]
 
 
+@pytest.mark.parametrize("shard_docs", [7, 10**6])
+def test_packing_is_the_same_however_many_terms_there_are(spark, path, shard_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pieces = lambda **x: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens, r.offset) for r in packing.pack(docs, path, shard_docs=shard_docs, **x).collect())
+    few = packing.pack(docs, path, shard_docs=shard_docs, most_terms=10)
+    assert pieces() == pieces(most_terms=10)
+    per = few.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.count_distinct("offset").alias("o")).collect()
+    assert all(r.k == r.o and (r.n == 2048 or r.n & (r.n - 1) == 0) for r in per)
+    assert packing.pack(docs.limit(0), path, most_terms=-1).collect() == []
+
+
 @pytest.mark.parametrize("dense", [1, 12, 10**9])
 def test_scores_are_those_of_bm25(dense):
     """Every document's score for every seed, against the plain formula; so the neighbours are the best ones, all of them."""
