@@ -227,7 +227,7 @@ def set_assertions(spark: SparkSession, sf: str) -> DataFrame:
         return True
 
     n, kept = s.count(), s.where("s_acctbal >= 0").count()
-    rows = [("same", holds(backbone.check_same_set, l, o, "o_orderkey")), ("subset", holds(backbone.check_subset, l, o, "o_orderkey")), ("superset", holds(backbone.check_subset, o, l, "o_orderkey")), ("accounts", holds(backbone.check_accounting, kept, n - kept, n)), ("lost", holds(backbone.check_accounting, kept, 0, n + 1))]
+    rows = [("same", holds(backbone.check_same_set, l, o, "o_orderkey")), ("subset", holds(backbone.check_subset, l, o, "o_orderkey")), ("superset", holds(backbone.check_subset, o, l, "o_orderkey")), ("accounts", holds(backbone.check_accounting, kept, s.where("s_acctbal < 0").count(), n)), ("lost", holds(backbone.check_accounting, kept, 0, n))]
     return spark.createDataFrame(rows, "name string, holds boolean")
 
 
@@ -297,8 +297,17 @@ _STRANGE = f"""{q.TITLES}, strange AS (SELECT p_brand AS supplier_id, p_partkey
 _DELTA = f"{q.INDEX}, {_STRANGE}, {_LONGEST.replace('FROM titled', 'FROM strange')}"
 _BIN = f"list_transform(list_filter(regexp_extract_all(title, '\\b[A-Za-z][a-z]+\\s+[A-Za-z][a-z]{{2,}}(?:-[a-z]+)?\\b'), lambda m: NOT list_contains({q.STOPPED}, lower(split_part(m, ' ', 1))) AND NOT list_contains({q.STOPPED}, lower(split_part(m, ' ', 2)))), lambda m: upper(m[1]) || lower(split_part(m, ' ', 1)[2:]) || ' ' || lower(split_part(m, ' ', 2)))"
 _NAUTH = f"n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part), nn AS (SELECT *, {_CAPN} || ' ' || adj AS name FROM n)"
-_CLASS = f"""{_NAUTH}, cl AS (SELECT *, CASE adj WHEN 'blue' THEN 'accepted' WHEN 'old' THEN 'accepted' WHEN 'cold' THEN 'synonym' WHEN 'new' THEN 'synonym' WHEN 'large' THEN 'synonym' WHEN 'hot' THEN 'typo' ELSE 'unknown' END AS disposition,
-  CASE adj WHEN 'blue' THEN name WHEN 'old' THEN upper(name) WHEN 'cold' THEN CASE WHEN noun = 'rod' THEN name ELSE 'Frigida nova' END WHEN 'new' THEN CASE WHEN noun NOT IN ('rod', 'ring') THEN 'Alba prima' END WHEN 'large' THEN 'Magna sola' END AS accepted, adj = 'new' AND noun IN ('rod', 'ring') AS ambiguous FROM nn)"""
+_RANKS = "('SPECIES', 'SUBSPECIES', 'VARIETY', 'FORM')"
+_USAGE = "SELECT name, upper(name) AS canonical, 'SPECIES' AS rank, '{status}' AS status, {to} AS accepted FROM nn WHERE {where}"
+#: The authority's answers as tables, and its rules over them.
+_CLASS = f"""{_NAUTH}, mt AS (SELECT name, CASE WHEN adj IN ('blue', 'cold', 'old') THEN 'EXACT' WHEN adj = 'hot' THEN 'FUZZY' WHEN adj = 'red' THEN 'HIGHERRANK' ELSE 'NONE' END AS match_type, CASE adj WHEN 'cold' THEN 'SYNONYM' WHEN 'old' THEN 'DOUBTFUL' ELSE 'ACCEPTED' END AS status,
+  CASE WHEN adj = 'red' THEN 'GENUS' ELSE 'SPECIES' END AS rank, CASE WHEN adj <> 'new' THEN 1 END AS usage_key, CASE WHEN adj = 'hot' THEN name || 'ta' ELSE name END AS canonical, CASE WHEN adj = 'cold' AND noun <> 'rod' THEN 'Frigida nova' END AS accepted_canonical FROM nn WHERE adj <> 'large'),
+us AS ({_USAGE.format(status='SYNONYM', to="'Alba prima L.'", where="adj = 'new'")} UNION ALL {_USAGE.format(status='SYNONYM', to="'Alba altera L.'", where="adj = 'new' AND noun IN ('rod', 'ring')")} UNION ALL {_USAGE.format(status='ACCEPTED', to='NULL', where="adj = 'old'")} UNION ALL {_USAGE.format(status='SYNONYM', to="'Magna sola L.'", where="adj = 'large'")}
+  UNION ALL SELECT name, name || ' x', 'SPECIES', 'ACCEPTED', NULL FROM nn WHERE adj = 'red'),
+uu AS (SELECT name, min(canonical) FILTER (WHERE status = 'ACCEPTED') AS own, list_sort(list_distinct(list(regexp_extract(accepted, '^[A-Z][a-zA-Z-]+ [a-z][a-zA-Z-]+')) FILTER (WHERE accepted IS NOT NULL))) AS targets FROM us WHERE lower(canonical) = lower(name) AND rank IN {_RANKS} GROUP BY name),
+aj AS (SELECT nn.*, coalesce(match_type, 'NONE') AS kind, status, rank, usage_key, canonical, accepted_canonical, own, coalesce(targets, []) AS targets, coalesce(match_type, 'NONE') IN ('NONE', 'HIGHERRANK') OR usage_key IS NULL OR NOT coalesce(rank IN {_RANKS}, false) OR coalesce(status = 'DOUBTFUL', false) AS back FROM nn LEFT JOIN mt USING (name) LEFT JOIN uu USING (name)),
+cl AS (SELECT *, CASE WHEN back THEN CASE WHEN own IS NOT NULL THEN 'accepted' WHEN len(targets) > 0 THEN 'synonym' ELSE 'unknown' END WHEN kind = 'FUZZY' THEN 'typo' WHEN status = 'SYNONYM' THEN 'synonym' ELSE 'accepted' END AS disposition,
+  CASE WHEN back THEN coalesce(own, CASE WHEN len(targets) = 1 THEN targets[1] END) WHEN kind = 'FUZZY' THEN NULL WHEN status = 'SYNONYM' THEN coalesce(accepted_canonical, canonical) ELSE canonical END AS accepted, back AND own IS NULL AND len(targets) > 1 AS ambiguous FROM aj)"""
 _DEC = "dec(name, action, target) AS (VALUES " + ", ".join(f"({q.quoted(a)}, {q.quoted(b)}, {q.quoted(d)})" for a, b, d in DECISIONS) + ")"
 _PATCHED = f"{q.IDENTITIES}, i AS (SELECT ident.*, adj, noun, row_number() OVER (ORDER BY canonical_id) AS nr, adj = 'old' AS old, adj = 'old' AND noun IN ('ring', 'gear') AS unsure, {_CAPN} || ' antiqua' AS newname FROM ident JOIN names ON canonical_id = adj || '-' || noun)"
 ORACLE_SQL = {
@@ -323,9 +332,12 @@ ORACLE_SQL = {
       SELECT p_name, array_to_string(list_filter(pool, lambda x: regexp_matches(x, '^[A-Z][a-z]+(?:[- ][a-z]+)* [a-z]') AND NOT list_contains({_list(text.DEFAULT.vernacular)}, lower(split_part(x, ' ', 2)))), '|') AS scientific, array_to_string(list_filter(pool, lambda x: NOT (regexp_matches(x, '^[A-Z][a-z]+(?:[- ][a-z]+)* [a-z]') AND NOT list_contains({_list(text.DEFAULT.vernacular)}, lower(split_part(x, ' ', 2))))), '|') AS common FROM a""",
     "name_flip": f"""WITH {q.IDENTITIES}, i AS (SELECT ident.*, adj, noun, CASE WHEN noun = 'ring' THEN accepted_name || ' seed' ELSE accepted_name END AS an, CASE adj WHEN 'old' THEN 'Antiqua nova' WHEN 'new' THEN accepted_name END AS auth FROM ident JOIN names ON canonical_id = adj || '-' || noun), f AS (SELECT *, auth IS NOT NULL AND auth <> an AS flip FROM i)
       SELECT canonical_id, CASE WHEN flip THEN auth ELSE an END AS accepted_name, CASE WHEN flip THEN an END AS trade_primary_name, an AS canonical_display_name, array_to_string(CASE WHEN flip AND noun <> 'ring' THEN list_sort(list_append(scientific_synonyms, an)) ELSE scientific_synonyms END, '|') AS synonyms FROM f""",
-    "authority_classes": f"""WITH {_CLASS} SELECT name, disposition, accepted, ambiguous, CASE WHEN ambiguous THEN 'Alba altera,Alba prima' END AS candidates, CASE WHEN adj = 'hot' THEN name || 'ta' END AS suggested, CASE WHEN adj = 'hot' THEN levenshtein(lower(name), lower(name || 'ta'))::INT END AS distance,
-      CASE adj WHEN 'blue' THEN 'EXACT' WHEN 'cold' THEN 'EXACT' WHEN 'old' THEN 'EXACT+nameusage' WHEN 'hot' THEN 'FUZZY' WHEN 'red' THEN 'HIGHERRANK' WHEN 'small' THEN 'NONE' ELSE 'NONE+nameusage' END AS match_type FROM cl""",
-    "authority_recheck": f"""WITH {_CLASS} SELECT name, CASE WHEN adj IN ('blue', 'old') THEN 'confirmed' WHEN adj IN ('cold', 'new', 'large') THEN 'synonym' ELSE 'not_found' END AS status, accepted, CASE WHEN ambiguous THEN 'Alba altera,Alba prima' END AS candidates, CASE adj WHEN 'hot' THEN name || 'ta' WHEN 'red' THEN name END AS suggested FROM cl""",
+    "authority_classes": f"""WITH {_CLASS} SELECT name, disposition, accepted, ambiguous, CASE WHEN ambiguous THEN array_to_string(targets, ',') END AS candidates, CASE WHEN disposition = 'typo' THEN canonical END AS suggested, CASE WHEN disposition = 'typo' THEN levenshtein(lower(name), lower(canonical))::INT END AS distance,
+      kind || CASE WHEN back AND (own IS NOT NULL OR len(targets) > 0) THEN '+nameusage' ELSE '' END AS match_type FROM cl""",
+    "authority_recheck": f"""WITH {_CLASS}, r AS (SELECT *, coalesce(kind = 'EXACT' AND status = 'ACCEPTED' AND rank IN {_RANKS} AND lower(canonical) = lower(name), false) AS sure, usage_key IS NOT NULL AND coalesce(status = 'SYNONYM', false) AS syn FROM cl),
+      x AS (SELECT *, CASE WHEN sure THEN 'confirmed' WHEN syn THEN 'synonym' WHEN own IS NOT NULL THEN 'confirmed' WHEN len(targets) > 0 THEN 'synonym' ELSE 'not_found' END AS verdict FROM r)
+      SELECT name, verdict AS status, CASE WHEN sure THEN canonical WHEN syn THEN coalesce(accepted_canonical, canonical) ELSE coalesce(own, CASE WHEN len(targets) = 1 THEN targets[1] END) END AS accepted,
+      CASE WHEN NOT sure AND NOT syn AND own IS NULL AND len(targets) > 1 THEN array_to_string(targets, ',') END AS candidates, CASE WHEN verdict = 'not_found' AND kind IN ('FUZZY', 'HIGHERRANK') THEN canonical END AS suggested FROM x""",
     "identity_groups": f"""WITH {_CLASS}, {_DEC}, d AS (SELECT cl.*, action, CASE WHEN action = 'exclude' THEN NULL WHEN action IN ('ambiguous', 'trade_ambiguous') OR (action IS NULL AND ambiguous) THEN 'amb:' || cl.name ELSE coalesce(CASE WHEN action IN ('accept', 'genus') THEN target WHEN action = 'correct' THEN coalesce(target, cl.name || 'ta') ELSE accepted END, 'unk:' || cl.name) END AS gk,
       CASE WHEN action = 'accept' THEN 'owner-resolved' WHEN action = 'genus' THEN 'genus_level' WHEN action = 'correct' THEN 'typo-corrected' WHEN action = 'trade_ambiguous' THEN 'trade_ambiguous' WHEN action = 'ambiguous' OR ambiguous THEN 'species_ambiguous' WHEN accepted IS NULL THEN 'trade_ambiguous' WHEN disposition = 'accepted' THEN 'accepted' ELSE 'synonym-resolved' END AS st FROM cl LEFT JOIN dec USING (name)),
       g AS (SELECT *, list_position({_list(backbone.STATUS_ORDER)}, st) AS rk FROM d WHERE gk IS NOT NULL), o AS (SELECT gk, first(st ORDER BY rk, name) AS st, list_sort(list(name)) AS names, count(*) AS n, bool_or(ambiguous) AS am FROM g GROUP BY gk)
@@ -347,7 +359,7 @@ ORACLE_SQL = {
       UNION ALL SELECT nr + 6000000, 'note', accepted_name, canonical_id, 'applied' FROM i WHERE old AND noun = 'ring' UNION ALL SELECT nr + 7000000, 'keep_synonym', accepted_name, canonical_id, 'applied' FROM i WHERE adj = 'cold' UNION ALL SELECT 8000001, 'add_common', 'Nova absens', 'nova-absens', 'created'
       UNION ALL SELECT 9000001, 'note', 'nova ABSENS', 'nova-absens', 'applied' UNION ALL SELECT 10000001, 'note', 'Nobody', NULL, 'not_found' UNION ALL SELECT nr + 11000000, 'remove_common', canonical_id, canonical_id, 'skipped' FROM i WHERE adj = 'hot' UNION ALL SELECT nr + 12000000, 'adopt', accepted_name, canonical_id, 'skipped' FROM i WHERE canonical_id = 'cold-rod'""",
     "set_assertions": """SELECT * FROM (VALUES ('same', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) + (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) = 0), ('subset', (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) = 0),
-      ('superset', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) = 0), ('accounts', true), ('lost', false)) AS t(name, holds)""",
+      ('superset', (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) = 0), ('accounts', (SELECT count(*) FILTER (WHERE s_acctbal >= 0) + count(*) FILTER (WHERE s_acctbal < 0) = count(*) FROM supplier)), ('lost', (SELECT count(*) FILTER (WHERE s_acctbal >= 0) = count(*) FROM supplier))) AS t(name, holds)""",
     "truncation_report": "SELECT count(*) AS total, array_to_string(list_sort(list(n_name))[1:5], ',') AS shown, count(*) > 5 AS truncated FROM nation",
     "sentinel_sort": f"WITH {q.IDENTITIES} SELECT canonical_id, row_number() OVER (ORDER BY CASE WHEN canonical_id LIKE 'old-%' THEN '~' || canonical_id ELSE accepted_name END) AS place FROM ident",
     "locale_sort": f"""WITH {_NAUTH}, s AS (SELECT CASE adj WHEN 'cold' THEN translate(adj || ' ' || noun, 'o', 'ö') WHEN 'large' THEN {_CAPA} || ' ' || {_CAPN} WHEN 'hot' THEN translate(adj || ' ' || noun, 'oe', 'óé') WHEN 'new' THEN upper(adj || ' ' || noun) ELSE adj || ' ' || noun END AS name FROM nn)

@@ -66,8 +66,9 @@ def versioned_artifacts(spark: SparkSession, sf: str) -> DataFrame:
 
 def artifact_meta(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "meta")
-    sinks.write_artifact(table(spark, sf, "region"), root, "regions", "v7", {"built_from": "region"})
-    return spark.read.schema("artifact STRING, version STRING, built_from STRING").json(f"{root}/regions-meta/version=v7")
+    r = table(spark, sf, "region")
+    sinks.write_artifact(r, root, "regions", f"v{r.count()}", {"built_from": ",".join(sorted(x["r_name"] for x in r.select("r_name").collect()))})  # five rows
+    return spark.read.schema("artifact STRING, version STRING, built_from STRING").json(f"{root}/regions-meta/version=v*")
 
 
 def authority_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +192,7 @@ ORACLE_SQL = {
     "mapping_lines": "SELECT lower(n_name) AS common_name, n_name || ' -> x' AS accepted FROM nation WHERE n_nationkey % 5 > 2",
     "glob_rows": "SELECT s_nationkey % 4 AS part, count(*) AS n, sum(s_suppkey)::BIGINT AS keys FROM supplier GROUP BY 1",
     "versioned_artifacts": "SELECT n_nationkey, n_name FROM nation",
-    "artifact_meta": "SELECT 'regions' AS artifact, 'v7' AS version, 'region' AS built_from",
+    "artifact_meta": "SELECT 'regions' AS artifact, 'v' || count(*) AS version, string_agg(r_name, ',' ORDER BY r_name) AS built_from FROM region",
     "authority_table": "WITH n AS (SELECT DISTINCT p_name || CASE WHEN p_size < 3 THEN '?' ELSE '' END AS name FROM part), a AS (SELECT p_name AS name, max_by(p_brand, p_partkey) AS canonical FROM part WHERE p_size > 20 GROUP BY 1) SELECT name, canonical, canonical IS NOT NULL AS known FROM n LEFT JOIN a USING (name)",
     "digests": "SELECT r_regionkey, (length(r_name) + 1)::BIGINT AS length, sha256(r_name || chr(10)) AS sha256 FROM region",
     "minimal_payloads": """SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"' || CASE WHEN p_size > 25 THEN ',"brand":"' || p_brand || '"' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN ',"flag":true' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ',"types":["' || p_type || '"]' ELSE '' END || '}' AS payload FROM part""",
