@@ -269,6 +269,16 @@ def text_functions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def botanical_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles of a botanical catalogue: its form and part words go, and its vernacular last words make no scientific name."""
+    v, k = text.BOTANICAL, F.col("p_partkey")
+    nth = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.pmod(k, F.lit(len(xs))).cast("int"))
+    label = F.concat(F.initcap(nth(v.form)), F.lit(" "), "p_name", F.lit(" (x y) "), nth(v.parts), F.lit(" "), nth(v.noise))
+    last = F.when(F.col("p_size") % 2 == 0, nth(v.vernacular)).otherwise(F.split("p_name", " ")[0])
+    p = table(spark, sf, "part").select("p_partkey", label.alias("label"), F.concat(F.initcap(F.split("p_name", " ")[1]), F.lit(" "), last).alias("name"))
+    return p.select("p_partkey", text.part_strip("label", v).alias("stripped"), text.clean_label("label", v).alias("cleaned"), text.is_scientific("name", v.vernacular).alias("scientific"), F.array_join(text.ngram_candidates("name", v), "|").alias("ngrams"))
+
+
 def caveats(spark: SparkSession, sf: str) -> DataFrame:
     sel = decide.select_ladder(c.cells(spark, sf), c.cell_formats(spark, sf)).select("product", "role", "k", "selected")
     f = c.cell_formats(spark, sf).select("product", "role", F.col("code").alias("selected"), "note")
@@ -276,7 +286,7 @@ def caveats(spark: SparkSession, sf: str) -> DataFrame:
     return sel.join(f, ["product", "role", "selected"], "left").select("product", "role", decide.one_caveat(status, F.col("selected"), F.col("note")).alias("caveat"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_rows, ingest_queues, ingest_supplier_metrics, ingest_distribution, delta_extract, delta_recovered, worklist_keep, family_difference, review_cost, ladder_observed, storefront_graph, alias_pools, name_flip, authority_classes, authority_recheck, identity_groups, triage_overlay, enrichment_set, mapping_round, adopted_names, adjudication_patches, adjudication_report, set_assertions, truncation_report, sentinel_sort, locale_sort, map_references, text_functions, caveats)}
+QUERIES = {f.__name__: f for f in (ingest_rows, ingest_queues, ingest_supplier_metrics, ingest_distribution, delta_extract, delta_recovered, worklist_keep, family_difference, review_cost, ladder_observed, storefront_graph, alias_pools, name_flip, authority_classes, authority_recheck, identity_groups, triage_overlay, enrichment_set, mapping_round, adopted_names, adjudication_patches, adjudication_report, set_assertions, truncation_report, sentinel_sort, locale_sort, map_references, text_functions, botanical_titles, caveats)}
 
 
 def _list(xs) -> str:
@@ -368,5 +378,10 @@ ORACLE_SQL = {
     "text_functions": rf"""WITH p AS (SELECT *, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part), w AS (SELECT *, {_CAPA} || ' ' || {_CAPN} AS cap FROM p)
       SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN '[IN] ' ELSE '' END || cap || ' powder' || CASE WHEN p_size % 3 = 0 THEN ' (a) ( b )' ELSE '' END AS squeezed, CASE WHEN p_size % 2 = 0 THEN '[IN] ' ELSE '' END || cap || ' powder' AS bare, CASE WHEN p_size % 3 = 0 THEN 'b,a' ELSE '' END AS groups,
       CASE WHEN p_size % 2 = 0 THEN '[IN]' ELSE '' END AS country, cap AS common, {_CAPN} || ' ' || adj AS canonical, {_CAPN} AS genus, CASE WHEN p_size % 3 = 1 THEN 'alba' END AS infra, CASE WHEN p_size % 3 = 1 THEN 'infraspecific' ELSE 'species' END AS rank, p_size <= 25 AS scientific, 'ring' AS part FROM w""",
+    "botanical_titles": f"""WITH v AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, p_size, {_list(text.BOTANICAL.form)} AS form, {_list(text.BOTANICAL.parts)} AS parts, {_list(text.BOTANICAL.noise)} AS noise, {_list(text.BOTANICAL.vernacular)} AS vern FROM part),
+      l AS (SELECT *, upper(form[p_partkey % len(form) + 1][1]) || form[p_partkey % len(form) + 1][2:] || ' ' || p_name || ' (x y) ' || parts[p_partkey % len(parts) + 1] || ' ' || noise[p_partkey % len(noise) + 1] AS label, CASE WHEN p_size % 2 = 0 THEN vern[p_partkey % len(vern) + 1] ELSE adj END AS last FROM v),
+      n AS (SELECT *, {_CAPN} || ' ' || last AS title FROM l)
+      SELECT p_partkey, array_to_string({q.tokens('label', q.words(text.BOTANICAL.strip))}, ' ') AS stripped, array_to_string({q.tokens('label', q.words(text.BOTANICAL.label_words))}, ' ') AS cleaned, NOT list_contains(vern, last) AS scientific,
+      title || '|' || {_CAPN} AS ngrams FROM n""",
     "caveats": f"WITH {_CELLS} SELECT s.product, s.role, CASE WHEN s.k % 5 = 0 THEN 'ambiguous_name' WHEN s.k % 5 = 1 THEN 'unknown_name' WHEN s.selected IS NULL THEN 'no_suitable_format' WHEN f.note IS NOT NULL THEN string_split(f.note, '. ')[1] || '.' ELSE 'confirm_sku' END AS caveat FROM sel s LEFT JOIN fmt f ON f.product = s.product AND f.role = s.role AND f.code = s.selected",
 }
