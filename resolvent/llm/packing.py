@@ -258,21 +258,23 @@ class _Open:
             yield batch()
 
 
-def _shards(batches, shard: _Open, most_docs: int, most_ids: int):
-    """Fill the shard from the batches; yields (first number of its sequences, the rows that it is made of) when it is full."""
+def _shards(batches, shard: _Open, most_docs: int, most_ids: int, keep: bool = False):
+    """Fill the shard from the batches; yields (first number of its sequences, with ``keep`` the rows that it is made of) when it
+    is full."""
     number, held = row_base(), []
 
     for b in batches:
         buf, off = utf8(b.column(1))
         for i, j in pieces(off):
             shard.add(b.column(0)[i:j], buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            held.append(b.slice(i, j - i))
+            if keep:
+                held.append(b.slice(i, j - i))
             if shard.n_docs >= most_docs or shard.n_ids >= most_ids:
                 yield number, held
                 number += shard.room
                 shard.clear()
                 held = []
-    if held:
+    if shard.n_docs:
         yield number, held
 
 
@@ -300,7 +302,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, shard_
         return rows.mapInArrow(tidy(run), schema)
 
     def members(batches):
-        for number, held in _shards(batches, _Open(path, end_id, window), shard_docs, shard_ids):
+        for number, held in _shards(batches, _Open(path, end_id, window), shard_docs, shard_ids, keep=True):
             for b in held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, number)), *b.columns], ["shard", "doc_id", "text"])
 

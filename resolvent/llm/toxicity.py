@@ -12,6 +12,8 @@ entries, on training rows that the lexicon has not seen.
 
 from __future__ import annotations
 
+import functools
+import math
 import uuid
 
 import numpy as np
@@ -35,7 +37,7 @@ ALIKE = {
 }
 #: Letters spelled one by one that are read as one word alone, and that may be part of one; bytes of a token that may be the
 #: rest of it; decoded forms kept per worker.
-SPELLED, FEW, REST, KEPT = 3, 2, 3, 60_000
+SPELLED, FEW, REST, KEPT = 3, 2, 3, 30_000
 #: Channel costs of a separator inside a token: that it goes, that it ends a word; the first pair where all its letters stand alone.
 ALONE, INSIDE = (0.1, 4.0), (4.5, 0.5)
 #: Training rows of each class at most; entries of the model, the strongest; deviations of the confidence bound.
@@ -101,6 +103,7 @@ def costs(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
     return -np.log(three)
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def _options(ch: str, drawn: int, separator: tuple[float, float]) -> list[tuple[int, str, float]]:
     """(symbol, character, channel cost) of what a character may stand for; symbol -1: nothing is written."""
     if "\uff21" <= ch <= "\uff5a":  # full width
@@ -110,7 +113,7 @@ def _options(ch: str, drawn: int, separator: tuple[float, float]) -> list[tuple[
         return [(ord(ch) - 96, ch, 0.0), *once]
     if ch in LOOKS:
         letters = LOOKS[ch]
-        return [(ord(c) - 96, c, 0.5 + np.log(len(letters))) for c in letters] + [(-1, "", 9.0), *once]
+        return [(ord(c) - 96, c, 0.5 + math.log(len(letters))) for c in letters] + [(-1, "", 9.0), *once]
     if ch in ALIKE:
         return [(27, ch, 0.0), (ord(ALIKE[ch]) - 96, ALIKE[ch], 0.5), *once]
     if ord(ch) >= 128:
@@ -118,51 +121,62 @@ def _options(ch: str, drawn: int, separator: tuple[float, float]) -> list[tuple[
     return [(-1, "", separator[0]), (0, " ", separator[1])]
 
 
-def restore(token: str, cost: np.ndarray) -> str:
+def restore(token: str, cost: np.ndarray, nested: list | None = None, tails: dict | None = None) -> str:
     """The likeliest word behind a lower-cased token, by Viterbi search of its character lattice; linear in its length.
 
     Letters stay; a letter or sign like the one before may be a repetition of it; a sign is one of the letters that it
     resembles, or nothing; a separator is nothing, or ends a word (a space in the result).  Of paths of equal cost the
     result that sorts first stays; in a token with several masks, which is searched over all pairs of symbols at once, one of
-    them stays, always the same.  Paths are kept as linked tails, so a long token costs no more for each character.
+    them stays, always the same.  Paths are kept as linked tails, so a long token costs no more for each character.  ``nested`` is
+    ``cost.tolist()`` and ``tails`` an empty dict, for callers that restore many tokens.
     """
     alone = not any(a.isalpha() and b.isalpha() for a, b in zip(token, token[1:]))
     separator = ALONE if alone else INSIDE
     if token.count("*") > 1:
+        head = token.rstrip("*")
+        if head.isascii() and head.isalpha() and all(a != b for a, b in zip(head, head[1:])):
+            # One path through the head: what the masks behind it stand for depends on its last two letters alone.
+            state = (ord(head[-2]) - 96 if len(head) > 1 else 0, ord(head[-1]) - 96)
+            key, tails = (*state, len(token) - len(head)), {} if tails is None else tails
+            if key not in tails:
+                tails[key] = _restore_masked(token[len(head) :], cost, separator, state)
+            return head + tails[key]
         return _restore_masked(token, cost, separator)
+    cost = cost.tolist() if nested is None else nested  # Python's own floats are the faster ones here
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     before, drawn = "", 1
     for ch in token:
         drawn = drawn + 1 if ch == before else 1
+        options = _options(ch, min(drawn, 3), separator)
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (so_far, tail) in states.items():
-            for symbol, c, channel in _options(ch, drawn, separator):
+            for symbol, c, channel in options:
                 if symbol < 0:
                     key, total, out = (a, b), so_far + channel, tail
                 elif symbol == 0:
                     if b == 0:
                         continue
-                    key, total, out = (0, 0), so_far + channel + cost[a, b, 0], (tail, c)
+                    key, total, out = (0, 0), so_far + channel + cost[a][b][0], (tail, c)
                 else:
-                    key, total, out = (b, symbol), so_far + channel + cost[a, b, symbol], (tail, c)
+                    key, total, out = (b, symbol), so_far + channel + cost[a][b][symbol], (tail, c)
                 held = new.get(key)
                 if held is None or total < held[0] or (total == held[0] and _text(out) < _text(held[1])):
                     new[key] = (total, out)
         states, before = new, ch
-    return min((total + cost[a, b, 0], _text(tail)) for (a, b), (total, tail) in states.items())[1].strip()
+    return min((total + cost[a][b][0], _text(tail)) for (a, b), (total, tail) in states.items())[1].strip()
 
 
-def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float]) -> str:
-    """The same search over all pairs of symbols at once, for tokens with several masks."""
+def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float], state: tuple[int, int] = (0, 0)) -> str:
+    """The same search over all pairs of symbols at once, for tokens with several masks; ``state`` has the symbols before."""
     dist = np.full((_N, _N), np.inf)
-    dist[0, 0] = 0.0
+    dist[state] = 0.0
     steps, before, drawn = [], "", 1
     for ch in token:
         drawn = drawn + 1 if ch == before else 1
         # From (a, b) to (b, symbol): the best a, and what is written; or (a, b) stays and nothing is written.
         new, back, written = np.full((_N, _N), np.inf), np.full((_N, _N), -2), {}
         through = dist[:, :, None] + cost
-        for symbol, c, channel in _options(ch, drawn, separator):
+        for symbol, c, channel in _options(ch, min(drawn, 3), separator):
             if symbol < 0:
                 better = dist + channel < new
                 new[better], back[better] = (dist + channel)[better], -1
@@ -206,13 +220,13 @@ class Restorer:
     """Words of documents, with disguised tokens restored; decoded forms are kept per worker process."""
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.kept = cost, {}
+        self.cost, self.nested, self.kept, self.tails = cost, cost.tolist(), {}, {}
 
     def _restored(self, token: str) -> list[bytes]:
         if token not in self.kept:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-            self.kept[token] = [w.encode() for w in restore(token, self.cost).split()]
+            self.kept[token] = [w.encode() for w in restore(token, self.cost, self.nested, self.tails).split()]
         return self.kept[token]
 
     def words(self, buf: np.ndarray, off: np.ndarray):

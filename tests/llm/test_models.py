@@ -73,7 +73,7 @@ def all_paths(token, cost):
 def test_viterbi_equals_enumeration(spark):
     cost = toxicity.costs(toxicity.trigram_counts(table(spark, "documents")))
     rng = random.Random(6)
-    tokens = ["a$$", "@$$", "h*ll", "b**t", "i-d.i0t", "а$$", "m00n!e", "aa.bb", "ééa", "i d i"] + ["".join(rng.choice("aabeeilost013$@!.-é") for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    tokens = ["a$$", "@$$", "h*ll", "b**t", "i-d.i0t", "а$$", "m00n!e", "aa.bb", "ééa", "i d i", "a**", "id**", "idi**", "bb**", "b.**"] + ["".join(rng.choice("aabeeilost013$@!.-é") for _ in range(rng.randint(1, 7))) for _ in range(150)]
     for token in tokens:
         assert toxicity.restore(token, cost) == all_paths(token, cost)[1], token
 
