@@ -2,10 +2,11 @@
 folded in as many tasks as they fill.
 
 The next window of a start ``s`` begins at the first event at ``s + width`` or later, so every event points to another one, and
-the windows that are really open are the path from the key's first event.  Time is cut into cells of one width; a path has one
+the windows that are really open are the path from the key's first event.  Time is cut into cells of one width from there on; a path has one
 event in a cell at most.  Groups of 1, 2, 4 ... cells are composed level by level: an event that may be the first of the path
 in its group points to the first one behind the group.  Only events of a group's first cell, and the first event behind that
-cell, can be such, so each level has half the rows of the one before.  When a key's pointers are few enough for one task its
+cell, can be such, and in a key's first group only its first event, so each level has about half the rows of the one before and
+the last one a row a key.  When a key's pointers are few enough for one task its
 path over the large groups is walked there, and the levels are gone back to fill in what lies inside the groups.
 
 With the starts known a counter is a running number and a set the running number of first members, both by ``scan``.
@@ -51,11 +52,11 @@ def _pointers(times: DataFrame, width: int, partitions: int | None) -> DataFrame
 
 
 def _walk(top: DataFrame) -> DataFrame:
-    """``top(k, t, p, root)``, few rows a key -> ``(k, t)``: the path from the root."""
+    """``top(k, t, p, first)``, few rows a key -> ``(k, t)``: the path from the key's first event."""
 
     def one(table: pa.Table) -> pa.Table:
         to = dict(zip(table["t"].to_pylist(), table["p"].to_pylist()))
-        at, path = next(t for t, r in zip(table["t"].to_pylist(), table["root"].to_pylist()) if r), []
+        at, path = table["first"][0].as_py(), []
         while at is not None:
             path.append(at)
             at = to[at]
@@ -70,23 +71,25 @@ def window_starts(times: DataFrame, width: int, most: int = BUSY, partitions: in
     ``most`` is the number of pointers of a key that one task walks along."""
     distinct = times.distinct()
     firsts = distinct.groupBy("k").agg(F.min("t").alias("first"))
-    nodes = _pointers(distinct, width, partitions).join(firsts, "k").select("k", "t", "p", (F.col("t") == F.col("first")).alias("root"))
-    levels = [cut_lineage(nodes)]
+    levels = [cut_lineage(_pointers(distinct, width, partitions).join(firsts, "k").select("k", "t", "p", "first"))]
+    since = lambda c: F.col(c) - F.col("first")
     while True:
         now, level = levels[-1], len(levels)
         if (now.groupBy("k").count().agg(F.max("count")).first()[0] or 0) <= most:
             break
-        group, cell = _cell(F.col("t"), width, level), _cell(F.col("t"), width)
-        head = F.pmod(cell, F.lit(1 << level)) == 0
+        group = _cell(since("t"), width, level)
+        head = F.pmod(_cell(since("t"), width), F.lit(1 << level)) == 0
         behind = now.where(~head).groupBy("k", group.alias("g")).agg(F.min("t").alias("b"))
-        entry = now.withColumn("g", group).join(behind, ["k", "g"], "left").where(head | F.col("root") | (F.col("t") == F.col("b"))).select("k", "t", "p", "root")
+        entry = F.when(F.col("g") == 0, F.col("t") == F.col("first")).otherwise(head | F.coalesce(F.col("t") == F.col("b"), F.lit(False)))
+        entries = now.withColumn("g", group).join(behind, ["k", "g"], "left").where(entry).select("k", "t", "p", "first")
         on = now.select(F.col("k").alias("fk"), F.col("t").alias("f"), F.col("p").alias("far"))
-        inside = _cell(F.col("p"), width, level) == group
-        levels.append(cut_lineage(entry.join(on, (F.col("k") == F.col("fk")) & (F.col("p") == F.col("f")), "left").select("k", "t", F.when(inside, F.col("far")).otherwise(F.col("p")).alias("p"), "root")))
+        inside = _cell(since("p"), width, level) == group
+        joined = entries.join(on, (F.col("k") == F.col("fk")) & (F.col("p") == F.col("f")), "left")
+        levels.append(cut_lineage(joined.select("k", "t", F.when(inside, F.col("far")).otherwise(F.col("p")).alias("p"), "first")))
     starts = cut_lineage(_walk(levels[-1]))
     for level in range(len(levels) - 1, 0, -1):
-        below = starts.join(levels[level - 1].select("k", "t", "p"), ["k", "t"])
-        inner = below.where(_cell(F.col("p"), width, level) == _cell(F.col("t"), width, level)).select("k", F.col("p").alias("t"))
+        below = starts.join(levels[level - 1], ["k", "t"])
+        inner = below.where(_cell(since("p"), width, level) == _cell(since("t"), width, level)).select("k", F.col("p").alias("t"))
         starts = cut_lineage(starts.unionByName(inner))
     return starts
 

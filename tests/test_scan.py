@@ -65,6 +65,18 @@ def test_busy_chains_fold_as_others_do(spark, mixed):
     assert reason() == reason(busy=90) and len({x for _, x in reason()}) == 3
 
 
+def test_a_window_of_very_many_events_ends(spark):
+    """All of a key's events lie in one window, or in the first and the last cell of many: the levels still come to an end."""
+    for times in (list(range(60)), [*range(40), *range(5000, 5040)], [-3, *range(40)]):
+        e = spark.createDataFrame([("hot", t) for t in times], "k string, t long")
+        want, at = [], None
+        for t in times:
+            if at is None or t >= at + 1000:
+                at = t
+                want.append(t)
+        assert sorted(r.t for r in anchored.window_starts(e, 1000, most=5).collect()) == want
+
+
 def test_a_busy_key_is_many_tasks(spark):
     e = spark.range(4000).select(F.col("id").alias("event_id"), F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 3).alias("ts"), (F.col("id") * 3).alias("_t"))
     rows = anchored.opened(e, "k", 100, ("event_id",), most=10, partitions=5)
