@@ -321,9 +321,9 @@ def test_readers_and_sinks(spark, tmp_path):
     assert "| 1 |" in sinks.markdown_report(spark, "T", spark.createDataFrame([(1,)], "n int"))
     from resolvent.plans.source_queries import _workbook
 
-    (tmp_path / "b.xlsx").write_bytes(_workbook([["Name", "", "No"], ["Sun & Moon", "x", "7"]]))
+    (tmp_path / "b.xlsx").write_bytes(_workbook([("Name", 0), ("Sun & Moon", 7)]))
     got = readers.read_sheet_cells(spark, str(tmp_path / "b.xlsx")).orderBy("row_no").collect()
-    assert [r.cells for r in got] == [["Name", "", "No"], ["Sun & Moon", "x", "7"]]
+    assert [r.cells for r in got] == [["Name", "", "0", "a <b>", "False", "2024-01-01 00:00:00"], ["Sun & Moon", "", "7", "a <b>", "True", "2024-01-08 00:00:00"]]
     with pytest.raises(Exception, match="(?i)path"):
         readers.read_sheet_cells(spark, str(tmp_path / "none.xlsx"))
 
