@@ -47,6 +47,9 @@ EVIDENCE = 6
 #: Bytes of the word beginnings that are entries beside whole words.
 PREFIXES = (4, 5, 6, 7, 8, 10)
 
+#: Bytes that are worked on at once: many arrays of a number for each byte.
+PIECE = 1 << 18
+
 # Classes of bytes: 0 white space, 1 letter, 2 looks like a letter, 3 other.
 _CLASS = np.full(256, 3, np.uint8)
 _CLASS[[*range(0x09, 0x0E), 0x20]] = 0
@@ -75,7 +78,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(_N**3, np.int64)
         for b in batches:
             buf, off = utf8(b.column(0))
-            for i, j in pieces(off):
+            for i, j in pieces(off, PIECE):
                 own = buf[off[i] : off[j]]
                 own = own[(own < 0x80) | (own >= 0xC0)]  # one symbol for each character
                 x = np.concatenate([np.zeros(2, np.int32), _SYMBOL[own], np.zeros(1, np.int32)])
@@ -132,20 +135,13 @@ def restore(token: str, cost: np.ndarray, nested: list | None = None, tails: dic
     """
     alone = not any(a.isalpha() and b.isalpha() for a, b in zip(token, token[1:]))
     separator = ALONE if alone else INSIDE
-    if token.count("*") > 1:
-        head = token.rstrip("*")
-        if head.isascii() and head.isalpha() and all(a != b for a, b in zip(head, head[1:])):
-            # One path through the head: what the masks behind it stand for depends on its last two letters alone.
-            state = (ord(head[-2]) - 96 if len(head) > 1 else 0, ord(head[-1]) - 96)
-            key, tails = (*state, len(token) - len(head)), {} if tails is None else tails
-            if key not in tails:
-                tails[key] = _restore_masked(token[len(head) :], cost, separator, state)
-            return head + tails[key]
-        return _restore_masked(token, cost, separator)
-    cost = cost.tolist() if nested is None else nested  # Python's own floats are the faster ones here
+    masks = len(token) - len(token.rstrip("*"))
+    if token.count("*") > max(1, masks):
+        return _restore_masked(token, cost, separator)[1].strip()
+    table = cost.tolist() if nested is None else nested  # Python's own floats are the faster ones here
     states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     before, drawn = "", 1
-    for ch in token:
+    for ch in token[: len(token) - masks] if masks > 1 else token:
         drawn = drawn + 1 if ch == before else 1
         options = _options(ch, min(drawn, 3), separator)
         new: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -156,18 +152,27 @@ def restore(token: str, cost: np.ndarray, nested: list | None = None, tails: dic
                 elif symbol == 0:
                     if b == 0:
                         continue
-                    key, total, out = (0, 0), so_far + channel + cost[a][b][0], (tail, c)
+                    key, total, out = (0, 0), so_far + channel + table[a][b][0], (tail, c)
                 else:
-                    key, total, out = (b, symbol), so_far + channel + cost[a][b][symbol], (tail, c)
+                    key, total, out = (b, symbol), so_far + channel + table[a][b][symbol], (tail, c)
                 held = new.get(key)
                 if held is None or total < held[0] or (total == held[0] and _text(out) < _text(held[1])):
                     new[key] = (total, out)
         states, before = new, ch
-    return min((total + cost[a][b][0], _text(tail)) for (a, b), (total, tail) in states.items())[1].strip()
-
-
-def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float], state: tuple[int, int] = (0, 0)) -> str:
-    """The same search over all pairs of symbols at once, for tokens with several masks; ``state`` has the symbols before."""
+    if masks > 1:  # what masks at the end stand for depends on the last two symbols before them alone
+        tails, ends = {} if tails is None else tails, []
+        for (a, b), (total, tail) in states.items():
+            if (a, b, masks) not in tails:
+                tails[a, b, masks] = _restore_masked("*" * masks, cost, separator, (a, b))
+            more, text = tails[a, b, masks]
+            ends.append((total + more, _text(tail) + text))
+        return min(ends)[1].strip()
+    return min((total + table[a][b][0], _text(tail)) for (a, b), (total, tail) in states.items())[1].strip()
+
+
+def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float], state: tuple[int, int] = (0, 0)) -> tuple[float, str]:
+    """The same search over all pairs of symbols at once, for tokens with several masks: cost and text; ``state`` has the symbols
+    before."""
     dist = np.full((_N, _N), np.inf)
     dist[state] = 0.0
     steps, before, drawn = [], "", 1
@@ -175,14 +180,14 @@ def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float]
         drawn = drawn + 1 if ch == before else 1
         # From (a, b) to (b, symbol): the best a, and what is written; or (a, b) stays and nothing is written.
         new, back, written = np.full((_N, _N), np.inf), np.full((_N, _N), -2), {}
-        through = dist[:, :, None] + cost
         for symbol, c, channel in _options(ch, min(drawn, 3), separator):
             if symbol < 0:
                 better = dist + channel < new
                 new[better], back[better] = (dist + channel)[better], -1
                 continue
-            best = through[:, :, symbol].argmin(0)
-            total = through[best, np.arange(_N), symbol] + channel
+            through = dist + cost[:, :, symbol]
+            best = through.argmin(0)
+            total = through[best, np.arange(_N)] + channel
             written[symbol] = c
             if symbol == 0:  # a word ends: all of them meet in (0, 0)
                 b = int(total[1:].argmin()) + 1
@@ -195,6 +200,7 @@ def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float]
         dist, before = new, ch
     final = dist + cost[:, :, 0]
     a, b = divmod(int(final.argmin()), _N)
+    least = float(final[a, b])
     out = []
     for back, written in reversed(steps):
         k = int(back[a, b])
@@ -202,7 +208,7 @@ def _restore_masked(token: str, cost: np.ndarray, separator: tuple[float, float]
             continue
         out.append(written[b])
         a, b = (k % _N, k // _N - 1) if k >= _N else (k, a)
-    return "".join(reversed(out)).strip()
+    return least, "".join(reversed(out))
 
 
 def _text(tail: tuple) -> str:
@@ -306,10 +312,10 @@ def _between(good: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     n = len(good)
     if not len(starts):
         return starts, ends, np.zeros(0, bool)
-    place = np.arange(n)
-    last = np.maximum.accumulate(np.where(good, place, -1))
-    head = np.minimum.accumulate(np.where(good, place, n)[::-1])[::-1]
-    begin, end = head[starts], last[ends - 1] + 1
+    place = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    last = np.maximum.accumulate(np.where(good, place, place.dtype.type(-1)))
+    head = np.minimum.accumulate(np.where(good, place, place.dtype.type(n))[::-1])[::-1]
+    begin, end = head[starts].astype(np.int64), last[ends - 1].astype(np.int64) + 1
     some = (begin < end) & (begin < ends)
     return np.where(some, begin, starts), np.where(some, end, starts), some
 
@@ -347,7 +353,7 @@ def lexicon(train: DataFrame, held, totals: dict[int, int]) -> tuple[np.ndarray,
         for b in batches:
             buf, off = utf8(b.column(0))
             y = np.asarray(b.column(1)).astype(np.int64)
-            for i, j in pieces(off):
+            for i, j in pieces(off, PIECE):
                 pad, starts, ends, doc = restorer.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 h = np.concatenate(entry_hashes(pad, starts, ends))
                 d = np.tile(doc, 1 + len(PREFIXES))
@@ -431,7 +437,7 @@ def annotated(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int =
 
         def read(column: pa.Array) -> np.ndarray:
             buf, off = utf8(column)
-            x = [evidence(buf[off[i] : off[j]], off[i : j + 1] - off[i], restorer, table, weights) for i, j in pieces(off)]
+            x = [evidence(buf[off[i] : off[j]], off[i : j + 1] - off[i], restorer, table, weights) for i, j in pieces(off, PIECE)]
             return np.concatenate([*x, np.zeros((0, EVIDENCE))])
 
         return read
