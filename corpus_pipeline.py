@@ -27,10 +27,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest doc_id (nulls last), then the smallest text hash.  Texts
-    without words, null ones too, are copies of each other; of repeated rows one stays."""
+    """One document of each group of near copies stays: the smallest doc_id (nulls last), then the smallest text hash.  SimHash
+    fingerprints within 3 bits and MinHash bands propose, the exact sets of shingles decide.  Texts without words, null ones
+    too, are copies of each other; of repeated rows one stays."""
     importable(spark)
-    return near_copies.representatives(docs, size=5, similarity=0.8)
+    return near_copies.representatives(docs, size=5, similarity=0.8, radius=3)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of at least ``SIMILARITY``.
-
-Texts with equal sets are one node from the start.  MinHash signatures in ``BANDS`` bands of ``ROWS`` values propose
-candidates: a pair of similarity 0.8 shares no band with probability 0.00007, a more similar one with less.  The nodes of
-a band key are a bucket.  First every node is compared with its buckets' least node, on the exact sets; what these links
+"""Near copies by SimHash, held against the exact sets: texts whose sets of word shingles have a Jaccard similarity of at
+least ``SIMILARITY``.
+
+Texts with equal sets are one node from the start.  Each node has a SimHash fingerprint, the bit majorities over its set's
+hashes; fingerprints that differ in at most ``RADIUS`` bits link, all of them by ``simhash.links``, and the nodes of a
+component of fingerprints are a bucket.  Most pairs of similarity 0.8 differ in more bits (10 of 64 on average), so the nodes
+of each band of a MinHash signature, ``BANDS`` bands of ``ROWS`` values, are buckets too: a pair of similarity 0.8 shares no band
+with probability 0.00007, a more similar one with less.  In either kind the exact sets decide.  First every node is compared with its buckets' least node, on the exact sets; what these links
 connect needs no further look.  Then, in buckets that still have several components, all nodes of different components
 are compared exactly.  The nodes of the bucket's largest component are at home and need no comparison with each other: they and
 the others are cut into blocks of about ``BLOCK`` nodes by hash, and each block of others is compared with each block, so one
@@ -20,10 +23,10 @@ from ._arrow import mix, pieces, utf8
 from ._bloom import parted
 from ._spark import durable, tidy, tune
 from .components import components
-from .simhash import keyed_texts, one_of_each, shingle_hashes
+from .simhash import keyed_texts, links, majority, one_of_each, shingle_hashes
 
-#: Words of a shingle, least similarity, bands and values of a band.
-SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Words of a shingle, least similarity, differing bits of linked fingerprints, bands and values of a band.
+SIZE, SIMILARITY, RADIUS, BANDS, ROWS = 5, 0.8, 3, 24, 5
 #: Nodes of a block of a bucket.
 BLOCK = 256
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -172,8 +175,17 @@ def paired_blocks(placed: DataFrame, open_: DataFrame, block: int = BLOCK) -> Da
     return rows.select("key", "node", "root", F.least(own, "k").alias("i"), F.greatest(own, "k").alias("j"))
 
 
-def classes(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+def fingerprint_buckets(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``nodes(node, fp)`` -> ``(node, key)``: nodes share a key if their fingerprints link within ``radius`` bits, through others
+    too."""
+    prints = durable(nodes.select("fp").distinct())
+    roots = components(links(prints, radius)).select(F.col("node").alias("fp"), "root")
+    return nodes.select("node", "fp").join(roots, "fp", "left").select("node", F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "fp")).alias("key"))
+
+
+def classes(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS, bands: int = BANDS) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``(doc_id, text_hash, key, root)`` per row; equal roots are near copies or linked by some.
+    With 0 ``bands``, fingerprints alone propose.
 
     Texts without words, null and empty ones too, share one root; repeated rows get a row and a root each; an empty table gives no
     rows, and other columns are ignored."""
@@ -183,15 +195,17 @@ def classes(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -
         for b in batches:
             buf, off = utf8(b.column(3))
             for i, j in pieces(off):
-                node, keys = signatures(*shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], size))
+                h, first = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                node, keys = signatures(h, first)
                 held = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(3)), pa.array(node.view(np.int64)), held], ["doc_id", "text_hash", "key", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(3)), pa.array(node.view(np.int64)), pa.array(majority(h, first).view(np.int64)), held], ["doc_id", "text_hash", "key", "node", "fp", "keys"])
 
     named = keyed_texts(docs)
-    base = durable(named.mapInArrow(tidy(run), "doc_id long, text_hash long, key long, node long, keys array<long>"))
+    base = durable(named.mapInArrow(tidy(run), "doc_id long, text_hash long, key long, node long, fp long, keys array<long>"))
     # One row of each node stands for it.
-    nodes = durable(base.groupBy("node").agg(F.min("key").alias("of"), F.first("keys").alias("keys")))
-    every = nodes.where("node <> 0").select("node", F.explode("keys").alias("key"))
+    nodes = durable(base.groupBy("node").agg(F.min("key").alias("of"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    full = nodes.where("node <> 0")
+    every = durable(fingerprint_buckets(full, radius)).unionByName(full.select("node", F.explode(F.slice("keys", 1, bands)).alias("key")))
     shared = durable(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     keyed = durable(every.join(shared, "key"))
     wanted = durable(nodes.join(keyed.select("node").distinct(), "node").select("node", "of"))
@@ -202,7 +216,7 @@ def classes(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -
     return base.select("doc_id", "text_hash", "key", "node").join(durable(placed), "node").select("doc_id", "text_hash", "key", "root")
 
 
-def representatives(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+def representatives(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns kept, that stay when one document of each component does, chosen as by
     ``simhash.representatives``.  A text of fewer words than a shingle is one shingle; texts without words are copies."""
-    return one_of_each(docs, durable(classes(docs, size, similarity)))
+    return one_of_each(docs, durable(classes(docs, size, similarity, radius)))

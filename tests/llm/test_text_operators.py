@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from resolvent.llm import _arrow, components, decontam, line_dedup, near_copies,
 
 from .conftest import PHRASE
 
+#: Similarity 0.75, fingerprints (5-word shingles) 3 bits apart.
+PAIR = "w5625 b c d e f g", "w5625 b c d e f g h5625"
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -91,6 +95,40 @@ def test_near_copies_of_one_large_group(spark):
     assert [r.doc_id for r in kept] == [0]
 
 
+def test_fingerprints_propose_near_copies(spark):
+    """SimHash alone, without MinHash bands: pairs of a component of fingerprints within 3 bits link if their sets are similar."""
+    rng = random.Random(3)
+    docs = [(1, PAIR[0]), (2, PAIR[1]), (3, None), (4, " ")]
+    for family in range(40):
+        base = [f"f{family}-{k}" for k in range(rng.randint(150, 600))]
+        for k in range(4):
+            docs.append((100 + 10 * family + k, " ".join("changed" if j in (17 * k, 23 * k) and k else w for j, w in enumerate(base))))
+    text = pa.array([t or "" for _, t in docs])
+    h, first = near_copies.shingle_sets(*_arrow.utf8(text), 5)
+    prints, sets = simhash.majority(h, first), [set(h[i:j].tolist()) for i, j in zip(first, first[1:])]
+    near = np.bitwise_count(prints[:, None] ^ prints) <= 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    for similarity in (0.8, 0.7):
+        comp = list(range(len(docs)))
+
+        def join(pairs):
+            for i, j in pairs:
+                comp[:] = [comp[j] if c == comp[i] else c for c in comp]
+
+        join(np.argwhere(near))
+        linked = [(i, j) for i in range(len(docs)) for j in range(i) if comp[i] == comp[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+        comp = list(range(len(docs)))
+        join(linked)
+        want = {}
+        for c, (d, _) in zip(comp, docs):
+            want.setdefault(c, []).append(d)
+        got = {}
+        for r in near_copies.classes(frame, similarity=similarity, bands=0).collect():
+            got.setdefault(r.root, []).append(r.doc_id)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        assert ([1, 2] in [sorted(x) for x in got.values()]) == (similarity < 0.75) and 44 < len(got) < 162
+
+
 def test_one_unlike_node_costs_no_square_of_its_bucket(spark):
     n = 20_000
     placed = spark.range(n + 3).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("node"), F.greatest(F.col("id") - (n - 1), F.lit(0)).alias("root"))
