@@ -87,7 +87,7 @@ def _entries(x: np.ndarray, slot: np.ndarray) -> np.ndarray:
     key = np.sort((slot << np.uint32(12)) | np.arange(steps, dtype=np.uint32), axis=1)
     at = (key & np.uint32(0xFFF)).astype(np.int64)
     flat = at + (np.arange(lanes) * steps)[:, None]
-    ids = x.reshape(-1)[flat]
+    ids = x.reshape(-1).take(flat)
     same = (key[:, 1:] >> np.uint32(12)) == (key[:, :-1] >> np.uint32(12))
     hit = np.zeros((lanes, steps + 1), bool)  # one column ahead
     hit[:, 2:] = same & (ids[:, 1:] == ids[:, :-1])
@@ -128,8 +128,10 @@ def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     entry1, entry2 = _entries(x, slot1), _entries(x, slot2)
     # Each distinct id's entry in order 0 and the epoch that it is found in.
     epochs = _epochs(steps)
+    row, lane32 = (np.arange(lanes) * steps)[:, None], (np.arange(lanes) * 32)[:, None]
     order = np.argsort(x, axis=1, kind="stable")
-    ids = np.take_along_axis(x, order, 1)
+    sorted_at = (order + row).reshape(-1)
+    ids = x.reshape(-1).take(sorted_at).reshape(lanes, steps)
     cut = np.ones((lanes, steps), bool)
     np.not_equal(ids[:, 1:], ids[:, :-1], out=cut[:, 1:])
     starts = np.flatnonzero(cut)
@@ -142,9 +144,8 @@ def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     most = int(sizes.sum(1).max())
     place, epoch = np.empty((lanes, steps), np.int64), np.empty((lanes, steps), np.int8)
     size = np.diff(np.append(starts, lanes * steps))
-    np.put_along_axis(place, order, np.repeat(lane * most + entry, size).reshape(lanes, steps), 1)
-    np.put_along_axis(epoch, order, np.repeat(found.astype(np.int8), size).reshape(lanes, steps), 1)
-    row, lane32 = (np.arange(lanes) * steps)[:, None], (np.arange(lanes) * 32)[:, None]
+    place.reshape(-1)[sorted_at] = np.repeat(lane * most + entry, size)
+    epoch.reshape(-1)[sorted_at] = np.repeat(found.astype(np.int8), size)
     flat, places, epoch_of = x.reshape(-1), place.reshape(-1), epoch.reshape(-1)
     counts, weigh = np.zeros((lanes, most), np.int32), np.tile(_COUNTS, (lanes, 1, 1))
     begins, widths = np.empty((lanes, steps), np.uint32), np.empty((lanes, steps), np.uint32)
@@ -161,21 +162,21 @@ def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         base = (PARTS - SHARES * share) << 12
         ids, e1, e2 = x[:, t0:t1], entry1[:, t0:t1], entry2[:, t0:t1]
         at1, at2 = row + (e1 & 0xFFF), row + (e2 & 0xFFF)
-        id1, id2 = flat[at1], flat[at2]
+        id1, id2 = flat.take(at1), flat.take(at2)
         def placed(at, ids):
             """Begin and place in order 0 of the ids at flat positions."""
-            where = places[at]
-            begin = begin0[where]
-            new = np.flatnonzero(epoch_of[at].reshape(-1) >= k)
+            where = places.take(at)
+            begin = begin0.take(where)
+            new = np.flatnonzero(epoch_of.take(at).reshape(-1) >= k)
             of = new // at.shape[1]
             begin.reshape(-1)[new] = base[of] + share[of] * _CUM[ids.reshape(-1)[new]]
             return begin, where, new
 
         own, where, new = placed(row + np.arange(t0, t1), ids)
-        width = width0[where]
+        width = width0.take(where)
         width.reshape(-1)[new] = share[new // (t1 - t0)] * _UNITS[ids.reshape(-1)[new]]
         state = lane32 + ((e2 >> 12 << 2) | (e1 >> 12)) + 16 * (id1 == id2)
-        w = weight[state]
+        w = weight.take(state)
         w2, w1, w0 = w << np.uint32(24), (w >> np.uint32(8)) << np.uint32(24), w >> np.uint32(16)
         hit2, hit1 = id2 == ids, id1 == ids
         begins[:, t0:t1] = w2 * (placed(at2, id2)[0] < own) + w1 * (placed(at1, id1)[0] < own) + w0 * own
@@ -199,9 +200,9 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
     first = pos.copy()
 
     def emit(at: np.ndarray) -> None:
-        now = low[at]
-        out[pos[at]] = now >> _48
-        pos[at] += 1
+        now, p = low.take(at), pos.take(at)
+        out[p] = now >> _48
+        pos[at] = p + 1
         low[at] = now << _16
 
     for t in range(steps):
@@ -220,12 +221,12 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
             while p.size:
                 out[p] += np.uint16(1)
                 p = p[out[p] == 0] - 1
-        short = np.flatnonzero(r < _TOP)
+        short = (r < _TOP).nonzero()[0]
         while short.size:
             emit(short)
-            small = rng[short] << _16
+            small = rng.take(short) << _16
             rng[short] = small
-            short = short[small < _TOP]
+            short = short.compress(small < _TOP)
     for _ in range(4):
         emit(np.arange(lanes))
     return [out[i:j] for i, j in zip(first, pos)]
@@ -273,9 +274,9 @@ class _Search:
 
     def find(self, lane: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id (from bit 48), begin (from bit 24) and width of the intervals that hold ``want``, and their entries."""
-        entry = self.part[(lane << 12) + (want >> np.uint32(12))]
-        got = self.packed[lane * (self.most + 1) + entry]
-        gap = np.flatnonzero(entry == self.most)
+        entry = self.part.take((lane << 12) + (want >> np.uint32(12)))
+        got = self.packed.take(lane * (self.most + 1) + entry)
+        gap = (entry == self.most).nonzero()[0]
         if gap.size:
             of = lane[gap]
             share, base = self.share[of], self.base[of]
@@ -316,12 +317,12 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             if not a:
                 break
             slot = slot0[:, :a] + (context[:, :a] >> np.uint32(32 - SLOT_BITS))
-            entry = table[slot]
+            entry = table.take(slot)
             at = (entry & np.uint16(0xFFF)).astype(np.int64) * lanes + lane[:a]
-            i = known[at]
+            i = known.take(at)
             level, ids = entry >> np.uint16(12), (i >> _48).astype(np.uint32)
             state = state0[:a] + (level[0] << np.uint16(2) | level[1] | (ids[0] == ids[1]).astype(np.uint16) << np.uint16(4))
-            w = weight[state]
+            w = weight.take(state)
             w0, w = w >> np.uint32(16), (w >> part) << np.uint32(24)
             begin = (i >> _24).astype(np.uint32) & low24
             begin = w[::-1] * (begin[::-1] < begin) + w0 * begin
@@ -331,33 +332,36 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             target = np.minimum(target, np.uint64((1 << 32) - 1)).astype(np.uint32)
             off = target - begin
             hit = off < width
-            hit &= entry > 0
-            own = np.flatnonzero(~(hit[0] | hit[1]))
-            begins, widths, now = begin[1], width[1], i[1]
-            two = np.flatnonzero(hit[0])
-            entries = indices[at[1]]
-            over = (w[0] * (target >= begin[0]) + w[1] * (target >= begin[1]))[own]
-            begins[two], widths[two], now[two], entries[two] = begin[0, two], width[0, two], i[0, two], indices[at[0, two]]
+            live = entry > 0
+            hit &= live
+            two = hit[0]
+            own = (~(two | hit[1])).nonzero()[0]
+            over = (w[0] * (target >= begin[0]) + w[1] * (target >= begin[1])).take(own)
+            begins, widths, now, of = begin[1], width[1], i[1], at[1]
+            for to, by in ((begins, begin[0]), (widths, width[0]), (now, i[0]), (of, at[0])):
+                np.copyto(to, by, where=two)
+            entries = indices.take(of)
             if own.size:
-                scale = w0[own]
-                got, entries[own] = search.find(own, (target[own] - over) // scale)
+                scale = w0.take(own)
+                got, entries[own] = search.find(own, (target.take(own) - over) // scale)
                 begins[own], widths[own], now[own] = over + scale * ((got >> _24).astype(np.uint32) & low24), scale * (got.astype(np.uint32) & low24), got
             index[t, :a] = entries
             info[t, :a] = now
             c = value[:a]
             c -= r * begins
             r *= widths
-            short = np.flatnonzero(r < _TOP)
+            short = (r < _TOP).nonzero()[0]
             while short.size:
-                value[short] = (value[short] << _16) | flat[pos[short]]
-                pos[short] += 1
-                small = r[short] << _16
+                p = pos.take(short)
+                value[short] = (value.take(short) << _16) | flat.take(p)
+                pos[short] = p + 1
+                small = r.take(short) << _16
                 r[short] = small
-                short = short[small < _TOP]
+                short = short.compress(small < _TOP)
             rng[:a] = r
             new = (now >> _48).astype(np.uint32)
             x[t, :a] = new
-            hit = (ids == new) & (entry > 0)
+            hit = (ids == new) & live
             table[slot] = np.uint16(t + 0x1000) + hit * (np.minimum(level, np.uint16(2)) << np.uint16(12))
             kind = hit.view(np.uint8)
             taken[t - t0, :a] = state * 3 + (2 - np.maximum(kind[0] << 1, kind[1]))
