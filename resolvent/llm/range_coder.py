@@ -15,7 +15,8 @@ coder that emits 16-bit words and carries into words already written.
 
 Blocks share nothing: numpy codes all blocks of a group together, and any block can be decoded and verified alone;
 its header has its number of ids, its words and the CRC-32 of its ids.  The encoder knows all ids, so it derives what
-the tables hold at every step by sorting, and only the range arithmetic runs step by step.
+the tables hold at every step by sorting, and only the range arithmetic runs step by step; what it wrote is put together
+at the end, carries included.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import zlib
 import numpy as np
 
 #: Ids of a block (at most 2,048), blocks coded together, blocks modelled together, log2 of the slots of a table.
-BLOCK, GROUP, CHUNK, SLOT_BITS = 2048, 2048, 64, 11
+BLOCK, GROUP, CHUNK, SLOT_BITS = 2048, 4096, 64, 11
 #: Ids after which a block's frequencies and weights are renewed.
 RENEW = [32, 96, 256, 512, 1024, 1536]
 _HEAD = struct.Struct("<4sIII")
 _MAGIC = b"RCB2"
 _TOP = np.uint64(1 << 48)
-_16, _24, _32, _48 = np.uint64(16), np.uint64(24), np.uint64(32), np.uint64(48)
+_16, _32, _40, _48, _ID = np.uint64(16), np.uint64(32), np.uint64(40), np.uint64(48), np.uint64(0xFFFF)
 #: Order 0 has PARTS parts of 2^12 units; the prior has 2^18 units, that is 64 parts, times the share of new ids.
 PARTS, PRIOR, SHARES, WEIGHTS = 4096, 1 << 18, 64, 256
 MASS = PARTS << 12
@@ -50,6 +51,8 @@ def _prior() -> np.ndarray:
 
 _CUM = _prior()
 _UNITS = np.diff(_CUM)
+#: Begin (from bit 40) and width (from bit 16) of each id in the prior.
+_SPAN = (_CUM[:-1] << 40 | _UNITS << 16).astype(np.uint64)
 #: The id at each unit of the prior.
 _FIND = np.repeat(np.arange(1 << 16, dtype=np.uint16), _UNITS)
 _HASH = (np.uint32(0x9E3779B1), np.uint32(0xC2B2AE35))
@@ -85,15 +88,16 @@ def _entries(x: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """What a table holds at each step: the last position with the same slot and, from bit 12, its confidence; 0 if none."""
     lanes, steps = x.shape
     key = np.sort((slot << np.uint32(12)) | np.arange(steps, dtype=np.uint32), axis=1)
-    at = (key & np.uint32(0xFFF)).astype(np.int64)
+    at = (key & np.uint32(0xFFF)).astype(np.uint16)
     flat = at + (np.arange(lanes) * steps)[:, None]
     ids = x.reshape(-1).take(flat)
-    same = (key[:, 1:] >> np.uint32(12)) == (key[:, :-1] >> np.uint32(12))
+    key >>= np.uint32(12)
+    same = key[:, 1:] == key[:, :-1]
     hit = np.zeros((lanes, steps + 1), bool)  # one column ahead
-    hit[:, 2:] = same & (ids[:, 1:] == ids[:, :-1])
-    confidence = 1 + hit[:, 1:-1] + (hit[:, 1:-1] & hit[:, :-2]).astype(np.uint16)
+    np.logical_and(same, ids[:, 1:] == ids[:, :-1], out=hit[:, 2:])
+    confidence = hit[:, 1:-1].view(np.uint8) + (hit[:, 1:-1] & hit[:, :-2]) + np.uint8(1)
     entry = np.zeros((lanes, steps), np.uint16)
-    entry[:, 1:] = np.where(same, (confidence << 12) | at[:, :-1], 0)
+    np.multiply(confidence.astype(np.uint16) << np.uint16(12) | at[:, :-1], same, out=entry[:, 1:])
     out = np.empty(lanes * steps, np.uint16)
     out[flat] = entry
     return out.reshape(lanes, steps)
@@ -146,7 +150,7 @@ def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.append(starts, lanes * steps))
     place.reshape(-1)[sorted_at] = np.repeat(lane * most + entry, size)
     epoch.reshape(-1)[sorted_at] = np.repeat(found.astype(np.int8), size)
-    flat, places, epoch_of = x.reshape(-1), place.reshape(-1), epoch.reshape(-1)
+    flat, begin_at = x.reshape(-1), np.empty((lanes, steps), np.uint32)  # the begin, in order 0, of the id at each step so far
     counts, weigh = np.zeros((lanes, most), np.int32), np.tile(_COUNTS, (lanes, 1, 1))
     begins, widths = np.empty((lanes, steps), np.uint32), np.empty((lanes, steps), np.uint32)
     for k, (t0, t1) in enumerate(epochs):
@@ -163,23 +167,19 @@ def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, e1, e2 = x[:, t0:t1], entry1[:, t0:t1], entry2[:, t0:t1]
         at1, at2 = row + (e1 & 0xFFF), row + (e2 & 0xFFF)
         id1, id2 = flat.take(at1), flat.take(at2)
-        def placed(at, ids):
-            """Begin and place in order 0 of the ids at flat positions."""
-            where = places.take(at)
-            begin = begin0.take(where)
-            new = np.flatnonzero(epoch_of.take(at).reshape(-1) >= k)
-            of = new // at.shape[1]
-            begin.reshape(-1)[new] = base[of] + share[of] * _CUM[ids.reshape(-1)[new]]
-            return begin, where, new
-
-        own, where, new = placed(row + np.arange(t0, t1), ids)
-        width = width0.take(where)
-        width.reshape(-1)[new] = share[new // (t1 - t0)] * _UNITS[ids.reshape(-1)[new]]
+        where = place[:, t0:t1]
+        own, width = begin0.take(where), width0.take(where)
+        new = np.flatnonzero(epoch[:, t0:t1] >= k)  # none before t0
+        of, fresh = new // (t1 - t0), ids.reshape(-1).take(new)
+        scale = share.take(of)
+        own.reshape(-1)[new] = base.take(of) + scale * _CUM.take(fresh)
+        width.reshape(-1)[new] = scale * _UNITS.take(fresh)
+        begin_at[:, :t0], begin_at[:, t0:t1] = begin0.take(place[:, :t0]), own
         state = lane32 + ((e2 >> 12 << 2) | (e1 >> 12)) + 16 * (id1 == id2)
         w = weight.take(state)
         w2, w1, w0 = w << np.uint32(24), (w >> np.uint32(8)) << np.uint32(24), w >> np.uint32(16)
         hit2, hit1 = id2 == ids, id1 == ids
-        begins[:, t0:t1] = w2 * (placed(at2, id2)[0] < own) + w1 * (placed(at1, id1)[0] < own) + w0 * own
+        begins[:, t0:t1] = w2 * (begin_at.reshape(-1).take(at2) < own) + w1 * (begin_at.reshape(-1).take(at1) < own) + w0 * own
         widths[:, t0:t1] = w2 * hit2 + w1 * hit1 + w0 * width
         if t1 < steps:
             kind = np.where(hit2 & (e2 > 0), 0, np.where(hit1 & (e1 > 0), 1, 2))
@@ -195,182 +195,256 @@ def _encode_group(x: np.ndarray, last: int) -> list[np.ndarray]:
         begin, width = _intervals(x[i : i + CHUNK])
         begins[:, i : i + CHUNK], widths[:, i : i + CHUNK] = begin.T, width.T
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    room = 2 * steps + 8
-    out, pos = np.zeros(lanes * room, np.uint16), np.arange(lanes, dtype=np.int64) * room
-    first = pos.copy()
-
-    def emit(at: np.ndarray) -> None:
-        now, p = low.take(at), pos.take(at)
-        out[p] = now >> _48
-        pos[at] = p + 1
-        low[at] = now << _16
-
+    # What each step does to the words: a carry into those written, and two words at most, as an interval has 2^-32 or more.
+    carry, wrote, tops = np.zeros((steps, lanes), bool), np.zeros((2, steps, lanes), bool), np.empty((2, steps, lanes), np.uint16)
     for t in range(steps):
         a = lanes if t < last else lanes - 1
         if not a:
             break
-        r = rng[:a] >> _32
+        now, r = low[:a], rng[:a]
+        r >>= _32
         add = r * begins[t, :a]
-        now = low[:a]
         now += add
-        over = now < add
+        np.less(now, add, out=carry[t, :a])
         r *= widths[t, :a]
-        rng[:a] = r
-        if over.any():  # a carry goes into words already written
-            p = pos[np.flatnonzero(over)] - 1
-            while p.size:
-                out[p] += np.uint16(1)
-                p = p[out[p] == 0] - 1
-        short = (r < _TOP).nonzero()[0]
-        while short.size:
-            emit(short)
-            small = rng.take(short) << _16
-            rng[short] = small
-            short = short.compress(small < _TOP)
-    for _ in range(4):
-        emit(np.arange(lanes))
-    return [out[i:j] for i, j in zip(first, pos)]
+        short = np.less(r, _TOP, out=wrote[0, t, :a])
+        tops[0, t, :a] = now >> _48
+        by = short.astype(np.uint64)
+        by <<= np.uint64(4)
+        now <<= by
+        r <<= by
+        again = (r < _TOP).nonzero()[0]
+        if again.size:
+            rest = now.take(again)
+            wrote[1, t, again], tops[1, t, again] = True, rest >> _48
+            now[again], r[again] = rest << _16, r.take(again) << _16
+    del begins, widths
+    words: list[np.ndarray] = []
+    for i in range(0, lanes, CHUNK):
+        n = min(CHUNK, lanes - i)
+        kept, of = np.ones((n, 2 * steps + 4), bool), np.empty((n, 2 * steps + 4), np.uint16)
+        for k in (0, 1):
+            kept[:, k : 2 * steps : 2], of[:, k : 2 * steps : 2] = wrote[k, :, i : i + n].T, tops[k, :, i : i + n].T
+        of[:, 2 * steps :] = low[i : i + n, None] >> np.array([48, 32, 16, 0], np.uint64) & np.uint64(0xFFFF)
+        total = np.cumsum(kept.reshape(-1), dtype=np.int32)
+        lane, step = np.nonzero(carry[:, i : i + n].T)
+        first = lane * (2 * steps + 4) + 2 * step
+        out = of[kept].astype(np.uint32)
+        out += np.bincount(total[first] - kept.reshape(-1)[first] - 1, minlength=len(out)).astype(np.uint32)
+        while (over := np.flatnonzero(out > 0xFFFF)).size:
+            out[over] &= np.uint32(0xFFFF)
+            out[over - 1] += np.uint32(1)
+        words += np.split(out.astype(np.uint16), total[2 * steps + 3 :: 2 * steps + 4][:-1])
+    return words
 
 
 class _Search:
-    """Order 0 of all lanes of a decoder: finds the id at a place of a lane's range."""
+    """Order 0 of all lanes of a decoder: finds the id at a place of a lane's range.
+
+    An id in it is one number: begin from bit 40, width from bit 16 and the id; so one id has one number between renewals,
+    and numbers of different ids are ordered as their begins."""
 
     def __init__(self, steps: int, lanes: int):
-        self.lanes = lanes
-        self.counts, self.ids, self.sizes = np.zeros((lanes, steps), np.int32), np.zeros((lanes, steps), np.uint16), np.zeros(lanes, np.int64)
-        self.share, self.base = np.full(lanes, SHARES), np.zeros(lanes, np.int64)
-        self.part, self.packed, self.most = np.zeros(lanes * PARTS, np.uint16), np.zeros(lanes, np.uint64), 0
-
-    def renew(self, x: np.ndarray, index: np.ndarray, s0: int, info: np.ndarray) -> None:
-        """Take in the ids x [steps, lanes] from step ``s0``, with their entries where they had one; fills the entries in,
-        and ``info`` with the entry's id, begin and width at every step."""
-        seen, lanes = x.shape
-        new, lane = np.nonzero(index[s0:] == _NEW)
-        new += s0
-        key, back = np.unique(lane << 16 | x[new, lane].astype(np.int64), return_inverse=True)
-        own = key >> 16
-        added = np.bincount(own, minlength=lanes)
-        entry = np.arange(len(key)) - np.searchsorted(own, own) + self.sizes[own]
-        self.ids[own, entry] = key & 0xFFFF
-        index[new, lane] = entry[back]
+        self.lanes, self.most = lanes, 0
+        self.counts, self.ids, self.sizes = np.zeros((lanes, steps), np.uint16), np.zeros((lanes, steps), np.uint16), np.zeros(lanes, np.int64)
+        self.index = np.full((steps, lanes), _NEW, np.uint16)  # the entry of the id at each step
+        self.part, self.packed = np.zeros(lanes * PARTS, np.uint16), np.zeros(lanes, np.uint64)
+        self._scale(np.full(lanes, SHARES))
+
+    def _scale(self, share: np.ndarray) -> None:
+        self.share, self.base = share, (PARTS - SHARES * share) << 12
+        self.share32, self.base32 = share.astype(np.uint32), self.base.astype(np.uint32)
+        self.share64, self.base64 = share.astype(np.uint64), self.base.astype(np.uint64) << _40
+
+    def renew(self, info: np.ndarray, s0: int) -> None:
+        """Take in the numbers ``info`` [steps, lanes] from step ``s0``; writes them anew by the entries of all steps."""
+        seen, lanes = info.shape
+        index, lane = self.index[:seen], np.arange(lanes)
+        for i in range(s0 if s0 else seen, seen, 64):
+            index[i : i + 64] = self.part.take((lane << 12) + (info[i : i + 64] >> np.uint64(52)).view(np.int64))
+        unknown, added = self.most if s0 else _NEW, np.zeros(lanes, np.int64)
+        for i in range(0, lanes, 4 * CHUNK):  # new ids in order of lane, id and step
+            n = min(4 * CHUNK, lanes - i)
+            step, own = np.nonzero(index[s0:, i : i + n] == unknown)
+            key = (own << 32 | (info[s0 + step, i + own] & _ID).view(np.int64) << 16 | step).view(np.uint64)
+            key.sort()
+            cut = np.ones(len(key), bool)
+            np.not_equal(key[1:] >> _16, key[:-1] >> _16, out=cut[1:])
+            found = key[cut]
+            own = (found >> _32).view(np.int64)
+            many = np.bincount(own, minlength=n)
+            own += i
+            entry = np.arange(len(found)) - np.repeat(np.cumsum(many) - many, many) + self.sizes[own]
+            self.ids[own, entry] = (found >> _16).astype(np.uint16)
+            at = ((key & _ID) * np.uint64(lanes) + (key >> _32)).view(np.int64) + (s0 * lanes + i)
+            index.reshape(-1)[at] = entry.take(np.cumsum(cut) - 1)
+            added[i : i + n] = many
         self.sizes += added
         self.most = most = int(self.sizes.max())
-        self.counts[:, :most] += np.bincount((np.arange(lanes) * most + index[s0:]).reshape(-1), minlength=lanes * most).reshape(lanes, most).astype(np.int32)
-        self.share = _share(added, seen - s0, seen)
-        begin, width = _order0(self.counts[:, :most], seen, self.share)
-        self.base = (PARTS - SHARES * self.share) << 12
-        # One entry more, behind all others, stands for new ids.
         wide = most + 1
-        self.packed = np.zeros((lanes, wide), np.uint64)
-        self.packed[:, :most] = (self.ids[:, :most].astype(np.uint64) << _48) | (begin.astype(np.uint64) << np.uint64(36)) | (width.astype(np.uint64) << np.uint64(12))
-        every, name = np.empty((CHUNK, wide), np.int32), np.tile(np.arange(wide, dtype=np.uint16), CHUNK)
+        self.packed = np.empty((lanes, wide), np.uint64)
+        self._scale(_share(added, seen - s0, seen))
+        name = np.tile(np.arange(wide, dtype=np.uint16), CHUNK)
         for i in range(0, lanes, CHUNK):
             n = min(CHUNK, lanes - i)
-            every[:n, :most], every[:n, most] = width[i : i + n], SHARES * self.share[i : i + n]
-            self.part[i * PARTS : (i + n) * PARTS] = np.repeat(name[: n * wide], every[:n].reshape(-1))
-        self.packed, at = self.packed.reshape(-1), np.arange(lanes) * wide
+            counts, ids, packed = self.counts[i : i + n, :most], self.ids[i : i + n, :most], self.packed[i : i + n]
+            counts += np.bincount((np.arange(n) * most + index[s0:, i : i + n]).reshape(-1), minlength=n * most).reshape(n, most).astype(np.uint16)
+            begin, width = _order0(counts, seen, self.share[i : i + n])
+            packed[:, :most] = begin.astype(np.uint64) << np.uint64(52) | width.astype(np.uint64) << np.uint64(28) | ids
+            packed[:, most] = 0  # one entry more, behind all others, stands for new ids
+            every = np.concatenate([width, SHARES * self.share[i : i + n, None]], axis=1)
+            self.part[i * PARTS : (i + n) * PARTS] = np.repeat(name[: n * wide], every.reshape(-1))
+        self.packed, at = self.packed.reshape(-1), lane * wide
         for i in range(0, seen, 64):
-            info[i : i + 64][: seen - i] = self.packed[at + index[i : min(i + 64, seen)]]
-
-    def find(self, lane: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Id (from bit 48), begin (from bit 24) and width of the intervals that hold ``want``, and their entries."""
-        entry = self.part.take((lane << 12) + (want >> np.uint32(12)))
-        got = self.packed.take(lane * (self.most + 1) + entry)
-        gap = (entry == self.most).nonzero()[0]
-        if gap.size:
-            of = lane[gap]
-            share, base = self.share[of], self.base[of]
-            new = _FIND[(want[gap] - base) // share].astype(np.int64)
-            got[gap] = (new << 48 | (base + share * _CUM[new]) << 24 | share * _UNITS[new]).view(np.uint64)
-            entry[gap] = _NEW
-        return got, entry
+            info[i : i + 64] = self.packed.take(at + index[i : i + 64])
+
+    def find(self, lane: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """Numbers of the ids whose intervals hold ``want`` (int64)."""
+        if self.most:
+            at = lane << 12
+            at += want >> 12
+            entry = self.part.take(at)
+            np.multiply(lane, self.most + 1, out=at)
+            at += entry
+            got = self.packed.take(at)
+            gap = (entry == self.most).nonzero()[0]
+            if not gap.size:
+                return got
+            lane, want = lane.take(gap), want.take(gap)
+        want = want.astype(np.uint32)
+        want -= self.base32.take(lane)
+        want //= self.share32.take(lane)
+        new = _FIND.take(want)
+        fresh = _SPAN.take(new)
+        fresh *= self.share64.take(lane)
+        fresh += self.base64.take(lane)
+        fresh |= new
+        if not self.most:
+            return fresh
+        got[gap] = fresh
+        return got
 
 
 def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
     lanes = len(words)
-    x = np.zeros((steps, lanes), np.uint16)
     sizes = np.array([len(w) for w in words])
-    flat = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.uint64)
+    flat = np.concatenate([*words, np.zeros(4, np.uint16)]).astype(np.uint16)
     pos = np.cumsum(sizes) - sizes
-    value = (flat[pos] << _48) | (flat[pos + 1] << _32) | (flat[pos + 2] << _16) | flat[pos + 3]
+    value = np.zeros(lanes, np.uint64)
+    for k in range(4):
+        value = (value << _16) | flat[pos + k]
     pos += 4
-    flat = flat.astype(np.uint16)
     rng = np.full(lanes, (1 << 64) - 1, np.uint64)
-    # Rows of what follows: order 2 and order 1.
+    # Rows of what follows: order 2 and order 1.  A table's entry is the place of a step in info, and its confidence from bit 30.
     slot0 = (np.arange(2 * lanes, dtype=np.int64) << SLOT_BITS).reshape(2, lanes)
-    table = np.zeros(2 * lanes << SLOT_BITS, np.uint16)
-    info = np.zeros((steps, lanes), np.uint64)  # id, begin and width in order 0 of the id at each step
-    index, search = np.full((steps, lanes), _NEW, np.uint16), _Search(steps, lanes)  # the id's entry in order 0
-    known, indices, counts = info.reshape(-1), index.reshape(-1), np.tile(_COUNTS, (lanes, 1, 1))
-    lane, state0 = np.arange(lanes), np.arange(lanes) * 32
-    context = np.zeros((2, lanes), np.uint32)  # the two previous ids, hashed for order 2 and order 1
-    before = np.zeros(lanes, np.uint32)
-    low24, part = np.uint32(MASS - 1), np.array([[0], [8]], np.uint32)
+    table = np.tile(np.repeat(np.arange(lanes, dtype=np.uint32), 1 << SLOT_BITS), 2)
+    info, search = np.zeros((steps, lanes), np.uint64), _Search(steps, lanes)
+    known, counts = info.reshape(-1), np.tile(_COUNTS, (lanes, 1, 1))
+    lane, lane32 = np.arange(lanes), (np.arange(lanes) * 32).astype(np.uint32)
+    context, before = np.zeros((2, lanes), np.uint64), np.zeros(lanes, np.uint64)
+    levels, parts, top = np.array([[28], [30]], np.uint32), np.array([[0], [8]], np.uint64), np.uint32(3 << 30)
+    slot_shift, hash1, hash2 = np.uint64(64 - SLOT_BITS), np.uint64(int(_HASH[0]) << 32), np.uint64(int(_HASH[1]) << 32)
+    place, level1, agreeing, most = np.uint32((1 << 28) - 1), np.uint32(1 << 30), np.uint8(4), np.uint64((1 << 32) - 1)
+    one, high, low9, low24 = np.uint8(1), np.uint64(0xFF << 24), np.uint64(0x1FF), np.uint64(MASS - 1)
     epochs = _epochs(steps)
     for k, (t0, t1) in enumerate(epochs):
-        weight = _weights(counts)
+        w = _weights(counts)  # now order 2 from bit 24, order 1 from bit 16, order 0 below
+        weight = (w & np.uint32(0xFF)) << np.uint32(24) | (w & np.uint32(0xFF00)) << np.uint32(8) | w >> np.uint32(16)
         if k:
-            search.renew(x[:t0], index[:t0], epochs[k - 1][0], info)
-        taken = np.zeros((t1 - t0, lanes), np.int32)
+            search.renew(info[:t0], epochs[k - 1][0])
+        taken = np.full((t1 - t0, lanes), counts.size, np.uint32)
         for t in range(t0, t1):
             a = lanes if t < last else lanes - 1
             if not a:
                 break
-            slot = slot0[:, :a] + (context[:, :a] >> np.uint32(32 - SLOT_BITS))
+            slot = (context[:, :a] >> slot_shift).view(np.int64)
+            slot += slot0[:, :a]
             entry = table.take(slot)
-            at = (entry & np.uint16(0xFFF)).astype(np.int64) * lanes + lane[:a]
-            i = known.take(at)
-            level, ids = entry >> np.uint16(12), (i >> _48).astype(np.uint32)
-            state = state0[:a] + (level[0] << np.uint16(2) | level[1] | (ids[0] == ids[1]).astype(np.uint16) << np.uint16(4))
-            w = weight.take(state)
-            w0, w = w >> np.uint32(16), (w >> part) << np.uint32(24)
-            begin = (i >> _24).astype(np.uint32) & low24
-            begin = w[::-1] * (begin[::-1] < begin) + w0 * begin
-            width = w + w0 * (i.astype(np.uint32) & low24)
-            r = rng[:a] >> _32
+            i = known.take(entry & place)
+            state = entry >> levels
+            state = state[0] | state[1]
+            state |= (i[0] == i[1]).view(np.uint8) << agreeing
+            state += lane32[:a]
+            p = weight.take(state).astype(np.uint64)
+            w0 = p & low9
+            w = p << parts
+            w &= high
+            begin = i >> _40
+            begin *= w0
+            behind = w[::-1] * (i[::-1] < i)
+            begin += behind
+            width = i >> _16
+            width &= low24
+            width *= w0
+            width += w
+            r = rng[:a]
+            r >>= _32
             target = value[:a] // r
-            target = np.minimum(target, np.uint64((1 << 32) - 1)).astype(np.uint32)
-            off = target - begin
-            hit = off < width
-            live = entry > 0
-            hit &= live
+            np.minimum(target, most, out=target)
+            hit = (target - begin) < width
+            live = entry >= level1
             two = hit[0]
-            own = (~(two | hit[1])).nonzero()[0]
-            over = (w[0] * (target >= begin[0]) + w[1] * (target >= begin[1])).take(own)
-            begins, widths, now, of = begin[1], width[1], i[1], at[1]
-            for to, by in ((begins, begin[0]), (widths, width[0]), (now, i[0]), (of, at[0])):
-                np.copyto(to, by, where=two)
-            entries = indices.take(of)
+            two &= live[0]
+            own = (two | hit[1]).__invert__().nonzero()[0]
+            begins, widths, now = begin[1], width[1], i[1]
+            if own.size:
+                beyond = w * (begin <= target)
+                beyond = beyond[0] + beyond[1]
+                scale, over, want = w0.take(own), beyond.take(own), target.take(own)
+                want -= over
+                want //= scale
+                got = search.find(own, want.view(np.int64))
+                mine, wide = got >> _40, got >> _16
+                mine *= scale
+                mine += over
+                wide &= low24
+                wide *= scale
+            np.copyto(begins, begin[0], where=two)
+            np.copyto(widths, width[0], where=two)
+            now = np.where(two, i[0], now)
             if own.size:
-                scale = w0.take(own)
-                got, entries[own] = search.find(own, (target.take(own) - over) // scale)
-                begins[own], widths[own], now[own] = over + scale * ((got >> _24).astype(np.uint32) & low24), scale * (got.astype(np.uint32) & low24), got
-            index[t, :a] = entries
+                begins[own], widths[own], now[own] = mine, wide, got
             info[t, :a] = now
             c = value[:a]
-            c -= r * begins
+            begins *= r
+            c -= begins
             r *= widths
-            short = (r < _TOP).nonzero()[0]
-            while short.size:
-                p = pos.take(short)
-                value[short] = (value.take(short) << _16) | flat.take(p)
-                pos[short] = p + 1
-                small = r.take(short) << _16
-                r[short] = small
-                short = short.compress(small < _TOP)
-            rng[:a] = r
-            new = (now >> _48).astype(np.uint32)
-            x[t, :a] = new
-            hit = (ids == new) & live
-            table[slot] = np.uint16(t + 0x1000) + hit * (np.minimum(level, np.uint16(2)) << np.uint16(12))
-            kind = hit.view(np.uint8)
-            taken[t - t0, :a] = state * 3 + (2 - np.maximum(kind[0] << 1, kind[1]))
-            context[1, :a] = new * _HASH[0]
-            context[0, :a] = context[1, :a] + before[:a] * _HASH[1]
-            before = new
+            short = r < _TOP
+            by = short.astype(np.uint64)
+            by <<= np.uint64(4)
+            c <<= by
+            r <<= by
+            at = pos[:a]
+            c |= flat.take(at) * short
+            at += short
+            again = (r < _TOP).nonzero()[0]
+            while again.size:
+                p = pos.take(again)
+                c[again] = (c.take(again) << _16) | flat.take(p)
+                pos[again] = p + 1
+                small = r.take(again) << _16
+                r[again] = small
+                again = again.compress(small < _TOP)
+            same = i == now
+            same &= live
+            # A hit's confidence goes up by one, to 3; any other's is 1.
+            raised = entry & top
+            np.minimum(raised, np.uint32(2 << 30), out=raised)
+            raised *= same
+            raised += np.uint32(t * lanes + (1 << 30))
+            raised += lane32[:a] >> np.uint32(5)
+            table[slot] = raised
+            kind = same.view(np.uint8)
+            state *= np.uint32(3)
+            state += (kind[0] ^ one) * ((kind[1] ^ one) + one)
+            taken[t - t0, :a] = state
+            now = now & _ID
+            np.multiply(now, hash1, out=context[1, :a])
+            np.add(context[1, :a], before[:a] * hash2, out=context[0, :a])
+            before = now
         if t1 < steps:
-            counts += 2 * np.bincount(taken.reshape(-1), minlength=counts.size).reshape(counts.shape).astype(np.int32) * (_COUNTS > 0)
-    return x.T
+            counts += 2 * np.bincount(taken.reshape(-1), minlength=counts.size + 1)[:-1].reshape(counts.shape).astype(np.int32) * (_COUNTS > 0)
+    return info.T.astype(np.uint16)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, group: int = GROUP) -> bytes:

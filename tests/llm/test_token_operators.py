@@ -72,6 +72,32 @@ def test_range_coder_keeps_its_format():
     assert (range_coder.decode(data) == ids).all() and (range_coder.decode(data, group=2) == ids).all()
 
 
+def test_a_segment_is_one_group(monkeypatch):
+    """All blocks of a segment take one walk over the steps, in either direction."""
+    walks = []
+    for name in ("_encode_group", "_decode_group"):
+        of = getattr(range_coder, name)
+        monkeypatch.setattr(range_coder, name, lambda *x, of=of, name=name: (walks.append(name), of(*x))[1])
+    ids = (np.random.default_rng(3).zipf(1.3, 3_000 * 16) % 49_000).astype(np.uint16)  # a segment of 3,000 blocks
+    data = range_coder.encode(ids, block=16)
+    assert (range_coder.decode(data) == ids).all() and walks == ["_encode_group", "_decode_group"]
+    assert range_coder.encode(ids, block=16, group=7) == data and token_files.SEGMENT == range_coder.BLOCK * range_coder.GROUP
+
+
+def test_range_coder_words_are_those_of_plain_arithmetic():
+    """Carries, and steps that write two words, against integers of any length."""
+    rng = np.random.default_rng(8)
+    x = np.stack([rng.integers(0, 65536, 700), rng.zipf(1.2, 700) % 65536, np.zeros(700, np.int64), np.full(700, 65535)]).astype(np.uint16)
+    begins, widths = range_coder._intervals(x)
+    for lane, words in enumerate(range_coder._encode_group(x, 700)):
+        low, size, shifts = 0, (1 << 64) - 1, 0
+        for begin, width in zip(begins[lane].tolist(), widths[lane].tolist()):
+            low, size = low + (size >> 32) * begin, (size >> 32) * width
+            while size < 1 << 48:
+                low, size, shifts = low << 16, size << 16, shifts + 1
+        assert words.tolist() == [low >> 16 * k & 0xFFFF for k in range(shifts + 3, -1, -1)]
+
+
 def test_range_coder_compresses_and_verifies():
     ids = np.tile(np.arange(200, dtype=np.uint16), 50)
     data = bytearray(range_coder.encode(ids))
