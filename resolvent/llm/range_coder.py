@@ -141,9 +141,10 @@ def _intervals(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(cut)
     lane = starts // steps
     found = np.searchsorted([e for _, e in epochs], order.reshape(-1)[starts], side="right")
-    by = np.argsort(lane * 16 + found, kind="stable")
+    by = np.argsort((lane * 16 + found).astype(np.uint16 if lanes <= CHUNK else np.int64), kind="stable")
+    distinct = np.bincount(lane, minlength=lanes)
     entry = np.empty(len(starts), np.int64)
-    entry[by] = np.arange(len(starts)) - np.searchsorted(lane, lane[by])
+    entry[by] = np.arange(len(starts)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
     sizes = np.bincount(lane * len(epochs) + found, minlength=lanes * len(epochs)).reshape(lanes, -1)
     most = int(sizes.sum(1).max())
     place, epoch = np.empty((lanes, steps), np.int64), np.empty((lanes, steps), np.int8)
@@ -343,6 +344,7 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
     lane, lane32 = np.arange(lanes), (np.arange(lanes) * 32).astype(np.uint32)
     context, before = np.zeros((2, lanes), np.uint64), np.zeros(lanes, np.uint64)
     levels, parts, top = np.array([[28], [30]], np.uint32), np.array([[0], [8]], np.uint64), np.uint32(3 << 30)
+    here = np.arange(1 << 30, (1 << 30) + lanes, dtype=np.uint32)  # an entry for this step
     slot_shift, hash1, hash2 = np.uint64(64 - SLOT_BITS), np.uint64(int(_HASH[0]) << 32), np.uint64(int(_HASH[1]) << 32)
     place, level1, agreeing, most = np.uint32((1 << 28) - 1), np.uint32(1 << 30), np.uint8(4), np.uint64((1 << 32) - 1)
     one, high, low9, low24 = np.uint8(1), np.uint64(0xFF << 24), np.uint64(0x1FF), np.uint64(MASS - 1)
@@ -386,7 +388,6 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             two = hit[0]
             two &= live[0]
             own = (two | hit[1]).__invert__().nonzero()[0]
-            begins, widths, now = begin[1], width[1], i[1]
             if own.size:
                 beyond = w * (begin <= target)
                 beyond = beyond[0] + beyond[1]
@@ -399,9 +400,7 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
                 mine += over
                 wide &= low24
                 wide *= scale
-            np.copyto(begins, begin[0], where=two)
-            np.copyto(widths, width[0], where=two)
-            now = np.where(two, i[0], now)
+            begins, widths, now = np.where(two, begin[0], begin[1]), np.where(two, width[0], width[1]), np.where(two, i[0], i[1])
             if own.size:
                 begins[own], widths[own], now[own] = mine, wide, got
             info[t, :a] = now
@@ -431,8 +430,8 @@ def _decode_group(words: list[np.ndarray], steps: int, last: int) -> np.ndarray:
             raised = entry & top
             np.minimum(raised, np.uint32(2 << 30), out=raised)
             raised *= same
-            raised += np.uint32(t * lanes + (1 << 30))
-            raised += lane32[:a] >> np.uint32(5)
+            raised += here[:a]
+            here += np.uint32(lanes)
             table[slot] = raised
             kind = same.view(np.uint8)
             state *= np.uint32(3)
